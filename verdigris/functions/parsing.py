@@ -33,9 +33,14 @@ def cut_at_brace(text: Column) -> Column:
 
 
 def json_or_null(text: Column) -> Column:
-    """Strict parse to VARIANT; only an object counts, anything else gives NULL."""
+    """Strict parse to VARIANT; only an object counts, anything else gives NULL.
+
+    The parser stops after the first value, so text behind it is found by putting the whole
+    between brackets: it must make an array of one.
+    """
+    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     return let(
-        F.try_parse_json(text),
+        F.when(whole, F.try_parse_json(text)),
         lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v),
     )
 
@@ -112,7 +117,7 @@ def prefixed_rewrite(completion: Column, field: str = "final_rewritten_query") -
 def strict_score(text: Column, field: str = "score", missing: float | None = NO_SCORE) -> Column:
     """Score of a judge whose output must be plain JSON, else the sentinel ``missing``."""
     return F.coalesce(
-        F.try_variant_get(F.try_parse_json(strip(text)), f"$.{field}", "double"), F.lit(missing).cast("double")
+        F.try_variant_get(json_or_null(strip(text)), f"$.{field}", "double"), F.lit(missing).cast("double")
     )
 
 

@@ -30,20 +30,29 @@ RAW = {
     "scitldr": _raw(T.StructField("source", _TEXTS), T.StructField("target", _TEXTS)),
 }
 
-REWRITE_PAIRS = T.StructType.fromDDL("ord BIGINT, original_prompt STRING, analysis STRING, optimized_prompt STRING")
-RATED_PROMPTS = T.StructType.fromDDL("ord BIGINT, prompt STRING, avg_rating DOUBLE")
-REFERENCE_SAMPLES = T.StructType.fromDDL(
-    "sample_id BIGINT, ord BIGINT, prompt STRING, original STRING, text STRING, "
-    "original_query STRING, reference_answer STRING"
-)
-CURATED_PROMPTS = T.StructType.fromDDL(
-    "original_query STRING, reference_answer STRING, candidate_prompt STRING, final_answer_first STRING, "
-    "final_answer_second STRING, scores ARRAY<DOUBLE>, rouge_score DOUBLE"
+
+
+def flat(names: str, kind: T.DataType) -> list[T.StructField]:
+    """One field of a type for each of the comma-separated names."""
+    return [T.StructField(name.strip(), kind) for name in names.split(",")]
+
+
+TEXT, NUMBER, WHOLE = T.StringType(), T.DoubleType(), T.LongType()
+
+REWRITE_PAIRS = T.StructType([*flat("ord", WHOLE), *flat("original_prompt, analysis, optimized_prompt", TEXT)])
+RATED_PROMPTS = T.StructType([*flat("ord", WHOLE), *flat("prompt", TEXT), *flat("avg_rating", NUMBER)])
+REFERENCE_SAMPLES = T.StructType(
+    [*_ORDER, *flat("prompt, original, text, original_query, reference_answer", TEXT)]
 )
-RESULTS_LOG = T.StructType.fromDDL(
-    "Name STRING, Accuracy DOUBLE, F1 DOUBLE, ROUGE DOUBLE, `LLM-as-a-judge` DOUBLE"
+CURATED_PROMPTS = T.StructType(
+    [
+        *flat("original_query, reference_answer, candidate_prompt, final_answer_first, final_answer_second", TEXT),
+        T.StructField("scores", T.ArrayType(NUMBER)),
+        *flat("rouge_score", NUMBER),
+    ]
 )
-SAMPLE_LOG = T.StructType.fromDDL(
-    "Original STRING, Rewrite STRING, `Final Answer` STRING, Accuracy DOUBLE, `LLM-as-a-judge reward` DOUBLE"
+RESULTS_LOG = T.StructType([*flat("Name", TEXT), *flat("Accuracy, F1, ROUGE, LLM-as-a-judge", NUMBER)])
+SAMPLE_LOG = T.StructType(
+    [*flat("Original, Rewrite, Final Answer", TEXT), *flat("Accuracy, LLM-as-a-judge reward", NUMBER)]
 )
-REWARD_LOG = T.StructType.fromDDL("timestamp DOUBLE, reward DOUBLE, step INT")
+REWARD_LOG = T.StructType([*flat("timestamp, reward", NUMBER), T.StructField("step", T.IntegerType())])

@@ -11,8 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdigris import fixed_values as fixed
 
-STATE = T.StructType.fromDDL("n BIGINT, recent ARRAY<DOUBLE>, means ARRAY<DOUBLE>, stop_step BIGINT")
-OUTPUT = T.StructType.fromDDL("run_id BIGINT, n_points BIGINT, stop_step BIGINT")
+STATE = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("recent", T.ArrayType(T.DoubleType())),
+        T.StructField("means", T.ArrayType(T.DoubleType())),
+        T.StructField("stop_step", T.LongType()),
+    ]
+)
+OUTPUT = T.StructType([T.StructField(name, T.LongType()) for name in ("run_id", "n_points", "stop_step")])
 
 
 def early_stop_stream(
