@@ -41,9 +41,8 @@ def with_positions(
     partitions as it needs. The summary table has one row per partition and group in it.
     """
     keys = [*group, *order]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(
-        df.repartitionByRange(partitions, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_at", 33))

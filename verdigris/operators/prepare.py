@@ -34,10 +34,12 @@ def instruction_for(name: str, full_prompt: bool = False) -> str | None:
 
 
 def with_instruction(df: DataFrame, name_column: str, into: str = "instruction") -> DataFrame:
-    """Attach the instruction by dataset name; the task table has a dozen fixed rows."""
-    rows = [(alias, task, fixed.INSTRUCTIONS[task]) for alias, task in fixed.TASK_ALIASES.items()]
-    tasks = df.sparkSession.createDataFrame(rows, f"_alias STRING, task STRING, {into} STRING")
-    return df.join(F.broadcast(tasks), F.lower(df[name_column]) == tasks["_alias"], "left").drop("_alias")
+    """Add task and instruction by dataset name; the dozen names are literals in the plan."""
+    aliases = F.create_map(*[F.lit(x) for pair in fixed.TASK_ALIASES.items() for x in pair])
+    instructions = F.create_map(*[F.lit(x) for pair in fixed.INSTRUCTIONS.items() for x in pair])
+    return df.withColumn("task", F.try_element_at(aliases, F.lower(name_column))).withColumn(
+        into, F.try_element_at(instructions, F.col("task"))
+    )
 
 
 def short_answers(annotations: Column) -> Column:
@@ -85,7 +87,7 @@ def _news(df: DataFrame) -> DataFrame:
 
 def _papers(df: DataFrame) -> DataFrame:
     joined = strip_or_empty(F.array_join("source", " "))
-    first = strip_or_empty(F.try_element_at("target", F.lit(1)))
+    first = strip_or_empty(F.get("target", F.lit(0)))
     return _summary(df, joined, first)
 
 
@@ -198,7 +200,7 @@ def prepare(
 
 def reference_samples(samples: DataFrame) -> DataFrame:
     """Samples with one reference answer for curating training prompts."""
-    answer = strip(F.try_element_at("target", F.lit(1)))
+    answer = strip(F.get("target", F.lit(0)))
     text, original = strip(F.col("text")), strip(F.col("original"))
     return samples.where((F.size("target") > 0) & (original != "") & (text != "") & (answer != "")).select(
         "sample_id",

@@ -134,5 +134,5 @@ def score_metric(df: DataFrame, name: str, into: str = "value", stem: bool = Tru
     if build is None:
         return df.withColumn(into, F.lit(None).cast("double"))
     return df.withColumn(
-        into, build(F.col("answer"), F.try_element_at("target", F.lit(1)), F.col("judge_text"))
+        into, build(F.col("answer"), F.get("target", F.lit(0)), F.col("judge_text"))
     )

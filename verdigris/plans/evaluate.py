@@ -47,7 +47,7 @@ def with_scores(
         "f1", text.best_token_f1(compared, F.col("answer"))
     )
     if math:
-        matched = text.numeric_match(F.col("answer"), F.try_element_at("target", F.lit(1)), mode=mode)
+        matched = text.numeric_match(F.col("answer"), F.get("target", F.lit(0)), mode=mode)
         return scored.withColumn("rouge", matched).withColumn("judge", matched)
     return with_best_rouge(scored, "answer", "target", "rouge", stem).withColumn(
         "judge", parsing.strict_score(F.col("judge_text"), missing=failed)

@@ -166,7 +166,8 @@ def reward_log(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     return e.select(
         F.col("user_id").alias("run_id"),
-        F.unix_micros("ts").cast("double").alias("ts"),
+        # The stored time has no zone; reading it as UTC keeps it apart from the session's zone.
+        F.unix_micros(F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("+00:00")))).cast("double").alias("ts"),
         F.col("value").alias("reward"),
         F.col("event_id").alias("step"),
     )

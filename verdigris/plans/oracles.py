@@ -571,3 +571,72 @@ ORACLES["batch_hook"] = f"SELECT doc_id, {_hook}"
 ORACLES["distinct_requests"] = f"SELECT doc_id, sha256(text || 't=0') AS request_id, {_hook}"
 ORACLES["recorded_answers"] = """WITH items AS (SELECT text, min(item_id) AS item FROM benchmark GROUP BY text)
 SELECT doc_id, coalesce('item ' || item, '') AS text FROM documents LEFT JOIN items USING (text)"""
+
+
+# Porter stemming over the distinct words, one common table per step. Finished words end in '!',
+# stems that lost -ed or -ing in '+'.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M1 = f"'^({_C})?{_V}{_C}'"
+_ONE = f"'^({_C})?{_V}{_C}({_V})?$'"
+_M2 = f"'^({_C})?{_V}{_C}{_V}{_C}'"
+_SHORT = "'([^aeiouy]|^y|[aeiou]y)[aeiouy][^aeiouwxy]$|^[aeiou][^aeiou]$'"
+
+
+def has(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {pattern})"
+
+
+def ending(x: str, suffixes) -> str:
+    return f"regexp_extract({x}, '^.*?({'|'.join(suffixes)})$', 1)"
+
+
+def swapped(table: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in table.items())
+    stem = "left(x, length(x) - length(suf))"
+    measured = f"({stem} || CASE WHEN suf = 'logi' THEN 'l' ELSE '' END)"
+    return f"CASE WHEN suf <> '' AND {has(measured, _M1)} THEN {stem} || CASE suf {cases} END ELSE x END"
+
+
+_irregular = " ".join(f"WHEN w = {lit(k)} THEN {lit(v + '!')}" for k, v in fixed.STEM_IRREGULAR.items())
+_stem4 = "left(x, length(x) - length(suf))"
+STEMS = f"""s0 AS (SELECT w, CASE WHEN length(w) < 4 THEN w || '!' {_irregular} ELSE w END AS x FROM vocab),
+s1 AS (SELECT w, CASE WHEN x LIKE '%sses' THEN left(x, -2)
+  WHEN x LIKE '%ies' THEN CASE WHEN length(x) = 4 THEN left(x, -1) ELSE left(x, -2) END
+  WHEN x LIKE '%ss' THEN x WHEN x LIKE '%s' THEN left(x, -1) ELSE x END AS x FROM s0),
+s2 AS (SELECT w, CASE WHEN x LIKE '%ied' THEN CASE WHEN length(x) = 4 THEN left(x, -1) ELSE left(x, -2) END
+  WHEN x LIKE '%eed' THEN CASE WHEN {has('left(x, -3)', _M1)} THEN left(x, -1) ELSE x END
+  WHEN x LIKE '%ed' AND {has('left(x, -2)', f"'^({_C})?[aeiouy]'")} THEN left(x, -2) || '+'
+  WHEN x LIKE '%ing' AND {has('left(x, -3)', f"'^({_C})?[aeiouy]'")} THEN left(x, -3) || '+' ELSE x END AS x FROM s1),
+s3 AS (SELECT w, CASE WHEN x NOT LIKE '%+' THEN x ELSE CASE
+  WHEN {has('left(x, -1)', "'(at|bl|iz)$'")} THEN left(x, -1) || 'e'
+  WHEN length(x) >= 3 AND x[-2] = x[-3] AND x[-2] NOT IN ('a','e','i','o','u','y')
+    THEN CASE WHEN x[-2] IN ('l','s','z') THEN left(x, -1) ELSE left(x, -2) END
+  WHEN {has('left(x, -1)', _ONE)} AND {has('left(x, -1)', _SHORT)} THEN left(x, -1) || 'e'
+  ELSE left(x, -1) END END AS x FROM s2),
+s4 AS (SELECT w, CASE WHEN {has('x', "'^.+[^aeiouy]y$|^.*[aeiou]yy$'")} THEN left(x, -1) || 'i' ELSE x END AS x FROM s3),
+s5 AS (SELECT w, CASE WHEN x LIKE '%alli' AND {has('left(x, -4)', _M1)} THEN left(x, -2) ELSE x END AS x FROM s4),
+s6 AS (SELECT w, {swapped(fixed.STEM_DOUBLE)} AS x FROM (SELECT *, {ending('x', fixed.STEM_DOUBLE)} AS suf FROM s5)),
+s7 AS (SELECT w, {swapped(fixed.STEM_DERIVED)} AS x FROM (SELECT *, {ending('x', fixed.STEM_DERIVED)} AS suf FROM s6)),
+s8 AS (SELECT w, CASE WHEN suf <> '' AND {has(_stem4, _M2)} AND (suf <> 'ion' OR {has(_stem4, "'[st]$'")})
+  THEN {_stem4} ELSE x END AS x FROM (SELECT *, {ending('x', fixed.STEM_RESIDUAL)} AS suf FROM s7)),
+s9 AS (SELECT w, CASE WHEN x LIKE '%e' AND ({has('left(x, -1)', _M2)} OR ({has('left(x, -1)', _ONE)}
+  AND NOT {has('left(x, -1)', _SHORT)})) THEN left(x, -1) ELSE x END AS x FROM s8),
+s10 AS (SELECT w, CASE WHEN x LIKE '%ll' AND {has('left(x, -1)', _M2)} THEN left(x, -1) ELSE x END AS x FROM s9),
+stems AS (SELECT w, rtrim(x, '!') AS stem FROM s10)"""
+
+ORACLES["stem_tokens"] = f"""WITH words AS (
+  SELECT doc_id, unnest({rouge_toks('text')}) AS w, generate_subscripts({rouge_toks('text')}, 1) AS pos FROM documents),
+vocab AS (SELECT DISTINCT w FROM words), {STEMS},
+joined AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS text, count(*) AS n FROM words JOIN stems USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, md5(coalesce(j.text, '')) AS stems_md5 FROM documents LEFT JOIN joined j USING (doc_id)"""
+
+ORACLES["rouge_best_ref"] = f"""WITH {ANSWERS}, refs AS (
+  SELECT sample_id, answer, unnest(target) AS ref, generate_subscripts(target, 1) AS place FROM answers),
+sides AS (SELECT sample_id, 0 AS place, answer AS t FROM answers UNION ALL SELECT sample_id, place, ref FROM refs),
+words AS (SELECT sample_id, place, unnest({rouge_toks('t')}) AS w, generate_subscripts({rouge_toks('t')}, 1) AS pos FROM sides),
+vocab AS (SELECT DISTINCT w FROM words), {STEMS},
+lists AS (SELECT sample_id, place, list(stem ORDER BY pos) AS toks FROM words JOIN stems USING (w) GROUP BY sample_id, place),
+pairs AS (SELECT r.sample_id, coalesce(g.toks, []) AS g, coalesce(p.toks, []) AS p FROM refs r
+  LEFT JOIN lists g ON g.sample_id = r.sample_id AND g.place = r.place
+  LEFT JOIN lists p ON p.sample_id = r.sample_id AND p.place = 0)
+SELECT sample_id, round(max({harmonic(common_length('p', 'g'), 'len(g)', 'len(p)')}), 6) AS rouge FROM pairs GROUP BY sample_id"""
