@@ -38,25 +38,37 @@ def json_or_null(text: Column) -> Column:
     The parser stops after the first value, so text behind it is found by putting the whole
     between brackets: it must make an array of one.
     """
+    braced = text.startswith("{") & text.endswith("}")
     whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     return let(
-        F.when(whole, F.try_parse_json(text)),
+        F.when(braced & whole, F.try_parse_json(text)),
         lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v),
     )
 
 
 def read_object(text: Column) -> Column:
-    """Struct of the parsed rungs of one text, NULL where a rung cannot read it."""
+    """Struct of the parsed rungs of one text, NULL where a rung cannot read it.
+
+    The cut rung is tried only when the strict one failed.
+    """
     return let(
         strip_fences(text),
-        lambda clean: F.struct(
-            json_or_null(clean).alias("strict"),
-            json_or_null(cut_at_brace(clean)).alias("cut"),
-            clean.alias("clean"),
+        lambda clean: let(
+            json_or_null(clean),
+            lambda strict: F.struct(
+                strict.alias("strict"),
+                F.when(strict.isNull(), json_or_null(cut_at_brace(clean))).alias("cut"),
+                clean.alias("clean"),
+            ),
         ),
     )
 
 
+def _lenient(clean: Column, field: str) -> Column:
+    """Field of a text that is JSON but for its quotes; only read when the name occurs."""
+    return F.when(clean.contains(field), F.from_json(clean, f"{field} STRING").getField(field))
+
+
 def _field_type(parsed: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
 
@@ -71,7 +83,7 @@ def read_string(text: Column, field: str) -> Column:
 
     def pick(rungs: Column) -> Column:
         strict, cut, clean = (rungs.getField(n) for n in ("strict", "cut", "clean"))
-        lenient = F.from_json(clean, f"{field} STRING").getField(field)
+        lenient = _lenient(clean, field)
         matched = F.coalesce(
             F.nullif(F.regexp_extract(clean, pattern, 1), F.lit("")),
             F.nullif(F.regexp_extract(clean, pattern, 2), F.lit("")),
@@ -83,9 +95,22 @@ def read_string(text: Column, field: str) -> Column:
         return (
             F.when(strict.isNotNull(), F.struct(string_of(strict).alias("value"), F.lit(STRICT).alias("outcome")))
             .when(cut.isNotNull(), F.struct(string_of(cut).alias("value"), F.lit(CUT).alias("outcome")))
-            .when(lenient.isNotNull(), F.struct(lenient.alias("value"), F.lit(LENIENT).alias("outcome")))
-            .when(matched.isNotNull(), F.struct(matched.alias("value"), F.lit(PATTERN).alias("outcome")))
-            .otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(FAILED).alias("outcome")))
+            .otherwise(
+                let(
+                    lenient,
+                    lambda found: F.when(
+                        found.isNotNull(), F.struct(found.alias("value"), F.lit(LENIENT).alias("outcome"))
+                    ).otherwise(
+                        let(
+                            matched,
+                            lambda m: F.struct(
+                                m.alias("value"),
+                                F.when(m.isNotNull(), PATTERN).otherwise(FAILED).alias("outcome"),
+                            ),
+                        )
+                    ),
+                )
+            )
         )
 
     return let(read_object(text), pick)
@@ -130,7 +155,7 @@ def tolerant_score(text: Column, field: str = "score", missing: float | None = N
         return F.coalesce(
             F.try_variant_get(rungs.getField("strict"), path, "double"),
             F.try_variant_get(rungs.getField("cut"), path, "double"),
-            F.from_json(clean, f"{field} STRING").getField(field).try_cast("double"),
+            _lenient(clean, field).try_cast("double"),
             F.nullif(
                 F.regexp_extract(clean, f"['\"]{field}['\"]\\s*:\\s*['\"]?(-?[0-9]+(?:\\.[0-9]+)?)", 1), F.lit("")
             ).try_cast("double"),
@@ -158,7 +183,7 @@ def choice_index(text: Column, offset: int = 1, field: str = "final_selection")
         )
 
     def pick(rungs: Column) -> Column:
-        lenient = strip(F.from_json(rungs.getField("clean"), f"{field} STRING").getField(field))
+        lenient = strip(_lenient(rungs.getField("clean"), field))
         last = F.regexp_extract(text, "(?s)^.*?(\\p{Nd}+)\\P{Nd}*$", 1)
         return F.coalesce(
             from_variant(rungs.getField("strict")),

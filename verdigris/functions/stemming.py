@@ -35,11 +35,6 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def _suffix(word: Column, suffixes) -> Column:
-    """The longest of ``suffixes`` that ends the word, '' without one."""
-    return F.regexp_extract(word, f"^.*?({'|'.join(suffixes)})$", 1)
-
-
 def _set_aside(word: Column) -> Column:
     return (
         F.when(F.length(word) < MIN_LENGTH, F.concat(word, F.lit(DONE)))
@@ -95,7 +90,7 @@ def _mend_cut(word: Column) -> Column:
 
 def _final_y(word: Column) -> Column:
     return F.when(
-        word.rlike("^.+(?:[^aeiouy]|(?<=[aeiou])y)y$"), F.concat(_drop(word, 1), F.lit("i"))
+        word.endswith("y") & word.rlike("^.+(?:[^aeiouy]|(?<=[aeiou])y)y$"), F.concat(_drop(word, 1), F.lit("i"))
     ).otherwise(word)
 
 
@@ -105,28 +100,34 @@ def _adverb(word: Column) -> Column:
     ).otherwise(word)
 
 
+def _by_suffix(word: Column, suffixes, body) -> Column:
+    """``body(stem, suffix)`` for the first suffix that ends the word, else the word."""
+    chain = F.when(word.endswith(DONE), word)
+    for suffix in suffixes:
+        chain = chain.when(word.endswith(suffix), body(_drop(word, len(suffix)), suffix))
+    return chain.otherwise(word)
+
+
 def _replace_suffix(table: dict[str, str]):
     def step(word: Column) -> Column:
-        def swap(suffix: Column) -> Column:
-            stem = F.left(word, F.length(word) - F.length(suffix))
-            measured = F.when(suffix == "logi", F.concat(stem, F.lit("l"))).otherwise(stem)
-            return F.when(
-                (suffix != "") & measured.rlike(ONE_OR_MORE),
-                F.concat(stem, F.coalesce(_lookup(table, suffix), F.lit(""))),
-            ).otherwise(word)
+        def swap(stem: Column, suffix: str) -> Column:
+            measured = F.concat(stem, F.lit("l")) if suffix == "logi" else stem
+            new = F.concat(stem, F.lit(table[suffix])) if table[suffix] else stem
+            return F.when(measured.rlike(ONE_OR_MORE), new).otherwise(word)
 
-        return let(_suffix(word, table), swap)
+        return _by_suffix(word, table, swap)
 
     return step
 
 
 def _residual(word: Column) -> Column:
-    def cut(suffix: Column) -> Column:
-        stem = F.left(word, F.length(word) - F.length(suffix))
-        allowed = stem.rlike(TWO_OR_MORE) & ((suffix != "ion") | stem.rlike("[st]$"))
-        return F.when((suffix != "") & allowed, stem).otherwise(word)
+    def cut(stem: Column, suffix: str) -> Column:
+        allowed = stem.rlike(TWO_OR_MORE)
+        if suffix == "ion":
+            allowed = stem.rlike("[st]$") & allowed
+        return F.when(allowed, stem).otherwise(word)
 
-    return let(_suffix(word, fixed.STEM_RESIDUAL), cut)
+    return _by_suffix(word, fixed.STEM_RESIDUAL, cut)
 
 
 def _final_e(word: Column) -> Column:

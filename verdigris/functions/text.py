@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
@@ -42,39 +42,58 @@ def exact_match(gold: Column, answer: Column) -> Column:
     return (normalize_answer(gold) == normalize_answer(answer)).cast("double")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and joins on it do not compute again.
+
+    A filter on an ordinary column is pushed below it with a second copy of its expression; it
+    cannot pass the output of a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def answer_tokens(text: Column) -> Column:
     """Words of the normalised answer; an empty answer has none."""
-    return F.filter(F.split(normalize_answer(text), " "), lambda word: word != "")
+    return words(normalize_answer(text))
 
 
-def number_repeats(tokens: Column) -> Column:
-    """Make repeated tokens distinct by their occurrence number, e.g. ``be 0``, ``be 1``.
+def words(normalized: Column) -> Column:
+    return F.filter(F.split(normalized, " "), lambda word: word != "")
 
-    Sorting brings equal tokens together; the start of each run gives the numbering.
-    The cost is that of the sort, also when one token fills the whole text.
-    """
 
-    def tag(ordered: Column) -> Column:
-        last = F.size(ordered) - 1
-        starts = F.filter(
-            F.sequence(F.lit(0), last),
-            lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)),
-        )
+def _number_runs(ordered: Column) -> Column:
+    """Tag each token of a sorted array with its place among equal ones, e.g. ``be 0``, ``be 1``."""
+    last = F.size(ordered) - 1
+    starts = F.filter(
+        F.sequence(F.lit(0), last),
+        lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)),
+    )
 
-        def tag_runs(firsts: Column) -> Column:
-            return F.flatten(
-                F.transform(
-                    firsts,
-                    lambda first, k: F.transform(
-                        F.sequence(F.lit(0), F.coalesce(F.get(firsts, k + 1), last + 1) - first - 1),
-                        lambda n: F.concat_ws(" ", F.get(ordered, first), n.cast("string")),
-                    ),
-                )
+    def tag_runs(firsts: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                firsts,
+                lambda first, k: F.transform(
+                    F.sequence(F.lit(0), F.coalesce(F.get(firsts, k + 1), last + 1) - first - 1),
+                    lambda n: F.concat_ws(" ", F.get(ordered, first), n.cast("string")),
+                ),
             )
+        )
+
+    return F.when(last < 0, ordered).otherwise(let(starts, tag_runs))
+
+
+def number_repeats(tokens: Column) -> Column:
+    """Make repeated tokens distinct, so that multisets can be compared as sets.
+
+    The first of equal tokens stays as it is; the others, found side by side after sorting, get
+    a number. The cost is that of the sort, also when one token fills the whole text.
+    """
 
-        return F.when(last < 0, ordered).otherwise(let(starts, tag_runs))
+    def tag(ordered: Column) -> Column:
+        repeats = F.filter(ordered, lambda token, i: token == F.get(ordered, i - 1))
+        return F.concat(F.array_distinct(ordered), let(repeats, _number_runs))
 
-    return let(F.array_sort(tokens), tag)
+    return let(F.sort_array(tokens), tag)
 
 
 def overlap_f1(overlap: Column, n_gold: Column, n_answer: Column) -> Column:
@@ -95,39 +114,38 @@ def tagged_f1(gold: Column, answer: Column) -> Column:
 
 def token_f1(gold: Column, answer: Column) -> Column:
     """Token F1 over the multiset overlap of the normalised answers."""
-    return let(
-        number_repeats(answer_tokens(gold)),
-        lambda g: let(number_repeats(answer_tokens(answer)), lambda a: tagged_f1(g, a)),
-    )
+    return normalized_f1(normalize_answer(gold), normalize_answer(answer))
 
 
-def best_exact_match(references: Column, answer: Column) -> Column:
-    """Best exact match over an array of references, 0 without any."""
+def normalized_f1(gold: Column, answer: Column) -> Column:
     return let(
-        normalize_answer(answer),
-        lambda a: F.coalesce(
-            F.array_max(
-                F.transform(references, lambda r: (normalize_answer(r) == a).cast("double"))
-            ),
-            F.lit(0.0),
-        ),
+        number_repeats(words(gold)),
+        lambda g: let(number_repeats(words(answer)), lambda a: tagged_f1(g, a)),
     )
 
 
-def best_token_f1(references: Column, answer: Column) -> Column:
-    """Best token F1 over an array of references, 0 without any."""
-    return let(
-        number_repeats(answer_tokens(answer)),
-        lambda a: F.coalesce(
-            F.array_max(
-                F.transform(
-                    references,
-                    lambda r: let(number_repeats(answer_tokens(r)), lambda g: tagged_f1(g, a)),
-                )
-            ),
-            F.lit(0.0),
-        ),
+def best_scores(references: Column, answer: Column) -> Column:
+    """Struct ``em, f1`` of the best exact match and the best token F1 over all references.
+
+    Each text is normalised once; without references both are 0.
+    """
+
+    def scores(normal: Column) -> Column:
+        golds, given = normal.getField("golds"), normal.getField("given")
+        matches = F.transform(golds, lambda g: (g == given).cast("double"))
+        f1s = let(
+            number_repeats(words(given)),
+            lambda a: F.transform(golds, lambda g: let(number_repeats(words(g)), lambda t: tagged_f1(t, a))),
+        )
+        return F.struct(
+            F.coalesce(F.array_max(matches), F.lit(0.0)).alias("em"),
+            F.coalesce(F.array_max(f1s), F.lit(0.0)).alias("f1"),
+        )
+
+    normal = F.struct(
+        F.transform(references, normalize_answer).alias("golds"), normalize_answer(answer).alias("given")
     )
+    return let(normal, scores)
 
 
 def final_number(text: Column) -> Column:

@@ -114,7 +114,7 @@ def _improvements(records: DataFrame, delta: float) -> DataFrame:
             .groupBy("run_id")
             .agg(
                 F.first("best").alias("best"),
-                F.array_sort(F.collect_list(F.struct("pos", "ma"))).alias("_points"),
+                F.sort_array(F.collect_list(F.struct("pos", "ma"))).alias("_points"),
             )
         )
         moved = F.aggregate(

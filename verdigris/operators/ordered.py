@@ -140,7 +140,7 @@ def with_batches(df: DataFrame, size: int, order: Sequence[str], into: str = "ba
 def collate(df: DataFrame, columns: Sequence[str], batch: str = "batch_id") -> DataFrame:
     """One row per batch with a list per column, in batch order; a list has one batch's rows."""
     gathered = df.groupBy(batch).agg(
-        F.array_sort(F.collect_list(F.struct("batch_pos", *columns))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct("batch_pos", *columns))).alias("_rows")
     )
     return gathered.select(batch, *[F.col("_rows")[c].alias(c) for c in columns])
 
@@ -189,10 +189,14 @@ def with_running_max(
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
     """Attach per-group values to rows without moving a hot group.
 
-    The groups with the most rows, at most ``HOT_KEYS`` of them, are joined by broadcast; any
-    other group holds less than that share of the table and is joined by shuffle.
+    A counted small table is broadcast. Of a larger one, the groups with the most rows, at most
+    ``HOT_KEYS`` of them, are joined by broadcast; any other group holds less than that share of
+    the table and is joined by shuffle.
     """
-    hot = stats.orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
+    fixed_stats = cut_lineage(stats)
+    if fixed_stats.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(fixed_stats), list(keys))
+    hot = fixed_stats.orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
     in_hot = df.join(F.broadcast(hot), list(keys))
-    in_rest = df.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(stats, list(keys))
+    in_rest = df.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(fixed_stats, list(keys))
     return in_hot.unionByName(in_rest)

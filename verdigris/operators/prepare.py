@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
-from verdigris.functions.text import final_number, strip, strip_or_empty
+from verdigris.functions.text import final_number, let, strip, strip_or_empty
 from verdigris.operators import ordered
 from verdigris.operators.prompts import chat_prompt, meta_prompt
+from verdigris.session import store
 
 SAMPLE_COLUMNS = ("sample_id", "ord", "prompt", "target", "text", "original")
 
@@ -51,10 +52,11 @@ def short_answers(annotations: Column) -> Column:
     return F.filter(stripped, lambda t: F.coalesce(t != "", F.lit(False)))
 
 
-def _finish(df: DataFrame, task: str, full_prompt: bool) -> DataFrame:
-    instruction = F.lit(fixed.INSTRUCTIONS[task])
+def with_prompt(rows: DataFrame, name: str, full_prompt: bool = False) -> DataFrame:
+    """Normalised rows with their instruction and rewrite request."""
+    instruction = F.lit(fixed.INSTRUCTIONS[task_of(name)])
     prompt = meta_prompt(instruction, F.col("text") if full_prompt else None)
-    return df.select("sample_id", "ord", prompt.alias("prompt"), "target", "text", instruction.alias("original"))
+    return rows.withColumns({"prompt": prompt, "original": instruction})
 
 
 def _question_answers(df: DataFrame) -> DataFrame:
@@ -68,10 +70,11 @@ def _question_answers(df: DataFrame) -> DataFrame:
 
 
 def _summary(df: DataFrame, article: Column, summary: Column) -> DataFrame:
+    # One test per text: the filter runs at the scan, where each use of the text strips it again.
+    fits = let(F.length(article), lambda n: (n > 0) & (n <= fixed.MAX_ARTICLE_CHARS))
     return (
-        df.select("sample_id", "ord", article.alias("_article"), summary.alias("_summary"))
-        .where((F.col("_article") != "") & (F.col("_summary") != ""))
-        .where(F.length("_article") <= fixed.MAX_ARTICLE_CHARS)
+        df.where(fits & (summary != ""))
+        .select("sample_id", "ord", article.alias("_article"), summary.alias("_summary"))
         .select(
             "sample_id",
             "ord",
@@ -123,8 +126,8 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def normalize(df: DataFrame, name: str, full_prompt: bool = False) -> DataFrame:
     """Raw rows of a dataset (with ``sample_id`` and ``ord``) to prepared samples."""
-    task = task_of(name)
-    return _finish(NORMALIZERS[task](df), task, full_prompt)
+    rows = NORMALIZERS[task_of(name)](df)
+    return with_prompt(rows, name, full_prompt).select(*SAMPLE_COLUMNS)
 
 
 def take(df: DataFrame, amount: int) -> DataFrame:
@@ -132,17 +135,22 @@ def take(df: DataFrame, amount: int) -> DataFrame:
     return df if amount < 0 else ordered.first_rows(df, amount, ["ord"])
 
 
-def load_samples(
-    raw: DataFrame, name: str, amount: int = -1, full_prompt: bool = False, slices: bool = True
-) -> DataFrame:
-    """Take, slice and normalise. The fixed slices of two datasets apply to raw rows."""
+def slice_raw(raw: DataFrame, name: str, amount: int = -1, slices: bool = True) -> DataFrame:
+    """Take the first rows; two datasets have a fixed slice of their own."""
     task = task_of(name)
     taken = take(raw, amount)
     if slices and task == "nq":
-        taken = ordered.skip_rows(taken, fixed.NQ_SKIP, "ord")
-    elif slices and task == "cnndm":
-        taken = take(taken, fixed.CNNDM_HEAD)
-    return normalize(taken, name, full_prompt)
+        return ordered.skip_rows(taken, fixed.NQ_SKIP, "ord")
+    if slices and task == "cnndm":
+        return take(taken, fixed.CNNDM_HEAD)
+    return taken
+
+
+def load_samples(
+    raw: DataFrame, name: str, amount: int = -1, full_prompt: bool = False, slices: bool = True
+) -> DataFrame:
+    """Take, slice and normalise."""
+    return normalize(slice_raw(raw, name, amount, slices), name, full_prompt)
 
 
 def keep_valid(samples: DataFrame) -> DataFrame:
@@ -175,27 +183,27 @@ def prepare(
     evaluate: bool = False,
     slices: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """End to end: load, wrap, filter, split, slice and number the batches.
+    """End to end: load, filter, split, slice, number the batches, render and wrap prompts.
 
-    Train batches follow a seeded shuffle, test batches source order. ``batch_size=None``
-    leaves both parts unbatched.
+    The valid rows are stored once; counting and splitting then read only their key, and prompts
+    are rendered last, so they never pass a shuffle. Train batches follow a seeded shuffle, test
+    batches source order. ``batch_size=None`` leaves both parts unbatched.
     """
-    samples = load_samples(raw, name, amount, full_prompt, slices)
-    if chat:
-        samples = wrap_chat(samples)
-    valid = keep_valid(samples)
+    rows = NORMALIZERS[task_of(name)](slice_raw(raw, name, amount, slices))
+    valid = store(keep_valid(rows), "samples")
     if valid.isEmpty():
         raise ValueError("no sample has a target")
     train, test = split(valid, name, test_size, seed)
     if evaluate:
         test = take(test, fixed.EVALUATION_HEAD)
-    if batch_size is None:
-        return train, test
-    shuffled = train.withColumn("_hash", ordered.hash_order(F.col("sample_id"), seed + 1))
-    return (
-        ordered.with_batches(shuffled, batch_size, ["_hash", "sample_id"]).drop("_hash"),
-        ordered.with_batches(test, batch_size, ["ord"]),
-    )
+    if batch_size is not None:
+        shuffled = train.withColumn("_hash", ordered.hash_order(F.col("sample_id"), seed + 1))
+        train = ordered.with_batches(shuffled, batch_size, ["_hash", "sample_id"]).drop("_hash")
+        test = ordered.with_batches(test, batch_size, ["ord"])
+    parts = [with_prompt(part, name, full_prompt) for part in (train, test)]
+    if chat:
+        parts = [wrap_chat(part) for part in parts]
+    return parts[0], parts[1]
 
 
 def reference_samples(samples: DataFrame) -> DataFrame:

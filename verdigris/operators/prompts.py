@@ -104,7 +104,7 @@ def selection_prompts(candidates: DataFrame, per_example: bool, key: str = "samp
     context = ["original", "text"] if per_example else ["original"]
     gathered = candidates.groupBy(key).agg(
         *[F.first(c).alias(c) for c in context],
-        F.array_sort(F.collect_list(F.struct("cand_idx", "rewrite"))).alias("_options"),
+        F.sort_array(F.collect_list(F.struct("cand_idx", "rewrite"))).alias("_options"),
     )
     ending = "" if per_example else "\n"
     options = F.array_join(

@@ -80,7 +80,7 @@ def zscore(df: DataFrame, reward: str, batch: str, into: str) -> DataFrame:
     """Reward minus batch mean over batch deviation (population) plus a small constant.
 
     Mean and deviation are partial aggregates; a batch's rows are never brought together.
-    ``df`` is read once for them and twice for the join, so it should be a stored table.
+    ``df`` is read once for them and again for the join.
     """
     stats = df.groupBy(batch).agg(
         F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_sd"), F.count(F.lit(1)).alias("_rows")

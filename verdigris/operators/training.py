@@ -54,7 +54,7 @@ def encode(tokens: DataFrame, vocabulary: DataFrame, key: list[str], max_rows: i
     """
     words = tokens.select(*key, F.posexplode("tokens").alias("_pos", "token"))
     found = words.join(ordered.broadcast_if_small(vocabulary, max_rows), "token", "left")
-    gathered = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
+    gathered = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
     return gathered.select(*key, F.col("_ids.id").alias("ids"))
 
 

@@ -18,13 +18,10 @@ FAILED_IS_ZERO, FAILED_IS_DROPPED = 0.0, parsing.NO_SCORE
 
 def corpus_em_f1(answers: DataFrame) -> DataFrame:
     """Mean of the best EM and F1 per prediction, 0 for an empty table."""
-    best = answers.select(
-        text.best_exact_match(F.col("target"), F.col("answer")).alias("em"),
-        text.best_token_f1(F.col("target"), F.col("answer")).alias("f1"),
-    )
+    best = answers.select(text.best_scores(F.col("target"), F.col("answer")).alias("best"))
     return best.agg(
-        F.coalesce(F.avg("em"), F.lit(0.0)).alias("avg_em"),
-        F.coalesce(F.avg("f1"), F.lit(0.0)).alias("avg_f1"),
+        F.coalesce(F.avg("best.em"), F.lit(0.0)).alias("avg_em"),
+        F.coalesce(F.avg("best.f1"), F.lit(0.0)).alias("avg_f1"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -43,12 +40,12 @@ def with_scores(
     """
     given = answers.where(F.coalesce(F.col("answer"), F.lit("")) != "")
     compared = F.slice("target", 1, 1) if mode == "reference" else F.col("target")
-    scored = given.withColumn("em", text.best_exact_match(compared, F.col("answer"))).withColumn(
-        "f1", text.best_token_f1(compared, F.col("answer"))
-    )
+    scored = given.withColumn("_best", text.best_scores(compared, F.col("answer"))).withColumns(
+        {"em": F.col("_best.em"), "f1": F.col("_best.f1")}
+    ).drop("_best")
     if math:
         matched = text.numeric_match(F.col("answer"), F.get("target", F.lit(0)), mode=mode)
-        return scored.withColumn("rouge", matched).withColumn("judge", matched)
+        return text.once(scored, "rouge", matched).withColumn("judge", F.col("rouge"))
     return with_best_rouge(scored, "answer", "target", "rouge", stem).withColumn(
         "judge", parsing.strict_score(F.col("judge_text"), missing=failed)
     )
@@ -118,8 +115,7 @@ def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*")
-    valid = picks.where((F.col("pick") >= 0) & (F.col("pick") < n)).select(
-        "sample_id", F.col("pick").cast("int").alias("cand_idx")
-    )
+    in_range = F.when(F.col("pick").between(0, n - 1), F.col("pick").cast("int"))
+    valid = text.once(picks, "cand_idx", in_range).where(F.col("cand_idx").isNotNull()).drop("pick")
     chosen = kept.join(valid, ["sample_id", "cand_idx"]).agg(F.lit("choice").alias("kind"), *_means(), count)
     return both.unionByName(chosen.select(*both.columns))

@@ -105,7 +105,7 @@ def price(column: str) -> Column:
 
 
 def math_problems(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders")
+    o = read_table(spark, sf, "orders", spread=True)
     return o.select(
         F.col("o_orderkey").alias("sample_id"),
         F.col("o_orderkey").alias("ord"),
@@ -186,7 +186,7 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def picks(spark: SparkSession, sf: str) -> DataFrame:
     """Choice texts per order."""
-    o = read_table(spark, sf, "orders")
+    o = read_table(spark, sf, "orders", spread=True)
     number = (F.col("o_custkey") % 9).cast("string")
     shape = F.col("o_orderkey") % 6
     return o.select(

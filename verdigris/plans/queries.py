@@ -366,12 +366,16 @@ def qa_em_f1(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pair_em_f1(spark: SparkSession, sf: str) -> DataFrame:
     """Exact match and F1 of every document against its first line."""
-    d = read_table(spark, sf, "documents", spread=True)
+    d = read_table(spark, sf, "documents", spread=True).select(
+        "doc_id",
+        text.normalize_answer(fixtures.first_line(F.col("text"))).alias("gold"),
+        text.normalize_answer(F.col("text")).alias("answer"),
+    )
     scored = d.select(
         "doc_id",
-        text.exact_match(fixtures.first_line(F.col("text")), F.col("text")).alias("em"),
-        text.token_f1(fixtures.first_line(F.col("text")), F.col("text")).alias("f1"),
-        digest(text.normalize_answer(F.col("text"))).alias("normalized_md5"),
+        (F.col("gold") == F.col("answer")).cast("double").alias("em"),
+        text.normalized_f1(F.col("gold"), F.col("answer")).alias("f1"),
+        digest("answer").alias("normalized_md5"),
     )
     return all_rounded(scored)
 
@@ -398,7 +402,7 @@ def stem_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def numeric_match(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders").select("o_orderkey", fixtures.price("o_totalprice").alias("gold"))
+    o = read_table(spark, sf, "orders", spread=True).select("o_orderkey", fixtures.price("o_totalprice").alias("gold"))
     gold = F.col("gold")
     thousands = F.format_number(gold.cast("double"), 2)
     answer = (

@@ -61,3 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages read fixed rows even after executor loss."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Unlike a checkpoint the table keeps column pruning and filter pushdown for later reads.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
