@@ -33,6 +33,10 @@ def _common_lengths(answers: pd.Series, references: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# Declared non-deterministic so that a filter on the score is not pushed below it as a second run.
+_common_lengths = _common_lengths.asNondeterministic()
+
+
 def tokens(text: Column, stem: bool) -> Column:
     found = rouge_tokens(text)
     return porter_stems(found) if stem else found

@@ -37,7 +37,8 @@ def bound_reward(name: str, **params) -> Callable[[DataFrame], DataFrame]:
 
 def user_reward(fn: Callable[..., pd.Series], columns: list[str], into: str = "reward"):
     """A reward job from a user's function on pandas Series, run in Arrow batches."""
-    scored = F.pandas_udf(fn, T.DoubleType())
+    # Declared non-deterministic so that filters on the reward do not run the function again.
+    scored = F.pandas_udf(fn, T.DoubleType()).asNondeterministic()
 
     def job(df: DataFrame) -> DataFrame:
         return df.withColumn(into, scored(*[F.col(c) for c in columns]))

@@ -46,9 +46,8 @@ def with_scores(
     if math:
         matched = text.numeric_match(F.col("answer"), F.get("target", F.lit(0)), mode=mode)
         return text.once(scored, "rouge", matched).withColumn("judge", F.col("rouge"))
-    return with_best_rouge(scored, "answer", "target", "rouge", stem).withColumn(
-        "judge", parsing.strict_score(F.col("judge_text"), missing=failed)
-    )
+    judged = text.once(scored, "judge", parsing.strict_score(F.col("judge_text"), missing=failed))
+    return with_best_rouge(judged, "answer", "target", "rouge", stem)
 
 
 def usable(scored: DataFrame) -> DataFrame:
