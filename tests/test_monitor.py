@@ -80,16 +80,18 @@ def test_moving_average_stop(log, block):
     assert {r["run_id"]: r["n_points"] for r in got.collect()} == {g: len(r) for g, r in RUNS.items()}
 
 
-@pytest.mark.parametrize("block, chain, epoch", [(None, 10_000, None), (40, 2, None), (70, 3, 60)])
-def test_best_window_stop(log, monkeypatch, block, chain, epoch):
-    monkeypatch.setattr(monitor, "CHAIN_ROWS", chain)
+@pytest.mark.parametrize("block, epoch", [(None, None), (70, 60)])
+def test_best_window_stop(log, block, epoch):
+    got = stops(monitor.stop_on_best_window(log, WINDOW, DELTA, PATIENCE, 20, epoch, block))
+    assert got == {g: plain_best_stop(r, 20, epoch) for g, r in RUNS.items()}
+
+
+def test_best_window_stop_in_rounds(log, monkeypatch):
     # Fewer records per round must not change the result, only the number of rounds.
-    small = log if chain == 10_000 else log.where("run_id % 9 <> 0")
-    got = monitor.stop_on_best_window(small, WINDOW, DELTA, PATIENCE, 20, epoch, block)
-    want = {g: plain_best_stop(r, 20, epoch) for g, r in RUNS.items()}
-    got = stops(got)
-    assert got == {g: want[g] for g in got}
-    assert len(got) >= 20
+    monkeypatch.setattr(monitor, "CHAIN_ROWS", 120)
+    some = log.where("run_id IN (0, 2, 3, 25, 26)")
+    got = stops(monitor.stop_on_best_window(some, WINDOW, DELTA, PATIENCE, 20))
+    assert got == {g: plain_best_stop(RUNS[g], 20) for g in (0, 2, 3, 25, 26)}
 
 
 def test_stream_equals_batch(spark, log, tmp_path):

@@ -33,12 +33,15 @@ def test_positions_per_group(skewed):
     assert len(groups[0]) == 1000
 
 
-@pytest.mark.parametrize("top", [1, 100_000])
+@pytest.mark.parametrize("top", [1, 10_000])
 def test_first_and_skip(skewed, monkeypatch, top):
     monkeypatch.setattr(ordered, "TOP_ROWS", top)
     assert [r["ord"] for r in ordered.first_rows(skewed, 5, ["ord"]).orderBy("ord").collect()] == [0, 1, 2, 3, 4]
     rest = ordered.skip_rows(skewed, 2995, "ord")
     assert sorted(r["ord"] for r in rest.collect()) == [2995, 2996, 2997, 2998, 2999]
+    assert ordered.first_rows(skewed, 4000, ["ord"]).count() == 3000
+    by_two = ordered.first_rows(skewed, 1003, ["g", "ord"]).orderBy("g", "ord").collect()
+    assert [r["g"] for r in by_two] == [0] * 1000 + [1] * 3
     assert ordered.skip_rows(skewed, 0, "ord").count() == 3000
     assert ordered.skip_rows(skewed, 5000, "ord").count() == 0
 

@@ -118,7 +118,8 @@ def test_quality_gate(spark):
                     perfect.append((ord_, cand))
     assert sorted((r["ord"], r["cand_idx"]) for r in kept) == want
     assert sorted((r["ord"], r["cand_idx"]) for r in kept if r["perfect"]) == perfect
-    assert curate.curate(curate.with_gate(matrix), wanted=1000).count() == 107 or True
+    passing = sum((o + c) % 3 != 2 for o in range(40) for c in range(4))
+    assert curate.curate(curate.with_gate(matrix), wanted=1000).count() == passing
     missing = curate.judge_matrix(long.where("judge = 'first'"), ["ord", "cand_idx"])
     assert curate.curate(curate.with_gate(missing)).count() == 0
 
@@ -158,16 +159,15 @@ def test_json_sources(spark, tmp_path):
     assert logs.read_json(spark, f"{tmp_path}/out", schemas.REFERENCE_SAMPLES).collect() == got.collect()
 
 
-def backend():
-    def answer(batch):
-        if "bad" in batch:
-            raise ValueError("refused")
-        return [p.upper() for p in batch]
-
-    return answer
+def test_hook_isolates_failures(spark):
+    def backend():
+        def answer(batch):
+            if "bad" in batch:
+                raise ValueError("refused")
+            return [p.upper() for p in batch]
 
+        return answer
 
-def test_hook_isolates_failures(spark):
     df = spark.createDataFrame([("a",), ("bad",), ("b",)], "prompt STRING").coalesce(1)
     got = {r["prompt"]: (r["text"], r["error"]) for r in hooks.generate(df, "prompt", backend).collect()}
     assert got == {"a": ("A", None), "b": ("B", None), "bad": ("", "refused")}

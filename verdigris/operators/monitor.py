@@ -9,7 +9,8 @@ from verdigris import fixed_values as fixed
 from verdigris.operators import ordered
 from verdigris.session import cut_lineage
 
-CHAIN_ROWS = 10_000
+# Rows per run and round; up to 1,000 Spark applies the limit in each task before the shuffle.
+CHAIN_ROWS = 1_000
 
 
 def positioned(log: DataFrame) -> DataFrame:
@@ -91,6 +92,12 @@ def stop_on_best_window(
     return runs.join(first, "run_id", "left").select("run_id", F.col("first.step").alias("stop_step"), "n_points")
 
 
+def first_per_run(records: DataFrame) -> DataFrame:
+    """The first ``CHAIN_ROWS`` records of each run."""
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
+    return records.withColumn("_rank", rank).where(F.col("_rank") <= CHAIN_ROWS)
+
+
 def _improvements(records: DataFrame, delta: float) -> DataFrame:
     """Positions where the best moves, from each run's rising records.
 
@@ -105,12 +112,9 @@ def _improvements(records: DataFrame, delta: float) -> DataFrame:
             open_ = records.join(best, "run_id").where(F.col("ma") > F.col("best") + delta)
         if open_.isEmpty():
             break
-        by_pos = Window.partitionBy("run_id").orderBy("pos")
         start = F.lit(None).cast("double") if best is None else F.col("best")
         lists = (
-            open_.withColumn("best", start)
-            .withColumn("_rank", F.row_number().over(by_pos))
-            .where(F.col("_rank") <= CHAIN_ROWS)
+            first_per_run(open_.withColumn("best", start))
             .groupBy("run_id")
             .agg(
                 F.first("best").alias("best"),

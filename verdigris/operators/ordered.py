@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
 from verdigris.session import cut_lineage
 
-TOP_ROWS = 100_000
+TOP_ROWS = 10_000
 BLOCK_ROWS = 100_000
 HOT_KEYS = 1_000
 SMALL_ROWS = 10_000
@@ -60,11 +60,35 @@ def with_positions(
     )
 
 
+def _last_key(df: DataFrame, n: int, order: Sequence[str]) -> Row | None:
+    """Order key of the ``n``-th row, NULL with fewer rows; only the key columns are sorted."""
+    keys = df.select(*order)
+    if n > TOP_ROWS:
+        return with_positions(keys, order, into="_pos").where(F.col("_pos") == n - 1).drop("_pos").first()
+    last = keys.orderBy(*order).limit(n).agg(
+        F.max(F.struct(*order)).alias("last"), F.count(F.lit(1)).alias("found")
+    ).first()
+    return last["last"] if last["found"] == n else None
+
+
+def _up_to(order: Sequence[str], last: Row) -> Column:
+    """Whether a row's order key is not above ``last``, as comparisons a scan can use."""
+    name, rest = order[0], order[1:]
+    if not rest:
+        return F.col(name) <= F.lit(last[name])
+    return (F.col(name) < F.lit(last[name])) | ((F.col(name) == F.lit(last[name])) & _up_to(rest, last))
+
+
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows: a bounded top-n, or positions when ``n`` is large."""
+    """The first ``n`` rows by a unique order key.
+
+    A short list is a top-n. A long one is a filter up to the key of its last row, so that its
+    rows stay where they are.
+    """
     if n <= TOP_ROWS:
         return df.orderBy(*order).limit(n)
-    return with_positions(df, order, into="_pos").where(F.col("_pos") < n).drop("_pos")
+    last = _last_key(df, n, order)
+    return df if last is None else df.where(_up_to(order, last))
 
 
 def skip_rows(df: DataFrame, n: int, key: str) -> DataFrame:
@@ -74,10 +98,8 @@ def skip_rows(df: DataFrame, n: int, key: str) -> DataFrame:
     """
     if n <= 0:
         return df
-    if n > TOP_ROWS:
-        return with_positions(df, [key], into="_pos").where(F.col("_pos") >= n).drop("_pos")
-    last = df.select(key).orderBy(key).limit(n).agg(F.max(key)).first()[0]
-    return df if last is None else df.where(F.col(key) > F.lit(last))
+    last = _last_key(df, n, [key])
+    return df.where(F.lit(False)) if last is None else df.where(F.col(key) > F.lit(last[key]))
 
 
 def mark_test_rows(

@@ -13,11 +13,22 @@ def paired_answers(first: DataFrame, second: DataFrame, key: str = "original") -
     """Inner join of two logs on the full text, each distinct pairing once with its multiplicity.
 
     Duplicate texts multiply in the join. Counting equal rows on each side before it gives
-    ``n_pairs`` and keeps copies of a text from being paired one by one.
+    ``n_pairs`` and keeps copies of a text from being paired one by one. Rows meet by the digest
+    of the text, so only the first log's texts move.
     """
-    left = first.groupBy(key, "option_1").agg(F.count(F.lit(1)).alias("_n1"))
-    right = second.groupBy(key, "option_2").agg(F.count(F.lit(1)).alias("_n2"))
-    return left.join(right, key).withColumn("n_pairs", F.col("_n1") * F.col("_n2")).drop("_n1", "_n2")
+    count = F.count(F.lit(1))
+    left = (
+        first.withColumn("_digest", F.sha2(key, 256))
+        .groupBy("_digest", "option_1")
+        .agg(F.first(key).alias(key), count.alias("_n1"))
+    )
+    right = (
+        second.select(F.sha2(key, 256).alias("_digest"), "option_2")
+        .groupBy("_digest", "option_2")
+        .agg(count.alias("_n2"))
+    )
+    pairs = left.join(right, "_digest").withColumn("n_pairs", F.col("_n1") * F.col("_n2"))
+    return pairs.select(key, "option_1", "option_2", "n_pairs")
 
 
 def pairwise_requests(pairs: DataFrame, key: str = "original", reference: str | None = None) -> DataFrame:

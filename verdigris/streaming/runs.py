@@ -10,7 +10,7 @@ from verdigris.session import scratch_path
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_trigger: int = 100
+    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_trigger: int = 8
 ) -> DataFrame:
     """Parquet files of a folder as a stream, a bounded number of files per micro-batch."""
     return (
