@@ -31,8 +31,8 @@ def _drop(word: Column, n: int) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def _set_aside(word: Column) -> Column:
@@ -100,34 +100,36 @@ def _adverb(word: Column) -> Column:
     ).otherwise(word)
 
 
-def _by_suffix(word: Column, suffixes, body) -> Column:
-    """``body(stem, suffix)`` for the first suffix that ends the word, else the word."""
-    chain = F.when(word.endswith(DONE), word)
-    for suffix in suffixes:
-        chain = chain.when(word.endswith(suffix), body(_drop(word, len(suffix)), suffix))
-    return chain.otherwise(word)
+def _with_suffix(word: Column, suffixes, body) -> Column:
+    """``body(stem, suffix)`` for the longest of the suffixes that ends the word, else the word."""
+    length = F.when(word.endswith(DONE), 0)
+    for n in sorted({len(suffix) for suffix in suffixes}, reverse=True):
+        length = length.when(F.right(word, F.lit(n)).isin([x for x in suffixes if len(x) == n]), n)
+
+    def split(n: Column) -> Column:
+        stem, suffix = F.left(word, F.length(word) - n), F.right(word, n)
+        return F.when(n > 0, body(stem, suffix)).otherwise(word)
+
+    return let(length.otherwise(0), split)
 
 
 def _replace_suffix(table: dict[str, str]):
     def step(word: Column) -> Column:
-        def swap(stem: Column, suffix: str) -> Column:
-            measured = F.concat(stem, F.lit("l")) if suffix == "logi" else stem
-            new = F.concat(stem, F.lit(table[suffix])) if table[suffix] else stem
-            return F.when(measured.rlike(ONE_OR_MORE), new).otherwise(word)
+        def swap(stem: Column, suffix: Column) -> Column:
+            measured = F.when(suffix == "logi", F.concat(stem, F.lit("l"))).otherwise(stem)
+            return F.when(measured.rlike(ONE_OR_MORE), F.concat(stem, _lookup(table, suffix))).otherwise(word)
 
-        return _by_suffix(word, table, swap)
+        return _with_suffix(word, table, swap)
 
     return step
 
 
 def _residual(word: Column) -> Column:
-    def cut(stem: Column, suffix: str) -> Column:
-        allowed = stem.rlike(TWO_OR_MORE)
-        if suffix == "ion":
-            allowed = stem.rlike("[st]$") & allowed
+    def cut(stem: Column, suffix: Column) -> Column:
+        allowed = ((suffix != "ion") | stem.rlike("[st]$")) & stem.rlike(TWO_OR_MORE)
         return F.when(allowed, stem).otherwise(word)
 
-    return _by_suffix(word, fixed.STEM_RESIDUAL, cut)
+    return _with_suffix(word, fixed.STEM_RESIDUAL, cut)
 
 
 def _final_e(word: Column) -> Column:

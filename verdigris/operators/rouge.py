@@ -23,13 +23,14 @@ def _common(positions: dict, length: int, other) -> int:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _common_lengths(answers: pd.Series, references: pd.Series) -> pd.Series:
+def _common_lengths(token_lists: pd.Series) -> pd.Series:
+    """Per row the subsequence lengths of the first list with each of the others."""
     out = []
-    for answer, refs in zip(answers, references):
+    for answer, *references in token_lists:
         positions: dict = {}
         for i, token in enumerate(answer):
             positions[token] = positions.get(token, 0) | 1 << i
-        out.append([_common(positions, len(answer), ref) for ref in refs])
+        out.append([_common(positions, len(answer), reference) for reference in references])
     return pd.Series(out)
 
 
@@ -48,21 +49,16 @@ def with_rouge(df: DataFrame, answer: str, references: str, into: str, stem: boo
     A row holds the answer and all of its references, so the score needs no shuffle and a
     frequent token costs no more than a rare one: no match pairs are ever listed.
     """
-    prepared = df.withColumn(
-        "_answer", tokens(F.coalesce(F.col(answer), F.lit("")), stem)
-    ).withColumn(
-        "_references",
-        F.transform(
-            F.coalesce(F.col(references), F.array().cast("array<string>")),
-            lambda r: tokens(F.coalesce(r, F.lit("")), stem),
-        ),
+    texts = F.concat(
+        F.array(answer), F.coalesce(F.col(references), F.array().cast("array<string>"))
     )
-    lengths = prepared.withColumn("_common", _common_lengths("_answer", "_references"))
+    prepared = df.withColumn("_tokens", F.transform(texts, lambda t: tokens(F.coalesce(t, F.lit("")), stem)))
+    sizes = F.transform("_tokens", lambda t: F.size(t))
+    lengths = prepared.withColumn("_sizes", sizes).withColumn("_common", _common_lengths("_tokens"))
     scored = F.transform(
-        F.arrays_zip("_references", "_common"),
-        lambda z: overlap_f1(z.getField("_common"), F.size(z.getField("_references")), F.size("_answer")),
+        "_common", lambda common, i: overlap_f1(common, F.get("_sizes", i + 1), F.get("_sizes", F.lit(0)))
     )
-    return lengths.withColumn(into, scored).drop("_answer", "_references", "_common")
+    return lengths.withColumn(into, scored).drop("_tokens", "_sizes", "_common")
 
 
 def with_best_rouge(df: DataFrame, answer: str, references: str, into: str, stem: bool = True) -> DataFrame:
