@@ -92,6 +92,18 @@ def test_group_stats_keep_every_row(skewed, monkeypatch, small):
     assert all(r["total"] == pytest.approx(want[r["g"]]) for r in joined)
 
 
+def test_missing_keys_are_a_group(skewed, monkeypatch):
+    some = skewed.withColumn("g", F.when(F.col("g") % 2 == 1, F.col("g")))
+    places = sorted(r["pos"] for r in ordered.with_positions(some, ["ord"], ["g"]).where("g IS NULL").collect())
+    assert places == list(range(len(places))) and len(places) > 1000
+    stats = some.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    for small in (0, 10_000):
+        monkeypatch.setattr(ordered, "SMALL_ROWS", small)
+        monkeypatch.setattr(ordered, "HOT_KEYS", 3)
+        joined = ordered.join_group_stats(some, stats, ["g"], "n")
+        assert joined.columns == [*some.columns, "n"] and joined.count() == 3000
+
+
 def test_broadcast_only_when_small(skewed):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(ordered.broadcast_if_small(skewed, 3000))

@@ -79,8 +79,8 @@ def stop_on_best_window(
         seen.where(F.col("before").isNull() | (F.col("ma") > F.col("before"))).select("run_id", "pos", "ma")
     )
     improvements = _improvements(records, delta)
-    marked = means.join(
-        improvements.withColumn("improved_at", F.col("pos")), ["run_id", "pos"], "left"
+    marked = ordered.match(
+        means, improvements.withColumn("improved_at", F.col("pos")), ["run_id", "pos"], "left"
     )
     counted = ordered.with_running_max(
         marked, ["run_id"], "improved_at", "last_improved", include_current=True, block=block
@@ -89,7 +89,7 @@ def stop_on_best_window(
     stops = (in_epoch >= start) & (F.col("pos") - F.col("last_improved") >= patience)
     first = counted.groupBy("run_id").agg(F.min(F.when(stops, F.struct("pos", "step"))).alias("first"))
     runs = placed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_points"))
-    return runs.join(first, "run_id", "left").select("run_id", F.col("first.step").alias("stop_step"), "n_points")
+    return ordered.match(runs, first, ["run_id"], "left").select("run_id", F.col("first.step").alias("stop_step"), "n_points")
 
 
 def first_per_run(records: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _improvements(records: DataFrame, delta: float) -> DataFrame:
     while True:
         open_ = records
         if best is not None:
-            open_ = records.join(best, "run_id").where(F.col("ma") > F.col("best") + delta)
+            open_ = ordered.match(records, best, ["run_id"]).where(F.col("ma") > F.col("best") + delta)
         if open_.isEmpty():
             break
         start = F.lit(None).cast("double") if best is None else F.col("best")
@@ -136,7 +136,7 @@ def _improvements(records: DataFrame, delta: float) -> DataFrame:
         rounds.append(done.select("run_id", F.explode("at").alias("pos")))
         latest = done.select("run_id", "best")
         best = latest if best is None else cut_lineage(
-            best.join(latest.withColumnRenamed("best", "_new"), "run_id", "left").select(
+            ordered.match(best, latest.withColumnRenamed("best", "_new"), ["run_id"], "left").select(
                 "run_id", F.coalesce("_new", "best").alias("best")
             )
         )

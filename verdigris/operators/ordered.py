@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,13 @@ def hash_order(key: Column, seed: int = fixed.SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, so that rows without a key are kept too."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    equal = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, equal, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint only after counting that ``df`` has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -54,7 +63,7 @@ def with_positions(
         "_part", *group, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
     return (
-        placed.join(starts, ["_part", *group])
+        match(placed, starts, ["_part", *group])
         .withColumn(into, F.col("_at") + F.col("_shift"))
         .drop("_at", "_part", "_shift")
     )
@@ -201,8 +210,7 @@ def with_running_max(
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
     return (
-        own.withColumn("_inside", F.max(value).over(inside))
-        .join(peaks, [*group, "_block"])
+        match(own.withColumn("_inside", F.max(value).over(inside)), peaks, [*group, "_block"])
         .withColumn(into, F.greatest("_inside", "_carried"))
         .drop("_block", "_inside", "_carried")
     )
@@ -217,8 +225,8 @@ def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows:
     """
     fixed_stats = cut_lineage(stats)
     if fixed_stats.count() <= SMALL_ROWS:
-        return df.join(F.broadcast(fixed_stats), list(keys))
+        return match(df, F.broadcast(fixed_stats), keys)
     hot = fixed_stats.orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
-    in_hot = df.join(F.broadcast(hot), list(keys))
-    in_rest = df.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(fixed_stats, list(keys))
+    in_hot = match(df, F.broadcast(hot), keys)
+    in_rest = match(match(df, F.broadcast(hot.select(*keys)), keys, "left_anti"), fixed_stats, keys)
     return in_hot.unionByName(in_rest)

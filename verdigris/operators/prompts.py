@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
 from verdigris import judge_texts
+from verdigris.operators.ordered import broadcast_if_small
 
 
 def render(template: str, **fields: Column) -> Column:
@@ -126,6 +127,15 @@ def instruction_prompt(instruction: Column, text: Column) -> Column:
     return F.concat(instruction, F.lit(" "), text)
 
 
+def with_run_rewrite(samples: DataFrame, rewrites: DataFrame, run: str, into: str = "prompt") -> DataFrame:
+    """Answer prompts from one rewrite per run, ``run, rewrite``, put before every text of the run.
+
+    The few rewrites are broadcast after counting them; more than that meet in a shuffle join.
+    """
+    joined = samples.join(broadcast_if_small(rewrites), run)
+    return joined.withColumn(into, instruction_prompt(F.col("rewrite"), F.col("text"))).drop("rewrite")
+
+
 def rewritten_text_prompt(rewrite: Column, text: Column) -> Column:
     return F.concat(rewrite, text)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
 from verdigris.operators import ordered
+from verdigris.operators.rouge import with_best_rouge
 
 ANSWERERS = ("first", "second")
 JUDGES = ("first", "second")
@@ -50,3 +51,24 @@ def curate(
     perfect candidate is always a successful one.
     """
     return ordered.first_rows(gated.where("successful"), wanted, list(order))
+
+
+def curated_prompts(kept: DataFrame, candidates: DataFrame, keys: list[str], stem: bool = True) -> DataFrame:
+    """Records of the kept candidates with their texts, scores and the first answer's ROUGE-L.
+
+    ROUGE is for the record only and is computed for kept candidates alone. ``kept`` holds the
+    wanted number of rows at most and is broadcast after counting it.
+    """
+    chosen = ordered.broadcast_if_small(kept.select(*keys, "scores", "perfect"))
+    records = candidates.join(chosen, keys).withColumn("_reference", F.array("reference_answer"))
+    return with_best_rouge(records, "final_answer_first", "_reference", "rouge_score", stem).select(
+        *keys,
+        "original_query",
+        "reference_answer",
+        "candidate_prompt",
+        "final_answer_first",
+        "final_answer_second",
+        "scores",
+        "rouge_score",
+        "perfect",
+    )

@@ -207,6 +207,22 @@ def judgements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def candidate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of the judged candidates, from their part."""
+    keys = judgements(spark, sf).select("ord", "cand_idx").distinct()
+    parts = read_table(spark, sf, "part")
+    described = parts.select(
+        F.col("p_partkey").alias("ord"),
+        F.concat(F.lit("Describe part "), "p_partkey").alias("original_query"),
+        F.concat_ws(" ", "p_name", "p_type", F.lit("of"), "p_brand").alias("reference_answer"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("final_answer_first"),
+        F.col("p_type").alias("final_answer_second"),
+    )
+    return keys.join(described, "ord").withColumn(
+        "candidate_prompt", F.concat(F.lit("Candidate "), F.col("cand_idx"))
+    )
+
+
 def score_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as reward components with failures."""
     li = read_table(spark, sf, "lineitem")

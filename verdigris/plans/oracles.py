@@ -525,6 +525,17 @@ SELECT ord, cand_idx, concat_ws(',', {', '.join(f'{c}::INT' for c in _all_scores
   least({_all_scores}) >= 3 AS perfect
 FROM matrix WHERE least({_all_scores}) >= 2 ORDER BY ord, cand_idx LIMIT 100"""
 
+ORACLES["curated_prompts"] = f"""WITH {MATRIX}, kept AS (
+  SELECT ord, cand_idx, concat_ws(',', {', '.join(f'{c}::INT' for c in _all_scores.split(', '))}) AS scores,
+    least({_all_scores}) >= 3 AS perfect
+  FROM matrix WHERE least({_all_scores}) >= 2 ORDER BY ord, cand_idx LIMIT 100),
+texts AS (SELECT kept.*, 'Describe part ' || ord AS original_query,
+    p_name || ' ' || p_type || ' of ' || p_brand AS reference_answer, 'Candidate ' || cand_idx AS candidate_prompt,
+    p_brand || ' ' || p_name AS final_answer_first, p_type AS final_answer_second
+  FROM kept JOIN part ON p_partkey = ord),
+t AS (SELECT *, {rouge_toks('final_answer_first')} AS p, {rouge_toks('reference_answer')} AS g FROM texts)
+SELECT * EXCLUDE (p, g), round({harmonic(common_length('p', 'g'), 'len(g)', 'len(p)')}, 6) AS rouge_score FROM t"""
+
 ORACLES["rolling_mean"] = """SELECT user_id AS run_id, event_id AS step, round(avg(value) OVER (
   PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS running_mean FROM events"""
 

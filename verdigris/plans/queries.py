@@ -304,10 +304,7 @@ def run_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     """One rewrite per run, here per language, put before every text of the run."""
     d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
     rewrites = d.groupBy("lang").agg(F.concat(F.lit("Rewrite for "), "lang").alias("rewrite"))
-    joined = d.join(ordered.broadcast_if_small(rewrites), "lang")
-    return joined.select(
-        "doc_id", digest(prompts.instruction_prompt(F.col("rewrite"), F.col("text"))).alias("prompt_md5")
-    )
+    return prompts.with_run_rewrite(d, rewrites, "lang").select("doc_id", digest("prompt").alias("prompt_md5"))
 
 
 @query
@@ -638,6 +635,15 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("ord", "cand_idx", scores.alias("scores"), "perfect")
 
 
+@query
+def curated_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = curate.judge_matrix(fixtures.judgements(spark, sf), ["ord", "cand_idx"])
+    kept = curate.curate(curate.with_gate(matrix, success=2.0, perfect=3.0), wanted=100)
+    records = curate.curated_prompts(kept, fixtures.candidate_texts(spark, sf), ["ord", "cand_idx"], stem=False)
+    scores = F.array_join(F.transform("scores", lambda s: s.cast("int").cast("string")), ",")
+    return all_rounded(records.withColumn("scores", scores))
+
+
 # Logs and streams
 
 
