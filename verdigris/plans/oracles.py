@@ -87,7 +87,7 @@ def final_number(x: str) -> str:
 
 
 def numbers_agree(a: str, b: str) -> str:
-    return f"CASE WHEN abs(try_cast({a} AS DOUBLE) - try_cast({b} AS DOUBLE)) <= 0.001 THEN 1.0 ELSE 0.0 END"
+    return f"CASE WHEN abs(try_cast({a} AS DOUBLE) - try_cast({b} AS DOUBLE)) <= 0.001 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 
 
 def list_text(values: str) -> str:
@@ -122,7 +122,7 @@ ref_tokens AS (
   SELECT *, {norm('ref')} AS nr, {norm('answer')} AS na, {toks('ref')} AS g, {toks('answer')} AS p,
     {rouge_toks('ref')} AS rg, {rouge_toks('answer')} AS rp FROM refs),
 ref_scores AS (
-  SELECT sample_id, place, CASE WHEN nr = na THEN 1.0 ELSE 0.0 END AS em, {f1('g', 'p')} AS f1,
+  SELECT sample_id, place, CASE WHEN nr = na THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em, {f1('g', 'p')} AS f1,
     {harmonic(common_length('rp', 'rg'), 'len(rg)', 'len(rp)')} AS rouge
   FROM ref_tokens),
 scored AS (
@@ -315,7 +315,7 @@ ORACLES["strip_echo"] = f"""WITH {QA} SELECT sample_id,
 ORACLES["parse_completion"] = f"""WITH {EVENTS} SELECT sample_id,
   CASE WHEN shape < 5 THEN rewrite END AS rewrite,
   CASE shape WHEN 0 THEN 'strict' WHEN 1 THEN 'strict' WHEN 2 THEN 'lenient' WHEN 3 THEN 'cut' WHEN 4 THEN 'cut' ELSE 'failed' END AS outcome,
-  CASE WHEN shape < 5 THEN 1.0 ELSE 0.0 END AS json_success, rewrite AS rewrite_or_raw,
+  CASE WHEN shape < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS json_success, rewrite AS rewrite_or_raw,
   CASE WHEN shape = 4 THEN rewrite END AS prefixed FROM completions"""
 
 ORACLES["parse_score"] = """WITH e AS (SELECT event_id AS sample_id, event_id % 6 AS shape,
@@ -343,7 +343,7 @@ sums AS (SELECT t.doc_id, any_value(ng) AS ng, any_value(nt) AS nt,
   LEFT JOIN (SELECT doc_id, sum(c) AS n FROM pred GROUP BY doc_id) b USING (doc_id)
   LEFT JOIN (SELECT doc_id, sum(least(gold.c, pred.c)) AS n FROM gold JOIN pred USING (doc_id, token) GROUP BY doc_id) o
     USING (doc_id) GROUP BY t.doc_id)
-SELECT doc_id, CASE WHEN ng = nt THEN 1.0 ELSE 0.0 END AS em,
+SELECT doc_id, CASE WHEN ng = nt THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em,
   round(CASE WHEN n_gold = 0 AND n_pred = 0 THEN 1.0 ELSE {harmonic('overlap', 'n_gold', 'n_pred')} END, 6) AS f1,
   md5(nt) AS normalized_md5 FROM sums"""
 
@@ -451,7 +451,7 @@ ORACLES["math_report"] = f"""WITH {MATH}, a AS (
   SELECT target[1] AS gold, CASE WHEN sample_id % 3 = 0 THEN 'I get ' || target[1] ELSE '#### 7' END AS answer FROM problems),
 t AS (SELECT {toks('gold')} AS g, {toks('answer')} AS p, {norm('gold')} AS ng, {norm('answer')} AS na,
     {numbers_agree(norm(final_number('answer')), norm('gold'))} AS m FROM a)
-SELECT round(avg(CASE WHEN ng = na THEN 1.0 ELSE 0.0 END), 6) AS avg_em, round(avg({f1('g', 'p')}), 6) AS avg_f1,
+SELECT round(avg(CASE WHEN ng = na THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS avg_em, round(avg({f1('g', 'p')}), 6) AS avg_f1,
   round(avg(m), 6) AS avg_rouge, round(avg(m), 6) AS avg_judge, count(*) AS n FROM t"""
 
 ORACLES["rewriter_report"] = f"""WITH {REFS} SELECT {_em_f1_first}, {_report},

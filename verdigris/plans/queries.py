@@ -51,7 +51,7 @@ def sample_digest(samples: DataFrame) -> DataFrame:
     return samples.select(
         "sample_id",
         digest("prompt").alias("prompt_md5"),
-        F.size("target").alias("n_targets"),
+        F.size("target").cast("bigint").alias("n_targets"),
         digest(F.array_join("target", "|")).alias("target_md5"),
         digest("text").alias("text_md5"),
         "original",
@@ -100,7 +100,7 @@ def prep_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit(full_prompt).alias("full_prompt"),
                     F.lit(name).alias("part"),
                     "batch_id",
-                    F.size("sample_id").alias("n"),
+                    F.size("sample_id").cast("bigint").alias("n"),
                     F.array_join(F.transform("sample_id", lambda i: i.cast("string")), ",").alias("ids"),
                     digest(F.array_join("prompt", "|")).alias("prompts_md5"),
                 )
@@ -115,7 +115,7 @@ def prep_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 def slice_head(spark: SparkSession, sf: str) -> DataFrame:
     raw = fixtures.news(spark, sf)
     kept = prepare.take(ordered.skip_rows(raw, fixed.NQ_SKIP, "ord"), 500)
-    return kept.select("ord", F.length("article").alias("n_chars"), digest("article").alias("text_md5"))
+    return kept.select("ord", F.length("article").cast("bigint").alias("n_chars"), digest("article").alias("text_md5"))
 
 
 @query
@@ -144,7 +144,7 @@ def batch_collate(spark: SparkSession, sf: str) -> DataFrame:
     batches = ordered.collate(ordered.with_batches(d, 32, ["doc_id"]), ["doc_id", "n_chars"])
     return batches.select(
         "batch_id",
-        F.size("doc_id").alias("n"),
+        F.size("doc_id").cast("bigint").alias("n"),
         F.array_join(F.transform("doc_id", lambda i: i.cast("string")), ",").alias("ids"),
         F.aggregate("n_chars", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("chars"),
     )
@@ -216,7 +216,7 @@ def pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
         return digest(F.array_join(F.transform(name, lambda i: i.cast("string")), ",")).alias(f"{name}_md5")
 
     return packed.select(
-        "doc_id", F.size("input_ids").alias("length"), joined("input_ids"), joined("labels"), joined("attention_mask")
+        "doc_id", F.size("input_ids").cast("bigint").alias("length"), joined("input_ids"), joined("labels"), joined("attention_mask")
     )
 
 
@@ -232,7 +232,7 @@ def encode_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select(
         "conv_id",
         "turn",
-        F.size("ids").alias("n"),
+        F.size("ids").cast("bigint").alias("n"),
         F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"),
     )
 
@@ -394,7 +394,7 @@ def rouge_best_ref(spark: SparkSession, sf: str) -> DataFrame:
 def stem_tokens(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents", spread=True)
     stems = d.select("doc_id", rouge.tokens(F.col("text"), stem=True).alias("stems"))
-    return stems.select("doc_id", F.size("stems").alias("n"), digest(F.array_join("stems", " ")).alias("stems_md5"))
+    return stems.select("doc_id", F.size("stems").cast("bigint").alias("n"), digest(F.array_join("stems", " ")).alias("stems_md5"))
 
 
 @query
