@@ -16,10 +16,12 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    optional = set(entry_module.LLM_QUERIES)  # tested against brute force in their own folder
+    assert set(QUERIES) - optional == set(ORACLES) - optional
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf, con, name):
     assert compare(spark, con, sf, QUERIES[name], ORACLES[name]) is None
 
