@@ -13,7 +13,7 @@ row or a seeded draw over stored counts, so a lost executor's work is repeated w
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +88,13 @@ def assign_shards(
     counts = dict(rows.groupBy("_block").count().collect())  # one row per block, most_blocks at most
     present = sorted(counts)
     matrix = communication_matrix([counts[b] for b in present], shards, seed)
-    bounds = pd.DataFrame({"_block": present, "_bounds": list(np.cumsum(matrix, axis=1))})
-    bounds = spark.createDataFrame(bounds, "_block int, _bounds array<bigint>")
+    bounds = pa.table(
+        {
+            "_block": pa.array(present, pa.int32()),
+            "_bounds": pa.array(list(np.cumsum(matrix, axis=1)), pa.list_(pa.int64())),
+        }
+    )
+    bounds = spark.createDataFrame(bounds)
 
     def shuffled(by: list[str], salt: int):
         order = F.xxhash64(F.lit(seed + salt), "_h")
