@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe, chat, edit_fingerprint, packing, quality_classifier, quality_rules, sharding, simhash, substring
+from verdigris.llm import bpe, chat, edit_fingerprint, packing, page_template, quality_classifier, quality_rules, sharding, simhash, substring
 from verdigris.llm.common import table
 
 
@@ -49,7 +49,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_edit_fingerprint, op4_sharding, op5_substring, op6_chat, op7_bpe, op8_packing, op9_quality_rules)
+    f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_edit_fingerprint, op4_sharding, op5_substring, op6_chat, op7_bpe, op8_packing, op9_quality_rules, op10_page_template)
 }
 ORACLES: dict[str, str] = {"op6_chat": chat.SQL}
