@@ -45,6 +45,15 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             return
 
 
+def as_text(name: str) -> Column:
+    """An integer column as text: pandas would turn integers beside nulls into floating point."""
+    return F.col(name).cast("string").alias(name)
+
+
+def from_text(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

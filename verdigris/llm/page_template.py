@@ -4,7 +4,7 @@ Each page gives tokens: its element paths (tag, classes, id, role, with the path
 occurrence vector says how often it occurs on each page of the host. Tokens with the same vector form an
 equivalence class; a class that enough pages of the host share is valid. Valid classes nest by their paths and
 make up the host's template: elements whose slots hold what differs between pages, and text blocks of
-the same class as their element, which belong to the template itself (notices, captions).
+the same class as elements, which belong to the template itself (notices, captions).
 
 The text of a page is what stands in slots of the article: the best region that the page or its host's template has
 (article, main, content classes, else the body), without elements that are no article (menus, headers, footers, sidebars,
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import as_text, from_text, stored
 from verdigris.llm.markup import Element, Run, runs, spaced
 
 #: A class is valid from so many pages on, and from this share of the host's pages.
@@ -68,8 +68,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 for (path, block, region), n in seen.items():
                     mark = xxhash.xxh3_64_intdigest(f"{page} {n}".encode())
                     rows.append((host, path, block, region, mark & _HALF, mark >> 33, n))
-            frame = pd.DataFrame(rows, columns=["host", "path", "block", "region", "low", "high", "many"])
-            yield frame.astype({"block": "Int64"})
+            frame = pd.DataFrame(rows, columns=["host", "path", "block", "region", "low", "high", "many"], dtype=object)
+            yield frame
 
     return pages.mapInPandas(tokens, _TOKENS)
 
@@ -94,15 +94,14 @@ def host_templates(pages: DataFrame) -> DataFrame:
     texts = valid.filter("block is not null").select(
         F.col("host").alias("h"), F.col("path").alias("p"), "block", F.col("low").alias("l"), F.col("high").alias("g")
     )
-    # a block of its element's class: the same occurrence vector
+    # a block of a class of elements: the same occurrence vector
+    classes = elements.select("host", "low", "high").distinct()
     same = texts.join(
-        elements,
-        texts["h"].eqNullSafe(elements["host"])
-        & (texts["p"] == elements["path"])
-        & (texts["l"] == elements["low"])
-        & (texts["g"] == elements["high"]),
+        classes,
+        texts["h"].eqNullSafe(classes["host"]) & (texts["l"] == classes["low"]) & (texts["g"] == classes["high"]),
+        "left_semi",
     )
-    fixed = same.groupBy("h").agg(F.collect_list(F.struct(F.col("p").alias("path"), texts["block"].alias("block"))).alias("texts"))
+    fixed = same.groupBy("h").agg(F.collect_list(F.struct(F.col("p").alias("path"), "block")).alias("texts"))
     best = F.min(F.when(F.col("region") > 0, F.struct(F.col("region"), F.length("path").alias("n"), F.col("path"))))
     regions = elements.groupBy("host").agg(best["path"].alias("region"))
     templates = regions.join(fixed, regions["host"].eqNullSafe(fixed["h"]), "left").select("host", "region", "texts")
@@ -152,7 +151,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                     fixed[name] = {(x["path"], x["block"]) for x in texts} if texts is not None else set()
                 out.append(main_text(source, region, fixed[name]))
             frame = batch[["page_id", "url"]].reset_index(drop=True)
-            yield frame.assign(page_id=frame["page_id"].astype("Int64"), text=out, n_chars=[len(t) for t in out])
+            yield frame.assign(text=out, n_chars=[len(t) for t in out])
 
-    wanted = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "host", "html", "region", "texts")
-    return wanted.mapInPandas(read, "page_id long, url string, text string, n_chars long")
+    wanted = joined.select(as_text("page_id"), "url", "host", "html", "region", "texts")
+    return from_text(wanted.mapInPandas(read, "page_id string, url string, text string, n_chars long"), "page_id")
