@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import row_key, stored
+from verdigris.llm.common import as_text, from_text, row_key, stored
 
 WINDOW = 35
 BLOCK = 18
@@ -178,7 +178,7 @@ def _windows(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
 
 
 def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """References of one bucket whose hash occurs at least twice, gathered per row key."""
+    """References of one bucket whose hash occurs at least twice."""
 
     def joined(name: str, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(rows[name]), dtype=kind)
@@ -194,15 +194,12 @@ def _met(rows: pd.DataFrame) -> pd.DataFrame:
     at = joined("ref_at", "<i4") + np.repeat(base, [len(x) // 4 for x in rows["ref_at"]])
     hit = met[at]
     key, no = joined("ref_key", "<i8")[hit], joined("ref_no", "<i4")[hit]
-    order = np.lexsort((no, key))
-    key, no = key[order], no[order]
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], dtype=int)
-    return pd.DataFrame({"key": key[heads], "at": pd.Series(np.split(no, heads[1:]) if len(heads) else [], dtype=object)})
+    return pd.DataFrame({"key": key, "no": no})
 
 
 def _gathered(packed: DataFrame) -> DataFrame:
-    met = packed.groupBy("bucket").applyInPandas(_met, "key long, at array<int>")
-    return met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    met = packed.groupBy("bucket").applyInPandas(_met, "key long, no int")
+    return met.groupBy("key").agg(F.collect_set("no").alias("at"))
 
 
 def _bits(docs: DataFrame) -> int:
@@ -252,8 +249,9 @@ def removals(docs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), frame], axis=1)
 
-    joined = rows.join(hits, "key", "left").select("doc_id", "text", "at")
-    return joined.mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined = rows.join(hits, "key", "left").select(as_text("doc_id"), "text", "at")
+    out = joined.mapInPandas(digest, "doc_id string, n_words long, n_removed long, kept_sha256 string")
+    return from_text(out, "doc_id")
 
 
 @F.pandas_udf(T.StringType())
