@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_files import json_ranks
-from verdigris.llm.common import stored
+from verdigris.llm.common import as_text, from_text, stored
 from verdigris.llm.pretokens import ChunkEncoder
 
 CAPACITY = 1024
 END_ID = 2
 PORTION_ROWS = 50_000
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -99,10 +99,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                 ids = encoder.encode(text or "") + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encoded, _PIECE)
+    return from_text(docs.select(as_text("doc_id"), "text").mapInPandas(encoded, _PIECE), "doc_id")
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, portion_rows: int = PORTION_ROWS) -> DataFrame:
@@ -112,14 +111,16 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, portion_rows: int = PORT
     dealt = pieces.withColumn(
         "portion", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(portions)).cast("int")
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    kind = lambda f: "string" if f.name == "doc_id" else f.dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {kind(f)}" for f in pieces.schema)
 
     def placed(rows: pd.DataFrame) -> pd.DataFrame:
         sequence, offset = pack(rows["length"].to_numpy(), capacity)
         number = rows["portion"].to_numpy().astype(np.int64) * (1 << 32) + sequence
         return rows.drop(columns="portion").assign(sequence_id=number, offset=offset)
 
-    return dealt.groupBy("portion").applyInPandas(placed, f"{schema}, sequence_id long, offset long")
+    out = dealt.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("portion")
+    return from_text(out.applyInPandas(placed, f"{schema}, sequence_id long, offset long"), "doc_id")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A document first passes two base rules (enough words, not mostly repeated three-word windows). What passes is
 compared with its language: the share of character classes and the share of common words are held against the
-mean shares of all base-passing documents of that language by the Jensen-Shannon distance (base 2, so
+median shares of all base-passing documents of that language by the Jensen-Shannon distance (base 2, so
 from 0 to 1). Short documents are noisy, so each comparison has a least length and a limit that widens with the
 inverse root of the length; a language with few documents gives no reference and no verdict.
 
-Everything about one document is computed inside its row, without a shuffle; the references are one grouped average
-per language. Windows are compared by 64-bit hashes.
+Everything about one document is computed inside its row, without a shuffle; the references are one grouped aggregate
+per language (medians, since a mean would drift toward the documents that it should tell apart). Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import NOT_SPACE, stored, words
+from verdigris.llm.common import NOT_SPACE, SPACES, stored, words
 
 # Frequent function words of four languages, lower case.
 COMMON_WORDS = (
@@ -36,8 +36,8 @@ MIN_WORDS = 50
 MIN_CHARS = 200  # of words, for the character comparison
 MIN_COMMON_WORDS = 100  # words of the document, for the word comparison
 MIN_REFERENCE_DOCS = 20
-CHAR_LIMIT, CHAR_NOISE = 0.20, 1.5
-WORD_LIMIT, WORD_NOISE = 0.25, 2.5
+CHAR_LIMIT, CHAR_NOISE = 0.13, 2.0
+WORD_LIMIT, WORD_NOISE = 0.40, 0.5
 
 _CODES = "".join(chr(48 + i) for i in range(len(COMMON_WORDS) + 1))  # "0": no common word
 
@@ -99,8 +99,8 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
 
 def _shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n)
-    return F.transform(counts, lambda n: n / F.greatest(total, F.lit(1).cast("long")))
+    total = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n)
+    return F.transform(counts, lambda n: F.when(total > 0, n / total).otherwise(0.0))
 
 
 def _distance(shares: str, reference: str) -> Column:
@@ -116,17 +116,20 @@ def _distance(shares: str, reference: str) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """Mean shares per language over the documents that pass the base rules; one row per language."""
+    """Median shares per language over the documents that pass the base rules, scaled to one; a row per language."""
     passed = counted.filter(~F.col("base_failed")).select(
         "lang", _shares("chars").alias("p"), _shares("common").alias("q")
     )
-    mean = [F.avg(F.get("p", F.lit(i))) for i in range(len(CLASSES) + 2)]
-    mean_common = [F.avg(F.get("q", F.lit(i))) for i in range(len(_CODES))]
+    middle = lambda name, n: F.array(*[F.percentile_approx(F.get(name, F.lit(i)), 0.5) for i in range(n)])
     return (
         passed.groupBy("lang")
-        .agg(F.count("*").alias("n"), F.array(*mean).alias("ref_chars"), F.array(*mean_common).alias("ref_common"))
+        .agg(
+            F.count("*").alias("n"),
+            middle("p", len(CLASSES) + 2).alias("chars"),
+            middle("q", len(_CODES)).alias("common"),
+        )
         .filter(F.col("n") >= MIN_REFERENCE_DOCS)
-        .select(F.col("lang").alias("ref_lang"), "ref_chars", "ref_common")
+        .select(F.col("lang").alias("ref_lang"), _shares("chars").alias("ref_chars"), _shares("common").alias("ref_common"))
     )
 
 
@@ -174,3 +177,65 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with its columns, that the rules keep; clashing column names are safe."""
     return judged(stored(with_counts(docs), "rule-counts")).filter("kept").select("row.*")
+
+
+def _sql() -> str:
+    listed = "[" + ", ".join("'" + w + "'" for w in COMMON_WORDS) + "]"
+    classes = ", ".join(
+        "chars_all - length(regexp_replace(body, '" + c.replace("'", "''") + "', '', 'g'))" for c in (SYMBOLS, *CLASSES)
+    )
+    return f"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS body,
+    list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda w: w <> '') AS words
+  FROM documents
+), counted AS (
+  SELECT *, length(body) AS chars_all, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '{NOT_SPACE}')) AS lines
+  FROM split
+), windows AS (
+  SELECT doc_id, i, words[i] || chr(1) || words[i + 1] || chr(1) || words[i + 2] AS three
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM counted)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows
+    QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1)
+  GROUP BY doc_id
+), base AS (
+  SELECT c.doc_id, lang, n_words, word_chars, [{classes}] AS parts,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    list_transform({listed}, lambda c: len(list_filter(words, lambda w: lower(w) = c))) AS common
+  FROM counted c LEFT JOIN repeated r ON r.doc_id = c.doc_id
+), hists AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    list_append(parts, greatest(word_chars - list_sum(parts), 0)) AS h_chars,
+    list_prepend(n_words - list_sum(common), common) AS h_common
+  FROM base
+), bins AS (
+  SELECT doc_id, lang, base_failed, 'c' AS kind, unnest(h_chars) AS n, generate_subscripts(h_chars, 1) AS k, list_sum(h_chars) AS total FROM hists
+  UNION ALL
+  SELECT doc_id, lang, base_failed, 'w', unnest(h_common), generate_subscripts(h_common, 1), list_sum(h_common) FROM hists
+), shares AS (
+  SELECT *, CASE WHEN total > 0 THEN n::DOUBLE / total ELSE 0.0 END AS p FROM bins
+), medians AS (
+  SELECT lang, kind, k, quantile_disc(p, 0.5) AS m, count(*) AS docs FROM shares WHERE NOT base_failed GROUP BY lang, kind, k
+), refs AS (
+  SELECT *, m / sum(m) OVER (PARTITION BY lang, kind) AS q FROM medians WHERE docs >= {MIN_REFERENCE_DOCS}
+), distances AS (
+  SELECT s.doc_id, s.kind, sqrt(greatest(sum(
+    (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0.0 END) / 2
+  ), 0.0)) AS d
+  FROM shares s JOIN refs r ON r.lang IS NOT DISTINCT FROM s.lang AND r.kind = s.kind AND r.k = s.k GROUP BY s.doc_id, s.kind
+)
+SELECT h.doc_id, n_words, word_chars, CAST(parts[1] AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+    AND NOT coalesce(word_chars >= {MIN_CHARS} AND c.d > {CHAR_LIMIT}::DOUBLE + {CHAR_NOISE}::DOUBLE / sqrt(word_chars), false)
+    AND NOT coalesce(n_words >= {MIN_COMMON_WORDS} AND w.d > {WORD_LIMIT}::DOUBLE + {WORD_NOISE}::DOUBLE / sqrt(n_words), false) AS kept
+FROM hists h
+LEFT JOIN distances c ON c.doc_id = h.doc_id AND c.kind = 'c'
+LEFT JOIN distances w ON w.doc_id = h.doc_id AND w.kind = 'w'
+"""
+
+
+#: The same for DuckDB, over documents with distinct ids.
+SQL = _sql()

@@ -56,4 +56,8 @@ def op10_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_edit_fingerprint, op4_sharding, op5_substring, op6_chat, op7_bpe, op8_packing, op9_quality_rules, op10_page_template)
 }
-ORACLES: dict[str, str] = {"op6_chat": chat.SQL}
+ORACLES: dict[str, str] = {
+    "op5_substring": substring.SQL,
+    "op6_chat": chat.SQL,
+    "op9_quality_rules": quality_rules.SQL,
+}

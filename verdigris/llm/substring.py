@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import as_text, from_text, row_key, stored
+from verdigris.llm.common import SPACES, as_text, from_text, row_key, stored
 
 WINDOW = 35
 BLOCK = 18
@@ -275,3 +275,24 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         size = F.length("new").cast(docs.schema[length].dataType)
         changed[length] = F.when(F.col("at").isNull(), F.col(f"row.{length}")).otherwise(size)
     return out.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+#: The same for DuckDB, over documents with distinct ids.
+SQL = f"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM split)
+), hits AS (
+  SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM hits
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM split
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.words) AS n_words, len(s.words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
