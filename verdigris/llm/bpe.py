@@ -14,18 +14,23 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from verdigris.llm.bpe_files import rank_file
+from verdigris.llm.common import as_text, from_text
 from verdigris.llm.pretokens import parts
 
-CACHED_PIECES = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_PARTS = 1_000_000
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 600_000
+#: Marks that the pattern takes alone behind a word.
+_MARKS = frozenset(".,;:!?")
 _NEVER = 1 << 40
 
 
@@ -36,8 +41,13 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Finds every token that ends at a byte, the longest first; a byte is one character of its keys.
+        self.finder = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.finder.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.finder.make_automaton()
         self._edges: dict[int, tuple[list, list]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _tree(self, token: bytes):
         """The merge tree of one token, by merging its bytes: (rank, left, right) or (rank, None, None)."""
@@ -69,7 +79,7 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether ``right`` may stand directly after ``left`` in an encoding."""
-        pair = (left, right)
+        pair = left << 32 | right
         found = self._pairs.get(pair)
         if found is None:
             if len(self._pairs) >= CACHED_PAIRS:
@@ -77,6 +87,31 @@ class Vocabulary:
             found = self._pairs[pair] = self._may_follow(left, right)
         return found
 
+    def fill(self, data: bytes, last: list, begin: int) -> Iterator[int]:
+        """Enter the last token of each prefix that ends at ``begin`` or later; yields each end once it is known.
+
+        ``last`` is final before ``begin``. Exactly one token is valid at each prefix, so the first found stands.
+        """
+        pairs, follows = self._pairs, self.follows
+        offset = max(0, begin - self.longest + 1)
+        for end, (rank, size) in self.finder.iter(data[offset:].decode("latin-1")):
+            end += offset
+            if end >= begin and last[end] is None:
+                at = end - size
+                if at < 0:
+                    last[end] = rank
+                    yield end
+                else:
+                    left = last[at]
+                    if pairs.get(left << 32 | rank) or follows(left, rank):
+                        last[end] = rank
+                        yield end
+
+    def encode(self, data: bytes) -> list[int]:
+        """The ids of one byte string; one that is a token is itself."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else Prefixes(self, data).ids()
+
     def _may_follow(self, left: int, right: int) -> bool:
         get = self.ranks.get
         for a, made_a, used_a in self._edge(left)[1]:
@@ -95,23 +130,14 @@ class Prefixes:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = b""
-        self.last: list[int] = []
+        self.last: list = []
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
-        data, last, vocabulary = self.data, self.last, self.vocabulary
-        get = vocabulary.ranks.get
-        for start in range(max(0, end - vocabulary.longest), end):  # the longest candidates first
-            rank = get(data[start:end])
-            if rank is not None and (not start or vocabulary.follows(last[start - 1], rank)):
-                return rank
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
         begin = len(self.data)
         self.data += more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self.last += [None] * len(more)
+        deque(self.vocabulary.fill(self.data, self.last, begin), maxlen=0)
 
     def replace(self, start: int, stop: int, by: bytes) -> int:
         """Put ``by`` in place of the bytes from ``start`` to ``stop``; returns how many prefixes were computed again.
@@ -119,18 +145,17 @@ class Prefixes:
         A prefix's token depends only on the tokens of at most ``longest`` shorter prefixes and as many bytes. Once that many
         prefixes after the edit agree with the old table, all that follow agree too.
         """
-        old_last, moved = self.last, len(by) - (stop - start)
+        old, moved, longest = self.last, len(by) - (stop - start), self.vocabulary.longest
         self.data = self.data[:start] + by + self.data[stop:]
-        self.last = old_last[:start]
+        self.last = old[:start] + [None] * (len(self.data) - start)
         agree = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
-            behind = end - (start + len(by))
+        for at in self.vocabulary.fill(self.data, self.last, start):
+            behind = at + 1 - (start + len(by))
             if behind > 0:
-                agree = agree + 1 if self.last[-1] == old_last[end - moved - 1] else 0
-                if agree >= self.vocabulary.longest and behind > self.vocabulary.longest:
-                    self.last += old_last[end - moved :]
-                    return end - start
+                agree = agree + 1 if self.last[at] == old[at - moved] else 0
+                if agree >= longest and behind > longest:
+                    self.last[at + 1 :] = old[at + 1 - moved :]
+                    return at + 1 - start
         return len(self.data) - start
 
     def ids(self) -> list[int]:
@@ -164,7 +189,7 @@ class Codec:
         if ids is None:
             if len(self._pieces) >= CACHED_PIECES:
                 self._pieces.clear()
-            ids = array("I", Prefixes(self.vocabulary, piece.encode("utf-8")).ids()).tobytes()
+            ids = array("I", self.vocabulary.encode(piece.encode("utf-8"))).tobytes()
             if len(piece) <= 64:
                 self._pieces[piece] = ids
         return ids
@@ -173,10 +198,17 @@ class Codec:
         return b"".join(map(self._piece, self._matches(text)))
 
     def _part(self, part: str) -> bytes:
-        if len(self._parts) >= CACHED_PIECES:
-            self._parts.clear()
-        ids = self._whole(" " + part)
+        """The ids of a space and a part that is not cached; a word and the mark behind it are two matches."""
+        if part[-1:] in _MARKS and part[:-1].isalpha():
+            word = part[:-1]
+            return (self._parts.get(word) or self._part(word)) + self._piece(part[-1])
+        if part.isalpha():
+            ids = array("I", self.vocabulary.encode(b" " + part.encode("utf-8"))).tobytes()
+        else:
+            ids = self._whole(" " + part)
         if len(part) <= 64:
+            if len(self._parts) >= CACHED_PARTS:
+                self._parts.clear()
             self._parts[part] = ids
         return ids
 
@@ -207,7 +239,8 @@ def round_trips(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 digest = hashlib.sha256(codec.decode(ids)).hexdigest()
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), digest))
             frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([batch[["doc_id"]].astype({"doc_id": "Int64"}).reset_index(drop=True), frame], axis=1)
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), frame], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(as_text("doc_id"), "text")
+    out = rows.mapInPandas(coded, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return from_text(out, "doc_id")
