@@ -86,14 +86,57 @@ def test_best_window_stop(log, block, epoch):
     assert got == {g: plain_best_stop(r, 20, epoch) for g, r in RUNS.items()}
 
 
-def test_best_window_stop_in_rounds(log, monkeypatch):
-    # Fewer records per round must not change the result, only the number of rounds.
-    monkeypatch.setattr(monitor, "CHAIN_ROWS", 120)
+def test_best_window_stop_in_small_batches(spark, log):
+    # The chain through a run's records crosses Arrow batches without a change.
     some = log.where("run_id IN (0, 2, 3, 25, 26)")
-    got = stops(monitor.stop_on_best_window(some, WINDOW, DELTA, PATIENCE, 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = stops(monitor.stop_on_best_window(some, WINDOW, DELTA, PATIENCE, 20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {g: plain_best_stop(RUNS[g], 20) for g in (0, 2, 3, 25, 26)}
 
 
+def test_not_a_number_and_missing_rewards(spark):
+    nan = float("nan")
+    rising = [i * 0.02 for i in range(60)]
+    runs = {0: [*rising[:25], nan, *rising[25:]], 1: [*rising[:25], nan, *[0.1] * 40], 2: [nan] * 40, 3: rising}
+    rows = [(g, float(i), r, i * 3) for g, rewards in runs.items() for i, r in enumerate(rewards)]
+    rows += [(3, 0.5, None, 1), (3, 9.5, None, 28)]
+    log = spark.createDataFrame(rows, "run_id BIGINT, ts DOUBLE, reward DOUBLE, step BIGINT")
+    got = monitor.stop_on_best_window(log, WINDOW, DELTA, PATIENCE, 20)
+    assert stops(got) == {g: plain_best_stop(r, 20) for g, r in runs.items()}
+    assert {r["run_id"]: r["n_points"] for r in got.collect()} == {g: len(r) for g, r in runs.items()}
+    assert stops(monitor.stop_on_moving_average(log, WINDOW, PATIENCE, DELTA)) == {
+        g: plain_moving_stop(r) for g, r in runs.items()
+    }
+
+
+def test_a_long_rising_run(spark):
+    log = spark.range(100_000).selectExpr("1L AS run_id", "cast(id AS DOUBLE) AS ts", "id * 0.5D AS reward", "id AS step")
+    row = monitor.stop_on_best_window(log).first()
+    assert (row["stop_step"], row["n_points"]) == (None, 100_000)
+
+
+def test_late_points_are_counted_and_change_nothing(spark, tmp_path):
+    schema = "run_id BIGINT, reward DOUBLE, step BIGINT"
+    import time
+
+    for i, rows in enumerate(([(1, 0.5, s) for s in range(20)], [(1, 9.0, 3), (1, None, 30), *[(1, 0.5, s) for s in range(20, 40)]])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+        time.sleep(1.1)
+    source = read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, per_trigger=1)
+    row = run_available(early_stop_stream(source, WINDOW, PATIENCE, DELTA), ["run_id"]).first()
+    assert (row["n_points"], row["n_late"], row["stop_step"]) == (40, 1, WINDOW + PATIENCE - 1)
+
+
+def test_empty_stream(spark, tmp_path):
+    spark.createDataFrame([], "run_id BIGINT, reward DOUBLE").write.parquet(f"{tmp_path}/in")
+    schema = spark.createDataFrame([], "run_id BIGINT, reward DOUBLE").schema
+    totals = running_totals(read_stream(spark, f"{tmp_path}/in", schema, files="none*"), ["run_id"], ["reward"])
+    assert run_available(totals, ["run_id"]).collect() == []
+
+
 def test_stream_equals_batch(spark, log, tmp_path):
     # Two files, so that state crosses micro-batches.
     half = log.withColumn("late", F.col("step") >= 60)

@@ -33,9 +33,9 @@ def test_positions_per_group(skewed):
     assert len(groups[0]) == 1000
 
 
-@pytest.mark.parametrize("top", [1, 10_000])
-def test_first_and_skip(skewed, monkeypatch, top):
-    monkeypatch.setattr(ordered, "TOP_ROWS", top)
+@pytest.mark.parametrize("part_rows", [40, 10_000])
+def test_first_and_skip(skewed, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
     assert [r["ord"] for r in ordered.first_rows(skewed, 5, ["ord"]).orderBy("ord").collect()] == [0, 1, 2, 3, 4]
     rest = ordered.skip_rows(skewed, 2995, "ord")
     assert sorted(r["ord"] for r in rest.collect()) == [2995, 2996, 2997, 2998, 2999]
@@ -108,3 +108,43 @@ def test_broadcast_only_when_small(skewed):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(ordered.broadcast_if_small(skewed, 3000))
     assert not hinted(ordered.broadcast_if_small(skewed, 2999))
+
+
+@pytest.mark.parametrize("part_rows", [60, 10_000])
+def test_slices_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    rows = [(None if i % 5 == 0 else i % 4, i // 3, "x") for i in range(200)] + [(2, 7, "x")] * 30
+    df = spark.createDataFrame(rows, "k INT, v INT, c STRING").repartition(5)
+    in_order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for n in (0, 41, 150, 229, 500):
+        first = ordered.first_rows(df, n, ["k"]).collect()
+        rest = ordered.skip_rows(df, n, "k").collect()
+        assert sorted(map(str, map(tuple, first))) == sorted(map(str, in_order[:n]))
+        assert sorted(map(str, map(tuple, rest))) == sorted(map(str, in_order[n:]))
+
+
+@pytest.mark.parametrize("part_rows", [30, 10_000])
+def test_split_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    rows = [(None if i % 4 == 0 else i % 6, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k INT, v INT").repartition(3)
+    for share in (0.1, 0.9):
+        marked = ordered.mark_test_rows(df, "k", share).collect()
+        assert len(marked) == 100 and sum(r["is_test"] for r in marked) == math.ceil(100 * share)
+        assert sorted(r["v"] for r in marked) == list(range(100))
+
+
+@pytest.mark.parametrize("part_rows", [30])
+def test_positions_in_many_parts(skewed, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    rows = sorted(ordered.with_positions(skewed, ["ord"]).collect(), key=lambda r: r["ord"])
+    assert [r["pos"] for r in rows] == list(range(3000))
+    groups = {}
+    for r in ordered.with_positions(skewed, ["ord"], ["g"]).collect():
+        groups.setdefault(r["g"], []).append(r["pos"])
+    assert all(sorted(places) == list(range(len(places))) for places in groups.values())
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    wide = spark.createDataFrame([("x" * 1000,)] * 20, "t STRING")
+    assert ordered.is_small(wide, 100) and not ordered.is_small(wide, 100, 5000)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import text
-from verdigris.operators import monitor, ordered, prepare, rouge
+from verdigris.operators import ordered, prepare, rouge
 from verdigris.plans import evaluate, fixtures
 from verdigris.plans.queries import QUERIES
 
@@ -74,13 +74,6 @@ def test_aggregates_combine_before_the_shuffle(spark, sf):
         assert "partial_" in plan_of(QUERIES[name](spark, sf))
 
 
-def test_chain_rounds_limit_rows_before_the_shuffle(spark):
-    records = spark.range(10_000).selectExpr("id % 3 AS run_id", "id AS pos", "cast(id AS DOUBLE) AS ma")
-    ranked = monitor.first_per_run(records)
-    plan = plan_of(ranked)
-    assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
-
-
 def test_split_marks_without_shuffle(spark):
     marked = ordered.mark_test_rows(spark.range(1000), "id", 0.1)
     assert not shuffles(plan_of(marked))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +13,14 @@ from verdigris import fixed_values as fixed
 from verdigris.operators import ordered
 from verdigris.session import cut_lineage
 
-# Rows per run and round; up to 1,000 Spark applies the limit in each task before the shuffle.
-CHAIN_ROWS = 1_000
 
 
 def positioned(log: DataFrame) -> DataFrame:
-    """Reward log ``run_id, ts, reward, step`` with positions by step within each run."""
-    return ordered.with_positions(log, ["step", "ts", "reward"], ["run_id"])
+    """Reward log ``run_id, ts, reward, step`` with positions by step within each run.
+
+    Points without a reward do not count.
+    """
+    return ordered.with_positions(log.where(F.col("reward").isNotNull()), ["step", "ts", "reward"], ["run_id"])
 
 
 def rolling_mean(log: DataFrame, window: int = 10, block: int | None = None) -> DataFrame:
@@ -68,17 +73,18 @@ def stop_on_best_window(
     """First step per run with ``patience`` points since the window mean last beat its best by ``delta``.
 
     A point that beats the best so far is also higher than all points before it, so only such
-    records can move the best. They are found with running maxima; the chain through them is
-    followed in rounds of bounded lists. The counter is the distance to the last improvement.
+    records can move the best. They are found with running maxima, and the chain through a run's records is followed
+    in one pass over them. The counter is the distance to the last improvement. A mean that is not a number moves nothing.
     """
     placed = positioned(log)
     rows, own = _moving_means(placed, window, window - 1, block)
-    means = rows.where(own & F.col("ma").isNotNull()).drop("_block")
+    means = rows.where(own & (F.col("pos") >= window - 1)).drop("_block")
+    means = means.withColumn("ma", F.when(~F.isnan("ma"), F.col("ma")))
     seen = ordered.with_running_max(means, ["run_id"], "ma", "before", include_current=False, block=block)
-    records = cut_lineage(
-        seen.where(F.col("before").isNull() | (F.col("ma") > F.col("before"))).select("run_id", "pos", "ma")
-    )
-    improvements = _improvements(records, delta)
+    records = seen.where(
+        F.col("ma").isNotNull() & (F.col("before").isNull() | (F.col("ma") > F.col("before")))
+    ).select("run_id", "pos", "ma")
+    improvements = cut_lineage(_improvements(records, delta))
     marked = ordered.match(
         means, improvements.withColumn("improved_at", F.col("pos")), ["run_id", "pos"], "left"
     )
@@ -86,63 +92,44 @@ def stop_on_best_window(
         marked, ["run_id"], "improved_at", "last_improved", include_current=True, block=block
     )
     in_epoch = F.col("pos") % epoch_length if epoch_length else F.col("pos")
-    stops = (in_epoch >= start) & (F.col("pos") - F.col("last_improved") >= patience)
+    # without any improvement every full window counts
+    since = F.col("pos") - F.coalesce("last_improved", F.lit(window - 2))
+    stops = (in_epoch >= start) & (since >= patience)
     first = counted.groupBy("run_id").agg(F.min(F.when(stops, F.struct("pos", "step"))).alias("first"))
     runs = placed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_points"))
     return ordered.match(runs, first, ["run_id"], "left").select("run_id", F.col("first.step").alias("stop_step"), "n_points")
 
 
-def first_per_run(records: DataFrame) -> DataFrame:
-    """The first ``CHAIN_ROWS`` records of each run."""
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
-    return records.withColumn("_rank", rank).where(F.col("_rank") <= CHAIN_ROWS)
-
-
 def _improvements(records: DataFrame, delta: float) -> DataFrame:
     """Positions where the best moves, from each run's rising records.
 
-    One round reads at most ``CHAIN_ROWS`` records per run, and the next round starts beyond the
-    best reached, so no list grows with the run and every record counts.
+    The chain is sequential, so a run's records are read as one sorted stream. They are few unless a reward rises all the
+    time; a batch is searched from improvement to improvement, and only the best is carried on.
     """
-    best = None
-    rounds: list[DataFrame] = []
-    while True:
-        open_ = records
-        if best is not None:
-            open_ = ordered.match(records, best, ["run_id"]).where(F.col("ma") > F.col("best") + delta)
-        if open_.isEmpty():
-            break
-        start = F.lit(None).cast("double") if best is None else F.col("best")
-        lists = (
-            first_per_run(open_.withColumn("best", start))
-            .groupBy("run_id")
-            .agg(
-                F.first("best").alias("best"),
-                F.sort_array(F.collect_list(F.struct("pos", "ma"))).alias("_points"),
-            )
-        )
-        moved = F.aggregate(
-            "_points",
-            F.struct(
-                F.col("best").alias("best"),
-                F.array().cast("array<bigint>").alias("at"),
-            ),
-            lambda acc, p: F.when(
-                acc["best"].isNull() | (p["ma"] > acc["best"] + delta),
-                F.struct(p["ma"].alias("best"), F.concat(acc["at"], F.array(p["pos"])).alias("at")),
-            ).otherwise(acc),
-        )
-        done = cut_lineage(lists.select("run_id", moved.alias("m")).select("run_id", "m.best", "m.at"))
-        rounds.append(done.select("run_id", F.explode("at").alias("pos")))
-        latest = done.select("run_id", "best")
-        best = latest if best is None else cut_lineage(
-            ordered.match(best, latest.withColumnRenamed("best", "_new"), ["run_id"], "left").select(
-                "run_id", F.coalesce("_new", "best").alias("best")
-            )
-        )
-    if not rounds:
-        return records.select("run_id", "pos")
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, best = None, None
+        for batch in batches:
+            runs, means = batch["run_id"].to_numpy(), batch["ma"].to_numpy()
+            kept = []
+            edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)] if len(runs) else []
+            for start, end in zip(edges, edges[1:]):
+                if run is None or not _same_run(run[0], runs[start]):
+                    run, best = (runs[start],), None
+                at = start
+                while at < end:
+                    if best is not None:
+                        at = start + int(np.searchsorted(means[start:end], best + delta, side="right"))
+                        if at >= end:
+                            break
+                    kept.append(at)
+                    best = means[at]
+                    at += 1
+            yield batch.iloc[kept][["run_id", "pos"]]
+
+    sorted_runs = records.repartition("run_id").sortWithinPartitions("run_id", "pos")
+    return sorted_runs.mapInPandas(followed, records.select("run_id", "pos").schema)
+
+
+def _same_run(a, b) -> bool:
+    return a == b or (a != a and b != b)

@@ -1,7 +1,8 @@
 """Order-dependent operators without a global window: positions, slices, splits, blocks.
 
-A window that orders a whole table runs in one task. Here rows are range-partitioned and
-sorted once, that placement is checkpointed, and positions come from per-partition counts.
+A window that orders a whole table runs in one task. Here an order is cut into parts at keys from a bounded
+sample, kept as literals; counts per part give positions and the place of the n-th row, and only rows inside one part are
+sorted together. NULL keys come first, as in an ascending sort.
 """
 
 from __future__ import annotations
@@ -13,20 +14,25 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris import fixed_values as fixed
 from verdigris.session import cut_lineage
 
-TOP_ROWS = 10_000
+PART_ROWS = 20_000
+MOST_PARTS = 1_024
+SAMPLED_PER_PART = 20
+SEARCH_PARTS = 64
 BLOCK_ROWS = 100_000
 HOT_KEYS = 1_000
 SMALL_ROWS = 10_000
-HASH_PREFIX = 4
+SMALL_BYTES = 8_000_000
+_CUTS_TOGETHER = 32
 
 
 def hash_order(key: Column, seed: int = fixed.SPLIT_SEED) -> Column:
-    """A repeatable random order: hex digest of seed and key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """A repeatable random order: hex digest of seed and key; a NULL key has one too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -36,9 +42,47 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(renamed, equal, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that ``df`` has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and they take at most ``size`` bytes."""
+    text = F.octet_length(F.to_json(F.struct("*")))
+    measured = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes"))
+    found = measured.first()
+    return found["rows"] <= rows and found["bytes"] <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """Broadcast hint only after counting rows and bytes of ``df``."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
+
+
+def _cuts(keys: DataFrame, rows: int, parts: int) -> list[Row]:
+    """Fewer than ``parts`` different keys, in order, that cut the rows into about equal parts."""
+    if parts < 2:
+        return []
+    share = min(1.0, SAMPLED_PER_PART * parts / rows)
+    picked = keys.sample(share, seed=fixed.SPLIT_SEED).orderBy(*keys.columns).collect()
+    step = max(1, len(picked) // parts)
+    chosen = picked[step::step][: parts - 1]
+    return [key for i, key in enumerate(chosen) if not i or not _same_key(key, chosen[i - 1])]
+
+
+def _same_key(a: Row, b: Row) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+def _cuts_below(keys: DataFrame, cuts: list[Row]) -> Column:
+    """How many of the sorted cuts are smaller than a row's key; found in two short lists."""
+    if not cuts:
+        return F.lit(0)
+    key = F.struct(*keys.columns)
+    literal = lambda row: F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema])
+    lists = [cuts[i : i + _CUTS_TOGETHER] for i in range(0, len(cuts), _CUTS_TOGETHER)]
+    below = lambda rows: F.size(F.filter(rows, lambda cut: cut < key))
+    if len(lists) == 1:
+        return below(F.array(*map(literal, cuts)))
+    first = below(F.array(*[literal(part[0]) for part in lists]))
+    inside = F.element_at(F.array(*[F.array(*map(literal, part)) for part in lists]), F.greatest(first, F.lit(1)))
+    return F.when(first == 0, F.lit(0)).otherwise((first - 1) * _CUTS_TOGETHER + below(inside))
 
 
 def with_positions(
@@ -46,108 +90,161 @@ def with_positions(
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order``, per ``group`` if given.
 
-    ``group + order`` should identify a row. A group of any size spreads over as many range
-    partitions as it needs. The summary table has one row per partition and group in it.
+    ``group + order`` should identify a row. The order is cut into parts that are sorted apart, so a group of any size
+    spreads over as many tasks as it needs; rows move once. Counts per part and group give each part its start.
     """
-    keys = [*group, *order]
-    placed = cut_lineage(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", 33))
-    chunks = placed.groupBy("_part", *group).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = df.select(*group, *order)
+    rows = keys.count()
+    cuts = _cuts(keys, rows, min(MOST_PARTS, -(-rows // PART_ROWS)))
+    placed = df.withColumn("_order_block", _cuts_below(keys, cuts))
+    counted = keys.withColumn("_order_block", _cuts_below(keys, cuts)).groupBy("_order_block", *group)
+    chunks = counted.agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_order_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select(
-        "_part", *group, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
+        "_order_block", *group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
+    inside = Window.partitionBy("_order_block", *group).orderBy(*order)
     return (
-        match(placed, starts, ["_part", *group])
-        .withColumn(into, F.col("_at") + F.col("_shift"))
-        .drop("_at", "_part", "_shift")
+        match(placed.withColumn("_at", F.row_number().over(inside)), starts, ["_order_block", *group])
+        .withColumn(into, F.col("_start") + F.col("_at") - 1)
+        .drop("_at", "_order_block", "_start")
     )
 
 
-def _last_key(df: DataFrame, n: int, order: Sequence[str]) -> Row | None:
-    """Order key of the ``n``-th row, NULL with fewer rows; only the key columns are sorted."""
-    keys = df.select(*order)
-    if n > TOP_ROWS:
-        return with_positions(keys, order, into="_pos").where(F.col("_pos") == n - 1).drop("_pos").first()
-    last = keys.orderBy(*order).limit(n).agg(
-        F.max(F.struct(*order)).alias("last"), F.count(F.lit(1)).alias("found")
-    ).first()
-    return last["last"] if last["found"] == n else None
-
+def _nth_key(keys: DataFrame, n: int) -> Row | None:
+    """The key of the ``n``-th row in the order of all columns; NULL with fewer rows.
 
-def _up_to(order: Sequence[str], last: Row) -> Column:
-    """Whether a row's order key is not above ``last``, as comparisons a scan can use."""
+    Each round counts the rows between sampled keys and goes on in the part that holds the row.
+    Nothing but counts and the bounded sample moves.
+    """
+    rows = keys.count()
+    if rows < n:
+        return None
+    while rows > PART_ROWS:
+        cuts = _cuts(keys, rows, SEARCH_PARTS)
+        if not cuts:
+            break
+        below = _cuts_below(keys, cuts)
+        literal = lambda row: F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema])  # noqa: E731, B023
+        on_cut = F.array_contains(F.array(*map(literal, cuts)), F.struct(*keys.columns))
+        placed = keys.withColumn("_place", 2 * below + on_cut.cast("int"))
+        for place, found in sorted(placed.groupBy("_place").count().collect()):
+            if n <= found:
+                break
+            n -= found
+        if place % 2:
+            return cuts[place // 2]
+        keys, rows = placed.where(F.col("_place") == place).drop("_place"), found
+    last = keys.orderBy(*keys.columns).limit(n).agg(F.max(F.struct(*keys.columns)).alias("last"))
+    return last.first()["last"]
+
+
+def _beyond(order: Sequence[str], edge: Row, above: bool) -> Column:
+    """Whether a row's key is above (or below) ``edge``, as comparisons that a scan can use."""
     name, rest = order[0], order[1:]
-    if not rest:
-        return F.col(name) <= F.lit(last[name])
-    return (F.col(name) < F.lit(last[name])) | ((F.col(name) == F.lit(last[name])) & _up_to(rest, last))
+    column, value = F.col(name), edge[name]
+    if value is None:
+        further, tied = (column.isNotNull() if above else F.lit(False)), column.isNull()
+    else:
+        further = column > F.lit(value) if above else (column < F.lit(value)) | column.isNull()
+        tied = column == F.lit(value)
+    return further | (tied & _beyond(rest, edge, above)) if rest else further
+
+
+def _on(order: Sequence[str], edge: Row) -> Column:
+    return reduce(and_, [F.col(name).eqNullSafe(F.lit(edge[name])) for name in order])
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _others(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """The columns that tell rows with one and the same key apart."""
+    return [f.name for f in df.schema.fields if f.name not in order and _orderable(f.dataType)]
+
+
+def _cut(df: DataFrame, n: int, order: Sequence[str]) -> tuple[Row | None, int]:
+    """The ``n``-th key, and how many rows with that key belong to the first ``n``; 0 for all of them."""
+    edge = _nth_key(df.select(*order), n)
+    if edge is None:
+        return None, 0
+    counts = df.agg(
+        F.count_if(_beyond(order, edge, above=False)).alias("below"), F.count_if(_on(order, edge)).alias("on")
+    ).first()
+    wanted = n - counts["below"]
+    return edge, 0 if wanted == counts["on"] else wanted
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows by a unique order key.
+    """Exactly the first ``n`` rows in ``order``, all if there are fewer.
 
-    A short list is a top-n. A long one is a filter up to the key of its last row, so that its
-    rows stay where they are.
+    Rows of the last key are told apart by their other columns in table order; equal rows are alike. Without such
+    ties the result is a filter that reaches the scan, and the rows stay where they are.
     """
-    if n <= TOP_ROWS:
-        return df.orderBy(*order).limit(n)
-    last = _last_key(df, n, order)
-    return df if last is None else df.where(_up_to(order, last))
+    if n <= 0:
+        return df.where(F.lit(False))
+    edge, wanted = _cut(df, n, order)
+    if edge is None:
+        return df
+    if not wanted:
+        return df.where(~F.coalesce(_beyond(order, edge, above=True), F.lit(False)))
+    tied, rest = df.where(_on(order, edge)), _others(df, order)
+    head = first_rows(tied, wanted, [*order, *rest]) if rest else tied.limit(wanted)
+    return df.where(_beyond(order, edge, above=False)).unionByName(head)
 
 
-def skip_rows(df: DataFrame, n: int, key: str) -> DataFrame:
-    """All but the first ``n`` rows by a unique key: a filter above the n-th smallest key.
+def skip_rows(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
+    """All rows but those that ``first_rows`` gives: a filter above the n-th smallest key, and its ties.
 
     An ``offset`` without a limit would move the whole table to one task.
     """
     if n <= 0:
         return df
-    last = _last_key(df, n, [key])
-    return df.where(F.lit(False)) if last is None else df.where(F.col(key) > F.lit(last[key]))
+    order = [key] if isinstance(key, str) else list(key)
+    edge, wanted = _cut(df, n, order)
+    if edge is None:
+        return df.where(F.lit(False))
+    above = df.where(_beyond(order, edge, above=True))
+    if not wanted:
+        return above
+    tied, rest = df.where(_on(order, edge)), _others(df, order)
+    return above.unionByName(skip_rows(tied, wanted, [*order, *rest]) if rest else _all_but(tied, wanted))
+
+
+def _all_but(alike: DataFrame, n: int) -> DataFrame:
+    """``n`` rows fewer of a table whose rows are all alike."""
+    return alike.limit(max(0, alike.count() - n))
 
 
 def mark_test_rows(
     df: DataFrame, key: str, test_size: float, seed: int = fixed.SPLIT_SEED, into: str = "is_test"
 ) -> DataFrame:
-    """Mark exactly ``ceil(n * test_size)`` rows, chosen by hash order of a unique key.
+    """Mark exactly ``ceil(n * test_size)`` rows, chosen by hash order of the key.
 
-    The cut is found from counts per hash prefix (at most 65,536 of them) and a top-n inside
-    the one prefix that holds it. Marking then needs no shuffle.
+    The cut is found from counts; marking needs no shuffle. Rows that share a key at the cut are told apart by their
+    other columns.
     """
     wanted = math.ceil(df.count() * test_size)
     if wanted <= 0:
         return df.withColumn(into, F.lit(False))
-    hashed = df.select(hash_order(F.col(key), seed).alias("_hash"), F.col(key).alias("_key"))
-    prefix = F.substring("_hash", 1, HASH_PREFIX)
-    counts = hashed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
-    running = F.sum("_rows").over(Window.orderBy("_prefix"))
-    cut = (
-        counts.withColumn("_upto", running)
-        .where(F.col("_upto") >= wanted)
-        .orderBy("_prefix")
-        .limit(1)
-        .first()
-    )
-    if cut is None:
+    hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
+    order = ["_hash", key]
+    edge, ties = _cut(hashed, wanted, order)
+    if edge is None:
         return df.withColumn(into, F.lit(True))
-    inside = wanted - (cut["_upto"] - cut["_rows"])
-    last = (
-        hashed.where(prefix == cut["_prefix"])
-        .orderBy("_hash", "_key")
-        .limit(inside)
-        .agg(F.max(F.struct("_hash", "_key")).alias("last"))
-        .first()["last"]
-    )
-    digest = hash_order(F.col(key), seed)
-    return df.withColumn(
-        into,
-        (digest < last["_hash"]) | ((digest == last["_hash"]) & (F.col(key) <= F.lit(last["_key"]))),
-    )
+    above = F.coalesce(_beyond(order, edge, above=True), F.lit(False))
+    if not ties:
+        return hashed.withColumn(into, ~above).drop("_hash")
+    apart = hashed.where(~_on(order, edge)).withColumn(into, ~above)
+    tied = hashed.where(_on(order, edge))
+    first = first_rows(tied, ties, order).withColumn(into, F.lit(True))
+    later = skip_rows(tied, ties, order).withColumn(into, F.lit(False))
+    return apart.unionByName(first).unionByName(later).drop("_hash")
 
 
 def mark_test_rows_by_threshold(
@@ -219,14 +316,16 @@ def with_running_max(
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
     """Attach per-group values to rows without moving a hot group.
 
-    A counted small table is broadcast. Of a larger one, the groups with the most rows, at most
-    ``HOT_KEYS`` of them, are joined by broadcast; any other group holds less than that share of
-    the table and is joined by shuffle.
+    A table that is small in rows and bytes is broadcast. Of a larger one, the groups with the most rows, at most
+    ``HOT_KEYS`` of them and only if they are small in bytes too, are joined by broadcast; the rest is joined by
+    shuffle, where a large partition is split at run time.
     """
     fixed_stats = cut_lineage(stats)
-    if fixed_stats.count() <= SMALL_ROWS:
+    if is_small(fixed_stats, SMALL_ROWS):
         return match(df, F.broadcast(fixed_stats), keys)
     hot = fixed_stats.orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
+    if not is_small(hot, HOT_KEYS):
+        return match(df, fixed_stats, keys)
     in_hot = match(df, F.broadcast(hot), keys)
     in_rest = match(match(df, F.broadcast(hot.select(*keys)), keys, "left_anti"), fixed_stats, keys)
     return in_hot.unionByName(in_rest)

@@ -186,20 +186,22 @@ def prepare(
     """End to end: load, filter, split, slice, number the batches, render and wrap prompts.
 
     The valid rows are stored once; counting and splitting then read only their key, and prompts
-    are rendered last, so they never pass a shuffle. Train batches follow a seeded shuffle, test
-    batches source order. ``batch_size=None`` leaves both parts unbatched.
+    are rendered last, so they never pass a shuffle. Both parts keep the order of the split's shuffle: the evaluation
+    head is its first test rows, test batches follow it, and train batches follow a second shuffle.
+    ``batch_size=None`` leaves both parts unbatched.
     """
     rows = NORMALIZERS[task_of(name)](slice_raw(raw, name, amount, slices))
     valid = store(keep_valid(rows), "samples")
     if valid.isEmpty():
         raise ValueError("no sample has a target")
     train, test = split(valid, name, test_size, seed)
+    shuffled = lambda part, by: part.withColumn("_hash", ordered.hash_order(F.col("sample_id"), by))
+    order = ["_hash", "sample_id"]
     if evaluate:
-        test = take(test, fixed.EVALUATION_HEAD)
+        test = ordered.first_rows(shuffled(test, seed), fixed.EVALUATION_HEAD, order).drop("_hash")
     if batch_size is not None:
-        shuffled = train.withColumn("_hash", ordered.hash_order(F.col("sample_id"), seed + 1))
-        train = ordered.with_batches(shuffled, batch_size, ["_hash", "sample_id"]).drop("_hash")
-        test = ordered.with_batches(test, batch_size, ["ord"])
+        train = ordered.with_batches(shuffled(train, seed + 1), batch_size, order).drop("_hash")
+        test = ordered.with_batches(shuffled(test, seed), batch_size, order).drop("_hash")
     parts = [with_prompt(part, name, full_prompt) for part in (train, test)]
     if chat:
         parts = [wrap_chat(part) for part in parts]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,9 +18,11 @@ STATE = T.StructType(
         T.StructField("recent", T.ArrayType(T.DoubleType())),
         T.StructField("means", T.ArrayType(T.DoubleType())),
         T.StructField("stop_step", T.LongType()),
+        T.StructField("last_step", T.LongType()),
+        T.StructField("n_late", T.LongType()),
     ]
 )
-OUTPUT = T.StructType([T.StructField(name, T.LongType()) for name in ("run_id", "n_points", "stop_step")])
+OUTPUT = T.StructType([T.StructField(name, T.LongType()) for name in ("run_id", "n_points", "stop_step", "n_late")])
 
 
 def early_stop_stream(
@@ -28,28 +31,33 @@ def early_stop_stream(
     patience: int = fixed.MOVING_PATIENCE,
     delta: float = fixed.MOVING_DELTA,
 ) -> DataFrame:
-    """Stream ``run_id, step, reward`` to each run's point count and stop step so far.
+    """Stream ``run_id, step, reward`` to each run's point count, stop step and late points so far.
 
     State per run is the last ``window`` rewards and ``patience + 1`` means, whatever the length
-    of the run. Points must arrive in step order between micro-batches; inside one they are
-    sorted here, and the source's files-per-trigger limit bounds what one batch brings.
+    of the run. Inside a micro-batch points are sorted here, and the source's bytes-per-trigger limit bounds what one
+    batch brings. A point that is not after the last step of an earlier batch is late: it is counted as such and
+    changes nothing, so a run without late points has the batch rule's result. Points without a reward are skipped.
     """
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, recent, means, stop = state.get if state.exists else (0, [], [], None)
-        recent, means = list(recent), list(means)
-        points = pd.concat(list(chunks)).sort_values("step", kind="stable")
+        n, recent, means, stop, last, late = state.get if state.exists else (0, [], [], None, None, 0)
+        recent, means = deque(recent, window), deque(means, patience + 1)
+        points = pd.concat(list(chunks)).dropna(subset=["reward"]).sort_values("step", kind="stable")
+        if last is not None:
+            fresh = points["step"] > last
+            late += int((~fresh).sum())
+            points = points[fresh]
         for step, reward in zip(points["step"], points["reward"]):
-            n += 1
-            recent = [*recent, float(reward)][-window:]
+            n, last = n + 1, int(step)
+            recent.append(float(reward))
             if len(recent) < window:
                 continue
-            means = [*means, sum(recent) / window][-(patience + 1) :]
+            means.append(sum(recent) / window)
             if stop is None and len(means) > patience and means[-1] - means[0] < delta:
-                stop = int(step)
-        state.update((n, recent, means, stop))
+                stop = last
+        state.update((n, list(recent), list(means), stop, last, late))
         yield pd.DataFrame(
-            {"run_id": [key[0]], "n_points": [n], "stop_step": pd.array([stop], dtype="Int64")}
+            {"run_id": [key[0]], "n_points": [n], "stop_step": pd.array([stop], dtype="Int64"), "n_late": [late]}
         )
 
     return log.groupBy("run_id").applyInPandasWithState(

@@ -10,13 +10,13 @@ from verdigris.session import scratch_path
 
 
 def read_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_trigger: int = 8
+    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_trigger: int = 64_000_000
 ) -> DataFrame:
-    """Parquet files of a folder as a stream, a bounded number of files per micro-batch."""
+    """Parquet files of a folder as a stream, about ``per_trigger`` bytes of files per micro-batch."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_trigger)
+        .option("maxBytesPerTrigger", per_trigger)
         .parquet(folder)
     )
 
@@ -32,12 +32,15 @@ def run_available(stream: DataFrame, key: list[str]) -> DataFrame:
     """Process what the source holds now and return the latest row per key.
 
     Each micro-batch writes its changed rows to its own folder, overwritten when a batch is
-    repeated after a failure, so the table never holds a batch twice.
+    repeated after a failure, so the table never holds a batch twice. An empty source gives no rows.
     """
     spark = stream.sparkSession
     table, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
 
+    written = set()
+
     def store(batch: DataFrame, number: int) -> None:
+        written.add(number)
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     query = (
@@ -48,6 +51,8 @@ def run_available(stream: DataFrame, key: list[str]) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if not written:
+        return spark.createDataFrame([], stream.schema)
     values = [c for c in stream.columns if c not in key]
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(table)
     return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*key, "_last.*")
