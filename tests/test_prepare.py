@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -87,7 +88,8 @@ def test_prepare_end_to_end(spark):
     sizes = sorted(r["count"] for r in train.groupBy("batch_id").count().collect())
     assert sizes == [3] + [16] * 15
     first = test.where("batch_id = 0").orderBy("batch_pos").collect()
-    assert [r["ord"] for r in first] == sorted(r["ord"] for r in first)
+    digests = [hashlib.md5(f"42:{r['sample_id']}".encode()).hexdigest() for r in first]
+    assert digests == sorted(digests)
     assert first[0]["prompt"].startswith(fixed.CHAT_PREFIX) and first[0]["prompt"].endswith(fixed.CHAT_SUFFIX)
     again, _ = prepare.prepare(raw(spark, "cnndm", rows), "cnndm", batch_size=16, test_size=0.1)
     order = lambda df: [r["sample_id"] for r in df.orderBy("batch_id", "batch_pos").collect()]
@@ -176,25 +178,65 @@ def test_encode(spark):
     assert got == {0: [6, 5, None, 6], 1: [5]}
 
 
+def test_encode_keeps_rows_without_tokens(spark):
+    vocabulary = spark.createDataFrame([("a", 5)], "token STRING, id INT")
+    tokens = spark.createDataFrame([(0, ["a"]), (1, []), (2, None)], "k INT, tokens ARRAY<STRING>")
+    got = {r["k"]: r["ids"] for r in training.encode(tokens, vocabulary, ["k"]).collect()}
+    assert got == {0: [5], 1: [], 2: []}
+
+
+def test_evaluation_head_follows_the_shuffle(spark):
+    rows = [(f"q{i}", f"#### {i}") for i in range(3000)]
+    _, test = prepare.prepare(raw(spark, "gsm8k", rows), "gsm8k", batch_size=None, test_size=0.5, evaluate=True)
+    ids = [r["ord"] for r in test.collect()]
+    by_hash = sorted(range(3000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    assert sorted(ids) == sorted(by_hash[:1000]) and max(ids) > 2900
+
+
+def test_json_sources_without_order(spark, tmp_path):
+    rows = spark.range(250).selectExpr("concat('q', id) AS question", "concat('#### ', id) AS answer")
+    rows.repartitionByRange(3, "question").write.json(f"{tmp_path}/gsm8k/train")
+    got = datasets.load_dataset(spark, str(tmp_path), "gsm8k", "train", fmt="json")
+    assert sorted(r["ord"] for r in got.collect()) == list(range(250))
+    train, test = prepare.split(got, "gsm8k")
+    assert (train.count(), test.count()) == (225, 25)
+    (tmp_path / "scitldr/train").mkdir(parents=True)
+    for name, ids in (("a", (0, 1)), ("b", (2,))):
+        papers = [{"source": [f"s{i}", "t"], "target": f"sum {i}" if i % 2 else [f"sum {i}", "x"]} for i in ids]
+        (tmp_path / f"scitldr/train/{name}.json").write_text(json.dumps(papers, indent=1))
+    loaded = datasets.load_dataset(spark, str(tmp_path), "sci", "train", fmt="json_array").orderBy("ord").collect()
+    assert [(r["ord"], r["target"], r["text"]) for r in loaded] == [(i, [f"sum {i}"], f"\nText: s{i} t") for i in range(3)]
+
+
+def test_order_of_parquet_files_moves_no_texts(spark, tmp_path):
+    plain = spark.range(50).selectExpr("concat('text ', id) AS article", "'s' AS highlights")
+    plain.repartition(4).write.parquet(f"{tmp_path}/cnndm/test")
+    got = datasets.read_raw(spark, str(tmp_path), "cnndm", "test")
+    assert sorted(r["ord"] for r in got.collect()) == list(range(50))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hash" in line or "Exchange range" in line]
+
+
 def test_requests(spark, tmp_path):
     df = spark.createDataFrame(
         [("cnndm", "q {x}", "a", ["it's", 'say "x"', "b\nc"]), ("nq", "q", "a", [])],
         "task STRING, q STRING, a STRING, refs ARRAY<STRING>",
     )
     listed = prompts.list_text(F.col("refs"))
+    asked = judge_texts.templates({"answer": "Is it right?", "summary": "Is it short?", "prompt_quality": "Is it clear?"})
     rows = df.select(
         listed.alias("refs"),
-        prompts.answer_request(F.col("task"), F.col("q"), F.col("a"), listed, open_brace=True).alias("r"),
-        prompts.prompt_quality_request(F.col("q"), F.col("a")).alias("p"),
+        prompts.answer_request(F.col("task"), F.col("q"), F.col("a"), listed, asked, open_brace=True).alias("r"),
+        prompts.prompt_quality_request(F.col("q"), F.col("a"), asked).alias("p"),
     ).collect()
     assert rows[0]["refs"] == str(["it's", 'say "x"', "b\nc"]) and rows[1]["refs"] == "[]"
-    assert rows[0]["r"].startswith(judge_texts.SUMMARY[:40]) and rows[1]["r"].startswith(judge_texts.ANSWER[:40])
+    assert rows[0]["r"].startswith("Is it short?\n") and rows[1]["r"].startswith("Is it right?\n")
     assert '[QUERY]: "q {x}"' in rows[0]["r"] and rows[0]["r"].endswith("Evaluation:{")
-    assert '"score": <0-5>' in rows[0]["p"] and '[REWRITTEN QUERY]: "a"' in rows[0]["p"]
-    (tmp_path / "answer.txt").write_text("own {query}|{final_answer}|{target_answers}")
-    own = judge_texts.read_templates(str(tmp_path))
-    got = df.where("task = 'nq'").select(prompts.answer_request(F.col("task"), F.col("q"), F.col("a"), listed, own)).first()[0]
-    assert got == "own q|a|[]"
+    assert '"score": <number from 0 to 5>' in rows[0]["p"] and '[REWRITTEN QUERY]: "a"' in rows[0]["p"]
+    with pytest.raises(ValueError):
+        judge_texts.templates({"other": "x"})
+    (tmp_path / "answer.txt").write_text("own\nrubric")
+    assert judge_texts.read_rubrics(spark, str(tmp_path)) == {"answer": "own\nrubric"}
 
 
 def test_selection_prompts(spark):
@@ -207,5 +249,6 @@ def test_selection_prompts(spark):
 
 
 def test_fan_out(spark):
+    assert prompts.fan_out(spark.range(3), 0).count() == 0
     rows = prompts.fan_out(spark.range(3), 4).collect()
     assert sorted((r["id"], r["cand_idx"]) for r in rows) == [(i, k) for i in range(3) for k in range(4)]

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris import judge_texts
 from verdigris.operators import hooks, prompts
 from verdigris.plans import compare, curate, evaluate
 from verdigris.sources import logs, schemas
@@ -89,7 +90,7 @@ def test_pairs_multiply(spark):
 
 def test_swap_round_trip(spark):
     pairs = spark.range(200).selectExpr("cast(id AS STRING) AS original", "'one' AS option_1", "'two' AS option_2", "1L AS n_pairs")
-    asked = compare.pairwise_requests(pairs)
+    asked = compare.pairwise_requests(pairs, judge_texts.templates({"pairwise": "Choose."}))
     assert 60 < asked.where("swap").count() < 140
     # A judge that always prefers the text 'two' must give option 2 a win rate of 1.
     places = F.when(F.instr("request", "[OPTION 1]\ntwo") > 0, '{"selection": 1}').otherwise('{"selection": 2}')

@@ -15,6 +15,7 @@ from verdigris.functions.text import let, strip
 
 STRICT, CUT, LENIENT, PATTERN, FAILED = "strict", "cut", "lenient", "pattern", "failed"
 NO_SCORE = -1.0
+ASKED_FIELDS = ("final_rewritten_query", "score", "final_selection", "selection", "explanation")
 
 
 def strip_fences(text: Column) -> Column:
@@ -32,18 +33,21 @@ def cut_at_brace(text: Column) -> Column:
     )
 
 
-def json_or_null(text: Column) -> Column:
+def json_or_null(text: Column, repeated_keys: bool = False) -> Column:
     """Strict parse to VARIANT; only an object counts, anything else gives NULL.
 
     The parser stops after the first value, so text behind it is found by putting the whole
-    between brackets: it must make an array of one.
+    between brackets: it must make an array of one. It refuses a key that is given twice; with ``repeated_keys`` the
+    fields that requests ask for are then read one by one, and the last of equal keys counts.
     """
     braced = text.startswith("{") & text.endswith("}")
     whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return let(
-        F.when(braced & whole, F.try_parse_json(text)),
-        lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v),
-    )
+    read = F.try_parse_json(text)
+    if repeated_keys:
+        named = F.from_json(text, ", ".join(f"{f} VARIANT" for f in ASKED_FIELDS), {"allowSingleQuotes": "false"})
+        keys = F.json_object_keys(text)
+        read = F.coalesce(read, F.when(F.size(keys) > F.size(F.array_distinct(keys)), F.to_variant_object(named)))
+    return let(F.when(braced & whole, read), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def read_object(text: Column) -> Column:
@@ -134,7 +138,7 @@ def json_success(parsed: Column) -> Column:
 def prefixed_rewrite(completion: Column, field: str = "final_rewritten_query") -> Column:
     """Strict parse of a completion that continues an opening brace; NULL on failure."""
     return let(
-        json_or_null(F.concat(F.lit("{"), completion)),
+        json_or_null(F.concat(F.lit("{"), completion), repeated_keys=True),
         lambda v: F.when(_field_type(v, field) == "STRING", F.try_variant_get(v, f"$.{field}", "string")),
     )
 
@@ -142,7 +146,7 @@ def prefixed_rewrite(completion: Column, field: str = "final_rewritten_query") -
 def strict_score(text: Column, field: str = "score", missing: float | None = NO_SCORE) -> Column:
     """Score of a judge whose output must be plain JSON, else the sentinel ``missing``."""
     return F.coalesce(
-        F.try_variant_get(json_or_null(strip(text)), f"$.{field}", "double"), F.lit(missing).cast("double")
+        F.try_variant_get(json_or_null(strip(text), repeated_keys=True), f"$.{field}", "double"), F.lit(missing).cast("double")
     )
 
 
@@ -199,7 +203,7 @@ def choice_index(text: Column, offset: int = 1, field: str = "final_selection")
 def selection(text: Column) -> Column:
     """Struct ``selection, explanation`` of a pairwise judge; selection NULL on failure."""
     return let(
-        json_or_null(strip(text)),
+        json_or_null(strip(text), repeated_keys=True),
         lambda v: F.struct(
             F.try_variant_get(v, "$.selection", "int").alias("selection"),
             F.coalesce(F.try_variant_get(v, "$.explanation", "string"), F.lit("")).alias("explanation"),

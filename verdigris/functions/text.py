@@ -173,10 +173,16 @@ def numeric_match(
         right = strip(drop_thousands(gold))
     else:
         raise ValueError(f"unknown mode: {mode}")
-    distance = F.abs(left.try_cast("double") - right.try_cast("double"))
+    distance = F.abs(_number(left) - _number(right))
     return F.coalesce((distance <= tolerance).cast("double"), F.lit(0.0))
 
 
+def _number(text: Column) -> Column:
+    """A text as a number; other forms than plain decimals, with sign and exponent, give NULL."""
+    plain = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.when(plain, text.try_cast("double"))
+
+
 def drop_thousands(text: Column) -> Column:
     return F.regexp_replace(text, "(?<=\\p{Nd}),(?=\\p{Nd}{3}(?!\\p{Nd}))", "")
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
-from verdigris import judge_texts
 from verdigris.operators.ordered import broadcast_if_small
 
 
@@ -54,7 +53,7 @@ def list_text(values: Column) -> Column:
 
 
 def prompt_quality_request(
-    query: Column, rewritten: Column, templates: Mapping[str, str] = judge_texts.DEFAULTS, open_brace: bool = False
+    query: Column, rewritten: Column, templates: Mapping[str, str], open_brace: bool = False
 ) -> Column:
     asked = render(templates["prompt_quality"], query=query, rewritten_query=rewritten)
     return F.concat(asked, F.lit("{")) if open_brace else asked
@@ -65,7 +64,7 @@ def answer_request(
     query: Column,
     answer: Column,
     references: Column,
-    templates: Mapping[str, str] = judge_texts.DEFAULTS,
+    templates: Mapping[str, str],
     open_brace: bool = False,
 ) -> Column:
     """Judge request for an answer; summary tasks get the summary rubric.
@@ -80,20 +79,21 @@ def answer_request(
 
 
 def test_answer_request(
-    query: Column, answer: Column, references: Column, templates: Mapping[str, str] = judge_texts.DEFAULTS
+    query: Column, answer: Column, references: Column, templates: Mapping[str, str]
 ) -> Column:
     return render(templates["test_answer"], query=query, final_answer=answer, target_answers=references)
 
 
 def candidate_request(
-    query: Column, reference: Column, templates: Mapping[str, str] = judge_texts.DEFAULTS
+    query: Column, reference: Column, templates: Mapping[str, str]
 ) -> Column:
     return render(templates["candidate"], original_query=query, reference_answer=reference)
 
 
 def fan_out(df: DataFrame, n: int, into: str = "cand_idx") -> DataFrame:
-    """``n`` copies of each row, numbered from 0."""
-    return df.withColumn(into, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """``n`` copies of each row, numbered from 0; no rows for ``n`` below one."""
+    numbers = F.array(*[F.lit(i) for i in range(n)]) if n > 0 else F.array().cast("array<int>")
+    return df.withColumn(into, F.explode(numbers))
 
 
 def selection_prompts(candidates: DataFrame, per_example: bool, key: str = "sample_id") -> DataFrame:
@@ -172,7 +172,7 @@ def pairwise_request(
     first: Column,
     second: Column,
     swap: Column,
-    templates: Mapping[str, str] = judge_texts.DEFAULTS,
+    templates: Mapping[str, str],
 ) -> Column:
     return render(
         templates["pairwise"],

@@ -14,6 +14,7 @@ from verdigris import fixed_values as fixed
 from verdigris.functions import parsing, rewards
 from verdigris.operators import ordered
 from verdigris.operators.rouge import with_best_rouge
+from verdigris.session import store
 
 REWARD_JOBS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -50,10 +51,13 @@ def user_reward(fn: Callable[..., pd.Series], columns: list[str], into: str = "r
 def attach_recorded(
     df: DataFrame, recorded: Mapping[str, DataFrame], weights: Mapping[str, float], key: str = "sample_id"
 ) -> DataFrame:
-    """Join recorded scores by component; a component without weight is not read at all."""
+    """Join recorded scores by component; a component without weight is not read at all.
+
+    A sample recorded more than once counts once, with its largest score, so no row is multiplied.
+    """
     for name, scores in recorded.items():
         if weights.get(name, 0) > 0:
-            df = df.join(scores.select(key, F.col("score").alias(name)), key, "left")
+            df = df.join(scores.groupBy(key).agg(F.max("score").alias(name)), key, "left")
     return df
 
 
@@ -81,8 +85,9 @@ def zscore(df: DataFrame, reward: str, batch: str, into: str) -> DataFrame:
     """Reward minus batch mean over batch deviation (population) plus a small constant.
 
     Mean and deviation are partial aggregates; a batch's rows are never brought together.
-    ``df`` is read once for them and again for the join.
+    ``df`` is stored once, so a costly or random reward is the same for the statistics and for the rows.
     """
+    df = store(df, "rewards")
     stats = df.groupBy(batch).agg(
         F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_sd"), F.count(F.lit(1)).alias("_rows")
     )

@@ -10,6 +10,7 @@ from verdigris.functions.text import strip_or_empty
 from verdigris.operators import ordered
 from verdigris.operators.prompts import render
 
+VOCABULARY_BYTES = 64_000_000
 PAIR_COLUMNS = ("ord", "original_query", "candidate_prompt")
 
 
@@ -50,11 +51,12 @@ def encode(tokens: DataFrame, vocabulary: DataFrame, key: list[str], max_rows: i
     """Token ids per row from a vocabulary ``token, id``, in token order.
 
     ``tokens`` has the key and an array ``tokens``. The vocabulary is broadcast only when its
-    counted size allows it; unknown tokens give NULL ids.
+    counted rows and bytes allow it. Unknown tokens give NULL ids; a row without tokens, or with NULL, keeps an empty list.
     """
-    words = tokens.select(*key, F.posexplode("tokens").alias("_pos", "token"))
-    found = words.join(ordered.broadcast_if_small(vocabulary, max_rows), "token", "left")
-    gathered = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
+    words = tokens.select(*key, F.posexplode_outer("tokens").alias("_pos", "token"))
+    found = words.join(ordered.broadcast_if_small(vocabulary, max_rows, VOCABULARY_BYTES), "token", "left")
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id"))
+    gathered = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_ids"))
     return gathered.select(*key, F.col("_ids.id").alias("ids"))
 
 

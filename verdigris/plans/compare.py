@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ def paired_answers(first: DataFrame, second: DataFrame, key: str = "original") -
     return pairs.select(key, "option_1", "option_2", "n_pairs")
 
 
-def pairwise_requests(pairs: DataFrame, key: str = "original", reference: str | None = None) -> DataFrame:
+def pairwise_requests(
+    pairs: DataFrame, templates: Mapping[str, str], key: str = "original", reference: str | None = None
+) -> DataFrame:
     """Add the judge request of each pairing and whether its sides are swapped."""
     identity = F.concat_ws("\x1f", key, "option_1", "option_2")
     swapped = pairs.withColumn("swap", prompts.swap_sides(identity))
@@ -43,6 +47,7 @@ def pairwise_requests(pairs: DataFrame, key: str = "original", reference: str |
             F.col("option_1"),
             F.col("option_2"),
             F.col("swap"),
+            templates,
         ),
     )
 

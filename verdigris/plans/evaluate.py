@@ -85,36 +85,43 @@ def candidate_report(scored: DataFrame) -> DataFrame:
     return answer_report(scored, ["cand_idx"])
 
 
-def pick_report(by_candidate: DataFrame, pick: DataFrame) -> DataFrame:
-    """Report row of the picked candidate per run: ``pick`` has ``cand_idx`` from a choice text."""
-    return by_candidate.join(F.broadcast(pick.limit(1)), "cand_idx")
+def pick_report(by_candidate: DataFrame, picks: DataFrame) -> DataFrame:
+    """Report row of the picked candidate for every run.
+
+    ``picks`` has the run's columns and ``cand_idx`` from its choice text; ``by_candidate`` one row per candidate. A run
+    whose pick was not scored, or could not be read, has no row.
+    """
+    return picks.join(by_candidate, "cand_idx")
 
 
 def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
     """Best, mean and picked value of each metric over a sample's candidates, averaged over samples.
 
     Each metric takes its own best candidate. A pick counts when it names one of the ``n``
-    candidates and that candidate was scored.
+    candidates and that candidate was scored. The candidates are scored once: one aggregate per sample gives
+    all three values, a second one their means. A sample has one pick; of several the smallest counts.
     """
-    kept = usable(scored)
-    per_sample = kept.groupBy("sample_id").agg(
-        *[F.max(m).alias(f"max_{m}") for m in METRICS], *[F.avg(m).alias(f"mean_{m}") for m in METRICS]
+    picked = picks.where(F.col("pick").between(0, n - 1)).groupBy("sample_id").agg(F.min("pick").alias("_pick"))
+    marked = usable(scored).join(picked, "sample_id", "left")
+    chosen = F.col("cand_idx") == F.col("_pick")
+    per_sample = marked.groupBy("sample_id").agg(
+        *[F.max(m).alias(f"max_{m}") for m in METRICS],
+        *[F.avg(m).alias(f"mean_{m}") for m in METRICS],
+        *[F.avg(F.when(chosen, F.col(m))).alias(f"choice_{m}") for m in METRICS],
+        F.count_if(chosen).alias("_choices"),
     )
-    count = F.count(F.lit(1)).alias("n")
+    kinds = ("max", "mean", "choice")
     overall = per_sample.agg(
-        *[F.avg(f"{kind}_{m}").alias(f"{kind}_{m}") for kind in ("max", "mean") for m in METRICS], count
+        *[F.avg(f"{kind}_{m}").alias(f"{kind}_{m}") for kind in kinds for m in METRICS],
+        F.count(F.lit(1)).alias("_samples"),
+        F.count_if(F.col("_choices") > 0).alias("_chosen"),
     )
-    both = overall.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("kind"), *[F.col(f"{kind}_{m}").alias(f"avg_{m}") for m in METRICS], "n")
-                    for kind in ("max", "mean")
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-    in_range = F.when(F.col("pick").between(0, n - 1), F.col("pick").cast("int"))
-    valid = text.once(picks, "cand_idx", in_range).where(F.col("cand_idx").isNotNull()).drop("pick")
-    chosen = kept.join(valid, ["sample_id", "cand_idx"]).agg(F.lit("choice").alias("kind"), *_means(), count)
-    return both.unionByName(chosen.select(*both.columns))
+    rows = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            *[F.col(f"{kind}_{m}").alias(f"avg_{m}") for m in METRICS],
+            F.col("_chosen" if kind == "choice" else "_samples").alias("n"),
+        )
+        for kind in kinds
+    ]
+    return overall.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

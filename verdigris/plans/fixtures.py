@@ -10,10 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
+from verdigris import judge_texts
 from verdigris.sources.datasets import read_table
 
 NEWLINE = "\n"
 
+#: Neutral rubrics, one line each.
+RUBRICS = {
+    "prompt_quality": "Score the rewritten query.",
+    "answer": "Score the response.",
+    "summary": "Score the summary.",
+    "test_answer": "Score the response again.",
+    "pairwise": "Choose an option.",
+    "candidate": "Write a prompt.",
+}
+TEMPLATES = judge_texts.templates(RUBRICS)
+
 
 def first_line(text: Column) -> Column:
     return F.split_part(text, F.lit(NEWLINE), F.lit(1))

@@ -10,8 +10,7 @@ from __future__ import annotations
 import re
 
 from verdigris import fixed_values as fixed
-from verdigris import judge_texts
-from verdigris.plans.fixtures import DATASET_NAMES
+from verdigris.plans.fixtures import DATASET_NAMES, TEMPLATES
 
 ORACLES: dict[str, str] = {}
 
@@ -189,11 +188,37 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY full_prompt ORDER BY md5('4
     count(*) OVER (PARTITION BY full_prompt) AS n FROM modes),
 parted AS (SELECT *, CASE WHEN rn <= ceil(n::DOUBLE * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM ranked),
 placed AS (SELECT *, row_number() OVER (PARTITION BY full_prompt, part
-    ORDER BY CASE WHEN part = 'train' THEN md5('43:' || sample_id) ELSE '' END, sample_id) - 1 AS pos FROM parted)
+    ORDER BY md5(CASE WHEN part = 'train' THEN '43:' ELSE '42:' END || sample_id), sample_id) - 1 AS pos FROM parted)
 SELECT full_prompt, part, pos // 64 AS batch_id, count(*) AS n,
   string_agg(sample_id::VARCHAR, ',' ORDER BY pos) AS ids, md5(string_agg(prompt, '|' ORDER BY pos)) AS prompts_md5
 FROM placed GROUP BY full_prompt, part, pos // 64"""
 
+ORACLES["prep_evaluation"] = f"""WITH raw AS (
+  SELECT 'gsm8k' AS dataset, o_orderkey AS id FROM orders
+  UNION ALL SELECT 'cnndm', o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {fixed.CNNDM_HEAD})
+  UNION ALL SELECT 'nq', o_orderkey FROM (SELECT * FROM orders ORDER BY o_orderkey OFFSET {fixed.NQ_SKIP})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || id), id) AS rn,
+    count(*) OVER (PARTITION BY dataset) AS n FROM raw),
+parted AS (SELECT *, CASE WHEN rn <= ceil(n::DOUBLE * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM ranked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY dataset, part
+    ORDER BY md5(CASE WHEN part = 'train' THEN '43:' ELSE '42:' END || id), id) - 1 AS pos
+  FROM parted WHERE part = 'train' OR rn <= {fixed.EVALUATION_HEAD})
+SELECT dataset, part, pos // 64 AS batch_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids
+FROM placed GROUP BY dataset, part, pos // 64"""
+
+_kept = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+_sums = ", ".join(f"coalesce(sum({c}), 0)::DOUBLE AS sum_{c}" for c in _kept)
+ORACLES["slice_ties"] = f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem),
+cuts AS (SELECT unnest([1234, 5001, 23456])::BIGINT AS n, ['first', 'rest'] AS sides),
+wanted AS (SELECT n, unnest(sides) AS side FROM cuts)
+SELECT w.n, w.side, count(rn) AS rows, {_sums}, coalesce(min(l_orderkey), -1) AS first_key, coalesce(max(l_orderkey), -1) AS last_key
+FROM wanted w LEFT JOIN placed p ON (w.side = 'first') = (p.rn <= w.n) GROUP BY w.n, w.side"""
+
+ORACLES["load_parquet"] = f"WITH {NEWS}, {samples('cnndm', True)} {DIGEST} WHERE sample_id < 700"
+ORACLES["load_json"] = ORACLES["prep_math"]
+ORACLES["load_json_array"] = ORACLES["prep_sci"]
+
 ORACLES["slice_head"] = """SELECT doc_id AS ord, length(text) AS n_chars, md5(text) AS text_md5
 FROM documents ORDER BY doc_id LIMIT 500 OFFSET 250"""
 
@@ -226,6 +251,8 @@ second AS (
   FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= (SELECT count(*) FROM conversations))
 SELECT * FROM first UNION ALL SELECT * FROM second"""
 
+ORACLES["load_prompt_sets"] = ORACLES["prompt_pair_union"]
+
 _names = "[" + ", ".join(lit(n) for n in DATASET_NAMES) + "]"
 _task_rows = ", ".join(f"({lit(a)}, {lit(t)}, {lit(fixed.INSTRUCTIONS[t])})" for a, t in fixed.TASK_ALIASES.items())
 ORACLES["task_instruction"] = f"""WITH d AS (
@@ -255,24 +282,25 @@ FROM packed"""
 
 ORACLES["encode_vocabulary"] = """WITH words AS (
   SELECT conv_id, turn, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos
-  FROM conversations),
+  FROM conversations WHERE turn % 5 <> 4 AND turn % 7 <> 6),
 vocabulary AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM words))
-SELECT conv_id, turn, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids
-FROM words JOIN vocabulary USING (token) GROUP BY conv_id, turn"""
+SELECT c.conv_id, c.turn, count(id) AS n, coalesce(string_agg(id::VARCHAR, ',' ORDER BY pos), '') AS ids
+FROM conversations c LEFT JOIN (SELECT * FROM words JOIN vocabulary USING (token)) w ON w.conv_id = c.conv_id AND w.turn = c.turn
+GROUP BY c.conv_id, c.turn"""
 
 _fields = {"query": "question", "final_answer": "reply", "target_answers": "reference_text"}
-_quality = filled(judge_texts.PROMPT_QUALITY, query="question", rewritten_query="reply")
+_quality = filled(TEMPLATES["prompt_quality"], query="question", rewritten_query="reply")
 _answer = (
-    f"CASE WHEN turn = 0 THEN {filled(judge_texts.SUMMARY, **_fields)} ELSE {filled(judge_texts.ANSWER, **_fields)} END"
+    f"CASE WHEN turn = 0 THEN {filled(TEMPLATES["summary"], **_fields)} ELSE {filled(TEMPLATES["answer"], **_fields)} END"
 )
 ORACLES["render_judge"] = f"""WITH {QA}, q AS (
   SELECT *, {list_text("string_split(reply, chr(10))")} AS reference_text FROM qa)
 SELECT sample_id, md5({_quality}) AS quality_md5, md5({_quality} || '{{') AS quality_open_md5,
   md5({_answer}) AS answer_md5, md5(({_answer}) || '{{') AS answer_open_md5,
-  md5({filled(judge_texts.TEST_ANSWER, **_fields)}) AS test_md5, sha256(question || 't=0') AS request_id FROM q"""
+  md5({filled(TEMPLATES["test_answer"], **_fields)}) AS test_md5, sha256(question || 't=0') AS request_id FROM q"""
 
 ORACLES["candidate_fan_out"] = f"""WITH {QA} SELECT sample_id, unnest(range(4))::INT AS cand_idx,
-  md5({filled(judge_texts.CANDIDATE, original_query='question', reference_answer='reply')}) AS request_md5 FROM qa"""
+  md5({filled(TEMPLATES["candidate"], original_query='question', reference_answer='reply')}) AS request_md5 FROM qa"""
 
 _intro = f"{lit(fixed.SELECT_INTRO)} || {lit(fixed.INSTRUCTIONS['nq'])}"
 _option = "'. Version ' || k || ' of ' || reply"
@@ -297,12 +325,14 @@ completions AS (SELECT *, CASE shape WHEN 0 THEN '{' || body
     WHEN 2 THEN single WHEN 3 THEN '{' || body || ' and more }' WHEN 4 THEN body ELSE rewrite END AS completion FROM c)"""
 
 _body = "chr(10) || 'Question: ' || event_type"
-_follow = f"{lit(fixed.FOLLOW_QUERY)} || {_body} || chr(10) || {lit(fixed.FOLLOW_REWRITE)} || rewrite"
+_follow = f"{lit(fixed.FOLLOW_QUERY)} || {_body} || chr(10) || {lit(fixed.FOLLOW_REWRITE)} || said"
 _nq = lit(fixed.INSTRUCTIONS["nq"])
-ORACLES["final_prompt"] = f"""WITH {EVENTS} SELECT sample_id, md5({_nq} || ' ' || {_body}) AS instruction_md5,
-  md5({_follow}) AS follow_md5, md5(rewrite || {_body}) AS rewrite_md5,
-  md5({lit(fixed.FOLLOW_QUERY)} || {_nq} || ' ' || {_body} || {lit(fixed.FOLLOW_REWRITE)} || rewrite) AS candidate_md5
-FROM completions"""
+ORACLES["final_prompt"] = f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN shape < 5 THEN rewrite
+    WHEN sample_id % 12 = 5 THEN '{{"explanation": "no rewrite"}}' ELSE 'raw ' || rewrite END AS said FROM completions)
+SELECT sample_id, md5({_nq} || ' ' || {_body}) AS instruction_md5,
+  md5(CASE WHEN sample_id % 12 = 5 THEN said ELSE {_follow} END) AS follow_md5, md5(said || {_body}) AS rewrite_md5,
+  md5({lit(fixed.FOLLOW_QUERY)} || {_nq} || ' ' || {_body} || {lit(fixed.FOLLOW_REWRITE)} || said) AS candidate_md5
+FROM s"""
 
 ORACLES["run_rewrite"] = "SELECT doc_id, md5('Rewrite for ' || lang || ' ' || text) AS prompt_md5 FROM documents"
 
@@ -364,7 +394,7 @@ ORACLES["metric_dispatch"] = f"""WITH {REFS}, a AS (
   SELECT *, {final_number('answer')} AS number FROM scored)
 SELECT 'rouge' AS metric, round(avg(rouge), 6) AS mean, count(rouge) AS n FROM a
 UNION ALL SELECT 'em', round(avg(em_first), 6), count(em_first) FROM a
-UNION ALL SELECT 'gsm8k', 0.0, count(*) FROM a
+UNION ALL SELECT 'gsm8k', round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6), count(*) FROM orders
 UNION ALL SELECT 'llm_prompt', round(avg(coalesce(judged, -1.0)), 6), count(*) FROM a
 UNION ALL SELECT 'llm', round(avg(coalesce(judged, 0.0)), 6), count(*) FROM a
 UNION ALL SELECT 'llm_test', round(avg(coalesce(judged, -1.0)), 6), count(*) FROM a
@@ -470,10 +500,11 @@ _means = ", ".join(f"round(avg({m}), 6) AS avg_{m}" for m in ("em", "f1", "rouge
 
 ORACLES["candidate_report"] = f"WITH {CANDIDATES} SELECT cand_idx, {_means}, count(*) AS n FROM kept GROUP BY cand_idx"
 
-ORACLES["pick_report"] = f"""WITH {CANDIDATES}, last AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 1),
-pick AS (SELECT CASE WHEN event_id % 6 < 5 THEN json_extract_string(props, '$.k')::BIGINT % 8 - 1
+ORACLES["pick_report"] = f"""WITH {CANDIDATES}, last AS (
+  SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+pick AS (SELECT user_id AS run_id, CASE WHEN event_id % 6 < 5 THEN json_extract_string(props, '$.k')::BIGINT % 8 - 1
   ELSE json_extract_string(props, '$.k')::BIGINT - 1 END AS p FROM last)
-SELECT cand_idx, {_means}, count(*) AS n FROM kept JOIN pick ON cand_idx = p GROUP BY cand_idx"""
+SELECT run_id, cand_idx, {_means}, count(*) AS n FROM kept JOIN pick ON cand_idx = p GROUP BY run_id, cand_idx"""
 
 _spread = ", ".join(f"max({m}) AS max_{m}, avg({m}) AS mean_{m}" for m in ("em", "f1", "rouge", "judge"))
 
@@ -488,7 +519,7 @@ ORACLES["best_mean_choice"] = f"""WITH {CANDIDATES}, per AS (SELECT sample_id, {
 UNION ALL SELECT 'choice', {_means}, count(*) FROM kept JOIN orders ON o_orderkey = sample_id AND o_custkey % 9 - 1 = cand_idx"""
 
 _pair_request = filled(
-    judge_texts.PAIRWISE,
+    TEMPLATES["pairwise"],
     original="text",
     reference="''",
     option_1="CASE WHEN swap THEN option_2 ELSE option_1 END",
@@ -559,6 +590,28 @@ folded AS (
     ELSE acc END) AS state FROM lists)
 SELECT run_id, CASE WHEN state[4] >= 0 THEN state[4]::BIGINT END AS stop_step, n_points FROM folded"""
 
+_TYPED = """points AS (
+  SELECT event_type AS run_id, event_id AS step, row_number() OVER w - 1 AS pos,
+    avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ma
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))"""
+
+
+def _best_rule(name: str, place: str) -> str:
+    return f"""SELECT '{name}' AS rule, run_id, CASE WHEN state[4] >= 0 THEN state[4]::BIGINT END AS stop_step, n_points FROM (
+  SELECT run_id, n_points, list_reduce(list_prepend([-1.0, -1e300, 0.0, -1.0], means), lambda acc, x: CASE
+    WHEN x[2] > acc[2] + 0.01 THEN [x[1], x[2], 0.0, acc[4]]
+    WHEN acc[4] < 0 AND {place} >= 200 AND x[1] - acc[1] >= 100 THEN [acc[1], acc[2], 0.0, x[3]]
+    ELSE acc END) AS state FROM lists)"""
+
+
+ORACLES["early_stop_default"] = f"""WITH {_TYPED}, lists AS (
+  SELECT run_id, count(*) AS n_points, list([pos::DOUBLE, ma, step::DOUBLE, -1.0] ORDER BY pos) FILTER (pos >= 24) AS means
+  FROM points GROUP BY run_id),
+gains AS (SELECT *, ma - lag(ma, 100) OVER (PARTITION BY run_id ORDER BY pos) AS gain FROM points)
+SELECT 'moving' AS rule, run_id, min(step) FILTER (pos >= 124 AND gain < 0.01) AS stop_step, count(*) AS n_points FROM gains GROUP BY run_id
+UNION ALL {_best_rule('best', 'x[1]')}
+UNION ALL {_best_rule('best per epoch', '(x[1]::BIGINT % 500)')}"""
+
 ORACLES["stream_totals"] = """SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type"""
 
 ORACLES["results_log"] = f"""WITH {CANDIDATES} SELECT 'run "x", candidate ' || cand_idx AS "Name", round(avg(em), 4) AS "Accuracy",
@@ -576,8 +629,8 @@ ORACLES["json_roundtrip"] = f"""WITH raw AS (
 SELECT sample_id, md5({lit(fixed.INSTRUCTIONS['scitldr'])} || 'Text: ' || article) AS query_md5, md5(summary) AS reference_md5
 FROM raw WHERE article <> '' AND summary <> '' AND length(article) <= 5000"""
 
-_hook = """CASE WHEN length(text) > 5000 THEN '' ELSE md5(text) END AS text,
-  CASE WHEN length(text) > 5000 THEN 'prompt too long' END AS error FROM documents"""
+_hook = """CASE WHEN md5(text) LIKE '7%' THEN '' ELSE md5(text) END AS text,
+  CASE WHEN md5(text) LIKE '7%' THEN 'refused' END AS error FROM documents"""
 ORACLES["batch_hook"] = f"SELECT doc_id, {_hook}"
 ORACLES["distinct_requests"] = f"SELECT doc_id, sha256(text || 't=0') AS request_id, {_hook}"
 ORACLES["recorded_answers"] = """WITH items AS (SELECT text, min(item_id) AS item FROM benchmark GROUP BY text)

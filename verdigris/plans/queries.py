@@ -14,9 +14,9 @@ from verdigris import fixed_values as fixed
 from verdigris.functions import parsing, rewards, text
 from verdigris.operators import hooks, monitor, ordered, prepare, prompts, rouge, scoring, training
 from verdigris.plans import compare, curate, evaluate, fixtures
-from verdigris.session import cut_lineage, scratch_path
+from verdigris.session import scratch_path
 from verdigris.sources import logs, schemas
-from verdigris.sources.datasets import read_table
+from verdigris.sources.datasets import load_dataset, load_prompt_pairs, read_table
 from verdigris.streaming.monitor import early_stop_stream
 from verdigris.streaming.runs import read_stream, run_available, running_totals
 
@@ -27,7 +27,6 @@ QUERIES: dict[str, Query] = {}
 SHORT_MOVING = {"window": 10, "patience": 20}
 SHORT_BEST = {"window": 10, "patience": 15, "start": 30}
 BATCH_ROWS = 64
-LONG_PROMPT = 5000
 
 
 def query(job: Query) -> Query:
@@ -111,6 +110,60 @@ def prep_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _order_samples(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Orders as raw rows of a dataset, all of them valid."""
+    o = read_table(spark, sf, "orders", spread=True)
+    key, price = F.col("o_orderkey"), fixtures.price("o_totalprice")
+    question = F.concat(F.lit("Order "), key)
+    shapes = {
+        "gsm8k": [question.alias("question"), F.concat(F.lit("#### "), price).alias("answer")],
+        "cnndm": [question.alias("article"), price.alias("highlights")],
+        "nq": [
+            F.struct(question.alias("text")).alias("question"),
+            F.struct(F.array(F.struct(F.array(price).alias("text"))).alias("short_answers")).alias("annotations"),
+        ],
+    }
+    return o.select(key.alias("sample_id"), key.alias("ord"), *shapes[name])
+
+
+@query
+def prep_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation parts of three datasets, two with their fixed slice: head of the shuffled test rows, in batches."""
+    out = None
+    for name in ("gsm8k", "cnndm", "nq"):
+        both = prepare.prepare(_order_samples(spark, sf, name), name, batch_size=BATCH_ROWS, evaluate=True)
+        for part, rows in zip(("train", "test"), both):
+            batches = ordered.collate(rows, ["sample_id"]).select(
+                F.lit(name).alias("dataset"),
+                F.lit(part).alias("part"),
+                "batch_id",
+                F.size("sample_id").cast("bigint").alias("n"),
+                F.array_join(F.transform("sample_id", lambda i: i.cast("string")), ",").alias("ids"),
+            )
+            out = batches if out is None else out.unionByName(batches)
+    return out
+
+
+@query
+def slice_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads and tails by a key that many rows share, on both sides of a part's size."""
+    li = read_table(spark, sf, "lineitem")
+    kept = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+    out = None
+    for n in (1_234, 5_001, 23_456):
+        for side, rows in (("first", ordered.first_rows(li, n, ["l_orderkey"])), ("rest", ordered.skip_rows(li, n, "l_orderkey"))):
+            total = rows.agg(
+                F.lit(n).cast("bigint").alias("n"),
+                F.lit(side).alias("side"),
+                F.count(F.lit(1)).alias("rows"),
+                *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"sum_{c}") for c in kept],
+                F.coalesce(F.min("l_orderkey"), F.lit(-1)).alias("first_key"),
+                F.coalesce(F.max("l_orderkey"), F.lit(-1)).alias("last_key"),
+            )
+            out = total if out is None else out.unionByName(total)
+    return out
+
+
 @query
 def slice_head(spark: SparkSession, sf: str) -> DataFrame:
     raw = fixtures.news(spark, sf)
@@ -162,8 +215,7 @@ def sample_projection(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def prompt_pair_union(spark: SparkSession, sf: str) -> DataFrame:
+def _prompt_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     turns = read_table(spark, sf, "conversations").select(
         (F.col("conv_id") * 100000 + F.col("turn")).alias("ord"),
         F.col("text").alias("original_prompt"),
@@ -175,7 +227,10 @@ def prompt_pair_union(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("prompt"),
         F.when(F.col("lang") != "es", (F.col("n_chars") % 5) + 0.5).cast("double").alias("avg_rating"),
     )
-    pairs = training.match_and_union(training.rewrite_pairs(turns), training.rating_pairs(rated))
+    return turns, rated
+
+
+def _pair_digest(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "ord",
         digest("original_query").alias("query_md5"),
@@ -185,6 +240,12 @@ def prompt_pair_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def prompt_pair_union(spark: SparkSession, sf: str) -> DataFrame:
+    turns, rated = _prompt_sets(spark, sf)
+    return _pair_digest(training.match_and_union(training.rewrite_pairs(turns), training.rating_pairs(rated)))
+
+
 @query
 def task_instruction(spark: SparkSession, sf: str) -> DataFrame:
     found = prepare.with_instruction(fixtures.named_documents(spark, sf), "dataset")
@@ -222,8 +283,9 @@ def pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def encode_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    kept = F.when(F.col("turn") % 7 == 6, F.lit(None)).when(F.col("turn") % 5 == 4, F.array().cast("array<string>"))
     turns = read_table(spark, sf, "conversations", spread=True).select(
-        "conv_id", "turn", F.split("text", " ").alias("tokens")
+        "conv_id", "turn", kept.otherwise(F.split("text", " ")).alias("tokens")
     )
     vocabulary = ordered.with_positions(
         turns.select(F.explode("tokens").alias("token")).distinct(), ["token"], into="id"
@@ -248,11 +310,11 @@ def render_judge(spark: SparkSession, sf: str) -> DataFrame:
     references = prompts.list_text(fixtures.lines(reply))
     return q.select(
         "sample_id",
-        digest(prompts.prompt_quality_request(query_, reply)).alias("quality_md5"),
-        digest(prompts.prompt_quality_request(query_, reply, open_brace=True)).alias("quality_open_md5"),
-        digest(prompts.answer_request(task, query_, reply, references)).alias("answer_md5"),
-        digest(prompts.answer_request(task, query_, reply, references, open_brace=True)).alias("answer_open_md5"),
-        digest(prompts.test_answer_request(query_, reply, references)).alias("test_md5"),
+        digest(prompts.prompt_quality_request(query_, reply, fixtures.TEMPLATES)).alias("quality_md5"),
+        digest(prompts.prompt_quality_request(query_, reply, fixtures.TEMPLATES, open_brace=True)).alias("quality_open_md5"),
+        digest(prompts.answer_request(task, query_, reply, references, fixtures.TEMPLATES)).alias("answer_md5"),
+        digest(prompts.answer_request(task, query_, reply, references, fixtures.TEMPLATES, open_brace=True)).alias("answer_open_md5"),
+        digest(prompts.test_answer_request(query_, reply, references, fixtures.TEMPLATES)).alias("test_md5"),
         prompts.request_id(query_, "t=0").alias("request_id"),
     )
 
@@ -263,7 +325,7 @@ def candidate_fan_out(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(
         "sample_id",
         "cand_idx",
-        digest(prompts.candidate_request(F.col("question"), F.col("reply"))).alias("request_md5"),
+        digest(prompts.candidate_request(F.col("question"), F.col("reply"), fixtures.TEMPLATES)).alias("request_md5"),
     )
 
 
@@ -285,7 +347,9 @@ def render_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def final_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    c = fixtures.completions(spark, sf)
+    """Answer prompts from rewrites that were read, from JSON without the field, and from text that is no JSON."""
+    other = F.when(F.col("sample_id") % 12 == 5, '{"explanation": "no rewrite"}').otherwise(F.concat(F.lit("raw "), "rewrite"))
+    c = fixtures.completions(spark, sf).withColumn("completion", F.when(F.col("shape") == 5, other).otherwise(F.col("completion")))
     parsed = parsing.rewritten_query(F.col("completion"))
     body = F.concat(F.lit("\nQuestion: "), "event_type")
     instruction = F.lit(fixed.INSTRUCTIONS["nq"])
@@ -419,14 +483,26 @@ def numeric_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metric_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics by name; each is a column of one pass over its answers."""
+    problems = prepare.normalize(fixtures.math_problems(spark, sf), "gsm8k").select(
+        F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("It is "), F.get("target", F.lit(0)))).otherwise("#### 7").alias("answer"),
+        "target",
+        F.lit(None).cast("string").alias("judge_text"),
+    )
     out = None
-    scores = fixtures.answers(spark, sf)
-    for name in ("rouge", "em", "gsm8k", "llm_prompt", "llm", "llm_test", "other"):
-        one = scoring.score_metric(scores, name, stem=False).agg(
-            F.lit(name).alias("metric"),
-            F.round(F.avg("value"), 6).alias("mean"),
-            F.count("value").alias("n"),
+    for scores, names in (
+        (fixtures.answers(spark, sf), ("rouge", "em", "llm_prompt", "llm", "llm_test", "other")),
+        (problems, ("gsm8k",)),
+    ):
+        for name in names:
+            scores = scoring.score_metric(scores, name, into=f"m_{name}", stem=False)
+        means = scores.agg(
+            *[F.round(F.avg(f"m_{n}"), 6).alias(f"mean_{n}") for n in names], *[F.count(f"m_{n}").alias(f"n_{n}") for n in names]
         )
+        rows = F.array(
+            *[F.struct(F.lit(n).alias("metric"), F.col(f"mean_{n}").alias("mean"), F.col(f"n_{n}").alias("n")) for n in names]
+        )
+        one = means.select(F.explode(rows).alias("r")).select("r.*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -576,11 +652,13 @@ def candidate_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pick_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The picked candidate of every run; a user's latest choice text stands for a run's selection."""
     report = evaluate.candidate_report(fixtures.candidate_scores(spark, sf))
-    # The choice text of the latest event stands for the model's answer to the selection prompt.
-    latest = fixtures.completions(spark, sf).agg(F.max_by("choice_text", "sample_id").alias("choice_text"))
-    pick = latest.select(parsing.choice_index(F.col("choice_text")).cast("int").alias("cand_idx"))
-    return all_rounded(evaluate.pick_report(report, pick))
+    latest = fixtures.completions(spark, sf).groupBy(F.col("user_id").alias("run_id")).agg(
+        F.max_by("choice_text", "sample_id").alias("choice_text")
+    )
+    picks = latest.select("run_id", parsing.choice_index(F.col("choice_text")).cast("int").alias("cand_idx"))
+    return all_rounded(evaluate.pick_report(report, picks))
 
 
 @query
@@ -595,7 +673,7 @@ def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents")
     first = d.select(F.col("text").alias("original"), F.concat_ws("-", "lang", "source").alias("option_1"))
     second = d.select(F.col("text").alias("original"), F.concat_ws("/", "source", "lang").alias("option_2"))
-    return compare.pairwise_requests(compare.paired_answers(first, second))
+    return compare.pairwise_requests(compare.paired_answers(first, second), fixtures.TEMPLATES)
 
 
 @query
@@ -663,6 +741,25 @@ def early_stop_best(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.stop_on_best_window(fixtures.reward_log(spark, sf), **SHORT_BEST)
 
 
+@query
+def early_stop_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Both rules with their default settings, over the long runs that event types make."""
+    events = read_table(spark, sf, "events")
+    log = fixtures.reward_log(spark, sf).join(
+        events.select(F.col("event_id").alias("step"), "event_type"), "step"
+    ).select(F.col("event_type").alias("run_id"), "ts", "reward", "step")
+    rules = (
+        ("moving", monitor.stop_on_moving_average(log)),
+        ("best", monitor.stop_on_best_window(log)),
+        ("best per epoch", monitor.stop_on_best_window(log, epoch_length=500)),
+    )
+    out = None
+    for name, rows in rules:
+        named = rows.select(F.lit(name).alias("rule"), "run_id", "stop_step", "n_points")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return read_stream(spark, sf, read_table(spark, sf, "events").schema, "events.parquet")
 
@@ -672,7 +769,7 @@ def stream_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     points = _event_stream(spark, sf).select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("reward")
     )
-    return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"])
+    return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"]).drop("n_late")
 
 
 @query
@@ -739,16 +836,72 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# File sources
+
+
+def _in_files(rows: DataFrame, key: str, files: int = 3) -> DataFrame:
+    """Rows in order over a few files, without the key."""
+    return rows.repartitionByRange(files, key).sortWithinPartitions(key).drop(key)
+
+
+@query
+def load_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "datasets")
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("article"), fixtures.first_line(F.col("text")).alias("highlights")
+    )
+    _in_files(d, "doc_id").write.parquet(f"{root}/cnndm/test")
+    return sample_digest(load_dataset(spark, root, "cnn_dailymail", "validation", amount=700, full_prompt=True))
+
+
+@query
+def load_json(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "datasets")
+    o = read_table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("Order "), "o_orderkey", F.lit(" of customer "), "o_custkey").alias("question"),
+        F.concat(F.lit("2 parts, total #### "), fixtures.price("o_totalprice")).alias("answer"),
+    )
+    _in_files(o, "o_orderkey").write.json(f"{root}/gsm8k/train")
+    return sample_digest(load_dataset(spark, root, "gsm8k", "train", full_prompt=True, fmt="json"))
+
+
+@query
+def load_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold one array of a hundred papers each; summaries are plain texts where lists are wanted."""
+    root = scratch_path(spark, "datasets")
+    rows = fixtures.papers(spark, sf).select(
+        F.floor(F.col("ord") / 100).alias("part"),
+        F.struct("ord", "source", F.get("target", F.lit(0)).alias("target")).alias("row"),
+    )
+    arrays = rows.groupBy("part").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(
+        F.lpad(F.col("part").cast("string"), 9, "0").alias("part"),
+        F.to_json(F.transform("rows", lambda r: F.struct(r["source"].alias("source"), r["target"].alias("target")))).alias("value"),
+    )
+    arrays.write.partitionBy("part").text(f"{root}/scitldr/train")
+    return sample_digest(load_dataset(spark, root, "sci", "train", full_prompt=True, fmt="json_array"))
+
+
+@query
+def load_prompt_sets(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "prompts")
+    turns, rated = _prompt_sets(spark, sf)
+    turns.write.parquet(f"{root}/rewrites")
+    rated.write.parquet(f"{root}/ratings")
+    return _pair_digest(load_prompt_pairs(spark, f"{root}/rewrites", f"{root}/ratings"))
+
+
 # Hook
 
 
 def _digest_backend():
-    """Stands for a model client: answers with a digest and refuses long prompts."""
+    """Stands for a model client: answers with a digest and refuses a sixteenth of the prompts."""
 
     def answer(batch: list[str]) -> list[str]:
-        if any(len(p) > LONG_PROMPT for p in batch):
-            raise ValueError("prompt too long")
-        return [hashlib.md5(p.encode()).hexdigest() for p in batch]
+        digests = [hashlib.md5(p.encode()).hexdigest() for p in batch]
+        if any(d.startswith("7") for d in digests):
+            raise ValueError("refused")
+        return digests
 
     return answer
 
@@ -756,7 +909,8 @@ def _digest_backend():
 @query
 def batch_hook(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents", spread=True).select("doc_id", "text")
-    return hooks.generate(d.withColumnRenamed("text", "prompt"), "prompt", _digest_backend).drop("prompt")
+    asked = d.withColumnRenamed("text", "prompt")
+    return hooks.generate(asked, "prompt", _digest_backend, batch_size=50).drop("prompt")
 
 
 @query

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris import fixed_values as fixed
-from verdigris.operators import ordered, prepare
+from verdigris.operators import prepare
 from verdigris.sources import schemas
 
 
@@ -20,24 +20,90 @@ def split_of(name: str, split: str) -> str:
 def read_raw(spark: SparkSession, root: str, name: str, split: str, fmt: str = "parquet") -> DataFrame:
     """Raw rows under ``root/<dataset>/<split>``, lazily, with the dataset's schema.
 
-    Rows need an order. Files should carry ``ord`` (and ``sample_id``); where parquet files do not,
-    the place of a row in its file gives both.
+    Formats: ``parquet``, ``json`` (lines) and ``json_array`` (files that hold one array each). Rows need an order. Files
+    may carry ``ord`` (and ``sample_id``); where they do not, the place of a row in its file, and of the file by name,
+    gives both. A key that is present but NULL in some row is replaced the same way.
     """
     task = prepare.task_of(name)
     schema = schemas.RAW[task]
     path = f"{root}/{task}/{split_of(name, split)}"
-    if fmt == "json":
-        return spark.read.schema(schema).json(path)
-    stored = spark.read.parquet(path)
-    if "ord" not in stored.columns:
-        fields = [f.name for f in schema.fields if f.name not in ("sample_id", "ord")]
-        placed = stored.select(
-            *fields, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-        )
-        stored = ordered.with_positions(placed, ["_file", "_row"], into="ord").drop("_file", "_row")
-    if "sample_id" not in stored.columns:
-        stored = stored.withColumn("sample_id", F.col("ord"))
-    return as_lists(stored, schema).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    rows = with_order(spark.read.parquet(path)) if fmt == "parquet" else _read_json(spark, path, schema, fmt)
+    return as_lists(rows, schema).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
+def with_order(rows: DataFrame) -> DataFrame:
+    """Give scanned Parquet rows ``ord`` and ``sample_id`` where they have none.
+
+    Rows are counted per file; a row's order is the start of its file plus its index there. No row moves.
+    """
+    if {"ord", "sample_id"} <= set(rows.columns):
+        return rows
+    if "ord" not in rows.columns:
+        counts = rows.groupBy(F.col("_metadata.file_path").alias("file")).count().orderBy("file").collect()
+        place = F.col("_metadata.row_index")
+        rows = _numbered(rows, counts, F.col("_metadata.file_path"), place)
+    return rows if "sample_id" in rows.columns else rows.withColumn("sample_id", F.col("ord"))
+
+
+def _numbered(rows: DataFrame, counts: list, unit: Column, place: Column) -> DataFrame:
+    """``ord`` from the place in a unit (a file, or a part of one) and the rows in the units before it."""
+    starts, total = [], 0
+    for name, found in counts:  # one row per file
+        starts.append((name, total))
+        total += found
+    of = rows.sparkSession.createDataFrame(starts, "_unit string, _start bigint")
+    marked = rows.withColumns({"_of": unit, "_place": place})
+    return (
+        marked.join(of, F.col("_of") == F.col("_unit"))
+        .withColumn("ord", F.col("_start") + F.col("_place"))
+        .drop("_of", "_unit", "_place", "_start")
+    )
+
+
+def _relaxed(kind: T.DataType) -> T.DataType:
+    """A schema that takes a list of texts as its JSON text, so that a plain text is read too."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _relaxed(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.StringType() if isinstance(kind.elementType, T.StringType) else T.ArrayType(_relaxed(kind.elementType))
+    return kind
+
+
+def _listed(value: Column, kind: T.DataType) -> Column:
+    """Undo ``_relaxed``: the JSON text of a list becomes the list, any other text a list of one."""
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*[_listed(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), parts)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        read = F.when(value.startswith("["), F.from_json(value, T.ArrayType(T.StringType())))
+        return F.coalesce(read, F.when(value.isNotNull(), F.array(value)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _listed(v, kind.elementType))
+    return value
+
+
+def _read_json(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """JSON rows in the order of their files.
+
+    A scan task reads parts of files in order, so ids that grow in a task number the rows of one part.
+    """
+    relaxed = T.StructType([T.StructField(f.name, _relaxed(f.dataType)) for f in schema.fields])
+    rows = spark.read.schema(relaxed).option("multiLine", fmt == "json_array").json(path)
+    part = F.concat_ws(
+        "#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    )
+    placed = rows.select("*", part.alias("_file_part"), F.monotonically_increasing_id().alias("_id"))
+    # rows before and first id of each part, one row per part of a file
+    parts = placed.groupBy("_file_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).orderBy("_file_part").collect()
+    starts, total = [], 0
+    for name, found, first in parts:
+        starts.append((name, total - first))
+        total += found
+    shifts = spark.createDataFrame(starts, "_unit string, _shift bigint")
+    numbered = placed.join(shifts, F.col("_file_part") == F.col("_unit"))
+    order = F.coalesce("ord", F.col("_id") + F.col("_shift"))
+    fields = [_listed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields if f.name not in ("ord", "sample_id")]
+    return numbered.select(F.coalesce("sample_id", order).alias("sample_id"), order.alias("ord"), *fields)
 
 
 def as_lists(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -18,9 +18,12 @@ CSV_OPTIONS = {
 
 
 def fixed_decimals(value: Column, digits: int) -> Column:
-    """A number as text with ``digits`` decimals; ties of the decimal form go to the even digit."""
-    rounded = F.bround(value.cast("decimal(38,18)"), digits)
-    return rounded.cast(f"decimal(38,{digits})").cast("string")
+    """A number as text with ``digits`` decimals; ties of the decimal form go to the even digit.
+
+    What has no such form, as NaN and numbers of more than twenty digits, is written as it is.
+    """
+    rounded = F.bround(value.try_cast("decimal(38,18)"), digits)
+    return F.coalesce(rounded.cast(f"decimal(38,{digits})").cast("string"), value.cast("string"))
 
 
 def write_results(results: DataFrame, path: str) -> None:

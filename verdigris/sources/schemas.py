@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from verdigris import fixed_values as fixed
+
 _ORDER = [T.StructField("sample_id", T.LongType()), T.StructField("ord", T.LongType())]
 _TEXTS = T.ArrayType(T.StringType())
 
@@ -31,28 +33,53 @@ RAW = {
 }
 
 
-
-def flat(names: str, kind: T.DataType) -> list[T.StructField]:
-    """One field of a type for each of the comma-separated names."""
-    return [T.StructField(name.strip(), kind) for name in names.split(",")]
-
-
-TEXT, NUMBER, WHOLE = T.StringType(), T.DoubleType(), T.LongType()
-
-REWRITE_PAIRS = T.StructType([*flat("ord", WHOLE), *flat("original_prompt, analysis, optimized_prompt", TEXT)])
-RATED_PROMPTS = T.StructType([*flat("ord", WHOLE), *flat("prompt", TEXT), *flat("avg_rating", NUMBER)])
+REWRITE_PAIRS = T.StructType(
+    [
+        T.StructField("ord", T.LongType()),
+        T.StructField("original_prompt", T.StringType()),
+        T.StructField("analysis", T.StringType()),
+        T.StructField("optimized_prompt", T.StringType()),
+    ]
+)
+RATED_PROMPTS = T.StructType(
+    [
+        T.StructField("ord", T.LongType()),
+        T.StructField("prompt", T.StringType()),
+        T.StructField("avg_rating", T.DoubleType()),
+    ]
+)
 REFERENCE_SAMPLES = T.StructType(
-    [*_ORDER, *flat("prompt, original, text, original_query, reference_answer", TEXT)]
+    [
+        *_ORDER,
+        T.StructField("prompt", T.StringType()),
+        T.StructField("original", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("original_query", T.StringType()),
+        T.StructField("reference_answer", T.StringType()),
+    ]
 )
 CURATED_PROMPTS = T.StructType(
     [
-        *flat("original_query, reference_answer, candidate_prompt, final_answer_first, final_answer_second", TEXT),
-        T.StructField("scores", T.ArrayType(NUMBER)),
-        *flat("rouge_score", NUMBER),
+        T.StructField("original_query", T.StringType()),
+        T.StructField("reference_answer", T.StringType()),
+        T.StructField("candidate_prompt", T.StringType()),
+        T.StructField("final_answer_first", T.StringType()),
+        T.StructField("final_answer_second", T.StringType()),
+        T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("rouge_score", T.DoubleType()),
     ]
 )
-RESULTS_LOG = T.StructType([*flat("Name", TEXT), *flat("Accuracy, F1, ROUGE, LLM-as-a-judge", NUMBER)])
+RESULTS_LOG = T.StructType(
+    [T.StructField(name, T.StringType() if name == "Name" else T.DoubleType()) for name in fixed.RESULT_COLUMNS]
+)
+_SCORES = ("Accuracy", "LLM-as-a-judge reward")
 SAMPLE_LOG = T.StructType(
-    [*flat("Original, Rewrite, Final Answer", TEXT), *flat("Accuracy, LLM-as-a-judge reward", NUMBER)]
+    [T.StructField(name, T.DoubleType() if name in _SCORES else T.StringType()) for name in fixed.SAMPLE_COLUMNS]
+)
+REWARD_LOG = T.StructType(
+    [
+        T.StructField("timestamp", T.DoubleType()),
+        T.StructField("reward", T.DoubleType()),
+        T.StructField("step", T.IntegerType()),
+    ]
 )
-REWARD_LOG = T.StructType([*flat("timestamp, reward", NUMBER), T.StructField("step", T.IntegerType())])
