@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import as_text, from_text, stored
 
 SAMPLE = 64
 SEED = 42
@@ -170,7 +170,7 @@ def _edited(text: str, following: str) -> str:
 
 
 _ROWS = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
 
@@ -183,7 +183,7 @@ def _compared(rows: list[tuple]) -> pd.DataFrame:
     by_text = dict(zip((t for _, t, _ in rows), own)) | {rows[-1][2]: prints[-1]} if rows else {}
     return pd.DataFrame(
         {
-            "doc_id": pd.array([i for i, _, _ in rows], dtype="Int64"),
+            "doc_id": [i for i, _, _ in rows],
             "n_chars": [len(t) for _, t, _ in rows],
             "edited_sha256": [hashlib.sha256(e.encode("utf-8", "replace")).hexdigest() for e in edited],
             "fingerprint": own,
@@ -204,7 +204,7 @@ def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held is not None:
                 rows.append((*held, text))
                 size += 2 * len(held[1])
-            held = None if ahead else (None if pd.isna(doc_id) else int(doc_id), text)
+            held = None if ahead else (doc_id, text)
             if size >= BATCH_CHARS:
                 yield _compared(rows)
                 rows, size = [], 0
@@ -232,7 +232,7 @@ def with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     placed = rows.withColumn("part", place.cast("int"))
     tops = sorted(tuple(r) for r in placed.groupBy("part").agg(F.max("doc_id")).collect())
     before = [(part, top, tops[i - 1][0]) for i, (part, top) in enumerate(tops)]
-    heads = spark.createDataFrame(before, "top_part int, top long, before int")
+    heads = F.broadcast(spark.createDataFrame(before, "top_part int, top long, before int"))  # MOST_PARTS rows at most
     lent = (
         placed.join(heads, (F.col("part") == F.col("top_part")) & F.col("doc_id").eqNullSafe(F.col("top")))
         .groupBy("before", "doc_id")
@@ -243,7 +243,7 @@ def with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     return (
         both.repartitionById(len(cuts) + 2, F.col("part"))
         .sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
-        .select("doc_id", "text", "ahead")
+        .select(as_text("doc_id"), "text", "ahead")
     )
 
 
@@ -253,7 +253,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     A null text is empty. Equal ids are ordered by text. A table of one row follows itself; an empty table gives no
     rows; only ``doc_id`` and ``text`` are read.
     """
-    return with_next(docs).mapInPandas(_followed, _ROWS)
+    return from_text(with_next(docs).mapInPandas(_followed, _ROWS), "doc_id")
 
 
 @F.pandas_udf(T.StringType())
