@@ -20,7 +20,7 @@ from verdigris import fixed_values as fixed
 from verdigris.session import cut_lineage
 
 PART_ROWS = 20_000
-MOST_PARTS = 1_024
+LEAST_PARTS, MOST_PARTS = 4, 1_024
 SAMPLED_PER_PART = 20
 SEARCH_PARTS = 64
 BLOCK_ROWS = 100_000
@@ -57,7 +57,7 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_
 
 def _cuts(keys: DataFrame, rows: int, parts: int) -> list[Row]:
     """Fewer than ``parts`` different keys, in order, that cut the rows into about equal parts."""
-    if parts < 2:
+    if parts < 2 or not rows:
         return []
     share = min(1.0, SAMPLED_PER_PART * parts / rows)
     picked = keys.sample(share, seed=fixed.SPLIT_SEED).orderBy(*keys.columns).collect()
@@ -95,7 +95,7 @@ def with_positions(
     """
     keys = df.select(*group, *order)
     rows = keys.count()
-    cuts = _cuts(keys, rows, min(MOST_PARTS, -(-rows // PART_ROWS)))
+    cuts = _cuts(keys, rows, min(MOST_PARTS, max(LEAST_PARTS, -(-rows // PART_ROWS))))
     placed = df.withColumn("_order_block", _cuts_below(keys, cuts))
     counted = keys.withColumn("_order_block", _cuts_below(keys, cuts)).groupBy("_order_block", *group)
     chunks = counted.agg(F.count(F.lit(1)).alias("_rows"))
