@@ -6,11 +6,16 @@ A scored answer has ``sample_id, answer, target ARRAY<STRING>, judge_text`` and
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions import parsing, text
+from verdigris.operators import hooks, prompts
 from verdigris.operators.rouge import with_best_rouge
+from verdigris.session import store
+from verdigris.sources import logs
 
 METRICS = ("em", "f1", "rouge", "judge")
 FAILED_IS_ZERO, FAILED_IS_DROPPED = 0.0, parsing.NO_SCORE
@@ -125,3 +130,101 @@ def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
         for kind in kinds
     ]
     return overall.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _answered(
+    samples: DataFrame, generations: DataFrame, templates: Mapping[str, str], task: str, params: str = ""
+) -> DataFrame:
+    """Recorded answers to ``final_prompt`` and the recorded judgement of each, by request."""
+    answered = hooks.recorded(samples, generations, "final_prompt", params, into="answer").drop("request_id")
+    request = prompts.answer_request(
+        F.lit(task), F.col("text"), F.col("answer"), prompts.list_text(F.col("target")), templates
+    )
+    asked = text.once(answered, "judge_request", request)
+    return hooks.recorded(asked, generations, "judge_request", params, into="judge_text").drop("request_id")
+
+
+def evaluate_rewriter(
+    samples: DataFrame,
+    generations: DataFrame,
+    templates: Mapping[str, str],
+    task: str,
+    run_name: str,
+    results_path: str,
+    samples_path: str,
+    params: str = "",
+    failed: float = FAILED_IS_ZERO,
+    stem: bool = True,
+) -> DataFrame:
+    """From samples to both logs: recorded rewrites, answers and judgements, scores, report and sample log.
+
+    ``generations`` is the record ``request_id, text`` of every model output; what is missing is an empty text. The scored
+    table is stored once, and report and sample log read it. Returns the report with counts of parse outcomes.
+    """
+    asked = hooks.recorded(samples, generations, "prompt", params, into="completion").drop("request_id")
+    parsed = asked.withColumn("parsed", parsing.rewritten_query(F.col("completion")))
+    final = prompts.follow_prompt(F.col("text"), F.col("parsed"), F.col("completion"))
+    followed = text.once(parsed, "final_prompt", final)
+    answered = _answered(followed, generations, templates, task, params)
+    scored = store(with_scores(answered, failed=failed, stem=stem), "scored-samples")
+    report = rewriter_report(scored, asked)
+    logs.write_results(
+        report.select(
+            F.lit(run_name).alias("name"),
+            F.col("avg_em").alias("accuracy"),
+            F.col("avg_f1").alias("f1"),
+            F.col("avg_rouge").alias("rouge"),
+            F.col("avg_judge").alias("judge"),
+        ),
+        results_path,
+    )
+    logs.write_sample_log(
+        scored.select(
+            F.lit(run_name).alias("run_name"),
+            F.concat("original", "text").alias("original"),
+            parsing.rewrite_or_raw(F.col("parsed"), F.col("completion")).alias("rewrite"),
+            F.col("answer").alias("final_answer"),
+            F.col("em").alias("accuracy"),
+            "judge",
+        ),
+        samples_path,
+    )
+    return report
+
+
+def evaluate_sampling(
+    samples: DataFrame,
+    generations: DataFrame,
+    templates: Mapping[str, str],
+    task: str,
+    run_name: str,
+    n: int,
+    results_path: str,
+    stem: bool = True,
+) -> DataFrame:
+    """From samples to three named result rows: best, mean and picked of ``n`` recorded rewrites each.
+
+    A candidate's requests carry its number as their parameter; the selection request of a sample lists its candidates.
+    """
+    candidates = prompts.fan_out(samples, n)
+    keyed = candidates.withColumn("_asked", F.concat_ws("#", "prompt", "cand_idx"))
+    asked = hooks.recorded(keyed, generations, "_asked", into="completion").drop("request_id", "_asked")
+    parsed = parsing.rewritten_query(F.col("completion"))
+    rewritten = text.once(asked, "rewrite", parsing.rewrite_or_raw(parsed, F.col("completion")))
+    final = prompts.candidate_follow_prompt(F.col("original"), F.col("text"), F.col("rewrite"))
+    rewritten = store(text.once(rewritten, "final_prompt", final), "candidates")
+    scored = with_scores(_answered(rewritten, generations, templates, task), stem=stem)
+    chosen = hooks.recorded(prompts.selection_prompts(rewritten, per_example=True), generations, "request", into="choice")
+    picks = chosen.select("sample_id", parsing.choice_index(F.col("choice")).alias("pick"))
+    report = store(candidate_metrics(scored, picks, n), "sampling-report")
+    logs.write_results(
+        report.select(
+            F.concat_ws(" ", F.lit(run_name), "kind").alias("name"),
+            F.col("avg_em").alias("accuracy"),
+            F.col("avg_f1").alias("f1"),
+            F.col("avg_rouge").alias("rouge"),
+            F.col("avg_judge").alias("judge"),
+        ),
+        results_path,
+    )
+    return report

@@ -490,6 +490,46 @@ ORACLES["rewriter_report"] = f"""WITH {REFS} SELECT {_em_f1_first}, {_report},
   (SELECT count(*) FROM events WHERE event_id % 6 = 2) AS n_lenient, 0::BIGINT AS n_pattern,
   (SELECT count(*) FROM events WHERE event_id % 6 = 5) AS n_failed FROM scored WHERE answer <> ''"""
 
+_RUN_TOKENS = f"""refs AS (
+  SELECT sample_id, cand_idx, answer, judged, unnest(target) AS ref, generate_subscripts(target, 1) AS place FROM said),
+ref_tokens AS (
+  SELECT *, {norm('ref')} AS nr, {norm('answer')} AS na, {toks('ref')} AS g, {toks('answer')} AS p,
+    {rouge_toks('ref')} AS rg, {rouge_toks('answer')} AS rp FROM refs),
+ref_scores AS (
+  SELECT sample_id, cand_idx, judged, place, CASE WHEN nr = na THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em, {f1('g', 'p')} AS f1,
+    {harmonic(common_length('rp', 'rg'), 'len(rg)', 'len(rp)')} AS rouge FROM ref_tokens),
+scored AS (
+  SELECT sample_id, cand_idx, any_value(judged) AS judge, max(em) FILTER (place = 1) AS em, max(f1) FILTER (place = 1) AS f1,
+    max(rouge) AS rouge FROM ref_scores GROUP BY sample_id, cand_idx)"""
+_RUN_SAMPLES = f"""{QA}, texts AS (
+  SELECT sample_id, list_filter(list_transform(string_split(reply, chr(10)), lambda t: {strip('t')}), lambda t: t <> '') AS target,
+    chr(10) || 'Question: ' || {strip('question')} AS text FROM qa WHERE {strip('question')} <> '')"""
+_run_follow = f"{lit(fixed.FOLLOW_QUERY)} || text || chr(10) || {lit(fixed.FOLLOW_REWRITE)}"
+ORACLES["evaluate_rewriter"] = f"""WITH {_RUN_SAMPLES}, asked AS (
+  SELECT *, length(text) % 3 AS shape, CASE length(text) % 3 WHEN 0 THEN {_run_follow} || 'Q' || length(text)
+    WHEN 1 THEN '{{"explanation": "none"}}' ELSE {_run_follow} || 'no json' END AS final FROM texts),
+recorded AS (SELECT final, min(text) FILTER (length(final) % 7 <> 0) AS answer FROM asked GROUP BY final),
+said AS (SELECT sample_id, 0 AS cand_idx, r.answer, target,
+    (length(text) % 2)::DOUBLE AS own_judged,
+    CASE WHEN r.answer = text THEN (length(text) % 2)::DOUBLE ELSE 0.0::DOUBLE END AS judged
+  FROM asked JOIN recorded r USING (final) WHERE coalesce(r.answer, '') <> ''),
+{_RUN_TOKENS}
+SELECT round(avg(em), 6) AS avg_em, round(avg(f1), 6) AS avg_f1, round(avg(rouge), 6) AS avg_rouge, round(avg(judge), 6) AS avg_judge,
+  count(*) AS n, (SELECT count(*) FROM asked) AS total_prompts, (SELECT count(*) FROM asked WHERE shape = 0) AS correct_json_count,
+  (SELECT count(*) FROM asked WHERE shape <= 1) AS n_strict, 0::BIGINT AS n_cut, 0::BIGINT AS n_lenient, 0::BIGINT AS n_pattern,
+  (SELECT count(*) FROM asked WHERE shape = 2) AS n_failed, count(*) AS logged, round(sum(judge), 6) AS logged_judge,
+  'run' AS name, round(avg(rouge), 4) AS written_rouge FROM scored"""
+
+ORACLES["evaluate_sampling"] = f"""WITH {_RUN_SAMPLES}, said AS (
+  SELECT sample_id, k AS cand_idx, text || ' ' || k AS answer, target, (k % 2)::DOUBLE AS judged FROM texts, range(5) r(k)),
+{_RUN_TOKENS},
+per AS (SELECT sample_id, {", ".join(f"max({m}) AS max_{m}, avg({m}) AS mean_{m}" for m in ("em", "f1", "rouge", "judge"))} FROM scored GROUP BY sample_id),
+report AS (
+  {" UNION ALL ".join("SELECT '" + kind + "' AS kind, " + ", ".join(f"avg({kind}_{m}) AS avg_{m}" for m in ("em", "f1", "rouge", "judge")) + ", count(*) AS n FROM per" for kind in ("max", "mean"))}
+  UNION ALL SELECT 'choice', avg(em), avg(f1), avg(rouge), avg(judge), count(*) FROM scored WHERE cand_idx = sample_id % 7 - 1)
+SELECT kind, round(avg_em, 6) AS avg_em, round(avg_f1, 6) AS avg_f1, round(avg_rouge, 6) AS avg_rouge, round(avg_judge, 6) AS avg_judge,
+  n, round(avg_rouge, 4) AS written_rouge FROM report"""
+
 CANDIDATES = """cand AS (
   SELECT l_orderkey AS sample_id, l_linenumber - 1 AS cand_idx,
     max(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS em, max(l_discount) * 10 AS f1,

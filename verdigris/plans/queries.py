@@ -669,6 +669,80 @@ def best_mean_choice(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(evaluate.candidate_metrics(fixtures.candidate_scores(spark, sf), picks, n=7))
 
 
+def _record(rows: DataFrame, asked: Column, said: Column) -> DataFrame:
+    """Recorded generations of a request column."""
+    return rows.select(prompts.request_id(asked).alias("request_id"), said.alias("text"))
+
+
+def _run_answers(rows: DataFrame) -> DataFrame:
+    """Stand-in answers and judgements of rows with ``final_prompt`` as further records; a seventh is not recorded."""
+    answer = F.when(F.length("final_prompt") % 7 == 0, F.lit("")).otherwise(F.col("text"))
+    answered = rows.withColumn("answer", answer)
+    judged = prompts.answer_request(
+        F.lit("nq"), F.col("text"), F.col("answer"), prompts.list_text(F.col("target")), fixtures.TEMPLATES
+    )
+    score = F.concat(F.lit('{"explanation": "x", "score": '), (F.length("text") % 2).cast("string"), F.lit("}"))
+    answers = _record(answered.where("answer <> ''"), F.col("final_prompt"), F.col("answer"))
+    return answers.unionByName(_record(answered, judged, score))
+
+
+@query
+def evaluate_rewriter(spark: SparkSession, sf: str) -> DataFrame:
+    """One run from samples to its logs, joined by request; the report and what the logs hold."""
+    samples = prepare.normalize(fixtures.nested_questions(spark, sf), "nq", True)
+    said = (
+        F.when(F.length("text") % 3 == 0, F.concat(F.lit('{"final_rewritten_query": "Q'), F.length("text"), F.lit('"}')))
+        .when(F.length("text") % 3 == 1, F.lit('{"explanation": "none"}'))
+        .otherwise(F.lit("no json"))
+    )
+    rewrites = samples.withColumn("completion", said)
+    parsed = rewrites.withColumn("parsed", parsing.rewritten_query(F.col("completion")))
+    final = parsed.withColumn("final_prompt", prompts.follow_prompt(F.col("text"), F.col("parsed"), F.col("completion")))
+    generations = _record(rewrites, F.col("prompt"), F.col("completion")).unionByName(_run_answers(final))
+    results, log = scratch_path(spark, "run-results"), scratch_path(spark, "run-samples")
+    report = evaluate.evaluate_rewriter(
+        samples, generations, fixtures.TEMPLATES, "nq", "run", results, log, stem=False
+    )
+    logged = logs.read_sample_log(spark, log).agg(
+        F.count(F.lit(1)).alias("logged"), F.sum("LLM-as-a-judge reward").alias("logged_judge")
+    )
+    written = logs.read_results(spark, results).select(F.col("Name").alias("name"), F.col("ROUGE").alias("written_rouge"))
+    for one_row in (logged, written):
+        report = report.withColumn("_one", F.lit(1)).join(one_row.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return all_rounded(report)
+
+
+@query
+def evaluate_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Three result rows of five recorded candidates each, with the picked one by a recorded selection."""
+    samples = prepare.normalize(fixtures.nested_questions(spark, sf), "nq", True)
+    n = 5
+    each = prompts.fan_out(samples, n)
+    said = F.concat(F.lit('{"final_rewritten_query": "R'), F.col("cand_idx"), F.lit('"}'))
+    rewritten = each.withColumn("completion", said).withColumn("rewrite", F.concat(F.lit("R"), "cand_idx"))
+    final = rewritten.withColumn(
+        "final_prompt", prompts.candidate_follow_prompt(F.col("original"), F.col("text"), F.col("rewrite"))
+    )
+    spoken = F.concat("text", F.lit(" "), "cand_idx")
+    answers = _record(final, F.col("final_prompt"), spoken)
+    judged = prompts.answer_request(F.lit("nq"), F.col("text"), spoken, prompts.list_text(F.col("target")), fixtures.TEMPLATES)
+    score = F.concat(F.lit('{"score": '), (F.col("cand_idx") % 2).cast("string"), F.lit("}"))
+    selection = prompts.selection_prompts(rewritten, per_example=True).withColumn(
+        "choice", F.concat(F.lit("number "), (F.col("sample_id") % 7).cast("string"))
+    )
+    generations = (
+        _record(rewritten, F.concat_ws("#", "prompt", "cand_idx"), F.col("completion"))
+        .unionByName(answers)
+        .unionByName(_record(final, judged, score))
+        .unionByName(_record(selection, F.col("request"), F.col("choice")))
+    )
+    results = scratch_path(spark, "sampling-results")
+    report = evaluate.evaluate_sampling(samples, generations, fixtures.TEMPLATES, "nq", "run", n, results, stem=False)
+    written = logs.read_results(spark, results).select(F.col("Name").alias("name"), F.col("ROUGE").alias("written_rouge"))
+    named = report.withColumn("name", F.concat(F.lit("run "), "kind"))
+    return all_rounded(named.join(written, "name").drop("name"))
+
+
 def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents")
     first = d.select(F.col("text").alias("original"), F.concat_ws("-", "lang", "source").alias("option_1"))
