@@ -89,6 +89,8 @@ def test_odd_pages(spark):
     ("<article><header>By me</header>in<footer>tags</footer></article>", "in"),
     ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"),
     ("<article>wo<i>rd</i>s and<span> more</span></article>", "words and more"),
+    ("<article>in<div class='cookieNotice'>out</div><div id='sidebarBox2'>out</div><div class='commentary'>kept</div></article>", "in kept"),
+    ("<div id='mainContent'>wait<div class='articleBody'>in</div></div>", "in"),
 ])
 def test_regions(source, text):
     assert main_text(source) == text

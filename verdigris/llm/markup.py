@@ -13,7 +13,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,11 +46,14 @@ ASIDE_WORDS = frozenset(
     "navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar share sharing social "
     "toolbar widget legal copyright disclaimer skip".split()
 )
+#: Beginnings of words that are written together, as in "sidebarbox".
+ASIDE_STEMS = ("advert", "sidebar", "cookie", "newsletter", "navbar", "breadcrumb", "footer", "sponsor", "promo", "banner", "popup")
 REPLY_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses discussion related recommended".split())
 #: Where the article is, best first.
 REGION_WORDS = (
     frozenset(["articlebody"]),
-    frozenset("content article post entry story maincontent".split()),
+    frozenset(["maincontent"]),
+    frozenset("content article post entry story".split()),
 )
 
 
@@ -81,7 +84,7 @@ def _element(name: str, rest: str, parent: Element | None, in_region: bool) -> E
     found = _attributes(rest) if rest.strip(" /") else {}
     classes = sorted(re.sub(r"\d+", "0", found.get("class", "").lower()).split())
     own_id = re.sub(r"\d+", "0", found.get("id", "").lower())
-    words = {w for value in (*classes, own_id) for w in _WORD.findall(value)}
+    words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     role = found.get("role", "").lower()
     label = ".".join([name, *classes]) + (f"#{own_id}" if own_id else "") + (f"@{role}" if role else "")
     region = 0
@@ -90,11 +93,12 @@ def _element(name: str, rest: str, parent: Element | None, in_region: bool) -> E
     elif name == "main" or role == "main":
         region = 2
     elif name not in ("body", "html"):
-        region = next((3 + i for i, some in enumerate(REGION_WORDS) if words & some), 0)
+        region = next((3 + i for i, some in enumerate(REGION_WORDS) if {*words, *classes, own_id} & some), 0)
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     reply = bool(words & REPLY_WORDS)
     off = name in ASIDE_TAGS or role in ASIDE_ROLES or hidden or reply
-    off = off or (bool(words & ASIDE_WORDS) and name not in ("body", "html", "article", "main"))
+    named = bool(words & ASIDE_WORDS) or any(w.startswith(ASIDE_STEMS) for w in words)
+    off = off or (named and name not in ("body", "html", "article", "main"))
     if off:
         region = 0
     above = parent is not None and parent.aside
