@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import NOT_SPACE, SPACES, stored, words
 
-# Frequent function words of four languages, lower case.
+# Frequent function words of four languages. They count in lower case and with a capital.
 COMMON_WORDS = (
     "the of and to in a is that for it was on are as with by "
     "der die und den von zu das mit sich des auf für ist im dem nicht "
@@ -29,8 +29,14 @@ COMMON_WORDS = (
 ).split()
 COMMON_WORDS = list(dict.fromkeys(COMMON_WORDS))
 SYMBOLS = "[#*$%&|<>]"
-#: Character classes after the symbols; what remains in words is the class "other".
-CLASSES = (r"\p{Lu}+", r"\p{Ll}+", r"\p{Nd}+", r"[.,;:!?'\"()\[\]-]+")
+#: Character classes after the symbols: upper case, digits, marks and what is none of these nor lower case. The rest of the
+#: words is lower case, the largest class, so that no pattern has to match most of a text.
+CLASSES = (
+    r"\p{Lu}+",
+    r"\p{Nd}+",
+    r"[.,;:!?'\"()\[\]-]+",
+    r"[^\p{Lu}\p{Ll}\p{Nd}.,;:!?'\"()\[\]#*$%&|<>\x20\x09-\x0D-]+",
+)
 
 MIN_WORDS = 50
 MIN_CHARS = 200  # of words, for the character comparison
@@ -39,7 +45,10 @@ MIN_REFERENCE_DOCS = 20
 CHAR_LIMIT, CHAR_NOISE = 0.13, 2.0
 WORD_LIMIT, WORD_NOISE = 0.40, 0.5
 
-_CODES = "".join(chr(48 + i) for i in range(len(COMMON_WORDS) + 1))  # "0": no common word
+FEW_REPEATS = 32
+
+_CODES = "".join(chr(48 + i) for i in range(len(COMMON_WORDS)))  # one character for each common word
+_COMMON_FORMS = [form for w in COMMON_WORDS for form in dict.fromkeys((w, w.capitalize()))]
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -57,13 +66,13 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         F.length("body").alias("chars_all"),
         F.filter(F.split("body", "\n"), lambda line: line.rlike(NOT_SPACE)).alias("lines"),
     )
+    # a hashed membership test first; only the few words that pass are looked up in the list
     listed = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    code = F.transform("words", lambda w: F.substr(F.lit(_CODES), F.array_position(listed, F.lower(w)) + 1, F.lit(1)))
-    windows = F.transform(
+    frequent = F.filter("words", lambda w: w.isin(_COMMON_FORMS))
+    code = F.transform(frequent, lambda w: F.substr(F.lit(_CODES), F.array_position(listed, F.lower(w)), F.lit(1)))
+    hashes = F.transform(
         F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")),
-        lambda i: F.struct(
-            F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")
-        ),
+        lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
     )
     counted = split.select(
         "row",
@@ -72,17 +81,32 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         "word_chars",
         (F.col("chars_all") - _without(F.col("body"), SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.when(F.col("n_words") >= 3, windows).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).alias("w"),
+        F.when(F.col("n_words") >= 3, hashes).otherwise(F.array().cast("array<bigint>")).alias("h"),
         *[(F.col("chars_all") - _without(F.col("body"), c)).alias(f"class{k}") for k, c in enumerate(CLASSES)],
         F.array_join(code, "").alias("codes"),
     )
-    repeated = F.filter(
-        "w", lambda x, j: (x["h"] == F.get("w", j - 1)["h"]) | (x["h"] == F.get("w", j + 1)["h"])
+    # most texts repeat no window at all or a few; only the others are sorted with their positions
+    counted = counted.select(
+        "*", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array("h")).alias("sorted")
+    )
+    counted = counted.select(
+        "*", F.array_distinct(F.filter("sorted", lambda x, j: x == F.get("sorted", j - 1))).alias("again")
+    )
+    positions = F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    counted = counted.select("*", F.when(F.size("again") > FEW_REPEATS, F.sort_array(positions)).alias("w"))
+    many = F.transform(
+        F.filter("w", lambda x, j: (x["h"] == F.get("w", j - 1)["h"]) | (x["h"] == F.get("w", j + 1)["h"])),
+        lambda x: x["i"],
+    )
+    few = F.filter(
+        F.transform("h", lambda x, i: F.when(F.array_contains("again", x), i)), lambda i: i.isNotNull()
     )
-    covered = F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+    starts = F.when(F.col("w").isNotNull(), many).when(F.size("again") > 0, few)
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
     classes = [F.col("n_symbols"), *[F.col(f"class{k}") for k in range(len(CLASSES))]]
-    other = functools.reduce(operator.sub, classes, F.col("word_chars"))
+    lower = functools.reduce(operator.sub, classes, F.col("word_chars"))
     hits = [F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit(""))) for c in _CODES]
+    rest = F.col("n_words").cast("int") - F.length("codes")
     return counted.select(
         "row",
         "lang",
@@ -90,9 +114,9 @@ def with_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"),
-        F.transform(F.array(*classes, F.greatest(other, F.lit(0))), lambda n: n.cast("int")).alias("chars"),
-        F.transform(F.array(*hits), lambda n: n.cast("int")).alias("common"),
+        F.coalesce(F.when(starts.isNotNull(), F.size(covered)), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.transform(F.array(*classes, F.greatest(lower, F.lit(0))), lambda n: n.cast("int")).alias("chars"),
+        F.transform(F.array(rest, *hits), lambda n: n.cast("int")).alias("common"),
     ).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
@@ -126,7 +150,7 @@ def references(counted: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             middle("p", len(CLASSES) + 2).alias("chars"),
-            middle("q", len(_CODES)).alias("common"),
+            middle("q", len(_CODES) + 1).alias("common"),
         )
         .filter(F.col("n") >= MIN_REFERENCE_DOCS)
         .select(F.col("lang").alias("ref_lang"), _shares("chars").alias("ref_chars"), _shares("common").alias("ref_common"))
@@ -204,7 +228,7 @@ WITH split AS (
 ), base AS (
   SELECT c.doc_id, lang, n_words, word_chars, [{classes}] AS parts,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-    list_transform({listed}, lambda c: len(list_filter(words, lambda w: lower(w) = c))) AS common
+    list_transform({listed}, lambda c: len(list_filter(words, lambda w: w = c OR w = upper(c[1]) || c[2:]))) AS common
   FROM counted c LEFT JOIN repeated r ON r.doc_id = c.doc_id
 ), hists AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
