@@ -58,6 +58,17 @@ def test_template_text_goes_without_an_article(spark):
     assert got[6] == "Welcome to us Story 9 is told All rights held Call now"
 
 
+def test_template_text_goes_inside_articles(spark):
+    """A notice under plain tags inside every article is the template's; copies of an article are not, short pages have slots too."""
+    page = "<body><div>Top</div><article><h1>Head {n}</h1><p>Story {n} {more}</p><p>Read our weekly letter</p></article></body>"
+    rows = [(f"http://h.org/{i}", page.format(n=i, more="is told at some length here " * (i > 0))) for i in range(9)]
+    copies = [("http://h.org/c", "<body><article><p>A copied story of some length</p><p>Told once more</p></article></body>")] * 4
+    got = texts(spark, rows + copies + [("http://other.org/", page.format(n=9, more="x"))])
+    assert [got[i] for i in range(9)] == [f"Head {i} Story {i}" + " is told at some length here" * (i > 0) for i in range(9)]
+    assert {got[i] for i in range(9, 13)} == {"A copied story of some length Told once more"}
+    assert got[13] == "Head 9 Story 9 x Read our weekly letter"
+
+
 def test_copies_keep_their_text(spark):
     page = "<body><nav>menu</nav><article><p>The same text</p></article></body>"
     got = texts(spark, [("http://h.org/a", page)] * 8)

@@ -7,8 +7,10 @@ make up the host's template: elements whose slots hold what differs between page
 the same class as elements, which belong to the template itself (notices, captions).
 
 The text of a page is what stands in slots of the article: the best region that the page or its host's template has
-(article, main, content classes, else the body), without elements that are no article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments) and outside article elements without template text.
+(article, main, content classes, else the body), without template text and, as a check by names, without elements that are
+no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments). Inside an article element a
+class of blocks is the template's if half of the pages with its path have it and most of their article is left for the slots:
+pages that share most of their article are copies, which keep it.
 
 Vectors are compared through sums of keyed hashes over pages, a grouped sum per (host, token), so a host with a third
 of all pages is combined before the shuffle and none of its pages meet in one task.
@@ -30,9 +32,13 @@ from verdigris.llm.markup import Element, Run, runs, spaced
 #: A class is valid from so many pages on, and from this share of the host's pages.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
+#: A class of blocks that makes up more than this of its pages' text leaves no slots; its pages are copies.
+MOST_TEXT = 0.5
 _HALF = (1 << 31) - 1
 
-_TOKENS = "host string, path string, block long, region int, low long, high long, many long"
+_TOKENS = (
+    "host string, path string, block long, inside boolean, region int, low long, high long, own long, whole long"
+)
 
 
 def _blocks(source: str) -> tuple[list[Element], list[tuple[str, Element]]]:
@@ -50,40 +56,87 @@ def _blocks(source: str) -> tuple[list[Element], list[tuple[str, Element]]]:
     return elements, [(text, run.element) for run in blocks if (text := spaced(run.text))]
 
 
+def _inside(path: str, regions: set[str]) -> bool:
+    """Whether a path is one of the regions or below one."""
+    return path in regions or any(path.startswith(p + "/") for p in regions)
+
+
+def _article(elements: list[Element]) -> set[str]:
+    """The paths of a page's article elements."""
+    return {e.path for e in elements if e.region == 1 and not e.aside}
+
+
 def _block_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row per distinct token of every page; ``low`` and ``high`` are hashes of (page, occurrences)."""
+    """One row per distinct token of every page; ``low`` and ``high`` are hashes of (page, occurrences).
+
+    Blocks say whether they stand inside an article element, their characters (``own``) and those of all blocks there (``whole``).
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, page, source in zip(batch["host"], batch["page"], batch["html"]):
                 elements, blocks = _blocks(source or "")
-                seen: Counter = Counter((e.path, None, 0 if e.aside else e.region) for e in elements)
-                seen.update((e.path, _block_hash(t), 0) for t, e in blocks)
-                seen["", None, 0] += 1
-                for (path, block, region), n in seen.items():
+                article = _article(elements)
+                seen: Counter = Counter((e.path, None, False, 0 if e.aside else e.region) for e in elements)
+                seen["", None, False, 0] += 1
+                whole: Counter = Counter()
+                sizes = {}
+                for text, e in blocks:
+                    if not e.aside:
+                        token = (e.path, _block_hash(text), _inside(e.path, article), 0)
+                        seen[token] += 1
+                        sizes[token] = len(text)
+                        whole[token[2]] += len(text)
+                for token, n in seen.items():
+                    path, block, inside, region = token
                     mark = xxhash.xxh3_64_intdigest(f"{page} {n}".encode())
-                    rows.append((host, path, block, region, mark & _HALF, mark >> 33, n))
-            frame = pd.DataFrame(rows, columns=["host", "path", "block", "region", "low", "high", "many"], dtype=object)
-            yield frame
+                    own = n * sizes.get(token, 0)
+                    rows.append((host, path, block, inside, region, mark & _HALF, mark >> 33, own, whole[inside]))
+            yield pd.DataFrame(
+                rows, columns=["host", "path", "block", "inside", "region", "low", "high", "own", "whole"], dtype=object
+            )
 
     return pages.mapInPandas(tokens, _TOKENS)
 
 
+def _article_template(summed: DataFrame) -> DataFrame:
+    """``h``, ``p``, ``block``, ``inside`` of template blocks inside article elements.
+
+    Half of the pages that have the path have the block, so a path has few of them, and the blocks of its class leave most of
+    their pages' article for the slots.
+    """
+    around = summed.filter("block is null").select(
+        F.col("host").alias("h"), F.col("path").alias("p"), F.col("pages").alias("around")
+    )
+    blocks = summed.filter("inside")
+    nested = blocks.join(around, blocks["host"].eqNullSafe(around["h"]) & (blocks["path"] == around["p"])).filter(
+        F.col("pages") >= LEAST_SHARE * F.col("around")
+    )
+    classes = nested.groupBy("host", "low", "high").agg(
+        F.sum("own").alias("own"),
+        F.max("whole").alias("whole"),
+        F.collect_list(F.struct("path", "block")).alias("texts"),
+    )
+    found = classes.filter(F.col("own") <= MOST_TEXT * F.col("whole")).select(F.col("host").alias("h"), F.explode("texts").alias("t"))
+    return found.select("h", F.col("t.path").alias("p"), "t.block", F.lit(True).alias("inside"))
+
+
 def host_templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``region`` (path of its article, or null) and ``texts`` (path and hash of template blocks)."""
-    summed = page_tokens(pages).groupBy("host", "path", "block").agg(
+    """``host``, ``region`` (path of its article, or null) and ``texts`` (path, hash, ``inside`` of template blocks)."""
+    summed = page_tokens(pages).groupBy("host", "path", "block", "inside").agg(
         F.count("*").alias("pages"),
         F.max("region").alias("region"),
         F.sum("low").alias("low"),
         F.sum("high").alias("high"),
-        F.sum("many").alias("many"),
+        F.sum("own").alias("own"),
+        F.sum("whole").alias("whole"),
     )
-    summed = stored(summed, "page-tokens")
+    summed = stored(summed.filter(F.col("block").isNull() | (F.col("pages") >= LEAST_PAGES)), "page-tokens")
     whole = summed.filter("path = '' and block is null").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     valid = (
         summed.join(whole, summed["host"].eqNullSafe(whole["of"]))
@@ -91,39 +144,40 @@ def host_templates(pages: DataFrame) -> DataFrame:
         .drop("of", "all")
     )
     elements = valid.filter("block is null")
-    texts = valid.filter("block is not null").select(
-        F.col("host").alias("h"), F.col("path").alias("p"), "block", F.col("low").alias("l"), F.col("high").alias("g")
-    )
     # a block of a class of elements: the same occurrence vector
+    texts = valid.filter("block is not null and not inside").select(
+        F.col("host").alias("h"), F.col("path").alias("p"), "block", "inside", F.col("low").alias("l"), F.col("high").alias("g")
+    )
     classes = elements.select("host", "low", "high").distinct()
     same = texts.join(
         classes,
         texts["h"].eqNullSafe(classes["host"]) & (texts["l"] == classes["low"]) & (texts["g"] == classes["high"]),
         "left_semi",
-    )
-    fixed = same.groupBy("h").agg(F.collect_list(F.struct(F.col("p").alias("path"), "block")).alias("texts"))
+    ).select("h", "p", "block", "inside")
+    fixed = same.unionByName(_article_template(summed)).groupBy("h")
+    fixed = fixed.agg(F.collect_list(F.struct(F.col("p").alias("path"), "block", "inside")).alias("texts"))
     best = F.min(F.when(F.col("region") > 0, F.struct(F.col("region"), F.length("path").alias("n"), F.col("path"))))
     regions = elements.groupBy("host").agg(best["path"].alias("region"))
     templates = regions.join(fixed, regions["host"].eqNullSafe(fixed["h"]), "left").select("host", "region", "texts")
     return stored(templates, "host-templates")
 
 
-def main_text(source: str | None, region: str | None = None, texts: set[tuple[str, int]] | None = None) -> str:
+def main_text(source: str | None, region: str | None = None, texts: set[tuple[str, int, bool]] | None = None) -> str:
     """The main text of one page, given its host's template."""
     elements, blocks = _blocks(source or "")
     open_blocks = [(t, e) for t, e in blocks if not e.aside]
     ranks = [e.region for e in elements if e.region and not e.aside]
     kept = []
     if ranks:
-        inside = {e.path for e in elements if e.region == min(ranks) and not e.aside}
-        kept = [(t, e) for t, e in open_blocks if any(e.path == p or e.path.startswith(p + "/") for p in inside)]
+        regions = {e.path for e in elements if e.region == min(ranks) and not e.aside}
+        kept = [(t, e) for t, e in open_blocks if _inside(e.path, regions)]
     elif region is not None:
-        kept = [(t, e) for t, e in open_blocks if e.path == region or e.path.startswith(region + "/")]
+        kept = [(t, e) for t, e in open_blocks if _inside(e.path, {region})]
     if not kept:
         kept = open_blocks
-    if not ranks or min(ranks) > 1:  # outside article elements, what all pages say is the template's
-        fixed = texts or set()
-        kept = [(t, e) for t, e in kept if (e.path, _block_hash(t)) not in fixed]
+    if texts:  # what all pages say is the template's
+        article = _article(elements)
+        kept = [(t, e) for t, e in kept if (e.path, _block_hash(t), _inside(e.path, article)) not in texts]
     return " ".join(t for t, _ in kept)
 
 
@@ -148,7 +202,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 if name not in fixed:
                     if len(fixed) >= 1000:
                         fixed.clear()
-                    fixed[name] = {(x["path"], x["block"]) for x in texts} if texts is not None else set()
+                    fixed[name] = {(x["path"], x["block"], x["inside"]) for x in texts} if texts is not None else set()
                 out.append(main_text(source, region, fixed[name]))
             frame = batch[["page_id", "url"]].reset_index(drop=True)
             yield frame.assign(text=out, n_chars=[len(t) for t in out])
