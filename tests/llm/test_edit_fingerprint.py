@@ -105,3 +105,48 @@ def test_near_pairs(docs_of):
     docs = docs_of([(1, a), (2, a), (3, a[:1400] + "changed" + a[1400:]), (4, text()), (5, None), (6, "")])
     pairs = {(r["a"], r["b"]) for r in ef.near_pairs(docs).collect()}
     assert pairs == {(1, 3)}
+
+
+def near_copies(n, seed):
+    """Texts that share an opening (hot first bands), each with a copy that has changes all over the rest."""
+    rng = random.Random(seed)
+    piece = lambda size: "".join(rng.choice("etaoin shrdlu") for _ in range(size))
+    opening, texts = piece(200), []
+    for _ in range(n):
+        text = opening + piece(130)
+        copy = list(text)
+        for at in range(205, len(text), 14):
+            copy[at] = rng.choice("xyz")
+        texts += [text, "".join(copy)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("n, tile_rows", [(40, 4096), (200, 4096), (200, 50)])
+def test_near_pairs_against_brute_force(docs_of, n, tile_rows):
+    """All pairs of brute force are found at any size, also where unrelated texts crowd the band they share."""
+    texts = near_copies(n, n)
+    prints = ef.fingerprints(texts)
+    first = {p: i for i, p in reversed(list(enumerate(prints)))}
+    classes = sorted((i, p) for p, i in first.items())
+    expected = {
+        (i, j): like
+        for k, (i, p) in enumerate(classes)
+        for j, q in classes[k + 1 :]
+        if (like := ef.likeness(p, q)) >= 0.8
+    }
+    assert len(expected) >= n / 2
+    rows = ef.near_pairs(docs_of(texts), tile_rows=tile_rows).collect()
+    assert {(r["a"], r["b"]): r["likeness"] for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_alike_equals_likeness():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 5, 40, 63, 64, 65, 130, 700]))) for _ in range(80)]
+    prints = sorted(set(ef.fingerprints(texts)))
+    rows = np.arange(len(prints))
+    for least in (0.2, 0.5, 0.8):
+        expected = {(i, j) for i in rows for j in rows[i + 1 :] if ef.likeness(prints[i], prints[j]) >= least}
+        assert {tuple(sorted(p)) for p in ef.alike(prints, rows, rows, least)} == expected
+        mixed = {(i, j) for i, j in expected if (i % 3 == 0) != (j % 3 == 0)}
+        assert {tuple(sorted(p)) for p in ef.alike(prints, rows[rows % 3 == 0], rows[rows % 3 > 0], least)} == mixed

@@ -36,6 +36,8 @@ _STEPS_AT_ONCE = 64
 BATCH_CHARS = 12_000_000
 ROWS_PER_PART, MOST_PARTS = 4000, 10_000
 BAND_BITS = 16
+#: Classes of one band that meet in one task; a band with more is cut into tiles, and each pair of tiles is a unit of work.
+TILE_ROWS = 4096
 _M = 0x9E3779B1
 _MASK = 0xFFFFFFFF
 
@@ -261,39 +263,113 @@ def _prints(texts: pd.Series) -> pd.Series:
     return pd.Series(fingerprints([t or "" for t in texts]), dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bands(prints: pd.Series) -> pd.Series:
+def _cut_bands(text: str) -> list[str]:
     """Whole bands of sampled bits, each with its place; texts too short for one have their whole print."""
     width = BAND_BITS // 4
+    bits = text.split("-")[1]
+    return [f"{i}:{bits[i : i + width]}" for i in range(0, len(bits) - width + 1, width)] or [text]
 
-    def cut(text: str) -> list[str]:
-        bits = text.split("-")[1]
-        whole = [f"{i}:{bits[i : i + width]}" for i in range(0, len(bits) - width + 1, width)]
-        return whole or [text]
 
-    return pd.Series([cut(t) for t in prints], dtype=object)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _bands(prints: pd.Series) -> pd.Series:
+    return pd.Series([_cut_bands(t) for t in prints], dtype=object)
 
 
-@F.pandas_udf(T.DoubleType())
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
+@lru_cache(maxsize=4096)
+def _weights(steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per doubling of a walk: the mask of its sampled bits, how many these are, and the steps they stand for."""
+    masks, counts, sizes = [], [], []
+    block = low = 0
+    while low < steps:
+        size = SAMPLE if block == 0 else SAMPLE << (block - 1)
+        sampled = int((_sampled_steps(block) < steps).sum())
+        masks.append(np.packbits(np.arange(SAMPLE) < sampled).view("<u8")[0])
+        counts.append(max(1, sampled))
+        sizes.append(min(size, steps - low) if sampled else 0)
+        low, block = low + size, block + 1
+    return np.array(masks, dtype="<u8"), np.array(counts), np.array(sizes, dtype=float)
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified links (``a``, ``b``, ``likeness``) that share a band of sampled bits.
+def alike(prints: list[str], first: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of row numbers, one of ``first`` and one of ``second``, whose likeness is ``least`` or more.
 
-    Texts with equal fingerprints are one class, named by its smallest id. In each band the classes are held against the
-    smallest class of the band only, so a crowded band costs one comparison a class. A null text is empty.
+    Both are the same rows or have none in common. One walk is held against all that are no shorter at once; walks so long
+    that their surplus alone rules the pair out are not looked at.
+    """
+    steps = np.array([int(p.split("-")[0], 16) for p in prints], dtype=np.int64)
+    raw = [bytes.fromhex(p.split("-")[1]) for p in prints]
+    wide = -(-max(map(len, raw), default=0) // 8)
+    words = np.frombuffer(b"".join(r.ljust(8 * wide, b"\0") for r in raw), dtype="<u8").reshape(len(raw), wide)
+    first, second = first[np.argsort(steps[first], kind="stable")], second[np.argsort(steps[second], kind="stable")]
+    same = np.array_equal(first, second)
+    for ours, theirs, side in ((first, second, "left"), (second, first, "right"))[: 1 if same else 2]:
+        lengths = steps[theirs]
+        lows = np.arange(1, len(ours) + 1) if same else np.searchsorted(lengths, steps[ours], side)
+        highs = np.searchsorted(lengths, steps[ours] / max(least, 1e-9) * (1 + 1e-9), "right")
+        for x, low, high in zip(ours.tolist(), lows.tolist(), highs.tolist()):
+            if low >= high or not steps[x]:
+                continue
+            masks, counts, sizes = _weights(int(steps[x]))
+            others = theirs[low:high]
+            apart = np.bitwise_count((words[others, : len(masks)] ^ words[x, : len(masks)]) & masks)
+            equal = np.maximum(0.0, 1 - 2 * apart / counts) @ sizes
+            for y in others[equal >= (least - 1e-9) * steps[others]].tolist():
+                if likeness(prints[x], prints[y]) >= least:
+                    yield x, y
+
+
+def _verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Links of each unit (band and two tiles); rows arrive sorted by unit. A pair is told in the first band it shares."""
+
+    def linked(unit: tuple, rows: list[tuple]) -> list[tuple]:
+        band, lo, hi = unit
+        ids, prints, tiles = map(list, zip(*rows))
+        tile = np.array(tiles)
+        first, second = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        out = []
+        for x, y in alike(prints, first, second, least):
+            if next(a for a, b in zip(_cut_bands(prints[x]), _cut_bands(prints[y])) if a == b) == band:
+                a, b = (x, y) if ids[x] < ids[y] else (y, x)
+                out.append((ids[a], ids[b], likeness(prints[a], prints[b])))
+        return out
+
+    unit, rows = None, []
+    for batch in batches:
+        out = []
+        for band, lo, hi, *row in batch[["band", "lo", "hi", "id", "print", "tile"]].itertuples(index=False, name=None):
+            if (band, lo, hi) != unit:
+                if len(rows) > 1:
+                    out += linked(unit, rows)
+                unit, rows = (band, lo, hi), []
+            rows.append(row)
+        yield pd.DataFrame(out, columns=["a", "b", "likeness"])
+    if len(rows) > 1:
+        yield pd.DataFrame(linked(unit, rows), columns=["a", "b", "likeness"])
+
+
+def near_pairs(
+    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text: str = "text", tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """All links (``a``, ``b``, ``likeness``) of at least ``least`` that share a band of sampled bits.
+
+    Texts with equal fingerprints are one class, named by its smallest id; a class without an id has no link. In each band
+    every two classes are compared, tile against tile, so what else shares the band hides no pair. The comparisons grow with
+    the square of a band's classes. A null text is empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), _prints(F.col(text)).alias("print"))
-    classes = stored(rows.groupBy("print").agg(F.min("id").alias("id")), "edit-classes")
+    classes = stored(rows.groupBy("print").agg(F.min("id").alias("id")).filter("id is not null"), "edit-classes")
     banded = classes.select("id", "print", F.explode(_bands("print")).alias("band"))
-    centre = banded.groupBy("band").agg(F.min(F.struct("id", "print")).alias("centre"))
-    pairs = (
-        banded.join(centre, "band")
-        .filter(F.col("centre.id") < F.col("id"))
-        .select(F.col("centre.id").alias("a"), F.col("id").alias("b"), F.col("centre.print").alias("p"), "print")
-        .distinct()
+    tiles = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    tiles = tiles.select("band", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")
+    units = (
+        banded.join(tiles, "band")
+        .withColumn("tile", own)
+        .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("band", F.least("tile", "partner").alias("lo"), F.greatest("tile", "partner").alias("hi"), "id", "print", "tile")
+        .repartition("band", "lo", "hi")
+        .sortWithinPartitions("band", "lo", "hi")
     )
-    verified = pairs.select("a", "b", _likeness("p", "print").alias("likeness"))
-    return verified.filter(F.col("likeness") >= least)
+    kind = docs.schema[id_col].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("likeness", T.DoubleType())])
+    return units.mapInPandas(lambda batches: _verified(batches, least), out)
