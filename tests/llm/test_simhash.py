@@ -101,3 +101,27 @@ def test_one_document_of_each_group_stays(docs_of):
     assert kept.columns == ["doc_id", "text", "keep_id", "source", "n_chars"]
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None) == [(2, near), (9, "quite another text of some words")]
     assert kept.filter("doc_id is null").count() == 1
+
+
+def test_deduplicated_with_wider_radius(docs_of):
+    """Copies with a word in a hundred changed: the contract's values leave most, five-word shingles and 12 bits nearly none."""
+    rng = random.Random(11)
+    rows, n = [], 60
+    for i in range(n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 400))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), len(words) // 100):
+            copy[at] = "changed"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    counts = {}
+    for shingle, radius in ((3, 3), (5, 12)):
+        fps = {i: simhash.fingerprint(t, shingle) & (1 << 64) - 1 for i, t in rows}
+        roots = brute_components(set(fps.values()), radius)
+        least = {}
+        for i, f in fps.items():
+            least[roots[f]] = min(i, least.get(roots[f], i))
+        got = {r["doc_id"] for r in simhash.deduplicated(docs_of(rows), shingle=shingle, radius=radius).collect()}
+        assert got == set(least.values())
+        counts[shingle] = sum(i >= 1000 for i in got)
+        assert sum(i < 1000 for i in got) == n
+    assert counts[3] > n / 4 and counts[5] <= n / 20

@@ -53,14 +53,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` plus its fingerprint column."""
 
+    @F.pandas_udf(T.LongType())
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """``docs`` plus its fingerprint column."""
-    return docs.withColumn(name, _fingerprints(F.col(text)))
+    return docs.withColumn(name, of(F.col(text)))
 
 
 class _Forest:
@@ -255,13 +255,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
     """The columns of ``docs`` for one document of each component: the one with the smallest id.
 
-    Rows repeated with that id and fingerprint leave one row.
+    ``shingle`` words make a shingle; fingerprints of at most ``radius`` different bits link. Rows repeated with that id and
+    fingerprint leave one row.
     """
-    marked = stored(fingerprints(docs, text, "_fp"), "simhash-docs")
-    found = groups(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp")))
+    marked = stored(fingerprints(docs, text, "_fp", shingle), "simhash-docs")
+    found = groups(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp")), radius=radius)
     keep = found.filter(F.col("fp") == F.col("keep_fp")).select(F.col("fp").alias("_fp"), F.col("keep_id").alias("_id"))
     out = marked.join(keep, "_fp").filter(F.col(id_col).eqNullSafe(F.col("_id")))
     return out.dropDuplicates(["_fp"]).select(*docs.columns)
