@@ -69,6 +69,21 @@ def test_template_text_goes_inside_articles(spark):
     assert got[13] == "Head 9 Story 9 x Read our weekly letter"
 
 
+def test_layouts_that_no_half_of_a_host_has(spark):
+    """Menus of three layouts, and a line on 4 of 5 pages, under plain tags on pages without an article."""
+    layouts = [
+        "<body><div>Home Shop Help</div><div><p>Story {n} is told</p>{line}</div></body>",
+        "<body><table><tr><td>All offers of today</td><td>Story {n} is told{line}</td></tr></table></body>",
+        "<body><p>Our team and you</p><section>Story {n} is told</section><section>{line}</section></body>",
+    ]
+    line = "<p>All rights held</p>"
+    rows = [(f"http://h.org/{i}", layouts[i % 3].format(n=i, line=line * (i % 5 > 0))) for i in range(30)]
+    copy = "<body><div><h2>A tale</h2><p>Told on its own pages, the same each time</p></div></body>"
+    got = texts(spark, rows + [("http://h.org/c", copy)] * 6)
+    assert [got[i] for i in range(30)] == [f"Story {i} is told" for i in range(30)]
+    assert {got[i] for i in range(30, 36)} == {"A tale Told on its own pages, the same each time"}
+
+
 def test_copies_keep_their_text(spark):
     page = "<body><nav>menu</nav><article><p>The same text</p></article></body>"
     got = texts(spark, [("http://h.org/a", page)] * 8)

@@ -12,6 +12,9 @@ no article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 class of blocks is the template's if half of the pages with its path have it and most of their article is left for the slots:
 pages that share most of their article are copies, which keep it.
 
+On pages without an article element a class of blocks is judged by its own support, a fixed number of pages, so the menus of
+each of a host's layouts are found; its blocks reach the pages that have them by a join, as there may be many.
+
 Vectors are compared through sums of keyed hashes over pages, a grouped sum per (host, token), so a host with a third
 of all pages is combined before the shuffle and none of its pages meet in one task.
 """
@@ -34,6 +37,11 @@ LEAST_PAGES = 3
 LEAST_SHARE = 0.5
 #: A class of blocks that makes up more than this of its pages' text leaves no slots; its pages are copies.
 MOST_TEXT = 0.5
+#: The same outside article elements, where menus may outweigh the text; and from how many pages on a class counts there.
+MOST_AROUND = 0.8
+LAYOUT_PAGES = 5
+#: Pages of which this says no have no article element.
+_MAY_HAVE_ARTICLE = r"(?i)<article|articlebody"
 _HALF = (1 << 31) - 1
 
 _TOKENS = (
@@ -126,8 +134,44 @@ def _article_template(summed: DataFrame) -> DataFrame:
     return found.select("h", F.col("t.path").alias("p"), "t.block", F.lit(True).alias("inside"))
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """``host``, ``region`` (path of its article, or null) and ``texts`` (path, hash, ``inside`` of template blocks)."""
+def _open_blocks(pages: DataFrame) -> DataFrame:
+    """``h``, ``page``, ``p``, ``b``: the distinct blocks of pages without an article element."""
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, page, source in zip(batch["host"], batch["page"], batch["html"]):
+                elements, found = _blocks(source or "")
+                rows += [(host, page, *token) for token in {(e.path, _block_hash(t)) for t, e in found if not e.aside}]
+            yield pd.DataFrame(rows, columns=["h", "page", "p", "b"], dtype=object)
+
+    return pages.mapInPandas(blocks, "h string, page long, p string, b long")
+
+
+def layout_blocks(summed: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page`` and ``layout`` (path and hash of template blocks) of pages without an article element that have any."""
+    blocks = summed.filter(F.col("block").isNotNull() & ~F.col("inside") & (F.col("pages") >= LAYOUT_PAGES))
+    classes = (
+        blocks.groupBy("host", "low", "high")
+        .agg(F.sum("own").alias("own"), F.max("whole").alias("whole"))
+        .filter(F.col("own") <= MOST_AROUND * F.col("whole"))
+        .select(F.col("host").alias("of"), F.col("low").alias("l"), F.col("high").alias("g"))
+    )
+    valid = blocks.join(
+        classes, blocks["host"].eqNullSafe(classes["of"]) & (blocks["low"] == classes["l"]) & (blocks["high"] == classes["g"]), "left_semi"
+    ).select("host", "path", "block")
+    open_blocks = _open_blocks(pages)
+    met = open_blocks.join(
+        valid,
+        open_blocks["h"].eqNullSafe(valid["host"]) & (open_blocks["p"] == valid["path"]) & (open_blocks["b"] == valid["block"]),
+        "left_semi",
+    )
+    met = met.distinct().groupBy("page").agg(F.collect_list(F.struct(F.col("p").alias("path"), F.col("b").alias("block"))).alias("layout"))
+    return stored(met, "page-layouts")
+
+
+def summed_tokens(pages: DataFrame) -> DataFrame:
+    """The support, vector and characters of every token of every host that can be part of its template."""
     summed = page_tokens(pages).groupBy("host", "path", "block", "inside").agg(
         F.count("*").alias("pages"),
         F.max("region").alias("region"),
@@ -136,7 +180,11 @@ def host_templates(pages: DataFrame) -> DataFrame:
         F.sum("own").alias("own"),
         F.sum("whole").alias("whole"),
     )
-    summed = stored(summed.filter(F.col("block").isNull() | (F.col("pages") >= LEAST_PAGES)), "page-tokens")
+    return stored(summed.filter(F.col("block").isNull() | (F.col("pages") >= LEAST_PAGES)), "page-tokens")
+
+
+def host_templates(summed: DataFrame) -> DataFrame:
+    """``host``, ``region`` (path of its article, or null) and ``texts`` (path, hash, ``inside`` of template blocks)."""
     whole = summed.filter("path = '' and block is null").select(F.col("host").alias("of"), F.col("pages").alias("all"))
     valid = (
         summed.join(whole, summed["host"].eqNullSafe(whole["of"]))
@@ -162,8 +210,13 @@ def host_templates(pages: DataFrame) -> DataFrame:
     return stored(templates, "host-templates")
 
 
-def main_text(source: str | None, region: str | None = None, texts: set[tuple[str, int, bool]] | None = None) -> str:
-    """The main text of one page, given its host's template."""
+def main_text(
+    source: str | None,
+    region: str | None = None,
+    texts: set[tuple[str, int, bool]] | None = None,
+    layout: set[tuple[str, int]] | None = None,
+) -> str:
+    """The main text of one page, given its host's template and the blocks of the page that belong to its layout."""
     elements, blocks = _blocks(source or "")
     open_blocks = [(t, e) for t, e in blocks if not e.aside]
     ranks = [e.region for e in elements if e.region and not e.aside]
@@ -178,6 +231,8 @@ def main_text(source: str | None, region: str | None = None, texts: set[tuple[st
     if texts:  # what all pages say is the template's
         article = _article(elements)
         kept = [(t, e) for t, e in kept if (e.path, _block_hash(t), _inside(e.path, article)) not in texts]
+    if layout:  # a page of which nothing else is left is one of several copies
+        kept = [(t, e) for t, e in kept if (e.path, _block_hash(t)) not in layout] or kept
     return " ".join(t for t, _ in kept)
 
 
@@ -191,21 +246,30 @@ def extracted(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     hashed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    templates = host_templates(hashed)
+    summed = summed_tokens(hashed)
+    templates = host_templates(summed)
+    marked = F.col("html").rlike(_MAY_HAVE_ARTICLE)
+    layouts = layout_blocks(summed, hashed.filter(~marked)).withColumnRenamed("page", "met")
+    bare = rows.filter(~marked).withColumn("page", F.xxhash64("page_id", "url", "html"))
+    bare = bare.join(layouts, F.col("page") == F.col("met"), "left").drop("page", "met")
+    rest = rows.filter(marked | marked.isNull()).withColumn("layout", F.lit(None).cast(layouts.schema["layout"].dataType))
+    rows = rest.unionByName(bare)
     joined = rows.join(templates.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fixed: dict = defaultdict(dict)
         for batch in batches:
             out = []
-            for name, source, region, texts in zip(batch["host"], batch["html"], batch["region"], batch["texts"]):
+            columns = [batch[c] for c in ("host", "html", "region", "texts", "layout")]
+            for name, source, region, texts, layout in zip(*columns):
                 if name not in fixed:
                     if len(fixed) >= 1000:
                         fixed.clear()
                     fixed[name] = {(x["path"], x["block"], x["inside"]) for x in texts} if texts is not None else set()
-                out.append(main_text(source, region, fixed[name]))
+                own = {(x["path"], x["block"]) for x in layout} if layout is not None else None
+                out.append(main_text(source, region, fixed[name], own))
             frame = batch[["page_id", "url"]].reset_index(drop=True)
             yield frame.assign(text=out, n_chars=[len(t) for t in out])
 
-    wanted = joined.select(as_text("page_id"), "url", "host", "html", "region", "texts")
+    wanted = joined.select(as_text("page_id"), "url", "host", "html", "region", "texts", "layout")
     return from_text(wanted.mapInPandas(read, "page_id string, url string, text string, n_chars long"), "page_id")
