@@ -38,6 +38,18 @@ def test_parts_keep_ids(tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "a<|endoftext|>\n b", "a  <|endoftext|>  b", "<|endoftext|>", "<|endoftext| >", "<|endoftext|"]
+
+
+def test_added_tokens_by_default_settings(docs_of):
+    """Without any setting the tokenizer gives an added token in a text its own id."""
+    default = Tokenizer.from_file(PATH)
+    encoder = ChunkEncoder(bpe_files.json_ranks(PATH), bpe_files.json_added(PATH))
+    for text in SPACES + ADDED:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == default.encode(text, add_special_tokens=False).ids, repr(text)
+    check(packing.pack_documents(docs_of(ADDED), PATH).collect(), dict(enumerate(ADDED)), default)
+
+
 def check(rows, texts, tokenizer):
     """Every id of every document is in its place, cuts follow the rule, sequences have no gap."""
     by_doc, by_sequence = {}, {}

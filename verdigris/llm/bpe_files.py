@@ -12,6 +12,16 @@ def rank_file(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def json_added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer in JSON and their ids; they are found in the text before anything else is."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens", ())
+    for token in tokens:
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip"):
+            raise ValueError(f"added token with stripping or word limits: {token['content']!r}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def json_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a byte-level tokenizer in JSON, whose tokens write each byte as one visible character.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.bpe_files import json_ranks
+from verdigris.llm.bpe_files import json_added, json_ranks
 from verdigris.llm.common import as_text, from_text, stored
 from verdigris.llm.pretokens import ChunkEncoder
 
@@ -89,10 +89,11 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of every document (``doc_id``, ``text``), with its length and the checksum of its ids."""
     ranks = docs.sparkSession.sparkContext.broadcast(json_ranks(vocabulary))  # one vocabulary file, under 2 MB
+    added = json_added(vocabulary)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder.of(ranks.value)
+        encoder = ChunkEncoder.of(ranks.value, added)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

@@ -3,7 +3,7 @@
 The pattern (``public_tokenizers.PATTERN``) takes a space together with the non-space that follows it, and white space
 before that space separately. So a text may be cut before every ASCII space that a non-space follows:
 the matches of the parts are the matches of the text. Parts repeat, and each is encoded once per worker
-while the cache lasts.
+while the cache lasts. Added tokens of the vocabulary, if given, are cut out of the text first and have their own ids.
 """
 
 from __future__ import annotations
@@ -28,20 +28,23 @@ class ChunkEncoder:
 
     _last: tuple[int, ChunkEncoder] | None = None
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int] | None = None):
         import public_tokenizers
 
         self._encoding = tiktoken.Encoding(
             "parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self._cache: dict[str, bytes] = {}
+        self._added = {token: array("I", [i]).tobytes() for token, i in (added or {}).items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self._added else None
 
     @classmethod
-    def of(cls, ranks: dict[bytes, int]) -> ChunkEncoder:
+    def of(cls, ranks: dict[bytes, int], added: dict[str, int] | None = None) -> ChunkEncoder:
         """One encoder per worker and vocabulary."""
-        mark = hash(frozenset(ranks.items()))
+        mark = hash((frozenset(ranks.items()), frozenset((added or {}).items())))
         if cls._last is None or cls._last[0] != mark:
-            cls._last = (mark, cls(ranks))
+            cls._last = (mark, cls(ranks, added))
         return cls._last[1]
 
     def _ids(self, part: str) -> bytes:
@@ -56,6 +59,12 @@ class ChunkEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        pieces = self._cut.split(text)  # added tokens stand at the odd places
+        return b"".join([self._added[p] if i % 2 else self._plain(p) for i, p in enumerate(pieces)])
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = parts(text)
         get, miss = self._cache.get, self._miss
         return b"".join([self._ids(first), *[get(p) or miss(p) for p in rest]])
