@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe, chat, edit_fingerprint, packing, page_template, quality_classifier, quality_rules, sharding, simhash, substring
+from verdigris.llm import bpe, chat, edit_fingerprint, fill_in_middle, packing, page_template
+from verdigris.llm import quality_classifier, quality_rules, sharding, simhash, substring
 from verdigris.llm.common import table
 
 
@@ -53,11 +54,29 @@ def op10_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_template.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.document_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_edit_fingerprint, op4_sharding, op5_substring, op6_chat, op7_bpe, op8_packing, op9_quality_rules, op10_page_template)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_simhash,
+        op3_edit_fingerprint,
+        op4_sharding,
+        op5_substring,
+        op6_chat,
+        op7_bpe,
+        op8_packing,
+        op9_quality_rules,
+        op10_page_template,
+        op12_fill_in_middle,
+    )
 }
 ORACLES: dict[str, str] = {
     "op5_substring": substring.SQL,
     "op6_chat": chat.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
 }
