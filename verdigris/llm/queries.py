@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import bpe, chat, edit_fingerprint, fill_in_middle, packing, page_template
-from verdigris.llm import quality_classifier, quality_rules, sharding, simhash, substring
+from verdigris.llm import prefix_trie, quality_classifier, quality_rules, sharding, simhash, substring
 from verdigris.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_template.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.document_forms(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_quality_rules,
         op10_page_template,
+        op11_prefix_trie,
         op12_fill_in_middle,
     )
 }
@@ -78,5 +83,6 @@ ORACLES: dict[str, str] = {
     "op5_substring": substring.SQL,
     "op6_chat": chat.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_fill_in_middle": fill_in_middle.SQL,
 }
