@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import bpe, chat, edit_fingerprint, fill_in_middle, packing, page_template
-from verdigris.llm import prefix_trie, quality_classifier, quality_rules, sharding, simhash, substring
+from verdigris.llm import prefix_trie, quality_classifier, quality_rules, sharding, simhash, substring, suffix_dedup
 from verdigris.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.document_forms(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.document_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_page_template,
         op11_prefix_trie,
         op12_fill_in_middle,
+        op13_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {
