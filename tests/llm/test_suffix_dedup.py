@@ -77,7 +77,8 @@ def test_passages_copies_and_edits(check):
 
 
 def test_periodic_texts_and_long_portions(check, monkeypatch):
-    monkeypatch.setattr(sd, "PORTION_BYTES", 500)
+    for name, value in (("PORTION_BYTES", 500), ("STRING_WINDOWS", 60), ("REGION", 700)):
+        monkeypatch.setattr(sd, name, value)
     rng = random.Random(2)
     long = prose(rng, 3000)
     check([(0, "ab" * 400), (1, "xab" * 200 + long), (2, long[1000:] + "ab" * 90), (3, "y" * 1500), (4, long + "y" * 140), (5, "abc" * 70)])
@@ -96,7 +97,7 @@ def test_one_anchor_among_many_neighbours(check):
 
 def test_other_width(check):
     rng = random.Random(4)
-    check([(i, prose(rng, 200, "ab")) for i in range(30)], width=24, gram=8, unit_places=50)
+    check([(i, prose(rng, 200, "ab")) for i in range(30)], width=24, gram=8, unit_places=200)
 
 
 def test_same_id_different_texts(check):
@@ -121,7 +122,7 @@ def test_index_against_search(seed):
     strings = [base, *(part() for _ in range(rng.randint(0, 7)))]
     queries = [*(part() for _ in range(5)), some(3), b"zz"]
     places = np.array([rng.randint(0, 10**6) for _ in strings])
-    matched, earliest = RunIndex(strings, places, width).statistics(queries)
+    matched, earliest = RunIndex(strings, places, width, 100).statistics(queries)
     for q, lengths, at in zip(queries, matched, earliest):
         for i in range(len(q)):
             longest = max(k for k in range(len(q) - i + 1) if any(q[i : i + k] in s for s in strings))
@@ -133,8 +134,8 @@ def test_index_against_search(seed):
 def test_runs_are_fewer_in_repetitive_text():
     rng = random.Random(0)
     base = bytes(rng.choice(b"abcdefgh") for _ in range(2000))
-    one = RunIndex([base], np.array([0]), 100)
-    many = RunIndex([base] * 30, np.arange(30) * 10_000, 100)
+    one = RunIndex([base], np.array([0]), 100, 100)
+    many = RunIndex([base] * 30, np.arange(30) * 10_000, 100, 100)
     assert many.rows > 29 * one.rows and len(many.key) < 1.2 * len(one.key)
 
 

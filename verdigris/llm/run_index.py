@@ -1,7 +1,7 @@
 """A run-length index over byte strings, and matching statistics streamed through it.
 
 The strings are joined, each closed by a separator, and their suffixes sorted (prefix doubling, as deep as the longest
-string). The Burrows-Wheeler transform is kept as its runs: symbol, first row, length, and the text positions
+query). The Burrows-Wheeler transform is kept as its runs: symbol, first row, length, and the text positions
 (suffix array samples) of a run's first and last row. That is enough to step from a row to the row of the suffix one
 symbol longer, and, where that symbol does not precede the row, to jump to the nearest run end with that symbol
 whose text agrees longest.
@@ -21,7 +21,7 @@ _PACKED, _BITS = 7, 9  # symbols in the first sort key, bits of one (257 symbols
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Order of the keys, dense ranks, and whether all differ."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.empty(len(key), dtype=bool)
     new[:1] = False
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -57,9 +57,12 @@ def sorted_suffixes(text: np.ndarray, depth: int, width: int) -> tuple[np.ndarra
 
 
 class RunIndex:
-    """Index of byte strings; ``places[i]`` is the place of string i's first byte, later bytes count on from it."""
+    """Index of byte strings; ``places[i]`` is the place of string i's first byte, later bytes count on from it.
 
-    def __init__(self, strings: list[bytes], places: np.ndarray, width: int):
+    ``width`` is the least length of interest, ``longest`` the length of the longest query.
+    """
+
+    def __init__(self, strings: list[bytes], places: np.ndarray, width: int, longest: int):
         lengths = np.array([len(s) for s in strings], dtype=np.int64)
         text = np.zeros(int(lengths.sum()) + len(strings), dtype=np.uint16)  # 0 closes a string
         starts = np.cumsum(lengths + 1) - lengths - 1
@@ -67,7 +70,7 @@ class RunIndex:
         inside[starts + lengths] = False
         text[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1
         place = np.repeat(places - starts, lengths + 1) + np.arange(len(text))
-        order, differ = sorted_suffixes(text, int(lengths.max(initial=0)) + 1, width)
+        order, differ = sorted_suffixes(text, longest + 1, width)
         self.width, self.rows = width, len(text)
 
         symbol = text[order - 1]
@@ -83,7 +86,7 @@ class RunIndex:
 
         self.group = np.flatnonzero(differ)
         self.earliest = np.minimum.reduceat(place[order], self.group)
-        self.words = _words(np.concatenate([text, np.zeros(int(lengths.max(initial=0)) + 8, dtype=np.uint16)]))
+        self.words = _words(np.concatenate([text, np.zeros(longest + 8, dtype=np.uint16)]))
 
     def _agreement(self, at: np.ndarray, words: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Symbols, ``most`` at most, in which the text at ``at`` agrees with a query; ``words``: where the query goes on."""
@@ -118,7 +121,7 @@ class RunIndex:
         )
         words = _words(text)
         row, length = np.zeros(len(queries), dtype=np.int64), np.zeros(len(queries), dtype=np.int64)
-        matched = np.zeros((len(queries), wide), dtype=np.int64)
+        matched = np.zeros((len(queries), wide), dtype=np.int32)
         place = np.full((len(queries), wide), NEVER)
         active = np.searchsorted(-lengths[by_length], -(wide - column), side="right")
         for c in range(wide - 1, -1, -1):

@@ -5,16 +5,18 @@ equal windows meet without comparing everything with everything:
 
 1. Anchors. Each window chooses the leftmost of its ``GRAM``-byte pieces with the smallest hash. Equal windows choose alike, so only
    anchors that occur twice in the corpus matter, and only texts that hold one of those go on.
-2. Index. The first place of each such anchor gives a string: all windows that chose it there. These strings are indexed, some thousand
-   anchors at a time (``RunIndex``: run-compressed Burrows-Wheeler transform with sampled run ends). All other places of the anchors are
-   streamed through the index of their anchor; a match of a whole window that starts earlier marks the window. An anchor with many
-   places is spread over several units, each with the same first string.
-3. The rest. Windows which the index does not hold at an earlier place (an anchor between other neighbours) are grouped by 128 bits of
-   hash, and all but the earliest of a group are marked.
+2. Index. The first place of an anchor is its source. Neighbouring sources of one stretch of a document (``REGION`` bytes) form strings,
+   and a unit of work indexes the strings of some stretches (``RunIndex``: run-compressed Burrows-Wheeler transform with sampled run
+   ends). Wherever else the anchors of a stretch occur, the windows that chose them are sent to its unit, as strings of neighbours, and
+   streamed through the index. A match of a whole window that starts earlier marks the window. A stretch that much of the corpus
+   repeats has several units, each with the same index.
+3. The rest. A window that its source does not hold (an anchor between other neighbours) can only repeat a window of the same anchor. Those
+   meet in the unit, where all but the earliest of equal windows (128 bits of hash) are marked; for a stretch with several
+   units they are grouped by Spark instead.
 
 Places are ordered by document id (null first), a digest of the text, and the byte; so rows that share id and text are one document
-given twice, with equal results, and rows that share only the id are ordered by digest. Each step moves rows of bounded size; a group
-that grows with the corpus is only ever counted or reduced to its minimum.
+given twice, with equal results, and rows that share only the id are ordered by digest. A group that grows with the corpus is only ever
+counted or reduced to its minimum.
 """
 
 from __future__ import annotations
@@ -29,19 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import drop_stored, stored
-from verdigris.llm.run_index import NEVER, RunIndex
+from verdigris.llm.run_index import RunIndex
 from verdigris.llm.substring import rolling
 
 WIDTH, GRAM = 100, 32
-#: Places of anchors that meet in one unit, on average and at most for one anchor.
-UNIT_PLACES = 8192
-#: Bytes that are hashed together.
-PORTION_BYTES = 2_000_000
+#: Places of anchors that meet in one unit, on average, and at most for one source stretch.
+UNIT_PLACES = 65_536
+#: Bytes of a source stretch, windows in one string (and up to as many as an anchor has), bytes that are hashed together.
+REGION, STRING_WINDOWS, PORTION_BYTES = 65_536, 512, 400_000
 _BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _NO_ID = -(1 << 63)
 
-_REF = "h long, id long, k long, n long"
-_PIECE = "h long, units long, first boolean, id long, k long, start long, stop long, piece binary"
+_REF = "h long, id long, k long, start long, n long"
+_PIECE = "src long, salts long, first boolean, id long, k long, start long, piece binary"
 _FOUND = "id long, k long, start long, stop long, w1 long, w2 long"
 
 
@@ -82,30 +85,32 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of every ``gram`` bytes (a power of two): sums of powers, put together by doubling, then mixed."""
+    out, size, factor = _BYTE[data], 1, _BASE
+    while size < gram:
+        out = out[:-size] * np.uint64(factor) + out[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
 def anchors(data: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = WIDTH, gram: int = GRAM):
     """Anchors of stretches of ``data``: their hash, the stretch, and first and last window (places in ``data``) that chose them."""
     begin = int(low.min())
-    hashes = rolling(_BYTE[data[begin : int(high.max())]], gram)
-    span = width - gram + 1
-    value, at, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
-    least, least_at, have = None, None, 0
-    while size <= span:
-        if span & size:
-            if least is None:
-                least, least_at = value, at
-            else:
-                n = min(len(least), len(value) - have)
-                right, right_at = value[have : have + n], at[have : have + n]
-                take = right < least[:n]
-                least, least_at = np.where(take, right, least[:n]), np.where(take, right_at, least_at[:n])
-            have += size
-        take = value[size:] < value[:-size]
-        value, at = np.where(take, value[size:], value[:-size]), np.where(take, at[size:], at[:-size])
+    hashes = gram_hashes(data[begin : int(high.max())], gram)
+    # high bits of the hash, then the place: the least is the leftmost of the smallest
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    span, size = width - gram + 1, 1
+    while 2 * size <= span:
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
+    if span > size:
+        least = np.minimum(least[: size - span], least[span - size :])
     sizes = high - low - width + 1
     window = _ranges(low - begin, sizes)
     stretch = np.repeat(np.arange(len(low)), sizes)
-    chosen = least_at[window]
+    chosen = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(window), dtype=bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (stretch[1:] != stretch[:-1])
     edge = np.flatnonzero(new)
@@ -114,110 +119,106 @@ def anchors(data: np.ndarray, low: np.ndarray, high: np.ndarray, width: int = WI
 
 
 def _references(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Each anchor of each row once, with the number of its places."""
+    """Each anchor of each row once, with its first window and the number of its places."""
     schema = _schema(_REF)
     for batch in batches:
         data, starts, ends = _text_bytes(batch["text"])
         ids, ks = batch["id"].to_numpy(), batch["k"].to_numpy()
         for rows, low, high in _portions(starts, ends, width):
-            h, stretch, _, _ = anchors(data, low, high, width, gram)
+            h, stretch, lo, _ = anchors(data, low, high, width, gram)
             row = rows[stretch]
             order = np.lexsort((h, row))
-            h, row = h[order], row[order]
+            h, row, lo = h[order], row[order], lo[order]  # equal ones stay in the order of their places
             head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
             n = np.diff(np.r_[head, len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[head], ids[row[head]], ks[row[head]], n)], schema=schema)
+            row = row[head]
+            columns = h[head], ids[row], ks[row], lo[head] - starts[row], n
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The windows around the repeated anchors of each row, as byte strings.
-
-    A string that a row has twice leaves the later windows as removed right away.
-    """
+    """The windows of repeated anchors of each row, as strings of neighbours with one source."""
     schema = _schema(_PIECE)
     for batch in batches:
         data, starts, ends = _text_bytes(batch["text"])
         ids, ks = batch["id"].to_numpy(), batch["k"].to_numpy()
-        hits = batch["hits"]
-        cuts = hits.offsets.to_numpy()
-        flat = pc.list_flatten(hits)
+        cuts = batch["hits"].offsets.to_numpy()
         cuts = cuts - cuts[0]
-        hit_h, units, first = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        known, seen, met = -1, set(), set()
+        hit_h, hit_src, hit_salts, hit_start = (x.to_numpy(zero_copy_only=False) for x in pc.list_flatten(batch["hits"]).flatten())
         for rows, low, high in _portions(starts, ends, width):
             h, stretch, lo, hi = anchors(data, low, high, width, gram)
-            out: list[tuple] = []
             cut = np.searchsorted(stretch, np.arange(len(rows) + 1))
+            out: list[tuple] = []
             for i, row in enumerate(rows.tolist()):
-                if row != known:
-                    known, seen, met = row, set(), set()
-                    own = slice(cuts[row], cuts[row + 1])
-                    order = np.argsort(hit_h[own])
-                    own_h, own_units, own_first = hit_h[own][order], units[own][order], first[own][order]
-                part = slice(cut[i], cut[i + 1])
+                own = slice(cuts[row], cuts[row + 1])
+                order = np.argsort(hit_h[own])
+                own_h, part = hit_h[own][order], slice(cut[i], cut[i + 1])
                 spot = np.minimum(np.searchsorted(own_h, h[part]), len(own_h) - 1)
                 kept = np.flatnonzero(own_h[spot] == h[part])
-                base, doc, k = int(starts[row]), int(ids[row]), int(ks[row])
-                for x, s, e, hash_ in zip(spot[kept].tolist(), lo[part][kept].tolist(), hi[part][kept].tolist(), h[part][kept].tolist()):
-                    piece = data[s : e + width].tobytes()
-                    if piece in seen:
-                        out.append((hash_, 1, False, doc, k, s - base, e + width - base, None))
-                        continue
-                    seen.add(piece)
-                    out.append((hash_, int(own_units[x]), bool(own_first[x]) and hash_ not in met, doc, k, s - base, e + width - base, piece))
-                    met.add(hash_)
+                if not len(kept):
+                    continue
+                spot, base = own.start + order[spot[kept]], int(starts[row])
+                a, b = lo[part][kept] - base, hi[part][kept] - base
+                src, salts, first = hit_src[spot], hit_salts[spot], hit_start[spot] == a
+                block = a // STRING_WINDOWS
+                new = np.ones(len(kept), dtype=bool)
+                new[1:] = (a[1:] != b[:-1] + 1) | (src[1:] != src[:-1]) | (first[1:] != first[:-1]) | (block[1:] != block[:-1])
+                head = np.flatnonzero(new)
+                stop = b[np.r_[head[1:], len(kept)] - 1] + width
+                doc, k = int(ids[row]), int(ks[row])
+                for s, n, f, p, e in zip(src[head].tolist(), salts[head].tolist(), first[head].tolist(), a[head].tolist(), stop.tolist()):
+                    out.append((s, n, f, doc, k, p, data[base + p : base + e].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def marked(rows: pa.Table, width: int = WIDTH) -> pa.Table:
-    """Removed spans of one unit, and the windows that no indexed string has at an earlier place."""
-    ids, ks, start = (rows[c].to_numpy() for c in ("id", "k", "start"))
+    """Removed spans of one unit, and the windows that have to be compared with those of other units."""
+    ids, ks, start, salts = (rows[c].to_numpy() for c in ("id", "k", "start", "salts"))
+    first = rows["first"].to_numpy(zero_copy_only=False).astype(bool)
     order = np.lexsort((ks, ids))
     new = np.r_[False, (ids[order[1:]] != ids[order[:-1]]) | (ks[order[1:]] != ks[order[:-1]])]
     document = np.empty(len(order), dtype=np.int64)
     document[order] = np.cumsum(new)
     place = (document << 40) | start  # in the order of documents, then bytes
-    piece, first = rows["piece"], rows["first"].to_numpy(zero_copy_only=False).astype(bool)
-    known = piece.is_valid().to_numpy(zero_copy_only=False).astype(bool)
-    stop = rows["stop"].to_numpy()
-    done = np.flatnonzero(~known)
-    spans = [(ids[done], ks[done], start[done], stop[done])]
-    rest = []
-    text = piece.to_pylist()
-    asked = np.flatnonzero(known & ~first)
-    indexed = np.flatnonzero(known & first)
-    if len(asked):
-        queries = [text[i] for i in asked]
-        sizes = np.array([len(q) for q in queries])
-        counts = sizes - width + 1
-        column = np.arange(int(counts.max()))
-        open_ = column < counts[:, None]
-        if len(indexed):
-            index = RunIndex([text[i] for i in indexed], place[indexed], width)
-            matched, earliest = index.statistics(queries)
-            gone = (matched[:, : len(column)] >= width) & (earliest[:, : len(column)] < place[asked][:, None] + column) & open_
-        else:
-            gone = np.zeros_like(open_)
-        step = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        q, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)
-        at = asked[q]
-        spans.append((ids[at], ks[at], start[at] + a, start[at] + b - 1 + width))
-        q, c = np.nonzero(open_ & ~gone)
-        if len(q):
-            whole = _BYTE[np.frombuffer(b"".join(queries), dtype=np.uint8)]
-            window = (np.cumsum(sizes) - sizes)[q] + c
-            at = asked[q]
-            rest = [ids[at], ks[at], start[at] + c, start[at] + c + width]
-            rest += [rolling(whole, width, lane)[window].view(np.int64) for lane in (0, 1)]
-    columns = [np.concatenate(x) for x in zip(*spans)]
-    arrays = [pa.array(x, pa.int64()) for x in columns] + [pa.nulls(len(columns[0]), pa.int64())] * 2
+    asked, sources = np.flatnonzero(~first), np.flatnonzero(first)
     schema = _schema(_FOUND)
-    out = [pa.Table.from_arrays(arrays, schema=schema)]
-    if rest:
-        out.append(pa.Table.from_arrays([pa.array(x, pa.int64()) for x in rest], schema=schema))
-    return pa.concat_tables(out).combine_chunks()
+    if not len(asked):
+        return schema.empty_table()
+    queries = rows["piece"].take(pa.array(asked)).to_pylist()
+    sizes = np.array([len(q) for q in queries])
+    counts = sizes - width + 1
+    column = np.arange(int(counts.max()))
+    open_ = column < counts[:, None]
+    gone = np.zeros_like(open_)
+    if len(sources):
+        index = RunIndex(rows["piece"].take(pa.array(sources)).to_pylist(), place[sources], width, int(sizes.max()))
+        matched, earliest = index.statistics(queries)
+        own = place[asked][:, None] + column
+        gone = (matched[:, : len(column)] >= width) & (earliest[:, : len(column)] < own) & open_
+    q, c = np.nonzero(open_ & ~gone)
+    whole = _BYTE[np.frombuffer(b"".join(queries), dtype=np.uint8)]
+    window = (np.cumsum(sizes) - sizes)[q] + c
+    w1, w2 = (rolling(whole, width, lane)[window].view(np.int64) for lane in (0, 1))
+    here = np.flatnonzero(salts[asked[q]] == 1)  # all other places of the anchor are in this unit
+    at = place[asked[q[here]]] + c[here]
+    order = np.lexsort((at, w2[here], w1[here]))
+    here, at = here[order], at[order]
+    head = np.flatnonzero(np.r_[True, (w1[here[1:]] != w1[here[:-1]]) | (w2[here[1:]] != w2[here[:-1]])][: len(here)])
+    earliest = np.repeat(at[head], np.diff(np.r_[head, len(here)]))
+    again = here[at > earliest]  # equal places are rows of one document given twice
+    gone[q[again], c[again]] = True
+    step = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, a = np.nonzero(step == 1)
+    _, b = np.nonzero(step == -1)
+    of = asked[row]
+    columns = [ids[of], ks[of], start[of] + a, start[of] + b - 1 + width]
+    spans = pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns] + [pa.nulls(len(of), pa.int64())] * 2, schema=schema)
+    there = np.flatnonzero(salts[asked[q]] > 1)
+    of, c = asked[q[there]], c[there]
+    columns = [ids[of], ks[of], start[of] + c, start[of] + c + width, w1[there], w2[there]]
+    rest = pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=schema)
+    return pa.concat_tables([spans, rest]).combine_chunks()
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, unit_places: int = UNIT_PLACES) -> DataFrame:
@@ -225,22 +226,25 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, unit_p
     spark = docs.sparkSession
     refs = docs.select("id", "k", "text").mapInArrow(lambda it: _references(it, width, gram), _REF)
     refs = stored(refs, "suffix-anchors")
-    place = F.struct("id", "k")
-    counts = refs.groupBy("h").agg(F.sum("n").alias("n"), F.min(place).alias("at")).filter("n > 1")
+    at = F.min(F.struct("id", "k", "start")).alias("at")
+    counts = refs.groupBy("h").agg(F.sum("n").alias("n"), at).filter("n > 1")
+    counts = counts.withColumn("src", F.xxhash64("at.id", "at.k", F.floor(F.col("at.start") / REGION)))
     counts = stored(counts, "suffix-repeats")
+    loads = counts.groupBy("src").agg(F.ceil(F.sum("n") / unit_places).alias("salts"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     units = max(1, -(-total // unit_places))
-    hit = F.struct("h", F.ceil(F.col("n") / unit_places).alias("units"), (F.col("at") == place).alias("first"))
-    hits = refs.drop("n").join(counts, "h").groupBy("id", "k").agg(F.collect_set(hit).alias("hits"))
-    hits = stored(hits, "suffix-hits")
+    here = (F.col("at.id") == F.col("id")) & (F.col("at.k") == F.col("k"))
+    hit = F.struct("h", "src", "salts", F.when(here, F.col("at.start")).otherwise(-1).alias("start"))
+    hits = refs.select("h", "id", "k").join(counts.join(loads, "src").drop("n"), "h")
+    hits = stored(hits.groupBy("id", "k").agg(F.collect_set(hit).alias("hits")), "suffix-hits")
     for used in (refs, counts):
         drop_stored(spark, used)
     pieces = docs.select("id", "k", "text").join(hits, ["id", "k"]).mapInArrow(lambda it: _pieces(it, width, gram), _PIECE)
-    salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("units") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("id", "k", "start"), F.col("units")))
+    salt = F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("id", "k", "start"), F.col("salts")))
     )
-    dealt = pieces.withColumn("salt", F.explode(salt)).withColumn("unit", F.pmod(F.xxhash64("h", "salt"), F.lit(units)))
-    found = dealt.drop("h", "units", "salt").groupBy("unit").applyInArrow(lambda rows: marked(rows, width), _FOUND)
+    dealt = pieces.withColumn("salt", F.explode(salt)).withColumn("unit", F.pmod(F.xxhash64("src", "salt"), F.lit(units)))
+    found = dealt.drop("src", "salt").groupBy("unit").applyInArrow(lambda rows: marked(rows, width), _FOUND)
     found = stored(found, "suffix-found")
     drop_stored(spark, hits)
     rest = found.filter("w1 IS NOT NULL").select("w1", "w2", F.struct("id", "k", "start").alias("place"), "stop")
