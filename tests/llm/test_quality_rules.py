@@ -69,3 +69,24 @@ def test_distance(spark):
         quality_rules._distance("p", "q").alias("half"),
     ).first()
     assert row["same"] == 0 and abs(row["apart"] - 1) < 1e-12 and abs(row["half"] - 0.5**0.5) < 1e-12
+
+
+def test_medians_are_exact_at_any_size_and_order(spark):
+    """More rows of a language than any sketch holds, against sorted shares; equal at any partitioning."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    n, places = 120_001, (len(quality_rules.CLASSES) + 2, len(quality_rules.COMMON_WORDS) + 1)
+    draw = lambda k, top: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(top) * (i % 5) + 1).cast("int"))
+    lang = F.when(F.col("id") < 100_001, "en").when(F.col("id") < 120_000, None).otherwise("few")
+    counted = spark.range(n).select(lang.alias("lang"), (F.col("id") % 10 == 9).alias("base_failed"), draw(places[0], 997).alias("chars"), draw(places[1], 53).alias("common"))
+    rows = counted.filter("NOT base_failed").drop("base_failed").toPandas()
+    made = [{r["ref_lang"]: (r["ref_chars"], r["ref_common"]) for r in quality_rules.references(counted.repartition(k)).collect()} for k in (1, 40)]
+    assert made[0] == made[1] and set(made[0]) == {"en", None}
+    for key, got in made[0].items():
+        own = rows[rows["lang"].isna() if key is None else rows["lang"] == key]
+        for name, ours in zip(("chars", "common"), got):
+            x = np.stack(own[name].to_numpy()).astype(float)
+            shares = np.floor(x / x.sum(axis=1, keepdims=True) * quality_rules.BINS)
+            middle = np.sort(shares, axis=0)[(len(x) + 1) // 2 - 1] / quality_rules.BINS
+            assert np.allclose(ours, middle / middle.sum(), atol=1e-12)

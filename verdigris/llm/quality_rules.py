@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import NOT_SPACE, SPACES, stored, words
@@ -46,8 +46,8 @@ CHAR_LIMIT, CHAR_NOISE = 0.13, 2.0
 WORD_LIMIT, WORD_NOISE = 0.40, 0.5
 
 FEW_REPEATS = 32
-#: Medians are right to one rank in so many, and exact below; summaries that tasks send stay small.
-MEDIAN_ACCURACY = 1000
+#: Shares are counted in bins of this width's inverse for the medians: exact counts, at any size and in any order of rows.
+BINS = 100_000
 
 _CODES = "".join(chr(48 + i) for i in range(len(COMMON_WORDS)))  # one character for each common word
 _COMMON_FORMS = [form for w in COMMON_WORDS for form in dict.fromkeys((w, w.capitalize()))]
@@ -142,21 +142,38 @@ def _distance(shares: str, reference: str) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """Median shares per language over the documents that pass the base rules, scaled to one; a row per language."""
-    passed = counted.filter(~F.col("base_failed")).select(
-        "lang", _shares("chars").alias("p"), _shares("common").alias("q")
+    """Median shares per language over the documents that pass the base rules, scaled to one; a row per language.
+
+    Documents are counted by language, place and bin of the share, so what is shuffled and sorted is bounded by the bins. The median is the
+    lower one. Shares of zero are not counted: a place whose other shares do not reach the middle has median zero.
+    """
+    places = len(CLASSES) + 2, len(_CODES) + 1
+    passed = counted.filter(~F.col("base_failed")).select("lang", F.concat(_shares("chars"), _shares("common")).alias("x"))
+    in_bins = F.transform("x", lambda x, i: F.struct(i.alias("place"), F.floor(x * BINS).cast("int").alias("bin")))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.lit(1).alias("bin")))  # counts the documents
+    cells = (
+        passed.select("lang", F.explode(F.concat(whole, F.filter(in_bins, lambda c: c["bin"] > 0))).alias("cell"))
+        .groupBy("lang", "cell.place", "cell.bin")
+        .agg(F.count("*").alias("n"))
+    )
+    sizes = cells.filter("place = -1").select(F.col("lang").alias("of"), F.col("n").alias("docs"))
+    sizes = sizes.filter(F.col("docs") >= MIN_REFERENCE_DOCS)
+    from_top = Window.partitionBy("lang", "place").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.filter("place >= 0").withColumn("down_to", F.sum("n").over(from_top))
+    rank = F.col("docs") - F.floor((F.col("docs") + 1) / 2) + 1  # of the lower median, counted from the top
+    middle = (
+        ranked.join(sizes, F.col("lang").eqNullSafe(F.col("of")), "right")
+        .groupBy("of")
+        .agg(F.collect_list(F.when((F.col("down_to") >= rank) & (F.col("down_to") - F.col("n") < rank), F.struct("place", "bin"))).alias("m"))
+        .select("of", F.map_from_entries("m").alias("m"))
     )
-    middle = lambda name, n: F.array(*[F.percentile_approx(F.get(name, F.lit(i)), 0.5, MEDIAN_ACCURACY) for i in range(n)])
-    return (
-        passed.groupBy("lang")
-        .agg(
-            F.count("*").alias("n"),
-            middle("p", len(CLASSES) + 2).alias("chars"),
-            middle("q", len(_CODES) + 1).alias("common"),
-        )
-        .filter(F.col("n") >= MIN_REFERENCE_DOCS)
-        .select(F.col("lang").alias("ref_lang"), _shares("chars").alias("ref_chars"), _shares("common").alias("ref_common"))
+    at = lambda i: F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0)) / BINS
+    medians = middle.select(
+        F.col("of").alias("ref_lang"),
+        F.array(*[at(i) for i in range(places[0])]).alias("chars"),
+        F.array(*[at(places[0] + i) for i in range(places[1])]).alias("common"),
     )
+    return medians.select("ref_lang", _shares("chars").alias("ref_chars"), _shares("common").alias("ref_common"))
 
 
 def judged(counted: DataFrame) -> DataFrame:
@@ -244,7 +261,7 @@ WITH split AS (
 ), shares AS (
   SELECT *, CASE WHEN total > 0 THEN n::DOUBLE / total ELSE 0.0 END AS p FROM bins
 ), medians AS (
-  SELECT lang, kind, k, quantile_disc(p, 0.5) AS m, count(*) AS docs FROM shares WHERE NOT base_failed GROUP BY lang, kind, k
+  SELECT lang, kind, k, quantile_disc(floor(p * {BINS}), 0.5) / {BINS} AS m, count(*) AS docs FROM shares WHERE NOT base_failed GROUP BY lang, kind, k
 ), refs AS (
   SELECT *, m / sum(m) OVER (PARTITION BY lang, kind) AS q FROM medians WHERE docs >= {MIN_REFERENCE_DOCS}
 ), distances AS (
