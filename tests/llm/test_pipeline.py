@@ -77,6 +77,35 @@ def test_run_gives_the_last_stage(spark, sf, stages):
     assert count(corpus_pipeline.run(spark, sf)) == count(stages[-1])
 
 
+def test_steps_are_deleted_when_the_next_stage_starts(spark, sf):
+    from pathlib import Path
+
+    from verdigris.llm.common import stored
+    from verdigris.session import checkpoint_root
+
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    label = lambda: {p.name.rpartition("-")[0] for p in set(root.iterdir()) - before}
+    docs = stored(spark.read.parquet(f"{sf}/documents.parquet").limit(40), "given")
+    first = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    second = corpus_pipeline.STAGES[1][1](spark, first, sf)  # reads what the first stage stored
+    assert "document-evidence" in label() and second.count() <= 40
+    corpus_pipeline.STAGES[3][1](spark, stored(second, "kept"), sf)
+    assert not {"document-evidence", "rule-counts"} & label()
+
+
+def test_clashing_columns(spark, sf, docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([f"some words of document {i % 7} " * 30 for i in range(20)])
+    names = ["_id", "_fp", "fp", "key", "row", "keep_id", "keep_key", "n", "at", "new", "lang_", "p", "z", "host", "words", "text_"]
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[c] == i for r in out.collect() for i, c in enumerate(names))
+
+
 def test_empty_documents(spark, sf, docs_of):
     docs = docs_of([])
     for _, stage in corpus_pipeline.STAGES:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from verdigris.llm import simhash
 from verdigris.llm.components import components
@@ -125,3 +126,16 @@ def test_deduplicated_with_wider_radius(docs_of):
         counts[shingle] = sum(i >= 1000 for i in got)
         assert sum(i < 1000 for i in got) == n
     assert counts[3] > n / 4 and counts[5] <= n / 20
+
+
+def test_repeats_of_one_id_leave_the_same_row_always(spark, docs_of):
+    near = " ".join(f"word{i}" for i in range(400))
+    rows = [(4, near), (4, near), (4, near + " again"), (7, near)]
+    docs = docs_of(rows).withColumn("n_chars", F.monotonically_increasing_id())
+    kept = [simhash.deduplicated(docs.repartition(n)).collect() for n in (1, 3)]
+    assert len(kept[0]) == 1 and kept[0][0]["doc_id"] == 4 and kept[0][0]["text"] == kept[1][0]["text"]
+
+
+def test_texts_move_once(docs_of):
+    plan = simhash.deduplicated(docs_of([f"text number {i}" for i in range(30)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan

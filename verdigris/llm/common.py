@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,19 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def steps_into(paths: list[str]) -> Iterator[None]:
+    """Note the folders of all steps stored inside the block in ``paths``, for ``drop_paths`` when they are no longer read."""
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.remove(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +42,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in _collecting:
+        paths.append(path)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
@@ -35,9 +53,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the folder of a table from ``stored`` that nothing reads any more."""
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in the shared checkpoint folder; those that are gone already are left out."""
+    for folder in paths:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -45,6 +63,11 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             return
 
 
+def drop_stored(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the folder of a table from ``stored`` that nothing reads any more."""
+    drop_paths(spark, sorted({name.rpartition("/")[0] for name in df.inputFiles()}))
+
+
 def as_text(name: str) -> Column:
     """An integer column as text: pandas would turn integers beside nulls into floating point."""
     return F.col(name).cast("string").alias(name)

@@ -260,11 +260,31 @@ def deduplicated(
 ) -> DataFrame:
     """The columns of ``docs`` for one document of each component: the one with the smallest id.
 
-    ``shingle`` words make a shingle; fingerprints of at most ``radius`` different bits link. Rows repeated with that id and
-    fingerprint leave one row.
+    ``shingle`` words make a shingle; fingerprints of at most ``radius`` different bits link. Texts are read once for their fingerprints
+    and moved once, when the chosen rows are picked; all decisions are taken on ids, fingerprints and digests.
+
+    Null and empty texts have fingerprint zero and are one group; a null id is chosen only in a group without other ids; of rows with
+    one id the smallest fingerprint, then the smallest digest of the text stays, and of rows that repeat id and text one, the
+    smallest by a digest of its columns. An empty table gives no rows; the names of other columns do not matter.
     """
-    marked = stored(fingerprints(docs, text, "_fp", shingle), "simhash-docs")
-    found = groups(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp")), radius=radius)
-    keep = found.filter(F.col("fp") == F.col("keep_fp")).select(F.col("fp").alias("_fp"), F.col("keep_id").alias("_id"))
-    out = marked.join(keep, "_fp").filter(F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.dropDuplicates(["_fp"]).select(*docs.columns)
+    spark = docs.sparkSession
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    marked = fingerprints(rows.select("doc_id", "key", "text"), shingle=shingle).select("doc_id", "key", "fp")
+    marked = stored(marked, "simhash-rows")
+    found = groups(marked.select("doc_id", "fp"), radius=radius)
+    keep = found.filter(F.col("fp") == F.col("keep_fp")).select("fp", "keep_id")
+    candidates = marked.join(keep, "fp").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    counted = candidates.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = counted.groupBy("fp", "doc_id").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"))
+    chosen = stored(least.select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"), "n"), "simhash-chosen")
+    for used in (marked, found):
+        drop_stored(spark, used)
+    here = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    picked = rows.drop("text").join(chosen.hint("shuffle_hash"), here)
+    out = picked.filter("n = 1").select("row")
+    if not chosen.filter("n > 1").isEmpty():
+        digest = F.xxhash64(F.to_json("row"))
+        one = picked.filter("n > 1").groupBy("keep_id", "keep_key").agg(F.min_by("row", digest).alias("row"))
+        out = out.unionByName(one.select("row"))
+    return out.select("row.*")
