@@ -1,14 +1,15 @@
 """A run-length index over byte strings, and matching statistics streamed through it.
 
 The strings are joined, each closed by a separator, and their suffixes sorted (prefix doubling, as deep as the longest
-query). The Burrows-Wheeler transform is kept as its runs: symbol, first row, length, and the text positions
-(suffix array samples) of a run's first and last row. That is enough to step from a row to the row of the suffix one
-symbol longer, and, where that symbol does not precede the row, to jump to the nearest run end with that symbol
-whose text agrees longest.
+query). The Burrows-Wheeler transform is kept as its runs: symbol, first row and last row of each, and the row its first row steps to. That is
+enough to go from a row to the row of the suffix one symbol longer, and, where that symbol does not precede the row, to jump
+to the run end with that symbol, before or after, which agrees longest; how long is the least of the common
+prefixes of neighbouring rows in between.
 
 Queries are streamed from right to left, all of them by one symbol at a time, so one numpy operation
 serves every query. At each symbol a query has the length of its longest match and a row that holds it.
-Rows are grouped by their first ``width`` symbols; a group keeps the smallest place at which its string starts.
+Rows with the same first ``width`` symbols are neighbours; each such group keeps the smallest place at which its string
+starts, a sample of the suffix array.
 """
 
 from __future__ import annotations
@@ -30,30 +31,36 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     return order, rank, bool(new[1:].all())
 
 
-def sorted_suffixes(text: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` symbols at least, and where rows differ within ``width`` symbols."""
+def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` symbols at least, and how many symbols neighbours have in common."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64), np.zeros(_PACKED, dtype=np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
     for j in range(_PACKED):
         key = (key << np.uint64(_BITS)) | padded[j : j + n]
     order, rank, done = _ranks(key)
-    size, kept, kept_size = _PACKED, rank, _PACKED
-    while size < depth and not done:
-        if size <= width:
-            kept, kept_size = rank, size
+    levels = [(_PACKED, rank)]
+    while levels[-1][0] < depth and not done:
+        size, rank = levels[-1]
         later = np.zeros(n, dtype=np.int64)
         later[: max(n - size, 0)] = rank[size:] + 1
         order, rank, done = _ranks(rank * (n + 1) + later)
-        size *= 2
-    if size <= width:
-        kept, kept_size = rank, size
-    differ = np.ones(n, dtype=bool)
-    if kept_size * 2 >= width:  # else the ranks were all different before
-        a, b, shift = order[1:], order[:-1], width - kept_size
-        kept = np.concatenate([kept, np.full(shift + 1, -1)])
-        differ[1:] = (kept[a] != kept[b]) | (kept[a + shift] != kept[b + shift])
-    return order, differ
+        levels.append((2 * size, rank))
+    common = np.zeros(n, dtype=np.int64)
+    a, b = order[1:].copy(), order[:-1].copy()
+    for size, rank in reversed(levels):
+        rank = np.concatenate([rank, np.full(depth + 4 * size, -1)])
+        same = rank[a] == rank[b]
+        step = np.where(same, size, 0)
+        a, b, common[1:] = a + step, b + step, common[1:] + step
+    symbols = np.concatenate([text, np.zeros(depth + 4 * levels[-1][0] + _PACKED, dtype=text.dtype)])
+    live = np.arange(n - 1)
+    for _ in range(_PACKED - 1):
+        live = live[symbols[a[live]] == symbols[b[live]]]
+        a[live] += 1
+        b[live] += 1
+        common[live + 1] += 1
+    return order, np.minimum(common, depth)
 
 
 class RunIndex:
@@ -70,7 +77,7 @@ class RunIndex:
         inside[starts + lengths] = False
         text[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.uint16) + 1
         place = np.repeat(places - starts, lengths + 1) + np.arange(len(text))
-        order, differ = sorted_suffixes(text, longest + 1, width)
+        order, common = sorted_suffixes(text, max(longest + 1, width))
         self.width, self.rows = width, len(text)
 
         symbol = text[order - 1]
@@ -82,28 +89,20 @@ class RunIndex:
         self.key = self.symbol * self.rows + self.first
         size = self.last - self.first + 1
         self.to = np.cumsum(size) - size  # the row that the first row of a run steps to
-        self.first_at, self.last_at = order[self.first], order[self.last]
 
-        self.group = np.flatnonzero(differ)
+        self.group = np.flatnonzero(common < width)
         self.earliest = np.minimum.reduceat(place[order], self.group)
-        self.words = _words(np.concatenate([text, np.zeros(longest + 8, dtype=np.uint16)]))
-
-    def _agreement(self, at: np.ndarray, words: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Symbols, ``most`` at most, in which the text at ``at`` agrees with a query; ``words``: where the query goes on."""
-        out = np.zeros(len(at), dtype=np.int64)
-        live = np.flatnonzero(most > 0)
-        step = 0
-        while len(live):
-            other = self.words[at[live] + step] ^ words[live, step]
-            same = other == 0
-            stopped, x = live[~same], other[~same]
-            part = sum(((x & np.uint64((1 << bits) - 1)) == 0).astype(np.int64) for bits in (16, 32, 48))
-            out[stopped] = step + part
-            live = live[same]
-            step += 4
-            out[live] = step
-            live = live[step < most[live]]
-        return np.minimum(out, most)
+        self.common = np.empty((self.rows.bit_length(), self.rows), dtype=np.int32)  # least of 1, 2, 4, ... rows from each
+        self.common[0] = common
+        for k in range(1, len(self.common)):
+            half = 1 << (k - 1)
+            self.common[k] = self.common[k - 1]
+            np.minimum(self.common[k - 1, :-half], self.common[k - 1, half:], out=self.common[k, :-half])
+
+    def _agreement(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes of rows ``low`` and ``high``, a later one, have in common."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        return np.minimum(self.common[level, low + 1], self.common[level, high - (1 << level) + 1])
 
     def statistics(self, queries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Longest match from each byte of each query, and the earliest place of the ``width`` bytes from there.
@@ -114,55 +113,42 @@ class RunIndex:
         lengths = np.array([len(q) for q in queries], dtype=np.int64)
         wide = int(lengths.max(initial=0))
         by_length = np.argsort(-lengths, kind="stable")
-        text = np.zeros((len(queries), wide + 8), dtype=np.uint16)  # aligned at the right
         column = np.arange(wide)
-        text[:, :wide][column >= (wide - lengths[by_length])[:, None]] = (
-            np.frombuffer(b"".join(queries[i] for i in by_length), dtype=np.uint8).astype(np.uint16) + 1
-        )
-        words = _words(text)
+        inside = column >= (wide - lengths[by_length])[:, None]  # aligned at the right while streaming
+        text = np.zeros((len(queries), wide), dtype=np.uint16)
+        text[inside] = np.frombuffer(b"".join(queries[i] for i in by_length), dtype=np.uint8).astype(np.uint16) + 1
         row, length = np.zeros(len(queries), dtype=np.int64), np.zeros(len(queries), dtype=np.int64)
         matched = np.zeros((len(queries), wide), dtype=np.int32)
         place = np.full((len(queries), wide), NEVER)
-        active = np.searchsorted(-lengths[by_length], -(wide - column), side="right")
+        active = np.searchsorted(-lengths[by_length], column - wide, side="right")
         for c in range(wide - 1, -1, -1):
             n = active[c]
             sign, here = text[:n, c].astype(np.int64), row[:n]
             run = np.searchsorted(self.key, sign * self.rows + here, side="right") - 1
             before = (run >= 0) & (self.symbol[run] == sign)
-            inside = before & (here <= self.last[run])
             moved = self.to[run] + here - self.first[run]
             grown = length[:n] + 1
-            miss = np.flatnonzero(~inside)
+            miss = np.flatnonzero(~(before & (here <= self.last[run])))
             if len(miss):
-                r, had = run[miss], length[miss]
+                r, had, at, sign = run[miss], length[miss], here[miss], sign[miss]
                 after = np.minimum(r + 1, len(self.key) - 1)
-                ahead = (r + 1 < len(self.key)) & (self.symbol[after] == sign[miss])
-                goes_on = words[miss, c + 1 :]
-                left = np.where(before[miss], self._agreement(self.last_at[r], goes_on, np.where(before[miss], had, 0)), -1)
-                right = np.where(ahead, self._agreement(self.first_at[after], goes_on, np.where(ahead, had, 0)), -1)
-                moved[miss] = np.where(right > left, self.to[after], np.where(left >= 0, self.to[r] + self.last[r] - self.first[r], 0))
+                ahead = (r + 1 < len(self.key)) & (self.symbol[after] == sign)
+                left, right = np.full(len(miss), -1), np.full(len(miss), -1)
+                x = np.flatnonzero(before[miss])
+                left[x] = np.minimum(had[x], self._agreement(self.last[r[x]], at[x]))
+                x = np.flatnonzero(ahead)
+                right[x] = np.minimum(had[x], self._agreement(at[x], self.first[after[x]]))
+                end = np.where(left >= 0, self.to[r] + self.last[r] - self.first[r], 0)
+                moved[miss] = np.where(right > left, self.to[after], end)
                 grown[miss] = np.maximum(left, right) + 1
             row[:n], length[:n] = moved, grown
             matched[:n, c] = grown
             long = np.flatnonzero(grown >= self.width)
             place[long, c] = self.earliest[np.searchsorted(self.group, moved[long], side="right") - 1]
-        shift = (wide - lengths)[:, None]
-        back = np.empty(len(queries), dtype=np.int64)
-        back[by_length] = np.arange(len(queries))
-        at = np.minimum(column + shift, wide - 1)
-        outside = column >= lengths[:, None]
-        matched, place = (np.take_along_axis(x[back], at, axis=1) for x in (matched, place))
-        matched[outside], place[outside] = 0, NEVER
-        return matched, place
-
-
-def _words(symbols: np.ndarray) -> np.ndarray:
-    """Four symbols from each place on (along the last axis) as one number, the first in the lowest bits."""
-    wide = symbols.astype(np.uint64)
-    pad = np.zeros((*wide.shape[:-1], 3), dtype=np.uint64)
-    wide = np.concatenate([wide, pad], axis=-1)
-    n = symbols.shape[-1]
-    out = wide[..., :n].copy()
-    for j in range(1, 4):
-        out |= wide[..., j : j + n] << np.uint64(16 * j)
-    return out
+        out = np.zeros_like(matched), np.full_like(place, NEVER)
+        left = column < lengths[by_length][:, None]
+        for whole, part in zip(out, (matched, place)):
+            turned = whole[: len(queries)]
+            turned[left] = part[inside]
+            whole[by_length] = turned.copy()
+        return out

@@ -36,7 +36,7 @@ from verdigris.llm.substring import rolling
 
 WIDTH, GRAM = 100, 32
 #: Places of anchors that meet in one unit, on average, and at most for one source stretch.
-UNIT_PLACES = 65_536
+UNIT_PLACES = 16_384
 #: Bytes of a source stretch, windows in one string (and up to as many as an anchor has), bytes that are hashed together.
 REGION, STRING_WINDOWS, PORTION_BYTES = 65_536, 512, 400_000
 _BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
