@@ -33,9 +33,9 @@ def test_positions_per_group(skewed):
     assert len(groups[0]) == 1000
 
 
-@pytest.mark.parametrize("part_rows", [40, 10_000])
-def test_first_and_skip(skewed, monkeypatch, part_rows):
-    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+@pytest.mark.parametrize("take_rows", [3, 40, 10_000])
+def test_first_and_skip(skewed, monkeypatch, take_rows):
+    monkeypatch.setattr(ordered, "TAKE_ROWS", take_rows)
     assert [r["ord"] for r in ordered.first_rows(skewed, 5, ["ord"]).orderBy("ord").collect()] == [0, 1, 2, 3, 4]
     rest = ordered.skip_rows(skewed, 2995, "ord")
     assert sorted(r["ord"] for r in rest.collect()) == [2995, 2996, 2997, 2998, 2999]
@@ -110,9 +110,9 @@ def test_broadcast_only_when_small(skewed):
     assert not hinted(ordered.broadcast_if_small(skewed, 2999))
 
 
-@pytest.mark.parametrize("part_rows", [60, 10_000])
-def test_slices_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
-    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+@pytest.mark.parametrize("take_rows", [3, 60, 10_000])
+def test_slices_with_ties_and_missing_keys(spark, monkeypatch, take_rows):
+    monkeypatch.setattr(ordered, "TAKE_ROWS", take_rows)
     rows = [(None if i % 5 == 0 else i % 4, i // 3, "x") for i in range(200)] + [(2, 7, "x")] * 30
     df = spark.createDataFrame(rows, "k INT, v INT, c STRING").repartition(5)
     in_order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
@@ -123,9 +123,9 @@ def test_slices_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
         assert sorted(map(str, map(tuple, rest))) == sorted(map(str, in_order[n:]))
 
 
-@pytest.mark.parametrize("part_rows", [30, 10_000])
-def test_split_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
-    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+@pytest.mark.parametrize("take_rows", [30, 10_000])
+def test_split_with_ties_and_missing_keys(spark, monkeypatch, take_rows):
+    monkeypatch.setattr(ordered, "TAKE_ROWS", take_rows)
     rows = [(None if i % 4 == 0 else i % 6, i) for i in range(100)]
     df = spark.createDataFrame(rows, "k INT, v INT").repartition(3)
     for share in (0.1, 0.9):
@@ -134,15 +134,72 @@ def test_split_with_ties_and_missing_keys(spark, monkeypatch, part_rows):
         assert sorted(r["v"] for r in marked) == list(range(100))
 
 
-@pytest.mark.parametrize("part_rows", [30])
-def test_positions_in_many_parts(skewed, monkeypatch, part_rows):
-    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+@pytest.fixture
+def many_parts(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", before[0])
+    spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def test_positions_in_many_parts(skewed, many_parts):
     rows = sorted(ordered.with_positions(skewed, ["ord"]).collect(), key=lambda r: r["ord"])
     assert [r["pos"] for r in rows] == list(range(3000))
     groups = {}
-    for r in ordered.with_positions(skewed, ["ord"], ["g"]).collect():
-        groups.setdefault(r["g"], []).append(r["pos"])
-    assert all(sorted(places) == list(range(len(places))) for places in groups.values())
+    for r in ordered.with_positions(skewed, ["ord"], ["g"], once=False).collect():
+        groups.setdefault(r["g"], []).append((r["ord"], r["pos"]))
+    assert all([p for _, p in sorted(places)] == list(range(len(places))) for places in groups.values())
+
+
+def test_index_in_many_parts(skewed, many_parts):
+    index = ordered.order_index(skewed, ["g"])
+    assert len(index.parts) > 10 and sum(n for _, n in index.parts) == 3000
+    keys = sorted(r["g"] for r in skewed.collect())
+    for n in (1, 999, 1000, 1001, 1050, 2999, 3000):
+        edge, wanted = index.cut(n)
+        assert edge["g"] == keys[n - 1]
+        assert wanted == (0 if n == 3000 or keys[n] != edge["g"] else n - keys.index(edge["g"]))
+    assert index.cut(3001) == (None, 0)
+
+
+def test_the_input_is_evaluated_once(spark, skewed):
+    """A counting input: each evaluation of a row adds one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = skewed.withColumn("ord", counted.asNondeterministic()("ord"))
+    assert ordered.with_positions(df, ["ord"]).count() == 3000
+    assert seen.value == 3000
+
+
+def test_few_jobs(spark, skewed, many_parts):
+    """Jobs without run-time plans: keys are sampled, stored, counted and looked up; a split counts and sorts."""
+
+    def jobs(name, work):
+        spark.sparkContext.setJobGroup(name, name)
+        work()
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    index = ordered.order_index(skewed, ["ord"])
+    assert jobs("index", lambda: ordered.order_index(skewed, ["ord"])) <= 3
+    assert jobs("slice", lambda: ordered.first_rows(skewed, 1700, ["ord"], index)) <= 1
+    assert jobs("take", lambda: ordered.first_rows(skewed, 300, ["ord"])) <= 1
+    assert jobs("split", lambda: ordered.mark_test_rows(skewed, "ord", 0.1)) <= 2
+
+
+def test_split_counts_again_in_a_crowded_sliver(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "TAKE_ROWS", 1)
+    monkeypatch.setattr(ordered, "SPLIT_DIGITS", 1)
+    marked = {r["ord"] for r in ordered.mark_test_rows(skewed, "ord", 0.37).where("is_test").collect()}
+    by_hash = sorted(range(3000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert marked == set(by_hash[: math.ceil(3000 * 0.37)])
 
 
 def test_broadcast_is_bounded_by_bytes(spark):

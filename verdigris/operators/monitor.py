@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
 from verdigris.operators import ordered
-from verdigris.session import cut_lineage
-
+from verdigris.session import cut_lineage, store
 
 
 def positioned(log: DataFrame) -> DataFrame:
@@ -76,10 +75,10 @@ def stop_on_best_window(
     records can move the best. They are found with running maxima, and the chain through a run's records is followed
     in one pass over them. The counter is the distance to the last improvement. A mean that is not a number moves nothing.
     """
-    placed = positioned(log)
+    placed = store(positioned(log), "placed")
     rows, own = _moving_means(placed, window, window - 1, block)
-    means = rows.where(own & (F.col("pos") >= window - 1)).drop("_block")
-    means = means.withColumn("ma", F.when(~F.isnan("ma"), F.col("ma")))
+    means = rows.where(own & (F.col("pos") >= window - 1)).select("run_id", "step", "pos", "ma")
+    means = store(means.withColumn("ma", F.when(~F.isnan("ma"), F.col("ma"))), "means")
     seen = ordered.with_running_max(means, ["run_id"], "ma", "before", include_current=False, block=block)
     records = seen.where(
         F.col("ma").isNotNull() & (F.col("before").isNull() | (F.col("ma") > F.col("before")))

@@ -1,14 +1,16 @@
 """Order-dependent operators without a global window: positions, slices, splits, blocks.
 
-A window that orders a whole table runs in one task. Here an order is cut into parts at keys from a bounded
-sample, kept as literals; counts per part give positions and the place of the n-th row, and only rows inside one part are
-sorted together. NULL keys come first, as in an ascending sort.
+A window that orders a whole table runs in one task. Here rows are sorted in parts by range, stored once, and counted by part: the
+count of earlier parts and the place inside a part give a row's position. Slices need only the n-th key: for a small n
+the first keys are taken, for a large one it is looked up in a stored index of keys. Exact splits count a uniform
+hash by its leading digits. NULL keys come first, as in an ascending sort.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -17,17 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris import fixed_values as fixed
-from verdigris.session import cut_lineage
+from verdigris.session import cut_lineage, store
 
-PART_ROWS = 20_000
-LEAST_PARTS, MOST_PARTS = 4, 1_024
-SAMPLED_PER_PART = 20
-SEARCH_PARTS = 64
+#: Keys that a slice takes to the driver at most; beyond it uses an index.
+TAKE_ROWS = 10_000
+#: Leading hexadecimal digits of a hash that are counted in one pass of a split.
+SPLIT_DIGITS = 3
 BLOCK_ROWS = 100_000
 HOT_KEYS = 1_000
 SMALL_ROWS = 10_000
 SMALL_BYTES = 8_000_000
-_CUTS_TOGETHER = 32
+_PART_SHIFT = 33  # bits of a row's place inside its task in monotonically_increasing_id
 
 
 def hash_order(key: Column, seed: int = fixed.SPLIT_SEED) -> Column:
@@ -55,88 +57,71 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
-def _cuts(keys: DataFrame, rows: int, parts: int) -> list[Row]:
-    """Fewer than ``parts`` different keys, in order, that cut the rows into about equal parts."""
-    if parts < 2 or not rows:
-        return []
-    share = min(1.0, SAMPLED_PER_PART * parts / rows)
-    picked = keys.sample(share, seed=fixed.SPLIT_SEED).orderBy(*keys.columns).collect()
-    step = max(1, len(picked) // parts)
-    chosen = picked[step::step][: parts - 1]
-    return [key for i, key in enumerate(chosen) if not i or not _same_key(key, chosen[i - 1])]
-
-
 def _same_key(a: Row, b: Row) -> bool:
     return all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
 
-def _cuts_below(keys: DataFrame, cuts: list[Row]) -> Column:
-    """How many of the sorted cuts are smaller than a row's key; found in two short lists."""
-    if not cuts:
-        return F.lit(0)
-    key = F.struct(*keys.columns)
-    literal = lambda row: F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema])
-    lists = [cuts[i : i + _CUTS_TOGETHER] for i in range(0, len(cuts), _CUTS_TOGETHER)]
-    below = lambda rows: F.size(F.filter(rows, lambda cut: cut < key))
-    if len(lists) == 1:
-        return below(F.array(*map(literal, cuts)))
-    first = below(F.array(*[literal(part[0]) for part in lists]))
-    inside = F.element_at(F.array(*[F.array(*map(literal, part)) for part in lists]), F.greatest(first, F.lit(1)))
-    return F.when(first == 0, F.lit(0)).otherwise((first - 1) * _CUTS_TOGETHER + below(inside))
-
-
 def with_positions(
-    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), into: str = "pos"
+    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), into: str = "pos", once: bool = True
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order``, per ``group`` if given.
 
-    ``group + order`` should identify a row. The order is cut into parts that are sorted apart, so a group of any size
-    spreads over as many tasks as it needs; rows move once. Counts per part and group give each part its start.
+    ``group + order`` should identify a row. Rows are sorted by range over group and order, so a group of any size spreads over as
+    many tasks as it needs, and stored with their place inside the part. Counts per part and group then give each part its
+    start; only that small table is joined. Sorting by range looks at its input twice: ``once`` stores the input first, so that
+    it is evaluated a single time; leave it out for a plain scan of a stored table.
     """
-    keys = df.select(*group, *order)
-    rows = keys.count()
-    cuts = _cuts(keys, rows, min(MOST_PARTS, max(LEAST_PARTS, -(-rows // PART_ROWS))))
-    placed = df.withColumn("_order_block", _cuts_below(keys, cuts))
-    counted = keys.withColumn("_order_block", _cuts_below(keys, cuts)).groupBy("_order_block", *group)
-    chunks = counted.agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*group).orderBy("_order_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.select(
-        "_order_block", *group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+    rows = store(df, "unsorted") if once else df
+    keys = [*group, *order]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = store(rows.withColumn("_id", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("_id", _PART_SHIFT).alias("_part")
+    parts = rows.groupBy(part, *group).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        "_part", *group, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    inside = Window.partitionBy("_order_block", *group).orderBy(*order)
     return (
-        match(placed.withColumn("_at", F.row_number().over(inside)), starts, ["_order_block", *group])
-        .withColumn(into, F.col("_start") + F.col("_at") - 1)
-        .drop("_at", "_order_block", "_start")
+        match(rows.withColumn("_part", part), starts, ["_part", *group])
+        .withColumn(into, F.col("_id") + F.col("_shift"))
+        .drop("_id", "_part", "_shift")
     )
 
 
-def _nth_key(keys: DataFrame, n: int) -> Row | None:
-    """The key of the ``n``-th row in the order of all columns; NULL with fewer rows.
+@dataclass(frozen=True)
+class OrderIndex:
+    """The distinct keys of a table in order with their number of rows, stored in parts by range, and the rows of each part."""
 
-    Each round counts the rows between sampled keys and goes on in the part that holds the row.
-    Nothing but counts and the bounded sample moves.
-    """
-    rows = keys.count()
-    if rows < n:
-        return None
-    while rows > PART_ROWS:
-        cuts = _cuts(keys, rows, SEARCH_PARTS)
-        if not cuts:
-            break
-        below = _cuts_below(keys, cuts)
-        literal = lambda row: F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema])  # noqa: E731, B023
-        on_cut = F.array_contains(F.array(*map(literal, cuts)), F.struct(*keys.columns))
-        placed = keys.withColumn("_place", 2 * below + on_cut.cast("int"))
-        for place, found in sorted(placed.groupBy("_place").count().collect()):
-            if n <= found:
+    order: tuple[str, ...]
+    keys: DataFrame
+    parts: tuple[tuple[int, int], ...]
+
+    def cut(self, n: int) -> tuple[Row | None, int]:
+        """The ``n``-th key, and how many rows with that key belong to the first ``n``; 0 for all of them.
+
+        Counts of parts say which part holds it; only that part is read.
+        """
+        for part, rows in self.parts:
+            if n <= rows:
                 break
-            n -= found
-        if place % 2:
-            return cuts[place // 2]
-        keys, rows = placed.where(F.col("_place") == place).drop("_place"), found
-    last = keys.orderBy(*keys.columns).limit(n).agg(F.max(F.struct(*keys.columns)).alias("last"))
-    return last.first()["last"]
+            n -= rows
+        else:
+            return None, 0
+        so_far = Window.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        inside = self.keys.where(F.col("_part") == part).withColumn("_upto", F.sum("_rows").over(so_far))
+        found = inside.where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_rows") < n)).first()
+        wanted = n - (found["_upto"] - found["_rows"])
+        edge = Row(*self.order)(*[found[c] for c in self.order])
+        return edge, 0 if wanted == found["_rows"] else wanted
+
+
+def order_index(df: DataFrame, order: Sequence[str]) -> OrderIndex:
+    """An index of ``order`` for slices of ``df``, however many. Rows of one key are counted before keys are sorted."""
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_rows"))
+    keys = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    keys = store(keys, "order-index")
+    parts = keys.groupBy("_part").agg(F.sum("_rows").alias("n")).collect()  # one row for each shuffle partition
+    return OrderIndex(tuple(order), keys, tuple(sorted((r["_part"], r["n"]) for r in parts)))
 
 
 def _beyond(order: Sequence[str], edge: Row, above: bool) -> Column:
@@ -168,27 +153,34 @@ def _others(df: DataFrame, order: Sequence[str]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in order and _orderable(f.dataType)]
 
 
-def _cut(df: DataFrame, n: int, order: Sequence[str]) -> tuple[Row | None, int]:
-    """The ``n``-th key, and how many rows with that key belong to the first ``n``; 0 for all of them."""
-    edge = _nth_key(df.select(*order), n)
-    if edge is None:
+def _cut(df: DataFrame, n: int, order: Sequence[str], index: OrderIndex | None) -> tuple[Row | None, int]:
+    """The ``n``-th key, and how many rows with that key belong to the first ``n``; 0 for all of them.
+
+    One job for a small ``n`` or with an index at hand.
+    """
+    if index is None and n > TAKE_ROWS:
+        index = order_index(df, order)
+    if index is not None and n > TAKE_ROWS // 10:
+        return index.cut(n)
+    first = df.select(*order).orderBy(*order).limit(n + 1).collect()
+    if len(first) < n:
         return None, 0
-    counts = df.agg(
-        F.count_if(_beyond(order, edge, above=False)).alias("below"), F.count_if(_on(order, edge)).alias("on")
-    ).first()
-    wanted = n - counts["below"]
-    return edge, 0 if wanted == counts["on"] else wanted
+    edge = first[n - 1]
+    if len(first) == n or not _same_key(first[n], edge):
+        return edge, 0
+    return edge, sum(_same_key(key, edge) for key in first[:n])
 
 
-def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+def first_rows(df: DataFrame, n: int, order: Sequence[str], index: OrderIndex | None = None) -> DataFrame:
     """Exactly the first ``n`` rows in ``order``, all if there are fewer.
 
     Rows of the last key are told apart by their other columns in table order; equal rows are alike. Without such
-    ties the result is a filter that reaches the scan, and the rows stay where they are.
+    ties the result is a filter that reaches the scan, and the rows stay where they are. An ``order_index`` of ``df``
+    serves several slices.
     """
     if n <= 0:
         return df.where(F.lit(False))
-    edge, wanted = _cut(df, n, order)
+    edge, wanted = _cut(df, n, order, index)
     if edge is None:
         return df
     if not wanted:
@@ -198,7 +190,7 @@ def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.where(_beyond(order, edge, above=False)).unionByName(head)
 
 
-def skip_rows(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
+def skip_rows(df: DataFrame, n: int, key: str | Sequence[str], index: OrderIndex | None = None) -> DataFrame:
     """All rows but those that ``first_rows`` gives: a filter above the n-th smallest key, and its ties.
 
     An ``offset`` without a limit would move the whole table to one task.
@@ -206,7 +198,7 @@ def skip_rows(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
     if n <= 0:
         return df
     order = [key] if isinstance(key, str) else list(key)
-    edge, wanted = _cut(df, n, order)
+    edge, wanted = _cut(df, n, order, index)
     if edge is None:
         return df.where(F.lit(False))
     above = df.where(_beyond(order, edge, above=True))
@@ -221,22 +213,48 @@ def _all_but(alike: DataFrame, n: int) -> DataFrame:
     return alike.limit(max(0, alike.count() - n))
 
 
+def _split_cut(hashed: DataFrame, key: str, share: float) -> tuple[int, Row | None, int]:
+    """How many rows a split wants, the key of the last one, and how many rows of that key belong to it (0 for all).
+
+    Hashes are uniform, so counts by their leading digits (a bounded table) put the cut into a sliver of the rows, and only the sliver's
+    keys are sorted. A sliver of too many keys is counted again by its next digits.
+    """
+    wanted, below, prefix = -1, 0, ""
+    while True:
+        digits = F.substring("_hash", len(prefix) + 1, SPLIT_DIGITS).alias("d")
+        inside = hashed.where(F.col("_hash").startswith(prefix)) if prefix else hashed
+        counts = sorted((r["d"], r["n"]) for r in inside.groupBy(digits).agg(F.count(F.lit(1)).alias("n")).collect())
+        if wanted < 0:
+            wanted = math.ceil(sum(n for _, n in counts) * share)
+            if wanted <= 0 or wanted >= sum(n for _, n in counts):
+                return wanted, None, 0
+        for d, n in counts:
+            if below + n >= wanted:
+                break
+            below += n
+        prefix += d
+        sliver = hashed.where(F.col("_hash").startswith(prefix)).groupBy("_hash", key).agg(F.count(F.lit(1)).alias("_rows"))
+        upto = below
+        for row in sliver.orderBy("_hash", key).limit(TAKE_ROWS).collect():
+            upto += row["_rows"]
+            if upto >= wanted:
+                short = wanted - (upto - row["_rows"])
+                return wanted, Row("_hash", key)(row["_hash"], row[key]), 0 if upto == wanted else short
+
+
 def mark_test_rows(
     df: DataFrame, key: str, test_size: float, seed: int = fixed.SPLIT_SEED, into: str = "is_test"
 ) -> DataFrame:
     """Mark exactly ``ceil(n * test_size)`` rows, chosen by hash order of the key.
 
-    The cut is found from counts; marking needs no shuffle. Rows that share a key at the cut are told apart by their
-    other columns.
+    Two jobs find the cut at any size up to tens of millions of rows, two more for every factor of four thousand; marking needs no
+    shuffle. Rows that share a key at the cut are told apart by their other columns.
     """
-    wanted = math.ceil(df.count() * test_size)
-    if wanted <= 0:
-        return df.withColumn(into, F.lit(False))
     hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
-    order = ["_hash", key]
-    edge, ties = _cut(hashed, wanted, order)
+    wanted, edge, ties = _split_cut(hashed, key, test_size)
     if edge is None:
-        return df.withColumn(into, F.lit(True))
+        return df.withColumn(into, F.lit(wanted > 0))
+    order = ["_hash", key]
     above = F.coalesce(_beyond(order, edge, above=True), F.lit(False))
     if not ties:
         return hashed.withColumn(into, ~above).drop("_hash")
@@ -255,10 +273,12 @@ def mark_test_rows_by_threshold(
     return df.withColumn(into, share < F.lit(int(test_size * 16**7)))
 
 
-def with_batches(df: DataFrame, size: int, order: Sequence[str], into: str = "batch_id") -> DataFrame:
-    """Add the batch number of each row, ``size`` rows to a batch in ``order``."""
+def with_batches(
+    df: DataFrame, size: int, order: Sequence[str], into: str = "batch_id", once: bool = True
+) -> DataFrame:
+    """Add the batch number of each row, ``size`` rows to a batch in ``order``; ``once`` as for ``with_positions``."""
     return (
-        with_positions(df, order, into="_pos")
+        with_positions(df, order, into="_pos", once=once)
         .withColumn(into, F.floor(F.col("_pos") / size))
         .withColumn("batch_pos", F.col("_pos") % size)
         .drop("_pos")

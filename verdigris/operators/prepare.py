@@ -200,8 +200,8 @@ def prepare(
     if evaluate:
         test = ordered.first_rows(shuffled(test, seed), fixed.EVALUATION_HEAD, order).drop("_hash")
     if batch_size is not None:
-        train = ordered.with_batches(shuffled(train, seed + 1), batch_size, order).drop("_hash")
-        test = ordered.with_batches(shuffled(test, seed), batch_size, order).drop("_hash")
+        train = ordered.with_batches(shuffled(train, seed + 1), batch_size, order, once=False).drop("_hash")
+        test = ordered.with_batches(shuffled(test, seed), batch_size, order, once=False).drop("_hash")
     parts = [with_prompt(part, name, full_prompt) for part in (train, test)]
     if chat:
         parts = [wrap_chat(part) for part in parts]

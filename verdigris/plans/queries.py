@@ -149,9 +149,11 @@ def slice_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Heads and tails by a key that many rows share, on both sides of a part's size."""
     li = read_table(spark, sf, "lineitem")
     kept = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+    index = ordered.order_index(li, ["l_orderkey"])
     out = None
     for n in (1_234, 5_001, 23_456):
-        for side, rows in (("first", ordered.first_rows(li, n, ["l_orderkey"])), ("rest", ordered.skip_rows(li, n, "l_orderkey"))):
+        sides = ordered.first_rows(li, n, ["l_orderkey"], index), ordered.skip_rows(li, n, "l_orderkey", index)
+        for side, rows in zip(("first", "rest"), sides):
             total = rows.agg(
                 F.lit(n).cast("bigint").alias("n"),
                 F.lit(side).alias("side"),
