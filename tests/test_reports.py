@@ -190,6 +190,83 @@ def test_hook_asks_each_request_once(spark):
     assert asked.value == 11
 
 
+def _logging_backend(folder, dies_at=None):
+    """Writes a line for each prompt; its process ends without a word at the prompt ``dies_at``, once."""
+
+    def make():
+        import os
+        import uuid
+
+        log = open(f"{folder}/{uuid.uuid4().hex}.log", "a")
+
+        def answer(batch):
+            for prompt in batch:
+                if prompt == dies_at and not os.path.exists(f"{folder}/died"):
+                    open(f"{folder}/died", "w").close()
+                    os._exit(1)
+                log.write(prompt + "\n")
+                log.flush()
+            if "p7" in batch:
+                raise ValueError("refused")
+            return [p.upper() for p in batch]
+
+        return answer
+
+    return make
+
+
+def _asked(folder):
+    return sorted(line for f in folder.glob("*.log") for line in f.read_text().split())
+
+
+def test_a_job_that_is_started_again_asks_only_what_is_missing(spark, tmp_path):
+    """The process of one task dies half-way and with it the job: other tasks had committed."""
+    df = spark.range(600).selectExpr("id", "concat('p', id % 200) AS prompt")
+    ledger = f"{tmp_path}/ledger"
+    how = dict(ledger=ledger, batch_size=1, commit_rows=20)
+    with pytest.raises(Exception):
+        hooks.generate_resumable(df, "prompt", _logging_backend(tmp_path, "p42"), **how)
+    before = _asked(tmp_path)
+    committed = {r["request_id"] for r in hooks.read_ledger(spark, ledger).where("error IS NULL").collect()}
+    assert 0 < len(committed) < 200
+    got = hooks.generate_resumable(df, "prompt", _logging_backend(tmp_path, "p42"), **how).collect()
+    assert len(got) == 600
+    assert all((r["text"], r["error"]) == (("", "refused") if r["prompt"] == "p7" else (r["prompt"].upper(), None)) for r in got)
+    again = len(_asked(tmp_path)) - len(before)
+    assert again <= 201 - len(committed)  # p7 failed and is asked again
+    assert set(_asked(tmp_path)) == {f"p{i}" for i in range(200)}
+    # nothing but the failed request is asked by a third job
+    hooks.generate_resumable(df, "prompt", _logging_backend(tmp_path), **how).collect()
+    assert len(_asked(tmp_path)) - len(before) - again == 1
+
+
+def test_an_empty_table_asks_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "id LONG, prompt STRING")
+    assert hooks.generate_resumable(df, "prompt", _logging_backend(tmp_path), f"{tmp_path}/ledger").collect() == []
+
+
+def test_generations_stay_in_their_buckets(spark):
+    from verdigris.sources.generations import generation_store
+
+    df = spark.range(50).selectExpr("concat('p', id) AS prompt")
+    record = df.select(prompts.request_id(F.col("prompt")).alias("request_id"), F.concat("prompt", F.lit("!")).alias("text"))
+    kept = generation_store(record.union(record.withColumn("text", F.lit("zz"))), buckets=4)
+    assert kept.count() == 50
+    got = hooks.recorded(df, kept, "prompt", distinct=True)
+    assert all(r["text"] == r["prompt"] + "!" for r in got.collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("-1", "false", "4")):
+            spark.conf.set(key, value)
+        ids = df.select(prompts.request_id(F.col("prompt")).alias("request_id")).distinct()
+        plan = ids.join(kept, "request_id", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin" in plan and "text" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in plan[plan.index("FileScan parquet") - 400 : plan.index("FileScan parquet")]
+
+
 def test_recorded_answers_default_to_empty(spark):
     df = spark.createDataFrame([("a",), ("b",)], "prompt STRING")
     found = df.limit(1).select(prompts.request_id(F.col("prompt")).alias("request_id"), F.lit("x").alias("text"))

@@ -16,6 +16,7 @@ from verdigris.operators import hooks, prompts
 from verdigris.operators.rouge import with_best_rouge
 from verdigris.session import store
 from verdigris.sources import logs
+from verdigris.sources.generations import generation_store
 
 METRICS = ("em", "f1", "rouge", "judge")
 FAILED_IS_ZERO, FAILED_IS_DROPPED = 0.0, parsing.NO_SCORE
@@ -68,9 +69,11 @@ def answer_report(scored: DataFrame, group: list[str] | None = None) -> DataFram
     return usable(scored).groupBy(*(group or [])).agg(*_means(), F.count(F.lit(1)).alias("n"))
 
 
-def rewriter_report(scored: DataFrame, completions: DataFrame, completion: str = "completion") -> DataFrame:
-    """Answer report plus how many completions there were, by parse outcome."""
-    parsed = parsing.rewritten_query(F.col(completion))
+def rewriter_report(
+    scored: DataFrame, completions: DataFrame, completion: str = "completion", parsed: str | None = None
+) -> DataFrame:
+    """Answer report plus how many completions there were, by parse outcome; ``parsed`` names a column that holds it already."""
+    parsed = F.col(parsed) if parsed else parsing.rewritten_query(F.col(completion))
     outcomes = completions.select(parsed.alias("p")).agg(
         F.count(F.lit(1)).alias("total_prompts"),
         F.count_if(F.col("p.value").isNotNull()).alias("correct_json_count"),
@@ -135,13 +138,13 @@ def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
 def _answered(
     samples: DataFrame, generations: DataFrame, templates: Mapping[str, str], task: str, params: str = ""
 ) -> DataFrame:
-    """Recorded answers to ``final_prompt`` and the recorded judgement of each, by request."""
-    answered = hooks.recorded(samples, generations, "final_prompt", params, into="answer").drop("request_id")
+    """Recorded answers to ``final_prompt`` and the recorded judgement of each, by request from a generation store."""
+    answered = hooks.recorded(samples, generations, "final_prompt", params, into="answer", distinct=True).drop("request_id")
     request = prompts.answer_request(
         F.lit(task), F.col("text"), F.col("answer"), prompts.list_text(F.col("target")), templates
     )
     asked = text.once(answered, "judge_request", request)
-    return hooks.recorded(asked, generations, "judge_request", params, into="judge_text").drop("request_id")
+    return hooks.recorded(asked, generations, "judge_request", params, into="judge_text", distinct=True).drop("request_id")
 
 
 def evaluate_rewriter(
@@ -158,16 +161,18 @@ def evaluate_rewriter(
 ) -> DataFrame:
     """From samples to both logs: recorded rewrites, answers and judgements, scores, report and sample log.
 
-    ``generations`` is the record ``request_id, text`` of every model output; what is missing is an empty text. The scored
-    table is stored once, and report and sample log read it. Returns the report with counts of parse outcomes.
+    ``generations`` is the record ``request_id, text`` of every model output; what is missing is an empty text. The record
+    is bucketed once, completions are parsed once, and the scored table is stored once for report and sample log. Returns the
+    report with counts of parse outcomes.
     """
-    asked = hooks.recorded(samples, generations, "prompt", params, into="completion").drop("request_id")
-    parsed = asked.withColumn("parsed", parsing.rewritten_query(F.col("completion")))
+    kept = generation_store(generations)
+    asked = hooks.recorded(samples, kept, "prompt", params, into="completion", distinct=True).drop("request_id")
+    parsed = store(asked.withColumn("parsed", parsing.rewritten_query(F.col("completion"))), "parsed-completions")
     final = prompts.follow_prompt(F.col("text"), F.col("parsed"), F.col("completion"))
     followed = text.once(parsed, "final_prompt", final)
-    answered = _answered(followed, generations, templates, task, params)
+    answered = _answered(followed, kept, templates, task, params)
     scored = store(with_scores(answered, failed=failed, stem=stem), "scored-samples")
-    report = rewriter_report(scored, asked)
+    report = store(rewriter_report(scored, parsed, parsed="parsed"), "rewriter-report")
     logs.write_results(
         report.select(
             F.lit(run_name).alias("name"),
@@ -206,15 +211,17 @@ def evaluate_sampling(
 
     A candidate's requests carry its number as their parameter; the selection request of a sample lists its candidates.
     """
+    kept = generation_store(generations)
     candidates = prompts.fan_out(samples, n)
     keyed = candidates.withColumn("_asked", F.concat_ws("#", "prompt", "cand_idx"))
-    asked = hooks.recorded(keyed, generations, "_asked", into="completion").drop("request_id", "_asked")
+    asked = hooks.recorded(keyed, kept, "_asked", into="completion", distinct=True).drop("request_id", "_asked")
     parsed = parsing.rewritten_query(F.col("completion"))
     rewritten = text.once(asked, "rewrite", parsing.rewrite_or_raw(parsed, F.col("completion")))
     final = prompts.candidate_follow_prompt(F.col("original"), F.col("text"), F.col("rewrite"))
     rewritten = store(text.once(rewritten, "final_prompt", final), "candidates")
-    scored = with_scores(_answered(rewritten, generations, templates, task), stem=stem)
-    chosen = hooks.recorded(prompts.selection_prompts(rewritten, per_example=True), generations, "request", into="choice")
+    scored = with_scores(_answered(rewritten, kept, templates, task), stem=stem)
+    selection = prompts.selection_prompts(rewritten, per_example=True)
+    chosen = hooks.recorded(selection, kept, "request", into="choice", distinct=True)
     picks = chosen.select("sample_id", parsing.choice_index(F.col("choice")).alias("pick"))
     report = store(candidate_metrics(scored, picks, n), "sampling-report")
     logs.write_results(

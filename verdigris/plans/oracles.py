@@ -673,6 +673,8 @@ _hook = """CASE WHEN md5(text) LIKE '7%' THEN '' ELSE md5(text) END AS text,
   CASE WHEN md5(text) LIKE '7%' THEN 'refused' END AS error FROM documents"""
 ORACLES["batch_hook"] = f"SELECT doc_id, {_hook}"
 ORACLES["distinct_requests"] = f"SELECT doc_id, sha256(text || 't=0') AS request_id, {_hook}"
+ORACLES["resumed_requests"] = f"""SELECT doc_id, sha256(text || 't=0') AS request_id,
+  CASE WHEN md5(text) LIKE '7%' AND bool_or(lang = 'en') OVER (PARTITION BY text) THEN 2 ELSE 1 END AS n_asked, {_hook}"""
 ORACLES["recorded_answers"] = """WITH items AS (SELECT text, min(item_id) AS item FROM benchmark GROUP BY text)
 SELECT doc_id, coalesce('item ' || item, '') AS text FROM documents LEFT JOIN items USING (text)"""
 

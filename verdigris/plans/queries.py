@@ -996,6 +996,18 @@ def distinct_requests(spark: SparkSession, sf: str) -> DataFrame:
     return answered.select("doc_id", "request_id", "text", "error")
 
 
+@query
+def resumed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of all documents after a job that had answered those of one language: each is in the ledger once, a failed one twice."""
+    d = read_table(spark, sf, "documents", spread=True).select("doc_id", "lang", F.col("text").alias("prompt"))
+    ledger = scratch_path(spark, "ledger")
+    ask = lambda rows: hooks.generate_resumable(rows, "prompt", _digest_backend, ledger, params="t=0", batch_size=50)
+    ask(d.where("lang = 'en'"))
+    answered = ask(d).select("doc_id", "request_id", "text", "error")
+    times = hooks.read_ledger(spark, ledger).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_asked"))
+    return answered.join(times, "request_id")
+
+
 @query
 def recorded_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as recorded generations for the documents that repeat them."""
