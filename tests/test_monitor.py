@@ -148,6 +148,33 @@ def test_stream_equals_batch(spark, log, tmp_path):
     assert stops(streamed) == stops(batch)
 
 
+def test_stream_of_named_runs_with_half_a_million_points_in_a_batch(spark, tmp_path):
+    rows = spark.range(500_400).selectExpr(
+        "CASE WHEN id < 500000 THEN 'long' WHEN id % 3 = 0 THEN NULL ELSE concat('r', id % 3) END AS run_id",
+        "id AS step", "CASE WHEN id % 97 = 0 THEN NULL ELSE sqrt(id) + pmod(hash(id), 1000) / 1e4 END AS reward",
+    )
+    rows.repartition(3).sortWithinPartitions(F.desc("step")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = read_stream(spark, f"{tmp_path}/in", rows.schema, per_trigger=1)
+    streamed = run_available(early_stop_stream(source, 300, 5_000, 3.6), ["run_id"])
+    batch = monitor.stop_on_moving_average(rows.withColumn("ts", F.col("step").cast("double")), 300, 5_000, 3.6)
+    assert stops(streamed) == stops(batch)
+    assert set(stops(batch)) == {"long", "r1", "r2", None} and stops(batch)["long"] is not None
+
+
+def test_micro_batches_are_merged(spark, log, tmp_path):
+    from pathlib import Path
+
+    from verdigris.session import checkpoint_root
+
+    log.repartition(11).write.parquet(f"{tmp_path}/in")
+    totals = running_totals(read_stream(spark, f"{tmp_path}/in", log.schema, per_trigger=1), ["run_id"], ["reward"])
+    got = run_available(totals, ["run_id"], compact_every=3)
+    assert {r["run_id"]: r["n"] for r in got.collect()} == {run: len(rewards) for run, rewards in RUNS.items()}
+    folders = {Path(f.removeprefix("file:")).parent for f in got.inputFiles()}
+    assert len(folders) <= 3 and len(list(next(iter(folders)).parent.iterdir())) <= 3
+    assert str(next(iter(folders))).startswith(checkpoint_root(spark).removeprefix("file:"))
+
+
 def test_running_totals(spark, log, tmp_path):
     log.repartition(3).write.parquet(f"{tmp_path}/in")
     totals = running_totals(read_stream(spark, f"{tmp_path}/in", log.schema, per_trigger=1), ["run_id"], ["reward"])

@@ -214,7 +214,8 @@ def test_order_of_parquet_files_moves_no_texts(spark, tmp_path):
     got = datasets.read_raw(spark, str(tmp_path), "cnndm", "test")
     assert sorted(r["ord"] for r in got.collect()) == list(range(50))
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert not [line for line in plan.splitlines() if "Exchange hash" in line or "Exchange range" in line]
+    moved = [line for line in plan.splitlines() if "Exchange hash" in line or "Exchange range" in line]
+    assert all("_groupingexpression" in line for line in moved)  # only counts per file part are shuffled
 
 
 def test_requests(spark, tmp_path):
@@ -252,3 +253,46 @@ def test_fan_out(spark):
     assert prompts.fan_out(spark.range(3), 0).count() == 0
     rows = prompts.fan_out(spark.range(3), 4).collect()
     assert sorted((r["id"], r["cand_idx"]) for r in rows) == [(i, k) for i in range(3) for k in range(4)]
+
+
+def test_frequent_tokens_stay_and_rare_ones_travel(spark):
+    """A vocabulary too large to broadcast: same ids, and only rare tokens reach the shuffle join."""
+    rows = [(i, ["the"] * 5 + [f"w{i % 7}", f"rare{i}", "the", "unknown"]) for i in range(40)] + [(100, []), (101, None), (None, ["the", "w1"])]
+    tokens = spark.createDataFrame(rows, "k INT, tokens ARRAY<STRING>")
+    names = ["the", *(f"w{i}" for i in range(7)), *(f"rare{i}" for i in range(40))]
+    vocabulary = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "token STRING, id INT")
+    ids = {t: i for i, t in enumerate(names)}
+    expected = {k: [ids.get(t) for t in words or []] for k, words in rows}
+    before = training.FREQUENT_TOKENS
+    for most in (0, 3, before):
+        training.FREQUENT_TOKENS = most
+        try:
+            assert {r["k"]: r["ids"] for r in training.encode(tokens, vocabulary, ["k"], max_rows=5).collect()} == expected
+        finally:
+            training.FREQUENT_TOKENS = before
+    frequent = training.frequent_entries(tokens, vocabulary, 3)
+    assert "the" in {r["token"] for r in frequent.collect()} and frequent.count() == 3
+    plan = training.encode(tokens, vocabulary, ["k"], max_rows=5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "isnull(_near" in plan
+
+
+def test_head_of_many_files_opens_one(spark, tmp_path):
+    from verdigris.sources.datasets import first_files, load_dataset, read_raw
+
+    for i in range(50):
+        spark.range(4 * i, 4 * i + 4).coalesce(1).selectExpr("concat('article ', id) AS article", "concat('s ', id) AS highlights").write.parquet(
+            f"{tmp_path}/parts/{i:02d}"
+        )
+    from shutil import copy
+
+    folder = tmp_path / "data/cnndm/test"
+    folder.mkdir(parents=True)
+    for i in range(50):
+        copy(next((tmp_path / f"parts/{i:02d}").glob("*.parquet")), folder / f"part-{i:02d}.parquet")
+    head = read_raw(spark, f"{tmp_path}/data", "cnndm", "validation", amount=3)
+    assert len(head.inputFiles()) == 1 and head.count() == 4
+    assert len(read_raw(spark, f"{tmp_path}/data", "cnndm", "validation", amount=9).inputFiles()) == 3
+    everything = spark.read.parquet(str(folder))
+    assert len(first_files(everything, 0).inputFiles()) == 1 and first_files(everything, 10_000).count() == 200
+    got = load_dataset(spark, f"{tmp_path}/data", "cnndm", "validation", amount=6).orderBy("ord").collect()
+    assert [(r["ord"], r["text"]) for r in got] == [(i, f"\nText: article {i}") for i in range(6)]

@@ -9,8 +9,11 @@ from verdigris import fixed_values as fixed
 from verdigris.functions.text import strip_or_empty
 from verdigris.operators import ordered
 from verdigris.operators.prompts import render
+from verdigris.session import store
 
 VOCABULARY_BYTES = 64_000_000
+#: Most frequent tokens that are looked up without moving their rows, if the vocabulary is too large to be broadcast.
+FREQUENT_TOKENS = 10_000
 PAIR_COLUMNS = ("ord", "original_query", "candidate_prompt")
 
 
@@ -47,17 +50,40 @@ def match_and_union(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(ordered.first_rows(second, first.count(), ["ord"]))
 
 
+def frequent_entries(tokens: DataFrame, vocabulary: DataFrame, most: int = FREQUENT_TOKENS) -> DataFrame:
+    """Vocabulary entries of the ``most`` most frequent tokens, stored; tokens are counted, which combines before the shuffle."""
+    counts = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n"), "token").limit(most).drop("_n")
+    return store(top.join(vocabulary, "token", "left"), "frequent-tokens")
+
+
 def encode(tokens: DataFrame, vocabulary: DataFrame, key: list[str], max_rows: int = 1_000_000) -> DataFrame:
     """Token ids per row from a vocabulary ``token, id``, in token order.
 
-    ``tokens`` has the key and an array ``tokens``. The vocabulary is broadcast only when its
-    counted rows and bytes allow it. Unknown tokens give NULL ids; a row without tokens, or with NULL, keeps an empty list.
+    ``tokens`` has the key and an array ``tokens``. Rows are dealt by their key once, with whole arrays; places are looked up by
+    broadcast and gathered where they are. What is broadcast is the vocabulary if its counted rows and bytes allow it, else the entries
+    of the most frequent tokens. Only the other tokens travel to their vocabulary entry and back, each once for a row that holds
+    it. Unknown tokens give NULL ids; a row without tokens, or with NULL, keeps an empty list.
     """
-    words = tokens.select(*key, F.posexplode_outer("tokens").alias("_pos", "token"))
-    found = words.join(ordered.broadcast_if_small(vocabulary, max_rows, VOCABULARY_BYTES), "token", "left")
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "id"))
-    gathered = found.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_ids"))
-    return gathered.select(*key, F.col("_ids.id").alias("ids"))
+    near = vocabulary
+    whole = ordered.is_small(vocabulary, max_rows, VOCABULARY_BYTES)
+    if not whole:
+        near = frequent_entries(tokens, vocabulary)
+        if not ordered.is_small(near, FREQUENT_TOKENS, VOCABULARY_BYTES):
+            near = near.limit(0)
+    words = tokens.select(*key, "tokens").repartition(*key).select(*key, F.posexplode_outer("tokens").alias("_pos", "token"))
+    known = words.join(F.broadcast(near.select("token", "id", F.lit(True).alias("_near"))), "token", "left")
+    here = F.col("_pos").isNotNull() & (F.lit(whole) | F.col("_near").isNotNull())
+    entries = known.groupBy(*key).agg(F.collect_list(F.when(here, F.struct("_pos", "id"))).alias("_ids"))
+    if not whole:
+        far = known.where(F.col("_pos").isNotNull() & F.col("_near").isNull())
+        far = far.groupBy(*key, "token").agg(F.collect_list("_pos").alias("_at"))
+        found = far.join(vocabulary, "token", "left").select(*key, "id", F.explode("_at").alias("_pos"))
+        found = found.groupBy(*key).agg(F.collect_list(F.struct("_pos", "id")).alias("_far"))
+        entries = ordered.match(entries, found, key, "left")
+        none = F.slice("_ids", 1, 0)
+        entries = entries.withColumn("_ids", F.concat("_ids", F.coalesce("_far", none)))
+    return entries.select(*key, F.sort_array("_ids")["id"].alias("ids"))
 
 
 def pack(

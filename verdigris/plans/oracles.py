@@ -618,6 +618,7 @@ ORACLES["early_stop_ma"] = f"""WITH {MOVING}, gains AS (
   SELECT *, ma - lag(ma, 20) OVER (PARTITION BY run_id ORDER BY pos) AS gain FROM points)
 SELECT run_id, min(step) FILTER (pos >= 29 AND gain < 0.01) AS stop_step, count(*) AS n_points FROM gains GROUP BY run_id"""
 ORACLES["stream_early_stop"] = ORACLES["early_stop_ma"]
+ORACLES["stream_early_stop_named"] = ORACLES["early_stop_ma"].replace("user_id", "event_type")
 
 # One fold per run over its means: best so far, place of the last improvement, first stop.
 ORACLES["early_stop_best"] = f"""WITH {MOVING}, lists AS (

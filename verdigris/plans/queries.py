@@ -848,6 +848,15 @@ def stream_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"]).drop("n_late")
 
 
+@query
+def stream_early_stop_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs named by a text; a few hold all points of a micro-batch."""
+    points = _event_stream(spark, sf).select(
+        F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("reward")
+    )
+    return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"]).drop("n_late")
+
+
 @query
 def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
     totals = running_totals(_event_stream(spark, sf), ["event_type"], ["value"])

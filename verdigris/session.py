@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in shared storage."""
+    for folder in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages read fixed rows even after executor loss."""
     checkpoint_root(df.sparkSession)

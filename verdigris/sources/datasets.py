@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,20 +17,44 @@ def split_of(name: str, split: str) -> str:
     return "test" if split == "validation" and task in fixed.TEST_FOR_VALIDATION else split
 
 
-def read_raw(spark: SparkSession, root: str, name: str, split: str, fmt: str = "parquet") -> DataFrame:
+def read_raw(
+    spark: SparkSession, root: str, name: str, split: str, fmt: str = "parquet", amount: int = -1
+) -> DataFrame:
     """Raw rows under ``root/<dataset>/<split>``, lazily, with the dataset's schema.
 
     Formats: ``parquet``, ``json`` (lines) and ``json_array`` (files that hold one array each). Rows need an order. Files
     may carry ``ord`` (and ``sample_id``); where they do not, the place of a row in its file, and of the file by name,
-    gives both. A key that is present but NULL in some row is replaced the same way.
+    gives both. A key that is present but NULL in some row is replaced the same way. With an ``amount``, Parquet files in
+    the order of their names are opened only as far as they hold the first ``amount`` rows.
     """
     task = prepare.task_of(name)
     schema = schemas.RAW[task]
     path = f"{root}/{task}/{split_of(name, split)}"
-    rows = with_order(spark.read.parquet(path)) if fmt == "parquet" else _read_json(spark, path, schema, fmt)
+    if fmt == "parquet":
+        rows = spark.read.parquet(path)
+        rows = with_order(rows if "ord" in rows.columns or amount < 0 else first_files(rows, amount))
+    else:
+        rows = _read_json(spark, path, schema, fmt)
     return as_lists(rows, schema).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def first_files(rows: DataFrame, amount: int) -> DataFrame:
+    """A Parquet scan of the first files by name that together hold ``amount`` rows.
+
+    Footers are counted for one file, then two, four and so on, so that no more than about twice the files needed are looked at.
+    """
+    spark, files, opened = rows.sparkSession, sorted(rows.inputFiles()), 1
+    read = lambda n: spark.read.schema(rows.schema).parquet(*files[:n])
+    while opened < len(files) and read(opened).count() < amount:
+        opened *= 2
+    if opened >= len(files):
+        return rows
+    counts = read(opened).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    needed = counts.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < max(1, amount)).count()
+    return read(needed)
+
+
 def with_order(rows: DataFrame) -> DataFrame:
     """Give scanned Parquet rows ``ord`` and ``sample_id`` where they have none.
 
@@ -39,22 +63,21 @@ def with_order(rows: DataFrame) -> DataFrame:
     if {"ord", "sample_id"} <= set(rows.columns):
         return rows
     if "ord" not in rows.columns:
-        counts = rows.groupBy(F.col("_metadata.file_path").alias("file")).count().orderBy("file").collect()
-        place = F.col("_metadata.row_index")
-        rows = _numbered(rows, counts, F.col("_metadata.file_path"), place)
+        counts = rows.groupBy(F.col("_metadata.file_path").alias("_unit")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("first"))
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_of"), F.col("_metadata.row_index").alias("_place"))
+        rows = _numbered(placed, counts)
     return rows if "sample_id" in rows.columns else rows.withColumn("sample_id", F.col("ord"))
 
 
-def _numbered(rows: DataFrame, counts: list, unit: Column, place: Column) -> DataFrame:
-    """``ord`` from the place in a unit (a file, or a part of one) and the rows in the units before it."""
-    starts, total = [], 0
-    for name, found in counts:  # one row per file
-        starts.append((name, total))
-        total += found
-    of = rows.sparkSession.createDataFrame(starts, "_unit string, _start bigint")
-    marked = rows.withColumns({"_of": unit, "_place": place})
+def _numbered(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """``ord`` from the place in a unit (a file, or a part of one) and the rows in the units before it.
+
+    ``counts`` has a row per unit: ``_unit, n`` rows, and the ``first`` place. The sums stay a table, joined by its size.
+    """
+    before = Window.orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_unit", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_start"))
     return (
-        marked.join(of, F.col("_of") == F.col("_unit"))
+        placed.join(starts, F.col("_of") == F.col("_unit"))
         .withColumn("ord", F.col("_start") + F.col("_place"))
         .drop("_of", "_unit", "_place", "_start")
     )
@@ -92,16 +115,12 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -
     part = F.concat_ws(
         "#", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
     )
-    placed = rows.select("*", part.alias("_file_part"), F.monotonically_increasing_id().alias("_id"))
-    # rows before and first id of each part, one row per part of a file
-    parts = placed.groupBy("_file_part").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).orderBy("_file_part").collect()
-    starts, total = [], 0
-    for name, found, first in parts:
-        starts.append((name, total - first))
-        total += found
-    shifts = spark.createDataFrame(starts, "_unit string, _shift bigint")
-    numbered = placed.join(shifts, F.col("_file_part") == F.col("_unit"))
-    order = F.coalesce("ord", F.col("_id") + F.col("_shift"))
+    placed = rows.withColumnRenamed("ord", "_ord").select(
+        "*", part.alias("_of"), F.monotonically_increasing_id().alias("_place")
+    )
+    counts = placed.groupBy(F.col("_of").alias("_unit")).agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("first"))
+    numbered = _numbered(placed, counts)
+    order = F.coalesce("_ord", "ord")
     fields = [_listed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields if f.name not in ("ord", "sample_id")]
     return numbered.select(F.coalesce("sample_id", order).alias("sample_id"), order.alias("ord"), *fields)
 
@@ -136,7 +155,7 @@ def load_dataset(
     fmt: str = "parquet",
 ) -> DataFrame:
     """Prepared samples of a dataset by any of its names."""
-    return prepare.load_samples(read_raw(spark, root, name, split, fmt), name, amount, full_prompt)
+    return prepare.load_samples(read_raw(spark, root, name, split, fmt, amount), name, amount, full_prompt)
 
 
 def load_prompt_pairs(spark: SparkSession, rewrites: str, ratings: str) -> DataFrame:

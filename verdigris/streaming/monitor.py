@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ STATE = T.StructType(
         T.StructField("n_late", T.LongType()),
     ]
 )
-OUTPUT = T.StructType([T.StructField(name, T.LongType()) for name in ("run_id", "n_points", "stop_step", "n_late")])
+COUNTS = [T.StructField(name, T.LongType()) for name in ("n_points", "stop_step", "n_late")]
 
 
 def early_stop_stream(
@@ -33,23 +34,27 @@ def early_stop_stream(
 ) -> DataFrame:
     """Stream ``run_id, step, reward`` to each run's point count, stop step and late points so far.
 
-    State per run is the last ``window`` rewards and ``patience + 1`` means, whatever the length
-    of the run. Inside a micro-batch points are sorted here, and the source's bytes-per-trigger limit bounds what one
-    batch brings. A point that is not after the last step of an earlier batch is late: it is counted as such and
-    changes nothing, so a run without late points has the batch rule's result. Points without a reward are skipped.
+    Run ids are of any type that can be grouped; points of a null run are one run. State per run is the last ``window`` rewards and
+    ``patience + 1`` means, whatever the length of the run. A micro-batch of a run is read chunk by chunk, and of each point only step
+    and reward are kept until they are sorted; the source's bytes-per-trigger limit bounds how many one batch brings. A point that is not after the last step of an earlier batch is late: it is counted as such and
+    changes nothing, so a run without late points has the batch rule's result. Points without a reward or a step are skipped.
     """
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, recent, means, stop, last, late = state.get if state.exists else (0, [], [], None, None, 0)
         recent, means = deque(recent, window), deque(means, patience + 1)
-        points = pd.concat(list(chunks)).dropna(subset=["reward"]).sort_values("step", kind="stable")
-        if last is not None:
-            fresh = points["step"] > last
+        steps, rewards = [], []
+        for chunk in chunks:
+            given = chunk["reward"].notna().to_numpy() & chunk["step"].notna().to_numpy()
+            step = chunk["step"].to_numpy()[given].astype(np.int64)
+            fresh = step > last if last is not None else np.ones(len(step), dtype=bool)
             late += int((~fresh).sum())
-            points = points[fresh]
-        for step, reward in zip(points["step"], points["reward"]):
-            n, last = n + 1, int(step)
-            recent.append(float(reward))
+            steps.append(step[fresh])
+            rewards.append(chunk["reward"].to_numpy()[given][fresh].astype(float))
+        order = np.argsort(np.concatenate(steps), kind="stable")
+        for step, reward in zip(np.concatenate(steps)[order].tolist(), np.concatenate(rewards)[order].tolist()):
+            n, last = n + 1, step
+            recent.append(reward)
             if len(recent) < window:
                 continue
             means.append(sum(recent) / window)
@@ -60,6 +65,7 @@ def early_stop_stream(
             {"run_id": [key[0]], "n_points": [n], "stop_step": pd.array([stop], dtype="Int64"), "n_late": [late]}
         )
 
+    output = T.StructType([T.StructField("run_id", log.schema["run_id"].dataType), *COUNTS])
     return log.groupBy("run_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+        advance, output, STATE, "update", GroupStateTimeout.NoTimeout
     )

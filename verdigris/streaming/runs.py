@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.session import scratch_path
+from verdigris.session import delete_paths, scratch_path
+
+
+#: Folders of micro-batches that are merged into one.
+COMPACT_EVERY = 32
 
 
 def read_stream(
@@ -28,31 +34,46 @@ def running_totals(scores: DataFrame, group: list[str], values: list[str]) -> Da
     )
 
 
-def run_available(stream: DataFrame, key: list[str]) -> DataFrame:
+def _latest(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """The row of the latest micro-batch per key, with its number."""
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("_last"), F.max("batch").alias("batch"))
+    return last.select(*key, "_last.*", "batch")
+
+
+def run_available(stream: DataFrame, key: list[str], compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Process what the source holds now and return the latest row per key.
 
-    Each micro-batch writes its changed rows to its own folder, overwritten when a batch is
-    repeated after a failure, so the table never holds a batch twice. An empty source gives no rows.
+    Each micro-batch writes its changed rows to its own folder, overwritten when a batch is repeated after a failure. When there
+    are ``compact_every`` folders they become one with the latest row per key, so a read opens that many at most,
+    however many batches there were. Rows carry their batch's number: one that is found twice, because a failure came between
+    writing and deleting, changes nothing. An empty source gives no rows.
     """
     spark = stream.sparkSession
     table, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    values = [c for c in stream.columns if c not in key]
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    folders: list[str] = []
 
-    written = set()
-
-    def store(batch: DataFrame, number: int) -> None:
-        written.add(number)
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        folder = f"{table}/batch-{number}"
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(folder)
+        folders.extend([folder] if folder not in folders else [])
+        if len(folders) >= compact_every:
+            merged = f"{table}/upto-{number}-{uuid.uuid4().hex}"
+            rows = batch.sparkSession.read.schema(schema).parquet(*folders)
+            _latest(rows, key, values).select(*schema.names).write.parquet(merged)
+            delete_paths(spark, folders)
+            folders[:] = [merged]
 
     query = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(store)
+        .foreachBatch(keep)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    if not written:
+    if not folders:
         return spark.createDataFrame([], stream.schema)
-    values = [c for c in stream.columns if c not in key]
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(table)
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*key, "_last.*")
+    rows = spark.read.schema(schema).parquet(*folders)
+    return _latest(rows, key, values).select(*key, *values)
