@@ -150,16 +150,15 @@ def references(counted: DataFrame) -> DataFrame:
     places = len(CLASSES) + 2, len(_CODES) + 1
     passed = counted.filter(~F.col("base_failed")).select("lang", F.concat(_shares("chars"), _shares("common")).alias("x"))
     in_bins = F.transform("x", lambda x, i: F.struct(i.alias("place"), F.floor(x * BINS).cast("int").alias("bin")))
-    whole = F.array(F.struct(F.lit(-1).alias("place"), F.lit(1).alias("bin")))  # counts the documents
     cells = (
-        passed.select("lang", F.explode(F.concat(whole, F.filter(in_bins, lambda c: c["bin"] > 0))).alias("cell"))
+        passed.select("lang", F.explode(F.filter(in_bins, lambda c: c["bin"] > 0)).alias("cell"))
         .groupBy("lang", "cell.place", "cell.bin")
         .agg(F.count("*").alias("n"))
     )
-    sizes = cells.filter("place = -1").select(F.col("lang").alias("of"), F.col("n").alias("docs"))
+    sizes = counted.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("docs"))
     sizes = sizes.filter(F.col("docs") >= MIN_REFERENCE_DOCS)
     from_top = Window.partitionBy("lang", "place").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.filter("place >= 0").withColumn("down_to", F.sum("n").over(from_top))
+    ranked = cells.withColumn("down_to", F.sum("n").over(from_top))
     rank = F.col("docs") - F.floor((F.col("docs") + 1) / 2) + 1  # of the lower median, counted from the top
     middle = (
         ranked.join(sizes, F.col("lang").eqNullSafe(F.col("of")), "right")
