@@ -249,11 +249,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, unit_p
     drop_stored(spark, hits)
     rest = found.filter("w1 IS NOT NULL").select("w1", "w2", F.struct("id", "k", "start").alias("place"), "stop")
     twice = rest.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("place").alias("least")).filter("n > 1").drop("n")
+    twice = stored(twice, "suffix-twice")  # by itself, so that a window which many rows hold is split in the join
     again = rest.join(twice, ["w1", "w2"]).filter(F.col("place") > F.col("least")).select("place.*", "stop")
     spans = found.filter("w1 IS NULL").select("id", "k", "start", "stop").unionByName(again)
     gathered = spans.groupBy("id", "k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     gathered = stored(gathered, "suffix-spans")
-    drop_stored(spark, found)
+    for used in (found, twice):
+        drop_stored(spark, used)
     return gathered
 
 
