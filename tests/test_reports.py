@@ -272,3 +272,41 @@ def test_recorded_answers_default_to_empty(spark):
     found = df.limit(1).select(prompts.request_id(F.col("prompt")).alias("request_id"), F.lit("x").alias("text"))
     got = {r["prompt"]: r["text"] for r in hooks.recorded(df, found, "prompt").collect()}
     assert sorted(got.values()) == ["", "x"]
+
+
+def test_gate_that_is_met_early_reads_a_part(spark, tmp_path):
+    """Judgements in files by order: the same rows as over everything, from a small part of the input."""
+    rows = spark.range(40_000).selectExpr(
+        "id div 8 AS ord", "cast(id div 4 % 2 AS INT) AS cand_idx", "if(id % 2 = 0, 'first', 'second') AS answerer",
+        "if(id div 2 % 2 = 0, 'first', 'second') AS judge", "concat(if(hash(id div 4) % 3 = 0, 5, 4), repeat(md5(cast(id AS STRING)), 8)) AS text",
+    )
+    rows.repartitionByRange(50, "ord").sortWithinPartitions("ord").write.parquet(f"{tmp_path}/j")
+    record = spark.read.parquet(f"{tmp_path}/j").withColumn("score", F.substring("text", 1, 1).cast("double"))
+    keys = ("ord", "cand_idx")
+
+    def scanned(work):
+        spark.sparkContext.setJobGroup("gate", "gate")
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("gate"))
+        got = sorted(map(tuple, work().select(*keys, "perfect").collect()))
+        tracker, status = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup("gate") if j not in before for s in tracker.getJobInfo(j).stageIds}
+        spark.sparkContext.setJobGroup("other", "other")
+        read = 0
+        for s in stages:
+            try:
+                read += status.lastStageAttempt(s).inputRecords()
+            except Exception:  # a skipped stage has no attempt
+                continue
+        return got, read
+
+    whole, all_read = scanned(lambda: curate.curate(curate.with_gate(curate.judge_matrix(record, list(keys)), 4.0, 5.0), 60))
+    part, some_read = scanned(lambda: curate.curate_in_ranges(record, keys, 60, 4.0, 5.0, first_range=20))
+    assert part == whole and len(part) == 60
+    assert all_read == 80_000  # the cut is looked for, then the rows are read
+    assert some_read - 40_000 < 10_000  # once for the ends of the key, then the files of the first ranges
+    scarce = curate.curate_in_ranges(record, keys, 60, 6.0, 7.0, first_range=20)
+    assert scarce.count() == 0
+    nulls = record.withColumn("ord", F.when(F.col("ord") > 5, F.col("ord")))
+    a = curate.curate(curate.with_gate(curate.judge_matrix(nulls, list(keys)), 4.0, 5.0), 9).select(*keys).collect()
+    b = curate.curate_in_ranges(nulls, keys, 9, 4.0, 5.0, first_range=1).select(*keys).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris import fixed_values as fixed
 from verdigris.operators import ordered
 from verdigris.operators.rouge import with_best_rouge
+from verdigris.session import store
 
 ANSWERERS = ("first", "second")
 JUDGES = ("first", "second")
@@ -53,6 +56,36 @@ def curate(
     return ordered.first_rows(gated.where("successful"), wanted, list(order))
 
 
+def curate_in_ranges(
+    judgements: DataFrame,
+    keys: tuple[str, ...] = ("ord", "cand_idx"),
+    wanted: int = fixed.CURATE_WANTED,
+    success: float = fixed.SUCCESS_SCORE,
+    perfect: float = fixed.PERFECT_SCORE,
+    first_range: int | None = None,
+) -> DataFrame:
+    """As ``curate`` over the gated matrix of ``judgements``, reading no further than it has to.
+
+    The first of ``keys``, a whole number, is cut into ranges, each twice as wide as all before it. A range is judged and gated, and its
+    successes stored, until there are enough: a filter on the key reaches the scan, so of a record sorted or partitioned by it only
+    the key is read as a whole (for its ends), judgements about as far as the gate needs. Rows with a NULL key come first,
+    as in a sort.
+    """
+    order = keys[0]
+    ends = judgements.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    gate = lambda part: with_gate(judge_matrix(part, list(keys)), success, perfect).where("successful")
+    found = [store(gate(judgements.where(F.col(order).isNull())), "gated")]
+    have = found[0].count()
+    if ends["low"] is not None:
+        start, width = ends["low"], first_range or 2 * wanted
+        while have < wanted and start <= ends["high"]:
+            inside = (F.col(order) >= start) & (F.col(order) < start + width)
+            found.append(store(gate(judgements.where(inside)), "gated"))
+            have += found[-1].count()
+            start, width = start + width, 2 * width
+    return ordered.first_rows(reduce(DataFrame.unionByName, found), wanted, list(keys))
+
+
 def curated_prompts(kept: DataFrame, candidates: DataFrame, keys: list[str], stem: bool = True) -> DataFrame:
     """Records of the kept candidates with their texts, scores and the first answer's ROUGE-L.
 

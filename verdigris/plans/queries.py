@@ -783,8 +783,7 @@ def judge_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = curate.judge_matrix(fixtures.judgements(spark, sf), ["ord", "cand_idx"])
-    kept = curate.curate(curate.with_gate(matrix, success=2.0, perfect=3.0), wanted=100)
+    kept = curate.curate_in_ranges(fixtures.judgements(spark, sf), wanted=100, success=2.0, perfect=3.0)
     scores = F.array_join(F.transform("scores", lambda s: s.cast("int").cast("string")), ",")
     return kept.select("ord", "cand_idx", scores.alias("scores"), "perfect")
 
