@@ -152,3 +152,48 @@ def test_equal_windows_choose_one_anchor(seed):
         assert len(of) == 1 and (lo[1:] == hi[:-1] + 1).all() and hi[-1] == len(data) - 100
         chosen.add(int(h[of[0]]))
     assert len(chosen) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_portions_regions_and_strings_in_one_process(monkeypatch, seed):
+    """The steps between the shuffles, with cuts everywhere: long texts in portions, short stretches, short strings."""
+    import pyarrow as pa
+
+    for name, value in (("PORTION_BYTES", 300), ("REGION", 500), ("STRING_WINDOWS", 40)):
+        monkeypatch.setattr(sd, name, value)
+    rng = random.Random(seed)
+    long = prose(rng, 2500)
+    texts = [long, "xy" * 300 + long[700:1900], prose(rng, 400) + long[:350], "z" * 900, long[300:] + "z" * 200, prose(rng, 90)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["id", "k", "text"])
+    places: dict = {}
+    for part in sd._references([batch], 100, 32):
+        for r in part.to_pylist():
+            places.setdefault(r["h"], []).append(((r["id"], r["k"], r["start"]), r["n"]))
+    hits: dict = {}
+    for h, found in places.items():
+        if sum(n for _, n in found) > 1:
+            (doc, k, start), _ = min(found)
+            for (i, _, _), _ in found:
+                hits.setdefault(i, {})[h] = (doc * 1000 + start // sd.REGION, start if i == doc else -1)
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("h", "src", "salts", "start")]))
+    rows = sorted(hits)
+    listed = pa.array([[{"h": h, "src": s, "salts": 1, "start": p} for h, (s, p) in hits[i].items()] for i in rows], kind)
+    some = pa.array(rows, pa.int64())
+    met = pa.RecordBatch.from_arrays([some, some, pa.array([texts[i] for i in rows]), listed], names=["id", "k", "text", "hits"])
+    pieces = pa.Table.from_batches(list(sd._pieces([met], 100, 32)))
+    assert len(pieces) > 30 and max(len(p) for p in pieces["piece"].to_pylist()) < 40 + 69 + 100
+    spans: dict = {}
+    for unit in set(pieces["src"].to_pylist()):
+        own = pieces.filter(pa.compute.equal(pieces["src"], unit)).combine_chunks()
+        for r in sd.marked(own).to_pylist():
+            assert r["w1"] is None
+            spans.setdefault(r["id"], []).append(r)
+    seen = set()
+    for i, text in enumerate(texts):
+        data, gone = text.encode(), np.zeros(len(text), dtype=bool)
+        for p in range(len(data) - 99):
+            gone[p : p + 100] |= data[p : p + 100] in seen
+            seen.add(data[p : p + 100])
+        kept = b"".join(data[a:b] for a, b in sd.kept_stretches(len(data), spans.get(i, [])))
+        assert kept == bytes(b for b, g in zip(data, gone) if not g)
