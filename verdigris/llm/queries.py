@@ -90,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": quality_rules.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
     "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_suffix_dedup": suffix_dedup.SQL,
 }

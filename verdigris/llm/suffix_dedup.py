@@ -312,3 +312,34 @@ def document_repeats(docs: DataFrame) -> DataFrame:
     """Counts and the digest of what is kept; see ``without_repeats`` for nulls, repeats and short texts."""
     kept = without_repeats(docs)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same for DuckDB, over documents with distinct ids; bytes as hexadecimal digits, cut into blocks so that windows are taken from short texts.
+SQL = f"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), blocks AS (
+  SELECT doc_id, base, substr(x, 2 * base + 1, {2 * (1000 + WIDTH - 1)}) AS x
+  FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {WIDTH - 1}, 1000)) AS base FROM docs)
+), windows AS (
+  SELECT doc_id, base + i AS i, md5_number(substr(x, 2 * i + 1, {2 * WIDTH})) AS h
+  FROM (SELECT doc_id, base, x, unnest(range(0, len(x) // 2 - {WIDTH - 1})) AS i FROM blocks)
+), firsts AS (
+  SELECT h, min(struct_pack(d := doc_id, i := i)) AS least_at FROM windows GROUP BY h HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE struct_pack(d := doc_id, i := i) > least_at
+), runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i <= before + {WIDTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM hits)
+), gone AS (
+  SELECT doc_id, min(i) AS a, max(i) + {WIDTH} AS b FROM runs GROUP BY doc_id, run
+), kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM gone) g JOIN docs d ON d.doc_id = g.doc_id
+  GROUP BY g.doc_id
+)
+SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
