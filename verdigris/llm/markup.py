@@ -104,6 +104,7 @@ def _element(name: str, rest: str, parent: Element | None, in_region: bool) -> E
     above = parent is not None and parent.aside
     if above and region in (1, 2) and not parent.reply and not in_region:
         above = False  # an element before the article was left open
+    label = label.replace("/", "|")  # a path is cut at slashes
     path = f"{parent.path}/{label}" if parent else label
     return Element(name, label, path, off or above, reply or (parent is not None and parent.reply), region)
 
