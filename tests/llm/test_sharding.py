@@ -55,5 +55,19 @@ def test_odd_rows(odd_docs):
     _check(keyed, texts, 5)
 
 
+def test_equal_rows_spread(docs_of):
+    """1,000 equal rows among 4,000: as many in each shard as chance gives, and no long runs of slots."""
+    docs = docs_of([(7, "the same")] * 1000 + [(i, f"text {i}") for i in range(100, 3100)])
+    rows = sharding.document_shards(docs).collect()
+    _check(rows, [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()], 24)
+    places = {}
+    for r in sorted(rows, key=lambda r: r["slot"]):
+        places.setdefault(r["shard"], []).append(r["doc_id"] == 7)
+    for equal in places.values():
+        assert 18 <= sum(equal) <= 70  # 41.7 expected, four deviations
+        runs = "".join("x" if e else " " for e in equal).split()
+        assert max(map(len, runs)) <= 10 and len(runs) >= 12
+
+
 def test_empty(docs_of):
     assert sharding.document_shards(docs_of([])).collect() == []

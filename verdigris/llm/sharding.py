@@ -62,6 +62,16 @@ def communication_matrix(block_rows: list[int], shards: int, seed: int) -> np.nd
     return matrix
 
 
+def _told_apart(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with hashes of their own (``_h``) for those that share one; the numbers (``_row``) were stored with them."""
+    shared = stored(rows.groupBy("_h").count().filter("count > 1").select(F.col("_h").alias("_shared")), "shard-repeats")
+    if shared.isEmpty():
+        return rows.drop("_row")
+    met = rows.join(shared, F.col("_h") == F.col("_shared"), "left")
+    own = F.when(F.col("_shared").isNull(), F.col("_h")).otherwise(F.xxhash64(F.lit(seed), "_h", "_row"))
+    return stored(met.withColumn("_h", own).drop("_row", "_shared"), "shard-rows")
+
+
 def assign_shards(
     docs: DataFrame,
     key: list[Column],
@@ -73,15 +83,17 @@ def assign_shards(
 ) -> DataFrame:
     """``carry`` columns plus ``shard`` and ``slot`` (gapless from 0 in each shard) for every row.
 
-    ``key`` is what makes a row's place random; rows with an equal key (repeated rows) are kept and
-    placed like any other, in an order that only equal rows share. Null keys are hashed as nulls. An empty table gives
+    ``key`` is what makes a row's place random, whatever partition it stands in. Rows with an equal key (repeated rows) take
+    the number they were stored under as a part of their key, so they spread over blocks, shards and slots like any other. Null
+    keys are hashed as nulls. An empty table gives
     no rows. ``most_blocks`` bounds the matrix on the driver, not the rows: beyond it blocks grow. Columns
     of ``docs`` with clashing names do not matter, since only ``carry`` is kept.
     """
     spark = docs.sparkSession
     names = [f"_c{i}" for i in range(len(carry))]
     kept = [c.alias(n) for c, n in zip(carry, names)]
-    rows = stored(docs.select(*kept, F.xxhash64(F.lit(seed), *key).alias("_h")), "shard-rows")
+    hashed = docs.select(*kept, F.xxhash64(F.lit(seed), *key).alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    rows = _told_apart(stored(hashed, "shard-rows"), seed)
     total = rows.count()
     blocks = min(most_blocks, max(64, -(-total // rows_per_block)))
     rows = rows.withColumn("_block", F.pmod("_h", F.lit(blocks)).cast("int"))
