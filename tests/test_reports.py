@@ -145,6 +145,34 @@ def test_sample_log_keeps_text(spark, tmp_path):
     assert logs.read_sample_log(spark, f"{tmp_path}/log/run_name=run1").count() == 3
 
 
+def test_sample_log_of_one_line_each_is_read_by_many_tasks(spark, tmp_path):
+    odd = [" lead", 'a "q", b\nline\n', "\r\n", "\\n", "\\\n", "\\\\", "\\r\r\\", 'ends in "\\"', "é", None] + [f"text {i}\n" * 50 for i in range(2000)]
+    rows = [("run", t, t, t, 0.125, -1.0) for t in odd]
+    schema = "run_name STRING, original STRING, rewrite STRING, final_answer STRING, accuracy DOUBLE, judge DOUBLE"
+    logs.write_sample_log(spark.createDataFrame(rows, schema).coalesce(1), f"{tmp_path}/log", breaks="escaped")
+    files = list((tmp_path / "log" / "run_name=run").glob("*.csv"))
+    assert len(files) == 1 and files[0].read_text().count("\n") == len(odd) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        back = logs.read_sample_log(spark, f"{tmp_path}/log", breaks="escaped")
+        assert back.rdd.getNumPartitions() > 3
+        for column in ("Original", "Rewrite", "Final Answer"):
+            assert sorted(map(repr, odd)) == sorted(repr(r[column]) for r in back.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError):
+        logs.read_sample_log(spark, f"{tmp_path}/log", breaks="none")
+
+
+def test_sample_log_files_are_bounded(spark, tmp_path):
+    rows = [("run", f"a\n{i}", "b", "c", 0.5, 1.0) for i in range(25)]
+    schema = "run_name STRING, original STRING, rewrite STRING, final_answer STRING, accuracy DOUBLE, judge DOUBLE"
+    logs.write_sample_log(spark.createDataFrame(rows, schema).coalesce(1), f"{tmp_path}/log", rows_per_file=10)
+    assert len(list((tmp_path / "log" / "run_name=run").glob("*.csv"))) == 3
+    assert logs.read_sample_log(spark, f"{tmp_path}/log").count() == 25
+
+
 def test_reward_log(spark, tmp_path):
     (tmp_path / "rewards.txt").write_text("1.5 0.25   3\n  2.5\t0.5 1  \n\n")
     got = logs.read_reward_log(spark, str(tmp_path / "rewards.txt")).orderBy("step").collect()

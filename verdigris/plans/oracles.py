@@ -662,6 +662,8 @@ ORACLES["sample_log"] = f"""WITH {QA} SELECT 'turn' || turn AS run_name, md5(que
   md5(' "' || question || '", again ') AS rewrite_md5, md5(reply) AS answer_md5,
   round_even(length(question)::DECIMAL(18,6) / 1000, 2)::DOUBLE AS "Accuracy", -1.0::DOUBLE AS judge FROM qa"""
 
+ORACLES["sample_log_lines"] = ORACLES["sample_log"]
+
 ORACLES["reward_log_scan"] = """SELECT event_id::INT AS step, value AS reward, round(epoch_us(ts) / 1000000.0::DOUBLE, 3) AS ts FROM events"""
 
 ORACLES["json_roundtrip"] = f"""WITH raw AS (

@@ -876,8 +876,7 @@ def results_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.read_results(spark, path)
 
 
-@query
-def sample_log(spark: SparkSession, sf: str) -> DataFrame:
+def _through_sample_log(spark: SparkSession, sf: str, breaks: str) -> DataFrame:
     path = scratch_path(spark, "samples")
     rows = fixtures.questions(spark, sf).select(
         F.concat(F.lit("turn"), "turn").alias("run_name"),
@@ -887,8 +886,8 @@ def sample_log(spark: SparkSession, sf: str) -> DataFrame:
         (F.length("question") / 1000).alias("accuracy"),
         F.lit(-1.0).alias("judge"),
     )
-    logs.write_sample_log(rows, path)
-    back = logs.read_sample_log(spark, path, answer_as="option_1")
+    logs.write_sample_log(rows, path, breaks)
+    back = logs.read_sample_log(spark, path, answer_as="option_1", breaks=breaks)
     return back.select(
         "run_name",
         digest("Original").alias("original_md5"),
@@ -899,6 +898,17 @@ def sample_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def sample_log(spark: SparkSession, sf: str) -> DataFrame:
+    return _through_sample_log(spark, sf, "kept")
+
+
+@query
+def sample_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log with a line per sample, which many tasks can read."""
+    return _through_sample_log(spark, sf, "escaped")
+
+
 @query
 def reward_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "rewards")
