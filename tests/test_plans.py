@@ -88,3 +88,11 @@ def test_normalize_filters_before_rendering(spark, sf):
 def test_rouge_is_row_local(spark, sf):
     df = fixtures.news(spark, sf).select(F.col("article").alias("answer"), F.array("highlights").alias("target"))
     assert not shuffles(plan_of(rouge.with_best_rouge(df, "answer", "target", "r")))
+
+
+@pytest.mark.parametrize("name", ["best_mean_choice", "win_rate"])
+def test_filters_do_not_read_texts_twice(spark, sf, name):
+    """A filter on what was parsed stays above the parsing, and so above the spreading of small files."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if re.match(r"[\s:+-]*Filter ", line)]
+    assert filters and not any("from_json" in line or "regexp" in line for line in filters)

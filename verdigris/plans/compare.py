@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions import parsing
+from verdigris.functions import parsing, text
 from verdigris.operators import prompts
 
 
@@ -54,7 +54,7 @@ def pairwise_requests(
 
 def with_selection(judged: DataFrame, output: str = "judge_text") -> DataFrame:
     """Read each judge output and undo the swap; an unreadable one has no selection."""
-    return judged.withColumn("_s", parsing.selection(F.col(output))).select(
+    return text.once(judged, "_s", parsing.selection(F.col(output))).select(
         *judged.columns,
         prompts.unswap(F.col("_s.selection"), F.col("swap")).alias("selection"),
         F.col("_s.explanation").alias("explanation"),

@@ -109,7 +109,9 @@ def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
     candidates and that candidate was scored. The candidates are scored once: one aggregate per sample gives
     all three values, a second one their means. A sample has one pick; of several the smallest counts.
     """
-    picked = picks.where(F.col("pick").between(0, n - 1)).groupBy("sample_id").agg(F.min("pick").alias("_pick"))
+    # picks are read out of texts: the range is tested on what was read, where the rows are spread
+    read = text.once(picks, "_pick", F.col("pick")).where(F.col("_pick").between(0, n - 1))
+    picked = read.groupBy("sample_id").agg(F.min("_pick").alias("_pick"))
     marked = usable(scored).join(picked, "sample_id", "left")
     chosen = F.col("cand_idx") == F.col("_pick")
     per_sample = marked.groupBy("sample_id").agg(
