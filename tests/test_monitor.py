@@ -1,13 +1,15 @@
 """Rolling mean and early-stop rules against plain loops; streams against batch."""
 
 import random
+import time
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import monitor
-from verdigris.streaming.monitor import early_stop_stream
+from verdigris.plans.queries import QUERIES
+from verdigris.streaming.monitor import early_stop_available, early_stop_stream
 from verdigris.streaming.runs import read_stream, run_available, running_totals
 
 WINDOW, PATIENCE, DELTA = 5, 8, 0.01
@@ -130,6 +132,43 @@ def test_late_points_are_counted_and_change_nothing(spark, tmp_path):
     assert (row["n_points"], row["n_late"], row["stop_step"]) == (40, 1, WINDOW + PATIENCE - 1)
 
 
+def test_late_points_of_a_source_are_done_by_the_batch_rule(spark, log, tmp_path):
+    """The later half of the steps comes first; runs that end before are streamed, all others have late points."""
+    for i, late in enumerate((True, False)):
+        half = log.where((F.col("step") >= 60) == late).coalesce(1)
+        half.write.parquet(f"{tmp_path}/in/part={i}")
+        time.sleep(1.1)
+    stream = read_stream(spark, f"{tmp_path}/in/*", log.schema, per_trigger=1)
+    got = early_stop_available(stream, log, window=WINDOW, patience=PATIENCE, delta=DELTA)
+    batch = monitor.stop_on_moving_average(log, WINDOW, PATIENCE, DELTA)
+    assert stops(got) == stops(batch)
+    assert {r["run_id"]: r["n_points"] for r in got.collect()} == {g: len(rewards) for g, rewards in RUNS.items()}
+
+
+def test_stream_decides_ties_as_the_batch_rule(spark, tmp_path):
+    """Gains of just ``delta``, up to the rounding of the sums."""
+    rows = [
+        (seed, float(i), rng.randrange(100) / 100, i)
+        for seed in (2295, 3119, 5027, 6711)
+        for rng in [random.Random(seed)]
+        for i in range(30)
+    ]
+    log = spark.createDataFrame(rows, "run_id BIGINT, ts DOUBLE, reward DOUBLE, step BIGINT")
+    log.write.parquet(f"{tmp_path}/in")
+    rule = {"window": 10, "patience": 20, "delta": 0.01}
+    streamed = run_available(early_stop_stream(read_stream(spark, f"{tmp_path}/in", log.schema), **rule), ["run_id"])
+    got = {r["run_id"]: r["stop_step"] for r in streamed.collect()}
+    assert got == {r["run_id"]: r["stop_step"] for r in monitor.stop_on_moving_average(log, **rule).collect()}
+
+
+@pytest.mark.parametrize("name", ["stream_early_stop", "stream_early_stop_named", "stream_totals"])
+def test_stream_queries_read_a_folder_of_files(spark, sf, tmp_path, name):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3, "user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got, expected = (sorted(map(str, QUERIES[name](spark, folder).collect())) for folder in (str(tmp_path), sf))
+    assert got == expected and got
+
+
 def test_empty_stream(spark, tmp_path):
     spark.createDataFrame([], "run_id BIGINT, reward DOUBLE").write.parquet(f"{tmp_path}/in")
     schema = spark.createDataFrame([], "run_id BIGINT, reward DOUBLE").schema

@@ -17,7 +17,7 @@ from verdigris.plans import compare, curate, evaluate, fixtures
 from verdigris.session import scratch_path
 from verdigris.sources import logs, schemas
 from verdigris.sources.datasets import load_dataset, load_prompt_pairs, read_table
-from verdigris.streaming.monitor import early_stop_stream
+from verdigris.streaming.monitor import early_stop_available
 from verdigris.streaming.runs import read_stream, run_available, running_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -836,24 +836,24 @@ def early_stop_default(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return read_stream(spark, sf, read_table(spark, sf, "events").schema, "events.parquet")
+    # a pattern takes the table as one file or as a folder of files; a stream's path may not be a file
+    return read_stream(spark, f"{sf}/events.parque[t]", read_table(spark, sf, "events").schema, "*.parquet")
+
+
+def _stops_of(spark: SparkSession, sf: str, run: str) -> DataFrame:
+    points = lambda e: e.select(F.col(run).alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("reward"))
+    return early_stop_available(points(_event_stream(spark, sf)), points(read_table(spark, sf, "events")), **SHORT_MOVING)
 
 
 @query
 def stream_early_stop(spark: SparkSession, sf: str) -> DataFrame:
-    points = _event_stream(spark, sf).select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("reward")
-    )
-    return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"]).drop("n_late")
+    return _stops_of(spark, sf, "user_id")
 
 
 @query
 def stream_early_stop_named(spark: SparkSession, sf: str) -> DataFrame:
     """Runs named by a text; a few hold all points of a micro-batch."""
-    points = _event_stream(spark, sf).select(
-        F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("reward")
-    )
-    return run_available(early_stop_stream(points, **SHORT_MOVING), ["run_id"]).drop("n_late")
+    return _stops_of(spark, sf, "event_type")
 
 
 @query

@@ -8,10 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdigris import fixed_values as fixed
+from verdigris.operators import ordered
+from verdigris.operators.monitor import stop_on_moving_average
+from verdigris.streaming.runs import run_available
 
 STATE = T.StructType(
     [
@@ -26,6 +30,14 @@ STATE = T.StructType(
 COUNTS = [T.StructField(name, T.LongType()) for name in ("n_points", "stop_step", "n_late")]
 
 
+def _mean(rewards: deque) -> float:
+    """The mean as an aggregate over a window adds it, oldest reward first: ``sum`` corrects its rounding, which decides other ties."""
+    total = 0.0
+    for reward in rewards:
+        total += reward
+    return total / len(rewards)
+
+
 def early_stop_stream(
     log: DataFrame,
     window: int = fixed.MOVING_WINDOW,
@@ -57,7 +69,7 @@ def early_stop_stream(
             recent.append(reward)
             if len(recent) < window:
                 continue
-            means.append(sum(recent) / window)
+            means.append(_mean(recent))
             if stop is None and len(means) > patience and means[-1] - means[0] < delta:
                 stop = last
         state.update((n, list(recent), list(means), stop, last, late))
@@ -69,3 +81,18 @@ def early_stop_stream(
     return log.groupBy("run_id").applyInPandasWithState(
         advance, output, STATE, "update", GroupStateTimeout.NoTimeout
     )
+
+
+def early_stop_available(points: DataFrame, log: DataFrame, **rule) -> DataFrame:
+    """Stop step and point count of each run over all that a source holds now, in whatever order its files come.
+
+    ``log`` is the source of the stream ``points`` read as a table. Files come by the time of their last change, which need not be the order of
+    steps: runs of which the stream counted late points are done by the batch rule, and only their rows are read for it.
+    """
+    rows = run_available(early_stop_stream(points, **rule), ["run_id"])
+    late = rows.where("n_late > 0").select("run_id")
+    if late.isEmpty():
+        return rows.drop("n_late")
+    again = ordered.match(log.where(F.col("step").isNotNull()), late, ["run_id"], "left_semi")
+    stops = stop_on_moving_average(again.withColumn("ts", F.lit(0.0)), **rule)
+    return rows.where("n_late = 0").drop("n_late").unionByName(stops)
