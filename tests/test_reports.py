@@ -202,6 +202,23 @@ def test_hook_isolates_failures(spark):
     assert got == {"a": ("A", None), "b": ("B", None), "bad": ("", "refused")}
 
 
+def test_hook_hands_out_portions_of_bytes(spark):
+    """Without a batch size a call has a portion of an Arrow batch; rows, orders and other columns stay as they are."""
+    rows = [(i, None if i == 5 else "" if i == 6 else str(i % 10) * (3_000_000 if i == 50 else 20_000), [i, None]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k INT, prompt STRING, more ARRAY<INT>").coalesce(1)
+
+    def backend():
+        return lambda prompts: [f"{len(prompts)} {sum(len(p or '') for p in prompts)} {p and p[0]}" for p in prompts]
+
+    got = hooks.generate(df, "prompt", backend).collect()
+    assert [(r["k"], r["prompt"], r["more"]) for r in got] == rows and {r["error"] for r in got} == {None}
+    assert [r["text"].split(" ")[2] for r in got] == [p[0] if p else str(p) for _, p, _ in rows]
+    assert max(int(r["text"].split()[1]) for r in got if r["k"] != 50) <= hooks.ASK_BYTES + 3_000_000
+    assert max(int(r["text"].split()[0]) for r in got) <= hooks.ASK_BYTES // 20_000 + 3
+    empty = hooks.generate(df.where("k < 0"), "prompt", backend, into="said").collect()
+    assert empty == []
+
+
 def test_hook_asks_each_request_once(spark):
     asked = spark.sparkContext.accumulator(0)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ Backend = Callable[[list[str]], list[str]]
 
 #: Requests that one task asks and commits together, about.
 COMMIT_ROWS = 2_000
+#: Bytes of prompts, about, that a task holds as Python texts at once.
+ASK_BYTES = 2_000_000
 LEDGER = T.StructType(
     [T.StructField("request_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]
 )
@@ -41,6 +45,15 @@ def _ask(backend: Backend, prompts: list[str]) -> tuple[list[str], list[str | No
     return first[0] + second[0], first[1] + second[1]
 
 
+def _portions(batch: pa.RecordBatch, prompt: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``ASK_BYTES`` of prompts each; a longer prompt is one of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(prompt)), 0).to_numpy(zero_copy_only=False)
+    portion = np.cumsum(sizes, dtype=np.int64) // ASK_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        yield batch.slice(start, end - start)
+
+
 def generate(
     requests: DataFrame,
     prompt: str,
@@ -51,25 +64,28 @@ def generate(
 ) -> DataFrame:
     """Run a backend over the prompts of each partition.
 
-    ``make_backend`` is called once per task, so a client is opened where it is used. ``batch_size``
-    bounds the prompts of one call; else an Arrow batch is asked at once. A batch that fails is halved until
+    ``make_backend`` is called once per task, so a client is opened where it is used. ``batch_size`` bounds the prompts of one call; so
+    does ``ASK_BYTES`` of an Arrow batch, the only part of it that is made Python texts: the columns of the requests are handed
+    on as they came, and a worker's memory does not grow with its task. Prompts of a call that fails are halved until
     the failing prompts are found; a failing prompt gives '' and its error.
     """
     schema = T.StructType([*requests.schema.fields, T.StructField(into, T.StringType()), T.StructField(error, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = make_backend()
         for batch in batches:
-            prompts = batch[prompt].tolist()
-            step = batch_size or max(1, len(prompts))
-            texts, errors = [], []
-            for start in range(0, len(prompts), step):
-                found = _ask(backend, prompts[start : start + step])
-                texts += found[0]
-                errors += found[1]
-            yield batch.assign(**{into: texts, error: errors})
-
-    return requests.mapInPandas(run, schema)
+            for part in _portions(batch, prompt):
+                prompts = part.column(prompt).to_pylist()
+                step = batch_size or max(1, len(prompts))
+                texts, errors = [], []
+                for start in range(0, len(prompts), step):
+                    found = _ask(backend, prompts[start : start + step])
+                    texts += found[0]
+                    errors += found[1]
+                kind = part.column(prompt).type  # a text is of one kind in all columns
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, kind), pa.array(errors, kind)], names=schema.names)
+
+    return requests.mapInArrow(run, schema)
 
 
 def _distinct_requests(df: DataFrame, prompt: str, params: str) -> tuple[DataFrame, DataFrame]:
