@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verdigris import fixed_values as fixed
 from verdigris import judge_texts
 from verdigris.operators import prepare, prompts, training
+from verdigris.plans import queries
 from verdigris.sources import datasets, schemas
 
 
@@ -296,3 +297,14 @@ def test_head_of_many_files_opens_one(spark, tmp_path):
     assert len(first_files(everything, 0).inputFiles()) == 1 and first_files(everything, 10_000).count() == 200
     got = load_dataset(spark, f"{tmp_path}/data", "cnndm", "validation", amount=6).orderBy("ord").collect()
     assert [(r["ord"], r["text"]) for r in got] == [(i, f"\nText: article {i}") for i in range(6)]
+
+
+def test_files_of_a_dataset_follow_the_splits_of_its_table(spark, sf, tmp_path):
+    """Each split of a scan has a file, in order of the key; a small table has three."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("doc_id").alias("id"))
+    queries._in_files(rows.coalesce(1), "doc_id").write.parquet(f"{tmp_path}/small")
+    queries._in_files(rows.repartition(9), "doc_id").write.parquet(f"{tmp_path}/large")
+    for folder, files in (("small", 3), ("large", 9)):
+        found = sorted((tmp_path / folder).glob("*.parquet"))
+        ids = [r["id"] for f in found for r in spark.read.parquet(str(f)).collect()]
+        assert len(found) == files and ids == sorted(r["doc_id"] for r in rows.collect())
