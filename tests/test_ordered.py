@@ -205,3 +205,15 @@ def test_split_counts_again_in_a_crowded_sliver(skewed, monkeypatch):
 def test_broadcast_is_bounded_by_bytes(spark):
     wide = spark.createDataFrame([("x" * 1000,)] * 20, "t STRING")
     assert ordered.is_small(wide, 100) and not ordered.is_small(wide, 100, 5000)
+
+
+def test_groups_without_a_hot_one_are_joined_in_one_pass(spark, monkeypatch):
+    """Rows are evaluated a second time only to keep groups of at least ``HOT_ROWS`` where they are."""
+    monkeypatch.setattr(ordered, "SMALL_ROWS", 2)
+    df = spark.range(300).selectExpr("id", "if(id < 40, 0, id) AS g")
+    stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    for hot_rows, passes in ((41, 1), (40, 2)):
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot_rows)
+        joined = ordered.join_group_stats(df, stats, ["g"], "n")
+        assert joined._jdf.queryExecution().optimizedPlan().toString().count("Range (") == passes
+        assert sorted((r["id"], r["n"]) for r in joined.collect()) == [(i, 40 if i < 40 else 1) for i in range(300)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from verdigris import judge_texts
 from verdigris.operators import hooks, prompts
-from verdigris.plans import compare, curate, evaluate
+from verdigris.plans import compare, curate, evaluate, fixtures
 from verdigris.sources import logs, schemas
 
 SCHEMA = "sample_id INT, answer STRING, target ARRAY<STRING>, judge_text STRING"
@@ -290,6 +290,19 @@ def test_an_empty_table_asks_nothing(spark, tmp_path):
     assert hooks.generate_resumable(df, "prompt", _logging_backend(tmp_path), f"{tmp_path}/ledger").collect() == []
 
 
+def test_answers_are_scored_by_even_tasks(spark, monkeypatch):
+    """Tasks have ``SCORED_ROWS`` answers, however few bytes these take; what was joined is stored, not joined again."""
+    monkeypatch.setattr(evaluate, "SCORED_ROWS", 20)
+    samples = spark.range(95).selectExpr("id AS sample_id", "concat('q', id) AS text", "array('r') AS target", "concat('p', id) AS final_prompt")
+    asked = prompts.request_id(F.col("final_prompt"))
+    kept = samples.select(asked.alias("request_id"), F.concat(F.lit("a"), "sample_id").alias("text"))
+    answered = evaluate._answered(samples, kept, fixtures.TEMPLATES, "nq")
+    assert sorted((r["sample_id"], r["answer"], r["judge_text"]) for r in answered.collect()) == [(i, f"a{i}", "") for i in range(95)]
+    sizes = [n for n in answered.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(sizes) == 5 and max(sizes) <= 24
+    assert "final_prompt" not in answered._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_generations_stay_in_their_buckets(spark):
     from verdigris.sources.generations import generation_store
 

@@ -27,6 +27,8 @@ TAKE_ROWS = 10_000
 SPLIT_DIGITS = 3
 BLOCK_ROWS = 100_000
 HOT_KEYS = 1_000
+#: Rows from which a group counts as hot; a task of a shuffle join takes smaller ones as they come.
+HOT_ROWS = 1_000
 SMALL_ROWS = 10_000
 SMALL_BYTES = 8_000_000
 _PART_SHIFT = 33  # bits of a row's place inside its task in monotonically_increasing_id
@@ -336,15 +338,15 @@ def with_running_max(
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
     """Attach per-group values to rows without moving a hot group.
 
-    A table that is small in rows and bytes is broadcast. Of a larger one, the groups with the most rows, at most
+    A table that is small in rows and bytes is broadcast. Of a larger one, the groups with the most rows, ``HOT_ROWS`` at least, at most
     ``HOT_KEYS`` of them and only if they are small in bytes too, are joined by broadcast; the rest is joined by
-    shuffle, where a large partition is split at run time.
+    shuffle, where a large partition is split at run time. Without such groups ``df`` is evaluated once.
     """
     fixed_stats = cut_lineage(stats)
     if is_small(fixed_stats, SMALL_ROWS):
         return match(df, F.broadcast(fixed_stats), keys)
-    hot = fixed_stats.orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
-    if not is_small(hot, HOT_KEYS):
+    hot = fixed_stats.where(F.col(rows) >= HOT_ROWS).orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
+    if hot.isEmpty() or not is_small(hot, HOT_KEYS):
         return match(df, fixed_stats, keys)
     in_hot = match(df, F.broadcast(hot), keys)
     in_rest = match(match(df, F.broadcast(hot.select(*keys)), keys, "left_anti"), fixed_stats, keys)

@@ -19,6 +19,8 @@ from verdigris.sources import logs
 from verdigris.sources.generations import generation_store
 
 METRICS = ("em", "f1", "rouge", "judge")
+#: Answers that one task scores, about: scoring takes much time for few bytes, so tasks are not cut by bytes.
+SCORED_ROWS = 5_000
 FAILED_IS_ZERO, FAILED_IS_DROPPED = 0.0, parsing.NO_SCORE
 
 
@@ -140,13 +142,18 @@ def candidate_metrics(scored: DataFrame, picks: DataFrame, n: int) -> DataFrame:
 def _answered(
     samples: DataFrame, generations: DataFrame, templates: Mapping[str, str], task: str, params: str = ""
 ) -> DataFrame:
-    """Recorded answers to ``final_prompt`` and the recorded judgement of each, by request from a generation store."""
-    answered = hooks.recorded(samples, generations, "final_prompt", params, into="answer", distinct=True).drop("request_id")
+    """Recorded answers to ``final_prompt`` and the recorded judgement of each, by request from a generation store.
+
+    What is joined is stored before it is used again, and dealt evenly to tasks of about ``SCORED_ROWS`` for scoring.
+    """
+    answered = hooks.recorded(samples, generations, "final_prompt", params, into="answer", distinct=True)
+    answered = store(answered.drop("request_id", "final_prompt"), "answered")
     request = prompts.answer_request(
         F.lit(task), F.col("text"), F.col("answer"), prompts.list_text(F.col("target")), templates
     )
     asked = text.once(answered, "judge_request", request)
-    return hooks.recorded(asked, generations, "judge_request", params, into="judge_text", distinct=True).drop("request_id")
+    judged = hooks.recorded(asked, generations, "judge_request", params, into="judge_text", distinct=True)
+    return judged.drop("request_id", "judge_request").repartition(max(1, -(-answered.count() // SCORED_ROWS)))
 
 
 def evaluate_rewriter(
@@ -221,7 +228,8 @@ def evaluate_sampling(
     rewritten = text.once(asked, "rewrite", parsing.rewrite_or_raw(parsed, F.col("completion")))
     final = prompts.candidate_follow_prompt(F.col("original"), F.col("text"), F.col("rewrite"))
     rewritten = store(text.once(rewritten, "final_prompt", final), "candidates")
-    scored = with_scores(_answered(rewritten, kept, templates, task), stem=stem)
+    asked = rewritten.select("sample_id", "cand_idx", "text", "target", "final_prompt")
+    scored = with_scores(_answered(asked, kept, templates, task), stem=stem)
     selection = prompts.selection_prompts(rewritten, per_example=True)
     chosen = hooks.recorded(selection, kept, "request", into="choice", distinct=True)
     picks = chosen.select("sample_id", parsing.choice_index(F.col("choice")).alias("pick"))

@@ -14,7 +14,7 @@ from verdigris import fixed_values as fixed
 from verdigris.functions import parsing, rewards, text
 from verdigris.operators import hooks, monitor, ordered, prepare, prompts, rouge, scoring, training
 from verdigris.plans import compare, curate, evaluate, fixtures
-from verdigris.session import scratch_path
+from verdigris.session import scratch_path, store
 from verdigris.sources import logs, schemas
 from verdigris.sources.datasets import load_dataset, load_prompt_pairs, read_table
 from verdigris.streaming.monitor import early_stop_available
@@ -717,7 +717,7 @@ def evaluate_rewriter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def evaluate_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """Three result rows of five recorded candidates each, with the picked one by a recorded selection."""
-    samples = prepare.normalize(fixtures.nested_questions(spark, sf), "nq", True)
+    samples = store(prepare.normalize(fixtures.nested_questions(spark, sf), "nq", True), "samples")
     n = 5
     each = prompts.fan_out(samples, n)
     said = F.concat(F.lit('{"final_rewritten_query": "R'), F.col("cand_idx"), F.lit('"}'))
