@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,27 @@ def test_hook_hands_out_portions_of_bytes(spark):
     assert empty == []
 
 
+def test_hook_holds_texts_of_a_portion(spark):
+    """With a batch size too, a task has the texts of a portion beside its Arrow batch, not those of the whole batch."""
+    n, size = 400, 50_000
+    df = spark.range(0, n, 1, 1).select(F.repeat(F.lit("x"), size).alias("prompt"))
+
+    def backend():
+        tracemalloc.start()
+
+        def answer(batch):
+            held = tracemalloc.get_traced_memory()[0]  # 0 after the first call
+            tracemalloc.stop()
+            return [f"{len(batch)} {held}"] * len(batch)
+
+        return answer
+
+    asked = hooks.generate(df, "prompt", backend, batch_size=10).select("text").collect()
+    assert len(asked) == n and max(int(r["text"].split()[0]) for r in asked) == 10
+    held = max(int(r["text"].split()[1]) for r in asked)
+    assert n * size < held < n * size + 2 * hooks.ASK_BYTES
+
+
 def test_hook_asks_each_request_once(spark):
     asked = spark.sparkContext.accumulator(0)
 
